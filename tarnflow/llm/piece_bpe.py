@@ -22,12 +22,13 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import once
-from .common import map_arrow, table, text_bytes
+from .common import blocks, map_arrow, table, text_bytes
 
 SPACE = "▁"
 #: Parts that each of a worker's two generations keeps, and pairs of pieces whose compatibility is kept.
@@ -35,25 +36,26 @@ CACHE_PARTS, CACHE_PAIRS = 250_000, 1_000_000
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-class PartIds(dict):
-    """part -> ids. When it is full, it becomes the older generation, from which parts in use come back."""
+#: Parts longer than this are encoded one by one, so that a table's rounds stay few.
+PART_CHARACTERS = 60
+#: Slots of the table of pairs, a power of two.
+PAIR_SLOTS = 1 << 21
 
-    def __init__(self, encode) -> None:
-        self.encode, self.older, self.odd = encode, {}, False
 
-    def __missing__(self, part: str):
-        if not part or SPACE in part:
-            self.odd = True
-            return ()
-        value = self.older.get(part)
-        if value is None:
-            value = self.encode(SPACE + part)
-        if len(part) <= 40:
-            if len(self) >= CACHE_PARTS:
-                self.older = dict(self)
-                self.clear()
-            self[part] = value
-        return value
+class PartIds:
+    """Recent parts' ids in two generations: when the younger is full it becomes the older, from which parts in use come back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def missing(self, parts: set[str]) -> list[str]:
+        if len(self.young) > CACHE_PARTS:
+            self.old, self.young = self.young, {}
+        new = parts.difference(self.young)
+        back = new.intersection(self.old)
+        self.young.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return list(new - back)
 
 
 class PieceBpe:
@@ -78,14 +80,19 @@ class PieceBpe:
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.end_id = model.trainer_spec.eos_id
-        self.text = ["" if p.type in (2, 3) else p.piece.replace(SPACE, " ") for p in model.pieces]
-        self.matches = ahocorasick.Automaton()
+        if any(c not in self.id for p in self.id for c in p):
+            raise ValueError("pieces with a character that is no piece")
+        self.text = [None if p.type == 6 else "" if p.type in (2, 3) else p.piece.replace(SPACE, " ") for p in model.pieces]
+        self.matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for text, i in self.id.items():
-            self.matches.add_word(text, (len(text), i))
+            self.matches.add_word(text, len(text) << 16 | i)
         self.matches.make_automaton()
-        self.alone = {i for text, i in self.id.items() if len(text) == 1 or self.merge(text) == [text]}
+        self.alone = np.zeros(len(self.piece), bool)
+        for text, i in self.id.items():
+            self.alone[i] = len(text) == 1 or self.merge(text) == [text]
         self.pairs: dict[int, bool] = {}
-        self.cache = PartIds(self.encode_part)
+        self.pair_key, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+        self.cache = PartIds()
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored merge of neighbours, the left one of equals, again and again."""
@@ -106,73 +113,106 @@ class PieceBpe:
                     heapq.heappush(heap, (-self.score[x], left, x))
         return [x for x in symbol if x]
 
-    def compatible(self, left: int, right: int) -> bool:
-        a, b = self.piece[left], self.piece[right]
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        found = self.pairs[left << 16 | right] = right in self.alone and self.merge(a + b) == [a, b]
+    def compatible(self, pair: int) -> bool:
+        """Whether the two pieces of ``left << 16 | right`` encode to themselves when they stand together."""
+        found = self.pairs.get(pair)
+        if found is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            a, b = self.piece[pair >> 16], self.piece[pair & 0xFFFF]
+            found = self.pairs[pair] = self.merge(a + b) == [a, b]
         return found
 
+    def compatible_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        fits = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_key[slot] != pairs)
+        if len(new):
+            kinds, which = np.unique(pairs[new], return_inverse=True)
+            found = np.array([self.compatible(x) for x in kinds.tolist()], bool)[which]
+            fits[new] = found
+            self.pair_key[slot[new]], self.pair_fits[slot[new]] = pairs[new], found
+            self.pair_fits[slot[new]] = [self.pairs[x] if x in self.pairs else self.compatible(x) for x in self.pair_key[slot[new]].tolist()]
+        return fits
+
     def encode_part(self, part: str) -> tuple[int, ...]:
         """The prefix table of one part, then its ids backwards. ``last[i]``: the last token of the first ``i`` characters."""
-        n = len(part)
-        last, length = [-1] * (n + 1), [0] * (n + 1)
-        pairs, done = self.pairs, 0
-        for end, (size, token) in self.matches.iter(part):
-            end += 1
-            if end > done + 1:
-                self._without_piece(part, last, length, done, end - 1)
-            done = end
-            if last[end] >= 0:
+        last, length = [-2] * (len(part) + 1), [1] * (len(part) + 1)
+        for end, match in self.matches.iter(part):
+            size, token = match >> 16, match & 0xFFFF
+            start = end + 1 - size
+            if last[end + 1] >= 0 or not self.alone[token]:
                 continue
-            start = end - size
-            if start == 0:
-                fits = token in self.alone
-            else:
-                left = last[start]
-                if left == -1:
-                    continue
-                fits = token in self.alone if left == -2 else pairs.get(left << 16 | token)
-                if fits is None:
-                    fits = self.compatible(left, token)
-            if fits:
-                last[end], length[end] = token, size
-        if done < n:
-            self._without_piece(part, last, length, done, n)
+            if start == 0 or last[start] == -2 or self.compatible(last[start] << 16 | token):
+                last[end + 1], length[end + 1] = token, size
         ids: list[int] = []
-        at = n
+        at = len(part)
         while at:
-            if last[at] == -2:
-                ids.extend(self.byte[b] for b in reversed(part[at - 1].encode()))
-                at -= 1
-            else:
-                ids.append(last[at])
-                at -= length[at]
+            ids.extend([last[at]] if last[at] >= 0 else (self.byte[b] for b in reversed(part[at - 1].encode())))
+            at -= length[at]
         ids.reverse()
         return tuple(ids)
 
-    def _without_piece(self, part: str, last: list[int], length: list[int], start: int, end: int) -> None:
-        """Characters that end no match, so have no piece: nothing merges with them."""
-        for i in range(start + 1, end + 1):
-            if part[i - 1] in self.id:
-                continue
-            last[i], length[i] = -2, 1
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, without an end id."""
-        if not text:
-            return []
-        self.cache.odd = False
-        ids = list(chain.from_iterable(map(self.cache.__getitem__, text.split(" "))))
-        if self.cache.odd:
-            ids = list(chain.from_iterable(self.encode_part(x) for x in _PART.findall(SPACE + text.replace(" ", SPACE))))
-        return ids
+    def encode_parts(self, parts: list[str]) -> list[tuple[int, ...]]:
+        """``encode_part`` of many parts that start with the space symbol and have no other: their tables grow together,
+        by one character in each round. Parts that are long or have characters without a piece are done one by one."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        found = np.fromiter(chain.from_iterable(self.matches.iter("".join(parts))), np.int64).reshape(-1, 2)
+        end, size, token = found[:, 0], found[:, 1] >> 16, found[:, 1] & 0xFFFF
+        total = int(sizes.sum())
+        without = np.ones(total, bool)
+        without[end] = False
+        own = np.repeat(np.arange(len(parts)), sizes)
+        single = sizes > PART_CHARACTERS
+        single[own[without]] = True
+        held = self.alone[token] & ~single[own[end]]
+        end, size, token = end[held], size[held], token[held]
+        begin = end + 1 - size
+        place = (end - starts[own[end]]).astype(np.uint16)
+        order = np.argsort(place, kind="stable")
+        end, size, token, begin = end[order], size[order], token[order], begin[order]
+        is_first = begin == starts[own[end]]
+        upto = np.cumsum(np.bincount(place, minlength=1))
+        last, length = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+        for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True):
+            left = last[begin[a:b] - 1]
+            fits = is_first[a:b].copy()
+            test = np.flatnonzero(~fits & (left >= 0))
+            fits[test] = self.compatible_pairs(left[test] << 16 | token[a:b][test])
+            at = end[a:b][fits]
+            last[at], length[at] = token[a:b][fits], size[a:b][fits]
+        part = np.flatnonzero(~single)
+        at, steps = starts[part] + sizes[part] - 1, []
+        while len(part):
+            steps.append((part, last[at]))
+            at = at - length[at]
+            more = at >= starts[part]
+            part, at = part[more], at[more]
+        owners = np.concatenate([p for p, _ in reversed(steps)]) if steps else np.empty(0, np.int64)
+        ids = np.concatenate([t for _, t in reversed(steps)])[np.argsort(owners, kind="stable")].tolist() if steps else []
+        upto = np.cumsum(np.bincount(owners, minlength=len(parts))).tolist()
+        return [self.encode_part(x) if alone else tuple(ids[a:b]) for x, alone, a, b in zip(parts, single.tolist(), [0, *upto[:-1]], upto, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, without an end id."""
+        split = [text.split(" ") for text in texts]
+        new = self.cache.missing(set(chain.from_iterable(split)))
+        plain = [x for x in new if x and SPACE not in x]
+        self.cache.young.update(zip(plain, self.encode_parts([SPACE + x for x in plain]) if plain else (), strict=True))
+        get, out = self.cache.young.__getitem__, []
+        for text, parts in zip(texts, split, strict=True):
+            try:
+                out.append(list(chain.from_iterable(map(get, parts))))
+            except KeyError:
+                out.append(list(chain.from_iterable(self.encode_part(x) for x in _PART.findall(SPACE + text.replace(" ", SPACE)))) if text else [])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces in a row as UTF-8, control pieces as nothing, without the space that was added."""
-        if not any(map(self.byte_of.__contains__, set(ids))):
+        try:
             text = "".join(map(self.text.__getitem__, ids))
-        else:
+        except TypeError:  # byte pieces have no text of their own
             out, held = [], bytearray()
             for i in ids:
                 if i in self.byte_of:
@@ -191,12 +231,12 @@ def _digests(model_path: str):
         decimal = once(lambda n: [str(i) for i in range(n)], len(bpe.piece)).__getitem__
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for value in batch.column(1):
-                ids = bpe.encode(str(value.as_py() or b"", "utf-8", "replace"))
-                ids.append(bpe.end_id)
-                counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            for texts in blocks(batch.column(1).to_pylist()):
+                for ids in bpe.encode([str(x, "utf-8", "replace") for x in texts]):
+                    ids.append(bpe.end_id)
+                    counts.append(len(ids))
+                    ids_hash.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                    text_hash.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -206,8 +246,11 @@ def _encoded(model_path: str, end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(PieceBpe, model_path)
         for batch in batches:
-            ids = [bpe.encode(str(x.as_py() or b"", "utf-8", "replace")) + [bpe.end_id] * end for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            at = 0
+            for texts in blocks(batch.column(1).to_pylist()):
+                ids = [x + [bpe.end_id] * end for x in bpe.encode([str(t, "utf-8", "replace") for t in texts])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                at += len(texts)
 
     return run
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, piece_bpe
+from . import near_dedup, packing, piece_bpe, quality_rules
 
-_MODULES = [near_dedup, piece_bpe, packing]
+_MODULES = [near_dedup, piece_bpe, quality_rules, packing]
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
