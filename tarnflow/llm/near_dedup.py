@@ -6,9 +6,10 @@ second: as many tables of ``2 * t`` minhashes would take ``m * m * 2 * t`` minha
 ``s`` share no table with probability of at most ``2 * (1 - s**t)**m``: 2.5e-4 at 0.85 for ``t=2, m=7``.
 
 Every candidate is confirmed on the full sets. Texts with equal sets form a class that one document stands for, so
-copies are never paired. In a table's bucket every member is compared with one hub, then the next hub, and so on until
-all members are in one component; what few pairs of different components remain are then compared one by one. So no
-pair that shares a bucket is lost, and no bucket is expanded into all its pairs while hubs still join its members.
+copies are never paired. In a table's bucket every member is compared with one hub. Where that leaves members in
+different components, the members are dealt to blocks of bounded size, and each pair of blocks is compared inside one
+task, which gives out no more links than it takes to join what it found together. So no pair that shares a bucket is
+lost, no bucket is expanded into its pairs, and no task holds more than two blocks.
 
 Defined results: a null or wordless text has an empty set, ``n_shingles`` 0, is its own component and is kept; rows that
 repeat a doc_id each give a row and count as one node; a null doc_id joins no group (component null, kept false); an
@@ -24,20 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_scratch, is_small, map_arrow, materialize, table, text_bytes
+from .common import blocks, is_small, map_arrow, materialize, table, text_bytes
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 #: Ids that a broadcast may hold: 8 bytes each, 16 MB at most. More are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds of hubs before the remaining pairs are compared one by one.
-HUB_ROUNDS = 8
-#: Remaining pairs for each row of the open buckets below which they are compared at once.
-PAIRS_A_ROW = 4
+#: Members and bytes of text of a block; a task holds two.
+BLOCK_MEMBERS, BLOCK_TEXT = 512, 8_000_000
 
 
-def band_keys(sets: list[np.ndarray], t: int, m: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """The ``m * m`` table keys of each set that isn't empty, one after another, and the offsets of each set's keys."""
+def band_keys(sets: list[np.ndarray], t: int, m: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``m * m`` table keys of each set that isn't empty, one after another, and the offsets of each set's keys;
+    likewise its ``m`` band values of the first collection."""
     rng = np.random.Generator(np.random.PCG64(seed))
     scale = rng.integers(1, 2**63, (2 * m * t, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, (2 * m * t, 1), dtype=np.uint64)
@@ -55,7 +55,12 @@ def band_keys(sets: list[np.ndarray], t: int, m: int, seed: int = 17) -> tuple[n
         value = mix(value * np.uint64(31) + band[..., i])
     keys = mix(value[:, 0, :, None] * np.uint64(3) + mix(value[:, 1, None, :] + np.uint64(9)) + pair[None])
     full = np.array([len(s) > 0 for s in sets], dtype=bool)
-    return keys.reshape(len(sets), m * m)[full].ravel().view(np.int64), np.r_[0, np.cumsum(full * m * m)].astype(np.int32)
+    first = mix(value[:, 0] + pair[0])
+
+    def flat(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        return x.reshape(len(sets), width)[full].ravel().view(np.int64), np.r_[0, np.cumsum(full * width)].astype(np.int32)
+
+    return *flat(keys, m * m), *flat(first, m)
 
 
 def _signatures(k: int, t: int, m: int):
@@ -64,7 +69,7 @@ def _signatures(k: int, t: int, m: int):
             ids, at = batch.column(0), 0
             for texts in blocks(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, k)
-                keys, offsets = band_keys(sets, t, m)
+                keys, offsets, bands, band_offsets = band_keys(sets, t, m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(texts)),
@@ -72,8 +77,9 @@ def _signatures(k: int, t: int, m: int):
                         pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
+                        pa.ListArray.from_arrays(pa.array(band_offsets), pa.array(bands)),
                     ],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "keys"],
+                    names=["doc_id", "n_shingles", "print_a", "print_b", "keys", "bands"],
                 )
                 at += len(texts)
 
@@ -110,65 +116,120 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return map_arrow(both.select("a", "b", "text_a", "text_b"), _confirmed(k, percent), "a long, b long").distinct()
 
 
+def _compare_blocks(k: int, percent: int):
+    """All members of two blocks -> links between members of different components, as few as join what is found."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["doc_id"].to_pylist(), group["component"].to_pylist(), group["block"].to_pylist(), group["text"].to_pylist(), strict=True), key=lambda r: r[0])
+        sets = [s for texts in blocks(r[3] for r in rows) for s in shingle_sets(texts, k)]
+        block = np.array([r[2] for r in rows])
+        cross = len(set(block.tolist())) > 1
+        sizes = np.array([len(s) for s in sets])
+        shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        first = np.searchsorted(place[order], np.arange(len(shingles) + 1))
+        component = np.array([r[1] for r in rows])
+        names, counts = np.unique(component, return_counts=True)
+        main = names[counts.argmax()]
+        parent = {c: c for c in names.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        a, b = [], []
+        ends = np.r_[0, np.cumsum(sizes)]
+        for i in np.flatnonzero(component != main).tolist():  # two members of the main component need no link
+            own = place[ends[i] : ends[i + 1]]
+            starts, lengths = first[own], first[own + 1] - first[own]
+            at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = 100 * both >= percent * (sizes[i] + sizes - both)
+            near &= component != component[i]
+            if cross:
+                near &= block != block[i]
+            for j in np.flatnonzero(near).tolist():
+                x, y = root(rows[i][1]), root(rows[j][1])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(min(rows[i][0], rows[j][0]))
+                    b.append(max(rows[i][0], rows[j][0]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _pairs(left, right):
     return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def find_links(keyed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links ``(a, b)`` of class representatives that connect every component; None if no two share a table key.
+def _open_links(banded: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components among ``members(doc_id, component)``, which share a band value.
 
-    ``keyed(doc_id, keys)`` has a row for each representative.
+    A pair that shares a table key shares a band value of the first collection, so those groups, ``m`` for a document
+    instead of ``m * m``, hold every pair.
     """
-    rows = keyed.select(F.explode("keys").alias("key"), "doc_id")
+    own = banded.join(members, "doc_id").join(texts.select("doc_id", "text"), "doc_id").select(F.explode("bands").alias("band"), "doc_id", "component", "text")
+    own = materialize(own, "open")
+    mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("size") / BLOCK_TEXT)).cast("int")
+    dealt = own.join(mixed.filter("low < high").select("band", parts.alias("parts")), "band")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    paired = dealt.select("band", "doc_id", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    paired = paired.select("band", "doc_id", "component", "block", "text", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return paired.groupBy("band", "low", "high").applyInArrow(_compare_blocks(k, percent), "a long, b long")
+
+
+def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """``(node, component)`` of the class representatives with links; None if no two share a table key.
+
+    ``banded(doc_id, keys, bands)`` has a row for each representative.
+    """
+    rows = banded.select(F.explode("keys").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").select("key", "hub")
-    bucket = materialize(rows.join(shared, "key").select("key", "doc_id"), "buckets")
-    links = seen = None
-    for turn in range(HUB_ROUNDS):
-        hubs = bucket.groupBy("key").agg(F.min("doc_id").alias("hub"))
-        with_hub = bucket.join(hubs, "key").filter("doc_id <> hub")
-        new = with_hub.select(*_pairs("hub", "doc_id")).distinct()
-        pairs = materialize(new if seen is None else new.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if turn == 0 and pairs.isEmpty():
-            return None
-        found = materialize(confirm(pairs, texts, k, percent), "links")
-        links = found if links is None else materialize(links.union(found), "links")
-        seen = pairs if seen is None else materialize(seen.union(pairs), "seen")
-        component = connected_components(links)
-        left = with_hub.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        bucket = materialize(left.join(mixed, "key").select("key", "doc_id", "component"), "buckets")
-        sizes = bucket.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        rest = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows")).first()
-        if not rest["pairs"]:
-            return links
-        if rest["pairs"] <= PAIRS_A_ROW * rest["rows"]:
-            break
-    other = bucket.select("key", F.col("doc_id").alias("other"), F.col("component").alias("other_component"))
-    new = bucket.join(other, "key").filter("doc_id < other AND component <> other_component").select(*_pairs("doc_id", "other")).distinct()
-    pairs = materialize(new.join(seen, ["a", "b"], "left_anti"), "pairs")
-    return materialize(links.union(confirm(pairs, texts, k, percent)), "links")
+    bucket = materialize(rows.join(shared, "key").select("key", "hub", "doc_id"), "buckets")
+    pairs = materialize(bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    found = connected_components(materialize(confirm(pairs, texts, k, percent), "links"))
+    known = bucket.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    members = materialize(known.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "members")
+    if members.isEmpty():
+        return found
+    more = _open_links(banded.select("doc_id", "bands"), members, texts, k, percent)
+    of = lambda name: members.select(F.col("doc_id").alias(name), F.col("component").alias(f"component_{name}"))
+    between = materialize(more.join(of("a"), "a").join(of("b"), "b").select(*_pairs("component_a", "component_b")).distinct(), "between")
+    if between.isEmpty():
+        return found
+    joined = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    nodes = found.union(members.select(F.col("doc_id").alias("node"), "component")).distinct()
+    return nodes.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` -> ``(doc_id, n_shingles, component_id, kept)`` with a row for each input row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    signed = materialize(map_arrow(source, _signatures(k, t, m), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"), "signatures")
+    signed = materialize(map_arrow(source, _signatures(k, t, m), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, bands array<long>"), "signatures")
     prints = ["n_shingles", "print_a", "print_b"]
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
-    keyed = signed.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints]).select("doc_id", "keys")
+    banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints]).select("doc_id", "keys", "bands")
     member = known.select("doc_id", *prints).join(classes, prints).select("doc_id", "rep").distinct()
-    links = find_links(keyed, source.filter("doc_id IS NOT NULL"), k, percent)
     # One id with several texts belongs to several classes: it links them.
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    if not several.isEmpty():
-        own = member.filter("doc_id <> rep").select(*_pairs("doc_id", "rep"))
-        links = materialize(own if links is None else links.union(own), "links")
-    group = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    if links is None:
+    if not known.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).filter("low < high").isEmpty():
+        found = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
+        links = member.filter("doc_id <> rep").select(*_pairs("doc_id", "rep"))
+        component = connected_components(links if found is None else links.union(found.filter("node <> component").select(*_pairs("node", "component"))))
+        group = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    else:
+        component = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
+        group = member
+    if component is None:
         group = group.withColumnRenamed("rep", "component_id")
     else:
-        component = connected_components(links)
         group = group.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(group, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -99,9 +99,19 @@ def test_members_that_no_hub_joins(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(docs, 3, 85, m=10).collect()} == want
 
 
-def test_hub_rounds_then_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+def test_pairs_of_small_blocks(spark, monkeypatch):
+    """Many members that no hub joins, dealt to several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 5)
     words = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join(words[:120] + [f"u{i}_{j}" for j in range(16)])) for i in range(20)] + [(100 + i, " ".join(words[:120] + [f"u{i}_{j}" for j in range(14)])) for i in range(20)]
+    rows = [(i, " ".join(words[:120] + [f"u{i}_{j}" for j in range(16)])) for i in range(20)]
+    rows += [(100 + i, " ".join(words[:120] + [f"v{i}_{j}" for j in range(10)])) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(docs, 3, 85, m=12).collect()} == brute(rows, 3, 85)
+    want = brute(rows, 3, 85)
+    assert 1 < len({c for _, c in want.values()}) < 40
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(docs, 3, 85, m=12).collect()} == want
+
+
+def test_one_id_with_two_texts_links_them(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "t u v w x y z"), (3, "t u v w x y z"), (4, "else")]
+    got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
