@@ -57,18 +57,13 @@ def test_empty_table(spark):
     assert quality_rules.keep_good(docs).collect() == []
 
 
-def test_label_model_finds_the_rules_that_agree():
-    """Two classes with known vote rates: rules that tell them apart get weight, a constant rule gets none."""
-    patterns = []
-    for cls, n in ((1, 800), (-1, 200)):
-        for k in range(8):
-            flips = [cls if k >> j & 1 == 0 else -cls for j in range(3)]
-            share = 1.0
-            for j in range(3):
-                share *= 0.9 if flips[j] == cls else 0.1
-            patterns.append(((1, *flips, 0, 0, 0, 0, 0), round(n * share)))
+def test_label_model_weighs_rules_by_agreement():
+    """Faults that only some bad documents have: rules that catch them weigh, a rule that fires at random hardly does."""
+    quiet = (0,) * 9
+    one = lambda *at: tuple(-1 if i in at else 0 for i in range(9))
+    patterns = [(quiet, 9000), (one(1), 300), (one(1, 8), 200), (one(3, 5), 250), (one(3), 50), (one(7), 3)]
     prior, weights = quality_rules.fit(patterns)
-    assert 0.5 < prior < 2.5
-    assert weights[0] == [0.0, 0.0, max(0.0, weights[0][2])] or abs(weights[0][2]) < 0.2
-    for w in weights[1:4]:
-        assert w[0] < -1 and w[2] > 1
+    odds = lambda v: prior + sum(w[x + 1] for w, x in zip(weights, v, strict=True))
+    assert odds(quiet) > 2
+    assert all(odds(v) < 0 for v, n in patterns[1:5])
+    assert weights[0] == [0.0, weights[0][1], 0.0] or abs(weights[0][1]) < 0.1
