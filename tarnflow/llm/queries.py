@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, piece_bpe, quality_rules, site_style
+from . import media, near_dedup, packing, piece_bpe, quality_rules, site_style
 
-_MODULES = [near_dedup, piece_bpe, quality_rules, packing, site_style]
+_MODULES = [near_dedup, piece_bpe, media, quality_rules, packing, site_style]
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
