@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .codec import ByteBpe, once
 from .common import map_arrow, materialize, table, text_bytes
 
-#: Pieces of one length that a task numbers at most, on average.
-GROUP_ROWS = 20_000
+#: Pieces of one length that are numbered together, on average.
+GROUP_ROWS = 1_000
 
 
 def place(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -99,16 +99,16 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     slots = place(histogram, size)
     slot_rows = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, first long, count long, sequence long, offset long")
-    groups = max(1, max(histogram.values(), default=0) // GROUP_ROWS)
-    salted = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # The slots grow with the lengths (2 * size at most for each), not with the rows; one length's slots are an array.
+    by_length = slot_rows.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("__slots"), F.sum("count").alias("__n"))
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.ceil(F.col("__n") / GROUP_ROWS))
+    salted = pieces.join(F.broadcast(by_length.select("length", "__n")), "length").withColumn("__group", group).drop("__n")
     counts = salted.groupBy("length", "__group").count()
     before = counts.withColumn("__before", F.sum("count").over(W.partitionBy("length").orderBy("__group").rowsBetween(W.unboundedPreceding, -1)))
     number = F.row_number().over(W.partitionBy("length", "__group").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("__number", number).join(before.select("length", "__group", "__before"), ["length", "__group"])
     ranked = ranked.withColumn("__rank", F.col("__number") + F.coalesce("__before", F.lit(0)))
-    # The slots grow with the lengths (2 * size at most for each), not with the rows; one length's slots are an array.
-    by_length = slot_rows.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "count", "sequence", "offset"))).alias("__slots"))
-    joined = ranked.join(F.broadcast(by_length), "length")
+    joined = ranked.join(F.broadcast(by_length.drop("__n")), "length")
     slot = F.element_at(F.filter("__slots", lambda s: (s["first"] <= F.col("__rank")) & (F.col("__rank") < s["first"] + s["count"])), 1)
     placed = joined.withColumn("__slot", slot)
     return placed.withColumn("sequence_id", F.col("__slot.sequence") + F.col("__rank") - F.col("__slot.first")).withColumn("offset", F.col("__slot.offset")).select(*pieces.columns, "sequence_id", "offset")
