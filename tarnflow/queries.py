@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import chat
+
+_MODULES = [chat]
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP = "chunk_documents"
