@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import chat, texts
+from .plans import chat, documents, texts
 
-_MODULES = [chat, texts]
+_MODULES = [chat, texts, documents]
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP = "chunk_documents"
