@@ -240,5 +240,13 @@ def op10_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+#: The same text for pages with one plain article and the named references that occur in the tables.
+_ORACLE = """
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+    regexp_extract(coalesce(html, ''), '<article>((?s:.*))</article>', 1), '</?(?:p|br|h[1-6]|li|ul|ol|div|section|td|tr|table)(?:\\s[^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages)
+"""
+
 QUERIES = {"op10_site_style": op10_site_style}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_site_style": _ORACLE}

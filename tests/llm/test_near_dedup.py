@@ -5,6 +5,7 @@ import pytest
 
 from tarnflow.llm import near_dedup
 from tarnflow.llm.shingles import shingle_sets
+from tests.oracle import assert_same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +116,7 @@ def test_one_id_with_two_texts_links_them(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "t u v w x y z"), (3, "t u v w x y z"), (4, "else")]
     got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_oracle(spark, sf_dir):
+    assert_same(near_dedup.op3_near_dedup(spark, sf_dir), near_dedup.ORACLES["op3_near_dedup"], sf_dir)

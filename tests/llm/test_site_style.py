@@ -2,6 +2,7 @@ import html
 import re
 
 from tarnflow.llm import site_style
+from tests.oracle import assert_same
 
 
 def text_of(page):
@@ -66,3 +67,7 @@ def test_empty_table(spark):
 def test_long_page():
     page = "<article>" + "<p>word one</p>" * 50_000 + "<div>" * 2000 + "deep" + "</article>"
     assert text_of(page) == "word one " * 50_000 + "deep"
+
+
+def test_oracle(spark, sf_dir):
+    assert_same(site_style.op10_site_style(spark, sf_dir), site_style.ORACLES["op10_site_style"], sf_dir)
