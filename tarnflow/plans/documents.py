@@ -177,3 +177,56 @@ ORACLES = {
            WINDOW w AS (PARTITION BY family_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
     ),
 }
+
+_PARAGRAPHS = "p AS (SELECT doc_id, [x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in regexp_split_to_array(raw_content, '\\n\\s*\\n')] if x <> ''] AS l FROM v_manuals)"
+_CAPITAL = "(left({0}, 1) = upper(left({0}, 1)) AND left({0}, 1) <> lower(left({0}, 1)))"
+_GUIDE = """g AS (SELECT doc_id, line_no, CASE WHEN starts_with(line, '1. ') THEN '## 3. Open it' WHEN line = 'SAFETY NOTES' THEN '## Close it' ELSE line END AS line FROM lines),
+  heads AS (SELECT *, min(CASE WHEN starts_with(line, '# ') THEN line_no END) OVER (PARTITION BY doc_id) AS title_at, CASE WHEN starts_with(line, '## ') THEN trim(substr(line, 4)) END AS head FROM g),
+  numbered AS (SELECT *, try_cast(regexp_extract(head, '^(\\d+)\\.\\s*', 1) AS INT) AS n FROM heads WHERE title_at IS NULL OR line_no <> title_at),
+  runs AS (SELECT *, count(n) OVER u AS grp, count(head) OVER u AS started, coalesce(last_value(n IGNORE NULLS) OVER u, 0) AS base, last_value(head IGNORE NULLS) OVER u AS named FROM numbered
+    WINDOW u AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  steps AS (SELECT doc_id, line_no, line, 'Manual ' || doc_id AS title, CAST(CASE WHEN started > 0 THEN base + count(CASE WHEN head IS NOT NULL AND n IS NULL THEN 1 END) OVER (PARTITION BY doc_id, grp ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS INT) AS step,
+    regexp_replace(named, '^\\d+\\.\\s*', '') AS heading, head FROM runs)"""
+_IMAGES = """images AS (SELECT doc_id, step, row_number() OVER (PARTITION BY doc_id, step ORDER BY line_no) - 1 AS image_no, url FROM (SELECT doc_id, step, line_no, unnest(regexp_extract_all(line, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS url FROM steps WHERE head IS NULL))"""
+
+
+def _joined(source: str, joins: str) -> str:
+    """Runs of lines for which ``joins`` holds, each joined to the line before it."""
+    return f"""SELECT doc_id, CAST(min(line_no) AS INT) AS line_no, string_agg(line, ' ' ORDER BY line_no) AS line FROM (SELECT *, sum(CASE WHEN {joins} THEN 0 ELSE 1 END) {_W} AS run FROM {source}) GROUP BY doc_id, run"""
+
+
+ORACLES |= {
+    "detect_headings": with_views(
+        f"""SELECT doc_id, line_no, length(t) >= 2 AND (starts_with(t, '#') OR ({_UPPER} AND length(t) >= 3 AND contains(t, ' ')) OR regexp_matches(t, '^(\\d+\\.)+\\s+[A-Z]') OR regexp_matches(t, '^[A-Z]\\.\\d+\\s+')
+            OR (length(t) < 60 AND NOT contains('.,;:!?', right(t, 1)) AND {_CAPITAL.format('t')} AND len(w) >= 2 AND len([x for x in w if {_CAPITAL.format('x')}]) >= len(w) * 0.6 AND nxt <> '')) AS is_heading
+            FROM (SELECT *, [x for x in regexp_split_to_array(t, '\\s+') if x <> ''] AS w, coalesce(lead(t) {_W}, '') AS nxt FROM s)""",
+        _L,
+        _S,
+    ),
+    "paragraph_groups": with_views("SELECT doc_id, CAST(i AS INT) AS section_no, CAST(NULL AS VARCHAR) AS heading, array_to_string(l[i * 4 + 1 : i * 4 + 4], chr(10) || chr(10)) AS content FROM (SELECT *, unnest(range(0, (len(l) - 1) // 4 + 1)) AS i FROM p)", _PARAGRAPHS),
+    "guide_steps": with_views("SELECT doc_id, line_no, title, step, heading FROM steps WHERE head IS NULL", _L, _GUIDE),
+    "step_images": with_views("SELECT doc_id, step, CAST(image_no AS INT) AS image_no, url FROM images", _L, _GUIDE, _IMAGES),
+    "attach_images_to_chunks": with_views(
+        "SELECT doc_id, 0 AS chunk_index, string_agg(url, '|' ORDER BY first) AS urls FROM v_manuals LEFT JOIN (SELECT doc_id, url, min((step, image_no)) AS first FROM images WHERE step IN (3, 4) GROUP BY 1, 2) USING (doc_id) GROUP BY doc_id", _L, _GUIDE, _IMAGES
+    ),
+    "soft_wrap_lines": with_views(
+        f"""SELECT doc_id, line_no, line FROM (SELECT *, lag(line) {_W} AS before FROM ({_joined('marked', 'coalesce(lag_short, false) AND NOT hard')})) WHERE line <> '' OR before <> ''""",
+        _L,
+        _S,
+        f"""kinds AS (SELECT doc_id, line_no, t AS line, t = '' OR starts_with(t, '#') OR regexp_matches(t, '(?i)^(?:\\[TABLE_PLACEHOLDER\\]|table:|image:|url:)') AS hard FROM s WHERE NOT regexp_matches(t, '(?i)^#?\\s*page\\s+\\d+$')),
+        marked AS (SELECT *, lag(NOT hard AND len(regexp_split_to_array(line, '\\s+')) <= 6) {_W} AS lag_short FROM kinds)""",
+    ),
+    "normalize_pdf_markdown": with_views(
+        _joined("marked", "plain AND coalesce(before, false)"),
+        _L,
+        _S,
+        f"""plains AS (SELECT doc_id, line_no, t AS line, t <> '' AND NOT starts_with(t, '#') AS plain FROM s WHERE NOT {_hits("regexp_replace(t, '^#+\\s*', '')", L.CONTENTS)} AND NOT (regexp_matches(t, '^[\\d.\\-•*\\s]+$') AND length(t) <= 20 AND t <> '')),
+        marked AS (SELECT *, lag(plain) {_W} AS before FROM plains)""",
+    ),
+    "merge_tables_into_pages": with_views(
+        """SELECT doc_id, page, line_no, CASE WHEN n * 2 + page <= doc_id % 5 THEN 'table ' || (n * 2 + page) WHEN mark THEN '[TABLE_PLACEHOLDER]' ELSE 'text' END AS line FROM marks
+           UNION ALL SELECT doc_id, page, CAST(last + 1 + i - m AS INT), 'table ' || (i * 2 + page) FROM (SELECT doc_id, page, max(line_no) AS last, count(n) AS m, unnest(range(0, doc_id % 5 // 2 + 1)) AS i FROM marks GROUP BY 1, 2) WHERE i >= m AND i * 2 + page <= doc_id % 5""",
+        _L,
+        "marks AS (SELECT doc_id, page, line_no, mark, CASE WHEN mark THEN count(CASE WHEN mark THEN 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 END AS n FROM (SELECT doc_id, line_no % 2 AS page, line_no, line_no % 3 = 0 AS mark FROM lines WHERE line_no < 12))",
+    ),
+}

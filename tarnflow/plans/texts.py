@@ -103,3 +103,15 @@ ORACLES = {
     ),
     "prefix_document_title": with_views("SELECT chunk_id, CASE WHEN heading IS NULL THEN content ELSE '[Document: ' || heading || ']' || chr(10) || chr(10) || content END AS text FROM v_chunks"),
 }
+
+_NUMBER = "regexp_matches(x, '^[\\d.,%\\-+/ ]+$')"
+ORACLES |= {
+    "clean_guide_body": with_views(
+        f"SELECT doc_id, {_trim("regexp_replace(regexp_replace(array_to_string([regexp_replace(x, '\\s+$', '') for x in string_split('[link|x|shown]  ' || repeat(chr(10), 4) || raw_content, chr(10))], chr(10)), '\\[[^|\\]]+\\|[^|\\]]*\\|([^|\\]]+)\\]', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS body FROM v_manuals"
+    ),
+    "is_table_block": with_views(
+        f"""SELECT source_id, len(l) >= 4 AND ((len([x for x in l[1:5] if regexp_matches(x, '(?i)\\b(?:item|qty|quantity|part|description|no|number|unit|price|total)\\b')]) >= 2 AND len([x for x in l if {_NUMBER}]) >= 0.3 * len(l))
+            OR len([x for x in l if NOT regexp_matches(x, '\\s')]) >= 0.6 * len(l) OR (len(places) = 3 AND len([i for i in places if i % 3 = 2]) = 3 AND len(l) >= 6)) AS is_table
+            FROM (SELECT *, [i for i in range(0, len(l)) if regexp_matches(l[i + 1], '^[\\d.,%\\-+/ ]+$')][1:3] AS places FROM (SELECT source_id, [x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in string_split(raw_content, chr(10))] if x <> ''] AS l FROM v_sources))"""
+    ),
+}
