@@ -100,17 +100,17 @@ def _bundle(s, d):
     return bundle["devices"].join(bundle["families"].select("family_id", "name"), "family_id").select("model_id", "family_id", "name", "model_name")
 
 
-def _events(s, d):
+def _events(s, d, files_a_trigger=2):
     """The status events as a stream of files that Spark has written."""
     path = _folder(s) + "/events"
     rows = view(s, d, "v_job_events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartition(4, "job_id").write.parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def _streamed(make, mode):
+def _streamed(make, mode, files_a_trigger=2):
     def run(s, d):
-        return J.run_to_table(make(_events(s, d)), f"stream_{uuid.uuid4().hex}", _folder(s) + "/checkpoint", mode)
+        return J.run_to_table(make(_events(s, d, files_a_trigger)), f"stream_{uuid.uuid4().hex}", _folder(s) + "/checkpoint", mode)
 
     return run
 
@@ -159,7 +159,7 @@ QUERIES = {
     "read_table": lambda s, d: files.read_table(s, f"{d}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n")),
     "job_status_stream": _last,
     "batch_completion_stream": lambda s, d: _streamed(J.batch_completion_stream, "update")(s, d).select("batch_id").distinct(),
-    "stalled_jobs_stream": _streamed(lambda e: J.stalled_jobs_stream(e, "2 hours", "60 days"), "append"),
+    "stalled_jobs_stream": _streamed(lambda e: J.stalled_jobs_stream(e, "2 hours", "1 hour"), "append", 100),
     "trend_stream": _streamed(lambda e: J.trend_stream(e, "1 day", "1 day"), "complete"),
     "dedupe_stream": lambda s, d: _streamed(lambda e: J.dedupe_stream(e.select("job_id", "ts"), "job_id"), "append")(s, d).select("job_id"),
     "auto_chunk_stream": _auto,
@@ -213,6 +213,11 @@ ORACLES = {
     "read_guide_bundle": with_views("SELECT CAST(model_id AS VARCHAR) AS model_id, family_id, family_name AS name, title AS model_name FROM v_models WHERE model_id <= 500"),
     "read_table": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "batch_completion_stream": with_views("SELECT DISTINCT batch_id FROM v_job_events"),
+    "stalled_jobs_stream": with_views(
+        """SELECT job_id, status, events, stalled_at FROM (SELECT job_id, session, arg_max(status, ts) AS status, count(*) AS events, max(ts) + INTERVAL 2 HOUR AS stalled_at
+           FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM v_job_events))
+           GROUP BY 1, 2) WHERE status NOT IN ('completed', 'failed') AND stalled_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_job_events)"""
+    ),
     "trend_stream": with_views("SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM v_job_events GROUP BY 1, 2"),
     "dedupe_stream": with_views("SELECT DISTINCT job_id FROM v_job_events"),
     "assemble_responses": with_views("SELECT message_id AS stream_id, content || ' ' AS content, len(string_split(content, ' ')) AS tokens, (len(string_split(content, ' ')) - 1) * 1000000 AS duration_us, is_stopped FROM v_messages WHERE role = 'assistant'"),
