@@ -27,6 +27,20 @@ def _sections(s, d):
     return C.light_sections(view(s, d, "v_manuals"))
 
 
+def _line_sections(s, d):
+    """Each line that isn't blank as an unnamed section."""
+    rows = L.lines_of(view(s, d, "v_sources"), id_col="source_id")
+    return rows.select("doc_id", F.col("line_no").alias("section_no"), F.lit(None).cast("string").alias("heading"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("content")).filter("content <> ''")
+
+
+def _digest(sections, rule):
+    return lambda s, d: C.pack(sections(s, d), rule).select("doc_id", "chunk_index", F.md5("content").alias("content"))
+
+
+def _whole(s, d):
+    return view(s, d, "v_manuals").select("doc_id", F.lit(0).alias("section_no"), F.lit("Manual").alias("heading"), F.col("raw_content").alias("content"))
+
+
 def _packed(*rules):
     return lambda s, d: C.pack(_sections(s, d), *rules)
 
@@ -85,12 +99,12 @@ QUERIES = {
     "merge_tables_into_pages": _pages,
     "replace_image_markers": _marked,
     "paragraph_groups": lambda s, d: C.paragraph_groups(view(s, d, "v_manuals"), 4, "raw_content"),
-    "split_oversized": _packed(C.split_oversized),
+    "split_oversized": _digest(_whole, C.split_oversized),
     "merge_small": _packed(C.merge_small),
     "pack_sentences": _packed(C.pack_sentences),
-    "merge_small_into_previous": _packed(C.merge_small_into_previous),
-    "combine_small_sections": _packed(C.combine_small_sections),
-    "segment_steps": _packed(C.segment_steps),
+    "merge_small_into_previous": _digest(_line_sections, C.merge_small_into_previous),
+    "combine_small_sections": _digest(_line_sections, C.combine_small_sections),
+    "segment_steps": _digest(_line_sections, C.segment_steps),
     "slice_tokens": lambda s, d: C.slice_tokens(view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("title").alias("heading"), F.col("raw_content").alias("content"))),
     "overlap_chunks": lambda s, d: C.overlap_chunks(_packed(C.split_oversized)(s, d)),
     "step_overlap_segments": lambda s, d: C.step_overlap_segments(_items(s, d)),
@@ -230,3 +244,24 @@ ORACLES |= {
         "marks AS (SELECT doc_id, page, line_no, mark, CASE WHEN mark THEN count(CASE WHEN mark THEN 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 END AS n FROM (SELECT doc_id, line_no % 2 AS page, line_no, line_no % 3 = 0 AS mark FROM lines WHERE line_no < 12))",
     ),
 }
+
+_UNITS = """units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, content, len([x for x in regexp_split_to_array(content, '\\s+') if x <> '']) AS n FROM
+  (SELECT doc_id, i, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id AS doc_id, string_split(raw_content, chr(10)) AS l FROM v_sources))) WHERE content <> '')"""
+_PARTS = """units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, content, length(content) // 4 AS n FROM
+  (SELECT doc_id, i, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS content FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(raw_content, '\\n\\s*\\n') AS l FROM v_manuals WHERE length(raw_content) // 4 > 700))) WHERE content <> '')"""
+
+
+def _greedy(joins: str, cost: str = "u.n") -> str:
+    """The greedy fold: a unit joins the chunk before it where ``joins`` holds for the chunk's cost ``c.size``."""
+    return f"""packed AS ( /* recursive */ SELECT doc_id, i, 0 AS chunk, {cost} AS size, 1 AS steps FROM units u WHERE i = 1
+      UNION ALL SELECT u.doc_id, u.i, CASE WHEN {joins} THEN c.chunk ELSE c.chunk + 1 END, CASE WHEN {joins} THEN c.size + {cost} ELSE {cost} END, CASE WHEN {joins} THEN c.steps + 1 ELSE 1 END
+      FROM packed c JOIN units u ON u.doc_id = c.doc_id AND u.i = c.i + 1)"""
+
+
+_CHUNKS = "SELECT doc_id, CAST(chunk AS INT) AS chunk_index, md5(string_agg(content, chr(10) || chr(10) ORDER BY i)) AS content FROM packed JOIN units USING (doc_id, i) GROUP BY 1, 2"
+ORACLES |= {
+    "combine_small_sections": with_views(_CHUNKS, _UNITS, _greedy("c.size < 180 OR c.size + u.n <= 450")),
+    "merge_small_into_previous": with_views(_CHUNKS, _UNITS, _greedy("u.n * 13 // 10 < 80 AND c.size * 13 // 10 + u.n * 13 // 10 <= 600")),
+    "segment_steps": with_views(_CHUNKS, _UNITS, _greedy("c.size + length(u.content) + 22 <= 1200", "(length(u.content) + 22)")),
+    "split_oversized": with_views(_CHUNKS + " UNION ALL SELECT doc_id, 0, md5(raw_content) FROM v_manuals WHERE length(raw_content) // 4 <= 700", _PARTS, _greedy("c.size + u.n <= 700")),
+}

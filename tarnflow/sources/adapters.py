@@ -104,4 +104,5 @@ def with_views(body: str, *more: str) -> str:
     """DuckDB SQL: ``body`` with the views that it names (and ``more`` common table expressions) before it."""
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", body + " ".join(more))]
     parts = [f"{n} AS ({VIEWS[n]})" for n in names] + list(more)
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    recursive = "RECURSIVE " if any("/* recursive */" in m for m in more) else ""
+    return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
