@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark):
 def test_sparse_groups_shrink(spark):
     """With the same evidence, a document on a host of bad documents scores lower, one alone on its host near the whole."""
     junk, fine = "&&& ### $$$ %%% " * 40, "plain words that say something of use about pumps and valves in a calm way " * 6
-    rows = [(i, junk if i % 10 else fine, "bad.example", "x") for i in range(100)] + [(1000 + i, fine if i % 10 else junk, "good.example", "x") for i in range(100)] + [(5000, fine, "lone.example", None), (5001, None, None, None), (5001, None, None, None)]
+    rows = [(i, junk if i % 10 else fine, "bad.example", "x") for i in range(100)] + [(1000 + i, fine if i % 10 else junk, "good.example", "x") for i in range(100)] + [(5000, fine, "lone.example", None), (5001, None, None, None), (5001, None, None, None), (5002, "word " * 60_000, "lone.example", "x"), (None, "", "", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("p", F.lit(1))
     labels = spark.createDataFrame([(i, 0 if i % 10 else 1) for i in range(60)] + [(1000 + i, 1 if i % 10 else 0) for i in range(60)], "doc_id long, quality int")
     got = {r.doc_id: r for r in site_quality.score_documents(docs, labels).collect()}
