@@ -31,6 +31,8 @@ from .shingles import mix, shingle_sets
 
 #: Ids that a broadcast may hold: 8 bytes each, 16 MB at most. More are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: A class with more copies is joined by a broadcast of the few such classes, so that no task gets all its copies.
+HOT_COPIES, BROADCAST_CLASSES = 1_000, 200_000
 #: Members and bytes of text of a block; a task holds two.
 BLOCK_MEMBERS, BLOCK_TEXT = 512, 8_000_000
 
@@ -209,15 +211,25 @@ def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -
     return nodes.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
+def _members(known: DataFrame, classes: DataFrame, prints: list[str]) -> DataFrame:
+    """Each document with the representative of its class."""
+    hot = classes.filter(F.col("copies") > HOT_COPIES).select(*prints, F.col("rep").alias("hot"))
+    if not is_small(hot, BROADCAST_CLASSES):
+        return known.join(classes, prints).select("doc_id", "rep")
+    marked = known.join(F.broadcast(hot), prints, "left")
+    rest = marked.filter("hot IS NULL").drop("hot").join(classes, prints).select("doc_id", "rep")
+    return marked.filter("hot IS NOT NULL").select("doc_id", F.col("hot").alias("rep")).unionByName(rest)
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` -> ``(doc_id, n_shingles, component_id, kept)`` with a row for each input row."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     signed = materialize(map_arrow(source, _signatures(k, t, m), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, bands array<long>"), "signatures")
     prints = ["n_shingles", "print_a", "print_b"]
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(known.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints]).select("doc_id", "keys", "bands")
-    member = known.select("doc_id", *prints).join(classes, prints).select("doc_id", "rep").distinct()
+    member = _members(known.select("doc_id", *prints), classes, prints).distinct()
     # One id with several texts belongs to several classes: it links them.
     if not known.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).filter("low < high").isEmpty():
         found = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)

@@ -86,6 +86,13 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9, 10, 11, 12, 14]
 
 
+def test_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_COPIES", 3)
+    rows = [(i, "a b c d e f" if i % 2 else f"own words of {i} here") for i in range(20)] + [(30 + i, "x y z") for i in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicate_groups(docs).collect() == []
