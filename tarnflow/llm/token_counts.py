@@ -27,7 +27,7 @@ from .common import map_arrow, scratch_dir, table, text_bytes
 
 END = 0
 #: Ids of a block, and documents of a file at most (a file is one value in a task's memory).
-BLOCK_IDS, FILE_DOCUMENTS = 1 << 20, 20_000
+BLOCK_IDS, FILE_DOCUMENTS = 1 << 20, 2_000
 
 
 def _rows_of_ids(ranks_path: str, pattern: str):
