@@ -1,10 +1,10 @@
 """Operator 8: quality rules whose votes a label model weighs (weak supervision). Native: DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0); most only know one kind of fault and abstain elsewhere, since nine
-faults' absence would outvote any one fault. Two classes are fitted to the counts of vote patterns by
-expectation-maximisation: for each rule and class the share of its votes, and the share of good documents. The counts
-come from all documents; there are at most 3 ** 9 patterns, so the fit reads a table of proven size. A document's
-posterior of being good then replaces the demand that all rules pass. Two base rules stay absolute: fewer than 50 words,
+faults' absence would outvote any one fault. The label model weighs a rule by how far others confirm its bad votes:
+documents with two or more faults anchor the bad class, those without any the good one, and a rule that often objects
+alone is trusted less. The counts come from all documents; there are at most 3 ** 9 patterns, so the fit reads a table of
+proven size. A document's posterior of being good then replaces the demand that all rules pass. Two base rules stay absolute: fewer than 50 words,
 or more than half of the words in repeated three-word windows.
 
 Defined results: a null text has no words; it, an empty and a white-space text fail the base rules; repeated rows give
@@ -25,10 +25,10 @@ from .common import SPACE_CLASS, SPACES, is_small, materialize, table
 BROADCAST_ROWS = 2_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 RULES = ["long_enough", "few_symbols", "new_lines", "few_repeats", "lower_case", "varied_words", "calm", "word_length", "letters"]
-ROUNDS, SMOOTHING, THRESHOLD = 40, 1.0, 0.5
-#: The largest share of good documents that a rule is taken to fail: without it, faults that only one rule knows would
-#: pass for a second kind of good document.
-FALSE_ALARMS = 0.001
+SMOOTHING, THRESHOLD = 1.0, 0.5
+#: Confirmed bad votes that each rule is credited with beforehand, as a share of all documents. Faults that only one rule
+#: knows are never confirmed by another, so a rule loses its trust only when it objects alone to more documents than that.
+BELIEF = 0.1
 
 
 def bound(value: Column, use) -> Column:
@@ -132,26 +132,25 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[float]]]:
     """Vote patterns with counts -> the prior log-odds of good, and each rule's log-odds for a vote of -1, 0 and 1.
 
-    The first guess holds a document with a bad vote for bad, the more so the more there are; rules that many good
-    documents fail lose their weight in the rounds that follow. A rule is never taken to be worse than chance: a bad
-    vote doesn't count for good, nor a good vote for bad.
+    The odds that a document with one lone bad vote is good are the rule's lone bad votes over its confirmed ones and
+    those it is credited with. An abstention says nothing, a good vote doesn't clear a document of a fault, and a rule is
+    never taken to be worse than chance: a bad vote doesn't count for good, nor a good vote for bad.
     """
-    posterior = [(0.95, 0.3)[-1 in v] * 0.2 ** max(0, v.count(-1) - 1) for v, _ in patterns]
-    prior, weights = 0.0, [[0.0] * 3 for _ in RULES]
-    for _ in range(ROUNDS):
-        good = sum(p * n for p, (_, n) in zip(posterior, patterns, strict=True)) + SMOOTHING
-        bad = sum((1 - p) * n for p, (_, n) in zip(posterior, patterns, strict=True)) + SMOOTHING
-        prior = math.log(good / bad)
-        for r in range(len(RULES)):
-            counts = [[SMOOTHING] * 3, [SMOOTHING] * 3]
-            for p, (v, n) in zip(posterior, patterns, strict=True):
-                counts[0][v[r] + 1] += p * n
-                counts[1][v[r] + 1] += (1 - p) * n
-            rates = [[x / sum(c) for x in c] for c in counts]
-            rates[0][0] = min(rates[0][0], FALSE_ALARMS)
-            weights[r] = [math.log(g / b) for g, b in zip(*rates, strict=True)]
-            weights[r] = [min(0.0, weights[r][0]), weights[r][1], max(0.0, weights[r][2])]
-        posterior = [1 / (1 + math.exp(-max(-30.0, min(30.0, prior + sum(w[x + 1] for w, x in zip(weights, v, strict=True)))))) for v, _ in patterns]
+    credit = BELIEF * sum(n for _, n in patterns) + SMOOTHING
+    quiet = [(v, n) for v, n in patterns if -1 not in v]
+    many = [(v, n) for v, n in patterns if v.count(-1) > 1]
+    clean, faulty = sum(n for _, n in quiet), sum(n for _, n in many)
+    cast = lambda rows, r, vote: sum(n for v, n in rows if v[r] == vote)
+    unseen, good, lone = 1.0, [], []
+    for r in range(len(RULES)):
+        confirmed = cast(many, r, -1)
+        unseen *= 1 - confirmed / (faulty + SMOOTHING)
+        lone.append(math.log((cast([(v, n) for v, n in patterns if v.count(-1) == 1], r, -1) + SMOOTHING) / (confirmed + credit + SMOOTHING)))
+        usual = (cast(quiet, r, 1) + SMOOTHING) / (clean + 2 * SMOOTHING)
+        good.append(max(0.0, math.log(usual * (faulty + credit) / (cast(many, r, 1) + usual * credit))))
+    # Faulty documents that no rule would object to; a document without any bad vote is kept however many they are.
+    prior = max(0.0, math.log((clean + SMOOTHING) / (faulty * unseen + SMOOTHING)))
+    weights = [[min(0.0, x - prior - (sum(good) if x < 0 else 0.0)), 0.0, g] for x, g in zip(lone, good, strict=True)]
     return prior, weights
 
 

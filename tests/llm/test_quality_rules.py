@@ -67,3 +67,25 @@ def test_label_model_weighs_rules_by_agreement():
     assert odds(quiet) > 2
     assert all(odds(v) < 0 for v, n in patterns[1:5])
     assert weights[0] == [0.0, weights[0][1], 0.0] or abs(weights[0][1]) < 0.1
+
+
+def test_a_rule_loses_trust_by_objecting_alone_to_many():
+    """The more documents one rule alone objects to, the less its vote weighs: junk of a rare kind goes, a large source stays."""
+    one = lambda *at: (1, *[-1 if i in at else 0 for i in range(1, 9)])
+    corpus = [(one(), 80_000), ((0,) * 9, 9000), (one(1, 8), 2000), (one(3, 5), 3000), (one(3, 4, 6), 2000), ((0, 0, 0, -1, 0, -1, 0, 0, 0), 700), (one(2, 3), 300)]
+
+    def odds(v, more):
+        prior, weights = quality_rules.fit(corpus + more)
+        return prior + sum(w[x + 1] for w, x in zip(weights, v, strict=True))
+
+    counts = [300, 1000, 10_000, 30_000, 60_000]
+    for rule in (2, 7):
+        found = [odds(one(rule), [(one(rule), n)]) for n in counts]
+        assert found == sorted(found)
+        assert max(found[:2]) < 0 < min(found[3:])
+        assert odds((0,) * 9, [(one(rule), 30_000)]) > 0 and odds(one(), [(one(rule), 30_000)]) > 0
+        assert all(odds(v, [(one(rule), 30_000)]) < 0 for v, _ in corpus if -1 in v)
+        assert odds(one(4), [(one(rule), 30_000), (one(4), 300)]) < 0
+    junk = [((0,) * 9, 100), (one(1, 8), 5000), (one(3, 5), 5000)]
+    prior, _ = quality_rules.fit(junk)
+    assert prior >= 0  # many faulty documents don't condemn those that no rule objects to
