@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Conversations with the same opening are paired with their next within so many ids, so that no common opening gathers in one task.
+#: Conversations with the same opening are ordered within so many ids, then the ends of so many such blocks, and so on: no
+#: common opening gathers in one task.
 SIBLING_IDS = 1_000
 ANSWERS = "assistant"
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -77,11 +78,36 @@ def stale_answer_pairs(conversations: DataFrame) -> DataFrame:
     return ended.select(F.concat(F.lit("stale:"), F.col("conv_id").cast("string")).alias("pair_id"), "chosen", F.concat(F.slice("chosen", 1, F.size("chosen") - 1), F.array(answer)).alias("rejected"))
 
 
+def _following(opening: DataFrame) -> DataFrame:
+    """``opening(conv_id, opening)`` -> ``(conv_id, other)``: the next id of the same opening, wherever it lies.
+
+    Each round links the neighbours inside blocks and leaves the first and last id of a block to the next, whose blocks
+    hold ``SIBLING_IDS`` of these; a window sees at most so many rows (twice that in the last round), however often an opening
+    occurs.
+    """
+    ends = opening.agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    rows = opening.select("opening", F.col("conv_id").alias("place"), F.col("conv_id").alias("first"), F.col("conv_id").alias("last"))
+    found = None
+    while True:
+        low, high = low // SIBLING_IDS, high // SIBLING_IDS
+        rows = rows.withColumn("place", F.expr(f"place div {SIBLING_IDS}L - CASE WHEN place % {SIBLING_IDS}L < 0 THEN 1 ELSE 0 END"))
+        done = low >= -1 and high <= 0
+        keys = ["opening"] if done else ["opening", "place"]
+        linked = rows.withColumn("other", F.lead("first").over(W.partitionBy(*keys).orderBy("first")))
+        if not done:
+            linked = materialize(linked, "linked")
+        pairs = linked.filter("other IS NOT NULL").select(F.col("last").alias("conv_id"), "other")
+        found = pairs if found is None else found.unionByName(pairs)
+        if done:
+            return found
+        rows = linked.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def sibling_pairs(conversations: DataFrame) -> DataFrame:
-    """Each conversation against the next one, by id, that has the same first turn, within blocks of ``SIBLING_IDS`` ids."""
-    opening = conversations.select("conv_id", F.floor(F.col("conv_id") / SIBLING_IDS).alias("block"), F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("opening"))
-    following = F.lead("conv_id").over(W.partitionBy("opening", "block").orderBy("conv_id"))
-    pairs = opening.select("conv_id", following.alias("other")).filter("other IS NOT NULL")
+    """Each conversation against the next one, by id, that has the same first turn."""
+    opening = conversations.select("conv_id", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("opening"))
+    pairs = _following(opening)
     chosen = pairs.join(conversations.withColumnRenamed("turns", "chosen"), "conv_id")
     both = chosen.join(conversations.select(F.col("conv_id").alias("other"), F.col("turns").alias("rejected")), "other")
     both = both.filter((F.col("chosen")[0]["role"] == F.col("rejected")[0]["role"]) & (F.col("chosen")[0]["text"] == F.col("rejected")[0]["text"]))

@@ -35,3 +35,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     conversations = preferences.conversation_arrays(empty)
     assert preferences.format_preferences(preferences.stale_answer_pairs(conversations)).collect() == []
+
+
+def test_siblings_in_other_blocks(spark):
+    ids = {
+        "sparse": [5, 1005, 40_000, 7_000_000, 7_000_001, 9_000_000_000], "edge": [998, 999, 1000, 1001, 1999, 2000, 999_999, 1_000_000],
+        "signed": [-(2**63), -5_000_000, -1001, -1000, -999, -1, 0, 1, 2**63 - 1], "hashed": [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 + 7 for i in range(1, 60)], "alone": [77_777],
+    }
+    ids = {k: [x for x in v if not (k != "signed" and x in ids["signed"])] for k, v in ids.items()}
+    turns = [(x, n, r, t) for k, v in ids.items() for x in v for n, r, t in ((0, "user", k), (1, "assistant", f"answer {x}"))]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    got = [r.pair_id for r in preferences.sibling_pairs(preferences.conversation_arrays(table)).collect()]
+    want = [f"sibling:{a}:{b}" for v in ids.values() for a, b in zip(sorted(v), sorted(v)[1:], strict=False)]
+    assert sorted(got) == sorted(want)
