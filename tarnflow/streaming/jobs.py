@@ -88,6 +88,16 @@ def auto_chunk_stream(documents: DataFrame, target: str, checkpoint: str, mode:
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows: for bounded inputs."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns its rows: for bounded inputs.
+
+    Rows go from the executors to Parquet next to ``checkpoint``, a folder for each trigger, so one that runs again
+    replaces its own rows; in ``complete`` mode the newest trigger's rows stand.
+    """
+    spark, target = stream.sparkSession, f"{checkpoint}-{name}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{target}/rows=none")
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/rows={'all' if mode == 'complete' else epoch}")
+
+    stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{target}/*")
