@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task holds in numpy form at once; a longer single text is a block of its own.
 BLOCK_BYTES = 2_000_000
 
+#: Rows of two numbers that a broadcast may hold: 16 bytes each, 32 MB at most. More are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``, as SQL string and as Java character class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -77,3 +80,22 @@ def text_bytes(name: str = "text") -> Column:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed where ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def drop_rows(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text are those of a row of ``judged(doc_id, text_hash)``; null ids and texts match."""
+    own_id, own_hash = fresh(docs, "__id", "__hash")
+    out = materialize(judged.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "dropped")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col(own_hash))
+    return docs.join(F.broadcast(out) if is_small(out, BROADCAST_ROWS) else out, same, "left_anti")

@@ -1,34 +1,33 @@
 """Operator 8: quality rules whose votes a label model weighs (weak supervision). Native: DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0); most only know one kind of fault and abstain elsewhere, since nine
-faults' absence would outvote any one fault. The label model weighs a rule by how far others confirm its bad votes:
-documents with two or more faults anchor the bad class, those without any the good one, and a rule that often objects
-alone is trusted less. The counts come from all documents; there are at most 3 ** 9 patterns, so the fit reads a table of
-proven size. A document's posterior of being good then replaces the demand that all rules pass. Two base rules stay absolute: fewer than 50 words,
-or more than half of the words in repeated three-word windows.
+Each rule votes good (1), bad (-1) or abstains (0, between its two thresholds). The label model is a mixture of good and
+bad documents in which rules vote independently; expectation-maximisation estimates from all documents' votes how often
+good and bad ones get each vote of each rule, that is the rules' accuracies, starting from weak priors. A document's
+posterior of being good then replaces the demand that all rules pass: a lone bad vote of a rule that others don't confirm
+is outvoted, and doubtful votes of several good rules reject a text that no rule calls bad. The counts are those of vote
+patterns, at most 3 ** 9, so the fit reads a table of proven size. Documents of fewer than ``MIN_WORDS`` words don't take
+part in it. Two base rules stay absolute: fewer than 50 words, or more than half of the words in repeated three-word windows.
 
 Defined results: a null text has no words; it, an empty and a white-space text fail the base rules; repeated rows give
 repeated results; an empty table gives an empty result; a null doc_id is carried; further columns are ignored by
-``score_documents`` and returned by ``keep_good``.
+``score_documents`` and returned by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, is_small, materialize, table
+from .common import SPACE_CLASS, SPACES, drop_rows, materialize, table
 
-#: Rejected rows that a broadcast may hold: 16 bytes each, 32 MB at most. More are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+MIN_WORDS, MAX_REPEAT_PERCENT, THRESHOLD = 50, 50, 0.5
 RULES = ["long_enough", "few_symbols", "new_lines", "few_repeats", "lower_case", "varied_words", "calm", "word_length", "letters"]
-SMOOTHING, THRESHOLD = 1.0, 0.5
-#: Confirmed bad votes that each rule is credited with beforehand, as a share of all documents. Faults that only one rule
-#: knows are never confirmed by another, so a rule loses its trust only when it objects alone to more documents than that.
-BELIEF = 0.1
+#: Priors of the label model: for bad and for good documents the shares of bad votes, abstentions and good votes that each
+#: rule is taken to have, and the shares of bad and good documents; all count as ``PRIOR_COUNT`` documents.
+PRIOR_VOTES, PRIOR_CLASSES, PRIOR_COUNT = ((0.2, 0.1, 0.7), (0.01, 0.05, 0.94)), (0.1, 0.9), 50.0
+#: Rounds of expectation-maximisation at most, and the change of any posterior that ends them.
+ROUNDS, TOLERANCE = 500, 1e-10
 
 
 def bound(value: Column, use) -> Column:
@@ -44,25 +43,31 @@ def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more.
 
     Windows are hashed to the upper bits of a number whose lower bits are their place; sorted, equal windows are
-    neighbours. Each match is confirmed on the words, and the windows' places give the words they cover.
+    neighbours. Each match is confirmed on the words. Where two different windows share those bits, which could part two
+    equal ones, the text's windows are sorted by whole hash and words instead. The windows' places give the words they cover.
     """
 
     def of(w: Column) -> Column:
         low = F.when(F.size(w) < 1 << 20, F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
+        places = F.sequence(F.lit(0), F.size(w) - 3)
+        hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
         def same(a: Column, b: Column) -> Column:
             return F.coalesce((F.get(w, a) == F.get(w, b)) & (F.get(w, a + 1) == F.get(w, b + 1)) & (F.get(w, a + 2) == F.get(w, b + 2)), F.lit(False))
 
+        def repeated(rows: Column, alike, place) -> Column:
+            """The places of ``rows``, which are sorted, that are ``alike`` to a neighbour."""
+            return F.transform(F.filter(rows, lambda x, k: alike(x, F.get(rows, k + 1)) | F.when(k > 0, alike(x, F.get(rows, k - 1))).otherwise(F.lit(False))), place)
+
         def found(bits: Column) -> Column:
-            code = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(bits)).bitwiseOR(i.cast("long"))
+            code = lambda i: hashed(i).bitwiseAND(F.bitwise_not(bits)).bitwiseOR(i.cast("long"))
             place = lambda x: x.bitwiseAND(bits).cast("int")
             near = lambda x, y: F.coalesce(x.bitwiseXOR(y) <= bits, F.lit(False)) & (x.bitwiseXOR(y) >= 0)
             pair = lambda x, y: F.when(near(x, y), same(place(x), place(y))).otherwise(F.lit(False))
-
-            def pick(codes: Column) -> Column:
-                return F.transform(F.filter(codes, lambda x, k: pair(x, F.get(codes, k + 1)) | F.when(k > 0, pair(x, F.get(codes, k - 1))).otherwise(F.lit(False))), lambda x: place(x))
-
-            return bound(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), code)), pick)
+            clash = lambda codes: F.exists(F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda x, y: near(x, y) & ~pair(x, y)), lambda c: c)
+            exact = lambda rows: repeated(rows, lambda x, y: F.coalesce((x["h"] == y["h"]) & same(x["i"], y["i"]), F.lit(False)), lambda x: x["i"])
+            sorted_rows = F.sort_array(F.transform(places, lambda i: F.struct(hashed(i).alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
+            return bound(F.sort_array(F.transform(places, code)), lambda codes: F.when(clash(codes), bound(sorted_rows, exact)).otherwise(repeated(codes, pair, place)))
 
         def covered(places: Column) -> Column:
             step = lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))
@@ -98,24 +103,22 @@ def signals(text: Column) -> dict[str, Column]:
 
 def votes() -> list[Column]:
     """One vote for each of ``RULES``, from the columns of ``signals``."""
-    words, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+    words, chars, letters = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_letters"), F.lit(1))
 
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        against = F.when(words == 0, F.lit(0)).when(bad, F.lit(-1))
-        return against.otherwise(F.lit(0)) if good is None else against.when(good, F.lit(1)).otherwise(F.lit(0))
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(words == 0, F.lit(0)).when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
-    variety = F.col("n_distinct_words") / F.sqrt(words)
-    length = F.col("word_chars") / words
+    variety, length = F.col("n_distinct_words") / F.sqrt(words), F.col("word_chars") / words
     return [
-        vote(words < 20, words >= 100),
-        vote(F.col("n_symbols") > 0.03 * chars),
-        vote(F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
-        vote(F.col("n_repeat_words") > 0.3 * words),
-        vote(F.col("n_upper") > 0.3 * F.col("n_letters")),
-        vote((variety < 3) & (words >= 50)),
-        vote(F.col("n_calls") > 0.03 * chars),
-        vote((length < 2.5) | (length > 15)),
-        vote(F.col("n_letters") < 0.7 * chars),
+        vote(words < 60, words >= 100),
+        vote(F.col("n_symbols") > 0.03 * chars, F.col("n_symbols") < 0.01 * chars),
+        vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), F.col("n_dup_lines") < 0.1 * F.col("n_lines")),
+        vote(F.col("n_repeat_words") > 0.3 * words, F.col("n_repeat_words") < 0.15 * words),
+        vote(F.col("n_upper") > 0.3 * letters, F.col("n_upper") < 0.1 * letters),
+        vote(variety < 3.5, variety >= 5),
+        vote(F.col("n_calls") > 0.03 * chars, F.col("n_calls") < 0.01 * chars),
+        vote((length < 4) | (length > 7), length.between(4.3, 6.5)),
+        vote(F.col("n_letters") < 0.7 * chars, F.col("n_letters") >= 0.9 * chars),
     ]
 
 
@@ -130,38 +133,36 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[float]]]:
-    """Vote patterns with counts -> the prior log-odds of good, and each rule's log-odds for a vote of -1, 0 and 1.
+    """Vote patterns with counts -> the log-odds of good before any vote, and each rule's log-odds for a vote of -1, 0 and 1.
 
-    The odds that a document with one lone bad vote is good are the rule's lone bad votes over its confirmed ones and
-    those it is credited with. An abstention says nothing, a good vote doesn't clear a document of a fault, and a rule is
-    never taken to be worse than chance: a bad vote doesn't count for good, nor a good vote for bad.
+    Expectation-maximisation: the posteriors of the patterns weigh their counts, which give the shares of each vote among
+    bad and good documents, which give the posteriors. It starts from the number of bad votes.
     """
-    credit = BELIEF * sum(n for _, n in patterns) + SMOOTHING
-    quiet = [(v, n) for v, n in patterns if -1 not in v]
-    many = [(v, n) for v, n in patterns if v.count(-1) > 1]
-    clean, faulty = sum(n for _, n in quiet), sum(n for _, n in many)
-    cast = lambda rows, r, vote: sum(n for v, n in rows if v[r] == vote)
-    unseen, good, lone = 1.0, [], []
-    for r in range(len(RULES)):
-        confirmed = cast(many, r, -1)
-        unseen *= 1 - confirmed / (faulty + SMOOTHING)
-        lone.append(math.log((cast([(v, n) for v, n in patterns if v.count(-1) == 1], r, -1) + SMOOTHING) / (confirmed + credit + SMOOTHING)))
-        usual = (cast(quiet, r, 1) + SMOOTHING) / (clean + 2 * SMOOTHING)
-        good.append(max(0.0, math.log(usual * (faulty + credit) / (cast(many, r, 1) + usual * credit))))
-    # Faulty documents that no rule would object to; a document without any bad vote is kept however many they are.
-    prior = max(0.0, math.log((clean + SMOOTHING) / (faulty * unseen + SMOOTHING)))
-    weights = [[min(0.0, x - prior - (sum(good) if x < 0 else 0.0)), 0.0, g] for x, g in zip(lone, good, strict=True)]
-    return prior, weights
+    prior = np.array(PRIOR_VOTES)
+    kinds = np.array([v for v, _ in patterns], int).reshape(len(patterns), len(RULES)) + 1
+    counts = np.array([n for _, n in patterns], float)
+    is_vote = kinds[:, :, None] == np.arange(3)
+    good = 1 / (1 + np.exp(3.0 * (kinds == 0).sum(axis=1) - 2.0))
+    for _ in range(ROUNDS):
+        weight = np.stack([counts * (1 - good), counts * good])
+        share = np.einsum("cp,prv->crv", weight, is_vote) + PRIOR_COUNT * prior[:, None, :]
+        share /= share.sum(axis=2, keepdims=True)
+        classes = weight.sum(axis=1) + PRIOR_COUNT * np.array(PRIOR_CLASSES)
+        start, odds = np.log(classes[1] / classes[0]), np.log(share[1] / share[0])
+        new = 1 / (1 + np.exp(-np.clip(start + (is_vote * odds).sum(axis=(1, 2)), -700, 700)))
+        change, good = np.abs(new - good).max(initial=0.0), new
+        if change < TOLERANCE:
+            break
+    return float(start), odds.tolist()
 
 
 def score(measured: DataFrame) -> DataFrame:
     """Fits the label model to all of ``measured`` (materialised) and adds ``posterior`` and ``kept``."""
-    counts = measured.filter("n_words > 0").groupBy("votes").count().collect()  # at most 3 ** 9 rows
-    prior, weights = fit(sorted((tuple(r["votes"]), r["count"]) for r in counts))
-    odds = F.lit(prior)
+    counts = measured.filter(F.col("n_words") >= MIN_WORDS).groupBy("votes").count().collect()  # at most 3 ** 9 rows
+    start, weights = fit(sorted((tuple(r["votes"]), r["count"]) for r in counts))
+    odds = F.lit(start)
     for i, w in enumerate(weights):
-        vote = F.col("votes")[i]
-        odds = odds + F.when(vote < 0, F.lit(w[0])).when(vote > 0, F.lit(w[2])).otherwise(F.lit(w[1]))
+        odds = odds + F.array(*map(F.lit, w))[F.col("votes")[i] + 1]
     scored = measured.withColumn("posterior", F.lit(1.0) / (1 + F.exp(-odds)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
 
@@ -173,10 +174,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``score_documents`` keeps, with all their columns."""
-    bad = score_documents(docs).filter("NOT kept").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
-    if is_small(bad, BROADCAST_ROWS):
-        bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__bad_hash")), "left_anti")
+    return drop_rows(docs, score_documents(docs).filter("NOT kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
