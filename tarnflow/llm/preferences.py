@@ -21,7 +21,7 @@ from .common import materialize, table
 #: Conversations with the same opening are ordered within so many ids, then the ends of so many such blocks, and so on: no
 #: common opening gathers in one task.
 SIBLING_IDS = 1_000
-ANSWERS = "assistant"
+ASKS, ANSWERS = "user", "assistant"
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -105,22 +105,23 @@ def _following(opening: DataFrame) -> DataFrame:
 
 
 def sibling_pairs(conversations: DataFrame) -> DataFrame:
-    """Each conversation against the next one, by id, that has the same first turn."""
-    opening = conversations.select("conv_id", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("opening"))
+    """Each conversation against the next one, by id, that has the same turns up to its first question."""
+    asked = F.array_position(F.transform("turns", lambda t: t["role"]), ASKS).cast("int")
+    opening = conversations.filter(asked > 0).select("conv_id", F.xxhash64(F.slice("turns", F.lit(1), asked)).alias("opening"))
     pairs = _following(opening)
-    chosen = pairs.join(conversations.withColumnRenamed("turns", "chosen"), "conv_id")
+    chosen = pairs.join(conversations.select("conv_id", F.col("turns").alias("chosen"), asked.alias("asked")), "conv_id")
     both = chosen.join(conversations.select(F.col("conv_id").alias("other"), F.col("turns").alias("rejected")), "other")
-    both = both.filter((F.col("chosen")[0]["role"] == F.col("rejected")[0]["role"]) & (F.col("chosen")[0]["text"] == F.col("rejected")[0]["text"]))
+    both = both.filter(F.slice("chosen", F.lit(1), F.col("asked")) == F.slice("rejected", F.lit(1), F.col("asked")))
     return both.select(F.concat_ws(":", F.lit("sibling"), F.col("conv_id").cast("string"), F.col("other").cast("string")).alias("pair_id"), "chosen", "rejected")
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference examples of all conversations: against a stale answer, and against the next with the same opening."""
+    """Preference examples of all conversations: against a stale answer, and against the next that was asked the same."""
     conversations = materialize(conversation_arrays(table(spark, sf_dir, "conversations")), "conversations")
     return format_preferences(stale_answer_pairs(conversations).unionByName(sibling_pairs(conversations)))
 
 
-_ORACLE = f"""
+_ORACLE = """
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
@@ -130,8 +131,12 @@ WITH t AS (
 ), stale AS (
   SELECT e.conv_id, e.last, coalesce((SELECT arg_max(t.text, t.pos) FROM t WHERE t.conv_id = e.conv_id AND t.role = 'assistant' AND t.pos < e.last), '') AS text
   FROM ends e
+), asked AS (
+  SELECT conv_id, min(pos) AS first FROM t WHERE role = 'user' GROUP BY conv_id
+), opening AS (
+  SELECT conv_id, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY pos) AS said FROM t JOIN asked USING (conv_id) WHERE pos <= first GROUP BY conv_id
 ), follow AS (
-  SELECT conv_id, lead(conv_id) OVER (PARTITION BY role, text, floor(conv_id / {SIBLING_IDS}.0) ORDER BY conv_id) AS other FROM t WHERE pos = 1
+  SELECT conv_id, lead(conv_id) OVER (PARTITION BY said ORDER BY conv_id) AS other FROM opening
 ), sides AS (
   SELECT 'stale:' || t.conv_id AS pair_id, 'c' AS side, pos, role, t.text AS text FROM t JOIN stale s ON t.conv_id = s.conv_id AND t.pos <= s.last
   UNION ALL

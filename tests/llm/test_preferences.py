@@ -1,3 +1,5 @@
+import random
+
 from tarnflow.llm import preferences
 from tests.oracle import assert_same
 
@@ -48,3 +50,29 @@ def test_siblings_in_other_blocks(spark):
     got = [r.pair_id for r in preferences.sibling_pairs(preferences.conversation_arrays(table)).collect()]
     want = [f"sibling:{a}:{b}" for v in ids.values() for a, b in zip(sorted(v), sorted(v)[1:], strict=False)]
     assert sorted(got) == sorted(want)
+
+
+def test_branching_conversations_against_the_sql(spark, tmp_path):
+    """Different conversations that share from one to many turns, with ids in many blocks."""
+    made = random.Random(11)
+    turns = []
+    for i in range(400):
+        tree, at = made.randrange(25), made.randrange(0, 3_000_000)
+        conversation = [("system", f"rules {tree}")] * (tree % 2) + [("user", f"question {tree}")]
+        while made.random() < 0.8:
+            conversation += [("assistant", f"answer {made.randrange(2)} to {len(conversation)}"), ("user", f"more {len(conversation)}")]
+        turns += [(at, n, r, t) for n, (r, t) in enumerate(conversation)]
+    ids = {}
+    turns = [t for t in turns if ids.setdefault((t[0], t[1]), t) is t]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).toPandas().to_parquet(tmp_path / "conversations.parquet")
+    rows = assert_same(preferences.op5_preferences(spark, str(tmp_path)), preferences.ORACLES["op5_preferences"], tmp_path)
+    siblings = [r.n_prompt_turns for r in preferences.op5_preferences(spark, str(tmp_path)).filter("pair_id LIKE 'sibling%'").collect()]
+    assert len(siblings) > 100 and len(set(siblings)) >= 5 and min(siblings) >= 1
+    assert len(rows) > len(siblings)
+
+
+def test_no_siblings(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert preferences.sibling_pairs(preferences.conversation_arrays(empty)).collect() == []
+    unasked = spark.createDataFrame([(1, 0, "system", "s"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
+    assert preferences.sibling_pairs(preferences.conversation_arrays(unasked)).collect() == []
