@@ -1,15 +1,19 @@
 """Operator 10: main text of web pages by a site style tree.
 
 Each page is read once into blocks of text, each with its style path (the tags, ids and classes of the block elements
-that hold it). The pages of a host are merged into a tree of these paths by grouped aggregation: a node's content
+that hold it). The pages of a host are merged into a tree of these paths by grouped aggregation. A branch's content
 importance is the entropy of its texts over the host's pages, its presentation importance the entropy of the child
-sequences of the element that holds it, both scaled to 0..1, and a branch is removed where their weighted sum is low.
-
-What the markup says outright goes first: elements that are menus, headers, footers, asides, forms, scripts and the
-like by tag, role, id or class are never main text, and where a page has an article or main element, text outside it is
-not either. That is needed because a host's menus and adverts may differ on every page, which entropy alone takes for
-content, and because all pages of a host may be copies of one article, which entropy alone takes for a template. Inside
-an article the tree therefore only removes branches with an id or class of their own, on hosts whose articles differ.
+sequences of the element that holds it, both scaled to 0..1. The tree also gives a branch's share of text inside links,
+its share of the host's text and its text a page. These and priors from the markup add up to its worth, and branches
+without worth are removed from each page, inside articles too.
+
+The priors: text inside an article or main element is worth most, text outside it on a page that has one nothing, since a
+host's menus and adverts may differ on every page, which entropy alone takes for content. An element whose class or id is
+wholly made of words for menus, adverts and the like (``cookie-notice``) is taken for one unless most of the host's text
+lies in it; a single such word among others (``share-price``) only lowers its worth, so links or repetition decide.
+Elements that are no text of the page by tag, role or ``hidden`` (scripts, forms, navigation ...) go outright. Where all
+pages of a host hold copies of one article, repetition inside articles says nothing and isn't counted; nor is it for a
+plain heading, paragraph or item inside an article.
 
 Defined results: a null or empty html gives the empty text and 0 characters; a null url is a host of its own; repeated
 rows each give a row; broken markup is read as browsers do in the main (implied and missing end tags); an empty table
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import is_small, map_arrow, materialize, table, text_bytes
 
-#: A branch is judged where at least so many pages have it, and removed below this importance.
-MIN_PAGES, MIN_IMPORTANCE = 8, 0.2
-#: Weight of content against presentation, and the least share of different articles on a host whose articles are judged.
-CONTENT_WEIGHT, MIN_VARIETY = 0.9, 0.5
+#: A branch's repetition counts where at least so many pages have it, below this importance, and inside articles if at least
+#: this share of the host's articles differ.
+MIN_PAGES, LOW_IMPORTANCE, MIN_VARIETY = 8, 0.4, 0.5
+#: Weight of content against presentation.
+CONTENT_WEIGHT = 0.9
+#: What a branch is worth: inside an article, on pages without one, outside on pages with one; by its names (some, all of a
+#: class or id); what it loses when wholly inside links and when alike on all pages; what it gains from holding all of the
+#: host's text, if that is so many characters a page. Below 0 it is removed.
+IN_ARTICLE, NO_ARTICLE, OUTSIDE = 1.0, 0.5, -2.0
+SOME_NAME, ALL_NAMES, ALL_LINKS, ALL_ALIKE, ALL_TEXT, LONG_TEXT = -0.45, -1.5, -0.6, -1.2, 1.7, 1000
 #: Hosts with low branches that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 
@@ -53,44 +64,76 @@ _NAMES = frozenset(
     "comment comments respond replies disqus share sharing social related recommended widget toolbar search".split()
 )
 _CONTENT_NAMES = frozenset("article content main post entry story body text".split())
+_PLAIN_NAMES = frozenset("area bar block bottom box btn button buttons center col column container desktop group inner item items left link links list mobile outer page panel right row section site slot social space top unit user wrap wrapper".split())
+#: Text of an article's own headings, paragraphs, lists and tables, without any container or style of its own.
+_PLAIN_PATH = r"/(?:article|main)[^/]*(?:/(?:section|ul|ol|dl|table|tbody|tr|h[1-6]|p|li|dt|dd|td|th|blockquote|pre|figure|figcaption))*$"
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
-NOISE, ARTICLE, OTHER = 0, 1, 2
+ARTICLE, OTHER = 1, 2
+PLAIN, SOME, ALL, OUTRIGHT = 0, 1, 2, 3
+
+
+def _named(value: str) -> int:
+    """How far the words of a class or id name what is no main text: in no part, one among others, or a whole token."""
+    found = PLAIN
+    for token in value.split():
+        words = {w for w in re.split(r"[-_]+", token) if w and not w.isdigit()}
+        if words & _NAMES and not words & _CONTENT_NAMES:
+            found = max(found, ALL if words <= _NAMES | _PLAIN_NAMES else SOME)
+    return found
 
 
-def _judge(tag: str, rest: str, in_article: bool) -> tuple[str, bool]:
-    """The style of an element, and whether its markup says that it is no main text."""
-    style, never = tag, tag in _NEVER or (tag == "header" and not in_article)
+def _judge(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
+    """The style of an element, and how far its markup says that it is no main text."""
+    style, named = tag, OUTRIGHT if tag in _NEVER or (tag == "header" and not in_article) else PLAIN
     if "=" in rest or "hidden" in rest:
         for name, *values in _ATTRIBUTE.findall(rest):
             value, name = "".join(values).strip().lower(), name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-                never = True
+                named = OUTRIGHT
             elif name in ("class", "id") and value:
                 style += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
-                for token in value.split():
-                    words = set(re.split(r"[-_]+", token))
-                    if words & _NAMES and not words & _CONTENT_NAMES and tag not in ("body", "html", "article", "main"):
-                        never = True
-    return style, never
+                if tag not in ("body", "html", "article", "main"):
+                    named = max(named, _named(value))
+    return style, named
+
+
+def _end_of(page: str, tag: str, at: int) -> int | None:
+    """Where the element ``tag`` that is open at ``at`` ends, with those of its name that it holds; None if it doesn't."""
+    depth = 1
+    for found in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if found[1] else 0 if found[0].endswith("/>") else 1
+        if not depth:
+            return found.end()
+    return None
 
 
-def read_page(page: str) -> list[tuple[str, int, str, str]]:
-    """Blocks ``(path, kind, children, text)`` of a page in order; ``children`` are the tags that the holding element has had so far."""
-    stack: list[list] = [["#page", "", False, False, []]]  # tag, path, never, in article, tags of children
-    blocks: list[tuple[str, int, str, str]] = []
+def read_page(page: str) -> list[tuple[str, int, int, int, int, str]]:
+    """Blocks ``(path, kind, named, children, links, text)`` of a page in order.
+
+    ``children`` stands for the sequence of tags that the holding element has, ``links`` is the number of characters inside links.
+    """
+    stack: list[list] = [["#page", "", PLAIN, False, [0]]]  # tag, path, named, in article, children
+    blocks: list[tuple] = []
     pieces: list[str] = []
+    linked = [0, False]  # characters inside links of this block, and whether a link is open
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                _, path, never, article, children = stack[-1]
-                blocks.append((path, NOISE if never else ARTICLE if article else OTHER, ">".join(children[-12:]), text))
+                _, path, named, article, children = stack[-1]
+                blocks.append((path, ARTICLE if article else OTHER, named, children, min(linked[0], len(text)), text))
+            linked[0] = 0
+
+    def add(text: str) -> None:
+        pieces.append(text)
+        if linked[1]:
+            linked[0] += len(text.strip())
 
     def close(at: int) -> None:
         flush()
@@ -100,18 +143,20 @@ def read_page(page: str) -> list[tuple[str, int, str, str]]:
     while at < length:
         found = _TOKEN.search(page, at)
         if found is None:
-            pieces.append(page[at:])
+            add(page[at:])
             break
         if found.start() > at:
-            pieces.append(page[at : found.start()])
+            add(page[at : found.start()])
         at = found.end()
         tag = found["tag"]
         if tag is None:
             if found["cdata"]:
-                pieces.append(found["cdata"].replace("&", "&amp;"))
+                add(found["cdata"].replace("&", "&amp;"))
             continue
         tag = tag.lower()
         if found["end"]:
+            if tag == "a":
+                linked[1] = False
             if tag in _BLOCK:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
@@ -128,14 +173,10 @@ def read_page(page: str) -> list[tuple[str, int, str, str]]:
                 flush()
             continue
         if tag not in _BLOCK:
-            if tag not in _VOID and ("=" in found["rest"] or "hidden" in found["rest"]) and not found["rest"].endswith("/"):
-                _, never = _judge(tag, found["rest"], True)
-                if never:  # an inline element that is no main text: its text goes, up to its end tag
-                    end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                    at = at if end is None else end.end()
-            elif tag == "button":
-                end = re.compile(r"</button\s*>", re.I).search(page, at)
-                at = at if end is None else end.end()
+            if tag == "button" or (tag not in _VOID and ("=" in found["rest"] or "hidden" in found["rest"]) and not found["rest"].endswith("/") and _judge(tag, found["rest"], True)[1] >= ALL):
+                at = _end_of(page, tag, at) or at  # an inline element that is no main text: its text goes, up to its own end
+            elif tag == "a":
+                linked[1] = not found["rest"].endswith("/")
             continue
         flush()
         if tag in _ENDS_P:
@@ -153,13 +194,13 @@ def read_page(page: str) -> list[tuple[str, int, str, str]]:
                 if stack[i][0] in _HOLDS and not (tag in ("td", "th") and stack[i][0] == "tr"):
                     break
         parent = stack[-1]
-        parent[4].append(tag)
+        parent[4][0] = (parent[4][0] * 1_000_003 + zlib.crc32(tag.encode())) % (1 << 61)
         if tag in _VOID:
             continue
-        style, never = _judge(tag, found["rest"], parent[3])
-        stack.append([tag, f"{parent[1]}/{style}", never or parent[2], parent[3] or tag in ("article", "main"), []])
+        style, named = _judge(tag, found["rest"], parent[3])
+        stack.append([tag, f"{parent[1]}/{style}", max(named, parent[2]), parent[3] or tag in ("article", "main"), [0]])
     flush()
-    return blocks
+    return [(path, kind, named, children[0], links, text) for path, kind, named, children, links, text in blocks]
 
 
 def host_of(url: str | None) -> str:
@@ -167,8 +208,9 @@ def host_of(url: str | None) -> str:
     return found[1].lower().removeprefix("www.") if found else ""
 
 
-_SCHEMA = "page_id long, url string, host string, has_article boolean, blocks array<struct<path:string,kind:int,children:string,text:string>>"
-_BLOCKS = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("children", pa.string()), ("text", pa.string())]))
+_FIELDS = ("path", "kind", "named", "children", "links", "text")
+_SCHEMA = "page_id long, url string, host string, has_article boolean, blocks array<struct<path:string,kind:int,named:int,children:long,links:int,text:string>>"
+_BLOCKS = pa.list_(pa.struct(list(zip(_FIELDS, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True))))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +218,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         urls = batch.column(1).to_pylist()
         rows, held, start = [], 0, 0
         for i, page in enumerate(batch.column(2)):
-            rows.append([dict(zip(("path", "kind", "children", "text"), b, strict=True)) for b in read_page(str(page.as_py() or b"", "utf-8", "replace"))])
+            rows.append([dict(zip(_FIELDS, b, strict=True)) for b in read_page(str(page.as_py() or b"", "utf-8", "replace"))])
             held += len(page.as_py() or b"")
             if held > 4_000_000 or i + 1 == len(urls):
                 end = i + 1
@@ -185,7 +227,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         batch.column(0).slice(start, end - start),
                         batch.column(1).slice(start, end - start),
                         pa.array([host_of(u) for u in urls[start:end]], pa.string()),
-                        pa.array([any(b["kind"] == ARTICLE for b in r) for r in rows], pa.bool_()),
+                        pa.array([any(b["kind"] == ARTICLE and b["named"] < OUTRIGHT for b in r) for r in rows], pa.bool_()),
                         pa.array(rows, _BLOCKS),
                     ],
                     names=["page_id", "url", "host", "has_article", "blocks"],
@@ -205,23 +247,37 @@ def _scaled_entropy(of: str) -> F.Column:
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """``(host, path, pages, content, presentation, importance, in_article)`` of each node that holds text."""
-    rows = parsed.select("host", "page_id", F.explode("blocks").alias("b")).filter(F.col("b.kind") != NOISE)
-    rows = rows.select("host", "page_id", F.col("b.path").alias("path"), F.xxhash64("b.text").alias("text"), F.xxhash64("b.children").alias("children"), (F.col("b.kind") == ARTICLE).alias("in_article"))
-    pages = rows.groupBy("host", "path", "page_id").agg(F.max("in_article").alias("in_article")).groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("in_article").alias("in_article"))
+    """``(host, path, pages, content, presentation, importance, in_article, outside, named, links, share, length)`` of each node that holds text."""
+    rows = parsed.select("host", "page_id", "has_article", F.explode("blocks").alias("b")).filter(F.col("b.named") < OUTRIGHT)
+    rows = rows.select("host", "page_id", "has_article", "b.path", F.xxhash64("b.text").alias("text"), "b.children", (F.col("b.kind") == ARTICLE).alias("in_article"), "b.named", "b.links", F.length("b.text").alias("chars"))
+    outside = F.col("has_article") & ~F.col("in_article")
+    of_page = rows.groupBy("host", "path", "page_id").agg(F.max("in_article").alias("in_article"), F.max("named").alias("named"), F.sum("links").alias("links"), F.sum("chars").alias("chars"), F.max(outside).alias("outside"))
+    pages = of_page.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("in_article").alias("in_article"), F.min("outside").alias("outside"), F.max("named").alias("named"), (F.sum("links") / F.sum("chars")).alias("links"), F.sum("chars").alias("chars"))
+    whole = pages.groupBy("host").agg(F.sum("chars").alias("whole"))
     content = rows.groupBy("host", "path", "text").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(_scaled_entropy("n").alias("content"))
     style = rows.groupBy("host", "path", "children").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(_scaled_entropy("n").alias("presentation"))
-    node = pages.join(content, ["host", "path"]).join(style, ["host", "path"])
-    return node.withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation"))
+    node = pages.join(content, ["host", "path"]).join(style, ["host", "path"]).join(whole, "host")
+    node = node.withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation"))
+    return node.withColumn("share", F.col("chars") / F.col("whole")).withColumn("length", F.col("chars") / F.col("pages"))
+
+
+def worth(tree: DataFrame) -> DataFrame:
+    """``tree`` (with the ``variety`` of its host's articles) and what each branch is worth."""
+    place = F.when(F.col("in_article"), IN_ARTICLE).when(F.col("outside"), OUTSIDE).otherwise(NO_ARTICLE)
+    name = F.when(F.col("named") == ALL, ALL_NAMES).when(F.col("named") == SOME, SOME_NAME).otherwise(0.0)
+    plain = F.col("path").rlike(_PLAIN_PATH)
+    counts = (F.col("pages") >= MIN_PAGES) & (~F.col("in_article") | (~plain & (F.coalesce("variety", F.lit(1.0)) >= MIN_VARIETY)))
+    alike = F.when(counts, F.greatest(F.lit(0.0), 1 - F.col("importance") / LOW_IMPORTANCE)).otherwise(0.0)
+    mass = F.greatest(F.lit(0.0), 2 * F.col("share") - 1) * F.least(F.lit(1.0), F.col("length") / LONG_TEXT)
+    return tree.withColumn("worth", place + name + ALL_LINKS * F.col("links") + ALL_ALIKE * alike + ALL_TEXT * mass)
 
 
 def low_branches(parsed: DataFrame) -> DataFrame:
     """``(host, low)``: the paths that are removed from a host's pages; only hosts that have such paths."""
-    variety = parsed.filter("has_article").select("host", F.xxhash64(F.to_json(F.filter("blocks", lambda b: b["kind"] == ARTICLE).getField("text"))).alias("article"))
+    own = lambda b: (b["kind"] == ARTICLE) & (b["named"] < ALL)
+    variety = parsed.filter("has_article").select("host", F.xxhash64(F.to_json(F.filter("blocks", own).getField("text"))).alias("article"))
     variety = variety.groupBy("host", "article").agg(F.count("*").alias("n")).groupBy("host").agg((F.count("*") / F.sum("n")).alias("variety"))
-    tree = style_tree(parsed).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
-    own_style = F.element_at(F.split("path", "/"), -1).rlike("[.#]")
-    low = tree.join(variety, "host", "left").filter(~F.col("in_article") | (own_style & (F.coalesce("variety", F.lit(1.0)) >= MIN_VARIETY)))
+    low = worth(style_tree(parsed).join(variety, "host", "left")).filter(F.col("worth") < 0)
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))  # a host's templates: paths, not pages
 
 
@@ -230,7 +286,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col), "parsed")
     low = materialize(low_branches(parsed), "low")
     joined = parsed.join(F.broadcast(low) if is_small(low, BROADCAST_HOSTS) else low, "host", "left")
-    main = lambda b: (b["kind"] == F.when(F.col("has_article"), F.lit(ARTICLE)).otherwise(F.lit(OTHER))) & ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False))
+    kind = F.when(F.col("has_article"), F.lit(ARTICLE)).otherwise(F.lit(OTHER))
+    main = lambda b: (b["kind"] == kind) & (b["named"] < OUTRIGHT) & ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False))
     text = F.array_join(F.filter("blocks", main).getField("text"), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -1,15 +1,23 @@
 import html
 import re
 
+from pyspark.sql import functions as F
+
 from tarnflow.llm import site_style
 from tests.oracle import assert_same
 
 
 def text_of(page):
-    blocks = site_style.read_page(page)
-    kinds = {b[1] for b in blocks}
-    want = site_style.ARTICLE if site_style.ARTICLE in kinds else site_style.OTHER
-    return " ".join(b[3] for b in blocks if b[1] == want)
+    """The page alone, elements named as no main text left out."""
+    blocks = [b for b in site_style.read_page(page) if b[2] < site_style.ALL]
+    want = site_style.ARTICLE if any(b[1] == site_style.ARTICLE for b in blocks) else site_style.OTHER
+    return " ".join(b[5] for b in blocks if b[1] == want)
+
+
+def extracted(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in sorted(site_style.extract_text(table).collect(), key=lambda r: r.page_id)]
 
 
 def brute(page):
@@ -60,6 +68,51 @@ def test_tree_removes_templates(spark):
     assert (got[400], got[401], got[None]) == ("", "", "y")
 
 
+def test_names_are_only_priors(spark):
+    """One word of a class doesn't drop an element; a class that is nothing but such words does, unless it holds the page."""
+    kept = '<article><p class="share-price">price text</p><section class="related-work">work</section><div id="search-algorithms">search text</div></article>'
+    advert = '<article><p>one <span class="ad">x <span>y</span> ADVERT TAIL</span> two</p><div class="ad-box"><div>deep</div> advert</div><button>b <b>c</b></button></article>'
+    shared = '<article><p>text</p><div class="share-this"><a href="a">on that</a> <a href="b">and this</a></div><div class="share-price">price</div></article>'
+    page = "<body><div class=sidebar>" + "<p>a long story of this page</p>" * 60 + '</div><div class="cookie-notice">we use cookies</div><p>a <a href="x">word</a> here</p></body>'
+    got = extracted(spark, [("http://a.example/", kept), ("http://b.example/", advert), ("http://c.example/", shared), ("http://d.example/", page), ("http://e.example/", '<div class="ad">advert alone</div><footer>f</footer>')])
+    assert got == ["price text work search text", "one two", "text price", " ".join(["a long story of this page"] * 60 + ["a word here"]), ""]
+
+
+def test_unnamed_templates_without_article(spark):
+    """Menus that differ by page are links, a footer is alike on all pages; the stories stay, also repeated links in them."""
+    page = "<body><div class=m><ul>{links}</ul></div><div class=c><h1>Title {0}</h1><p>Story {0} tells of {0} and <a href=s>more</a> at length.</p></div><div class=z>All rights reserved by the house</div></body>"
+    links = lambda i: "".join(f"<li><a href='/{i}/{j}'>Topic {i * 7 + j}</a></li>" for j in range(6))
+    got = extracted(spark, [(f"https://news.example/{i}", page.format(i, links=links(i))) for i in range(12)])
+    assert got == [f"Title {i} Story {i} tells of {i} and more at length." for i in range(12)]
+
+
+def test_templates_inside_articles(spark):
+    """A container that is alike in all articles of a host goes, plain headings that recur stay."""
+    page = "<article><h2>Summary</h2><p>Text {0} of {0}.</p><div><p>Written by our house</p></div><aside>x</aside></article>"
+    assert extracted(spark, [(f"https://h.example/{i}", page.format(i)) for i in range(10)]) == [f"Summary Text {i} of {i}." for i in range(10)]
+
+
+def test_child_sequences_are_whole():
+    """Elements that differ only in their first of many children are told apart."""
+    of = lambda first: {b[3] for b in site_style.read_page(f"<div><{first}>a</{first}>" + "<p>b</p>" * 40 + "end</div>") if b[0] == "/div"}
+    assert len(of("p") | of("h3")) == 2 and of("p") == of("p")
+
+
+def test_branches_that_the_tree_removes_on_the_tables(spark, sf_dir):
+    """The tables' pages with all names of menus, adverts, footers and articles taken out of their markup: the menus go."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(?:nav|article|footer)>", "<$1div>"), '<div class="ad">', "<div>")
+    parsed = site_style.parse_pages(pages.withColumn("html", bare))
+    assert parsed.filter("has_article").count() == 0
+    low = {r.host: r.low for r in site_style.low_branches(parsed).collect()}
+    hosts = {r.host for r in parsed.select("host").distinct().collect()}
+    assert set(low) == hosts and all("/html/body/div/ul/li" in paths for paths in low.values())
+    rows = {r.page_id: r.text for r in site_style.extract_text(pages.withColumn("html", bare)).collect()}
+    for r in pages.collect():
+        assert brute(r.html) in rows[r.page_id]  # nothing of any article goes
+
+
 def test_empty_table(spark):
     assert site_style.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
