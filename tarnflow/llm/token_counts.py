@@ -6,15 +6,16 @@ ids; a block gives its count of ends, its ids before the first and after the las
 scan over a file's blocks (counts of ends and ids, and the place of the last end so far) stitches the documents that
 cross block boundaries, however many blocks they span.
 
-Defined results: a null or empty text is a document of 0 ids; repeated rows are further documents; ids after the last end
-of a file sequence are a document that has not ended (``ended`` false); an empty table writes no ids and gives no rows;
-further columns are ignored.
+Defined results: a null or empty text is a document of 0 ids; a null id is kept; a text of any length is one document, also
+beyond a block; repeated rows are further documents; ids after the last end of a file sequence are a document that has not
+ended (``ended`` false); an empty table writes no ids and gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +26,65 @@ from pyspark.sql import functions as F
 from .codec import ByteBpe, once
 from .common import map_arrow, scratch_dir, table, text_bytes
 
-END = 0
-#: Ids of a block, and documents of a file at most (a file is one value in a task's memory).
-BLOCK_IDS, FILE_DOCUMENTS = 1 << 20, 2_000
+END, LINE_END = 0, "\u0000\u0000"
+#: Ids of a block; bytes from which on a written row of documents is full, and rows of a file, which is one value in a task's
+#: memory: 4 MB and a document.
+BLOCK_IDS, ROW_BYTES, FILE_ROWS = 1 << 20, 1 << 20, 4
 
 
 def _rows_of_ids(ranks_path: str, pattern: str):
+    """Documents -> rows of kind ``tokens``, the ids of several documents with end ids between them, each followed by the
+    row of kind ``ids`` that tells their ordinals and document ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(ByteBpe, ranks_path, pattern)
+        held: list[bytes] = []
+        names: list[str] = []
+        size = first = 0
+
+        def row() -> pa.RecordBatch:
+            values = [b"\0\0".join(held), f"{first}:{','.join(names)}".encode()]
+            return pa.RecordBatch.from_arrays([pa.array(["tokens", "ids"]), pa.array(values, pa.binary())], names=["kind", "ids"])
+
         for batch in batches:
-            ids = [(np.array(bpe.ids(str(x.as_py() or b"", "utf-8", "replace")), np.int64) + 1).astype("<u2").tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.array(bpe.ids(str(text.as_py() or b"", "utf-8", "replace")), np.int64) + 1
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("the vocabulary doesn't fit into 16 bits")
+                held.append(ids.astype("<u2").tobytes())
+                names.append("" if doc_id is None else str(doc_id))
+                size += len(held[-1]) + 2
+                if size >= ROW_BYTES:
+                    yield row()
+                    first += len(held)
+                    held, names, size = [], [], 0
+        if held:
+            yield row()
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str, text_col: str = "text") -> None:
-    """One sequence of files for each partition of ``docs``, its documents in order, each closed by the end id.
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting inside the block only."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
-    Spark's text writer writes a row's bytes as they are and then its line separator: two zero bytes, the end id.
+def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """One sequence of files for each partition of ``docs``, its documents in order, each closed by the end id, below
+    ``path/kind=tokens``; beside them, from the same tasks, the documents' ids below ``path/kind=ids``.
+
+    Spark's text writer writes a row's bytes as they are and then its line separator: two zero bytes, the end id. With a
+    writer open for both kinds it keeps the order of rows.
     """
-    rows = map_arrow(docs.select(text_bytes(text_col).alias("text")), _rows_of_ids(ranks_path, pattern), "ids binary")
-    rows.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\u0000\u0000").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+    rows = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")), _rows_of_ids(ranks_path, pattern), "kind string, ids binary")
+    with _setting(docs.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+        rows.select("kind", F.col("ids").cast("string").alias("value")).write.partitionBy("kind").option("lineSep", LINE_END).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def _blocks(block_ids: int):
@@ -76,7 +114,7 @@ def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) ->
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "content")
     scanned = map_arrow(files, _blocks(block_ids), "path string, block long, n long, last long, head long, between array<long>")
     name = F.element_at(F.split("path", "/"), -1)
-    blocks = scanned.withColumn("sequence", F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")).withColumn("file", F.coalesce(F.regexp_extract(name, r"-c(\d+)", 1).try_cast("long"), F.lit(0)))
+    blocks = scanned.withColumn("sequence", F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")).withColumn("file", F.coalesce(F.regexp_extract(name, r"[-.]c(\d+)", 1).try_cast("long"), F.lit(0)))
     order = W.partitionBy("sequence").orderBy("file", "block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     ends = F.when(F.col("last") > 0, F.size("between") + 1).otherwise(F.lit(0))
@@ -92,20 +130,26 @@ def count_tokens(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) ->
     return done.unionByName(tail.filter("n_tokens > 0"))
 
 
+def document_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(sequence, ordinal, doc_id)`` of the documents whose ids lie below ``path``."""
+    rows = spark.read.option("lineSep", LINE_END).option("pathGlobFilter", "part-*").text(path)
+    sequence = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    ids = rows.select(sequence.alias("sequence"), F.split_part("value", F.lit(":"), F.lit(1)).cast("long").alias("first"), F.posexplode(F.split(F.split_part("value", F.lit(":"), F.lit(2)), ",")).alias("i", "id"))
+    return ids.select("sequence", (F.col("first") + F.col("i")).alias("ordinal"), F.when(F.col("id") != "", F.col("id").cast("long")).alias("doc_id"))
+
+
 def count_document_tokens(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the token files of ``docs`` (read from files) and counts them: ``(doc_id, n_tokens, sequence, ordinal, start)``.
+    """Writes the token files of ``docs`` and counts them: ``(doc_id, n_tokens, sequence, ordinal, start)``.
 
-    The files know no ids. A document's sequence and ordinal are those of its row in the scan, which splits the input by
-    its files' sizes alone and so is the same for both reads; differing counts would raise an error.
+    The token files know no ids; the task that wrote a sequence wrote its documents' ids beside it. Differing counts raise an error.
     """
     spark = docs.sparkSession
     path = f"{scratch_dir(spark)}/tarnflow-{uuid.uuid4().hex}/tokens"
-    write_token_files(docs, path, ranks_path, pattern, text_col)
-    counted = count_tokens(spark, path)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__at"))
-    rows = rows.select("doc_id", F.shiftrightunsigned("__at", 33).alias("sequence"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("ordinal"))
-    joined = rows.join(counted, ["sequence", "ordinal"], "full")
-    counts = F.when(F.col("ended") & F.col("ordinal").isNotNull(), F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents differ")).cast("long"))
+    write_token_files(docs, path, ranks_path, pattern, id_col, text_col)
+    if spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_tokens long, sequence long, ordinal long, start long")
+    joined = document_ids(spark, f"{path}/kind=ids").withColumn("known", F.lit(True)).join(count_tokens(spark, f"{path}/kind=tokens"), ["sequence", "ordinal"], "full")
+    counts = F.when(F.col("ended") & F.col("known"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents differ")).cast("long"))
     return joined.select("doc_id", counts.alias("n_tokens"), "sequence", "ordinal", "start")
 
 
