@@ -44,6 +44,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and broadcasts of finished steps now; its cleaner waits for the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a frame of ``materialize`` once nothing reads it any more."""
     spark = df.sparkSession

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize
+from .common import drop_scratch, materialize, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """``links(a, b)`` -> ``(node, component)``: the smallest id that each linked id reaches.
+    """``links(a, b)`` (materialised) -> ``(node, component)``: the smallest id that each linked id reaches.
 
     Each round takes the smallest label among neighbours (a partial aggregate, so a hub with very many links is
-    summed before the shuffle) and then the label of the label, until no label changes. Ids without links don't occur.
+    summed before the shuffle) and then the label of the label, until no label changes. Both joins are inner or left joins
+    of plain shuffles, whose skewed partitions, of a hub or a giant component, Spark splits. Ids without links don't occur.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        pulled = labels.join(near, "node", "left").select("node", F.col("component").alias("before"), F.least("component", "low").alias("component"))
-        roots = pulled.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = materialize(pulled.join(roots, "component", "left").select("node", "before", F.coalesce("root", "component").alias("component")), "labels")
+        pulled = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "low").alias("component"))
+        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        new = materialize(pulled.join(roots, "component").select("node", "before", F.col("root").alias("component")), "labels")
         drop_scratch(labels)
-        labels = new
-        if labels.filter("component < before").isEmpty():
-            return labels.select("node", "component")
+        labels = new.select("node", "component")
+        if not new.filter("component < before").count():
+            release(links.sparkSession)
+            return labels

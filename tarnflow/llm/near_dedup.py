@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, is_small, map_arrow, materialize, table, text_bytes
+from .common import blocks, fresh, is_small, map_arrow, materialize, table, text_bytes
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -33,8 +33,10 @@ from .shingles import mix, shingle_sets
 BROADCAST_IDS = 2_000_000
 #: A class with more copies is joined by a broadcast of the few such classes, so that no task gets all its copies.
 HOT_COPIES, BROADCAST_CLASSES = 1_000, 200_000
+#: What tells classes of equal sets apart: their size and two independent 64-bit sums over their shingles.
+PRINTS = ["n_shingles", "print_a", "print_b"]
 #: Members and bytes of text of a block; a task holds two.
-BLOCK_MEMBERS, BLOCK_TEXT = 512, 8_000_000
+BLOCK_MEMBERS, BLOCK_TEXT = 256, 8_000_000
 
 
 def band_keys(sets: list[np.ndarray], t: int, m: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +80,11 @@ def _signatures(k: int, t: int, m: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([np.bitwise_xor.reduce(mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
+                        pa.array([len(t) for t in texts], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
                         pa.ListArray.from_arrays(pa.array(band_offsets), pa.array(bands)),
                     ],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "keys", "bands"],
+                    names=["doc_id", "n_shingles", "print_a", "print_b", "n_bytes", "keys", "bands"],
                 )
                 at += len(texts)
 
@@ -89,33 +92,46 @@ def _signatures(k: int, t: int, m: int):
 
 
 def _confirmed(k: int, percent: int):
-    """Pairs with both texts -> those whose full sets have 100 * intersection >= percent * union."""
+    """Rows ``(a, block, b, text)`` in that order, a hub's own with a null ``b`` first -> the pairs whose full sets have
+    100 * intersection >= percent * union. A hub with several texts is compared with all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, np.empty(0, np.uint64)
+        place, hub_sets = None, []
         for batch in batches:
-            hubs, at = batch.column(0).to_pylist(), 0
-            hub_texts = batch.column(2)
+            hubs, own_blocks, members, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
             for texts in blocks(batch.column(3).to_pylist()):
                 linked = []
                 for i, own in enumerate(shingle_sets(texts, k), at):
-                    text = hub_texts[i].as_py()
-                    if hub != (hubs[i], text):
-                        hub, hub_set = (hubs[i], text), shingle_sets([text], k)[0]
-                    both = len(np.intersect1d(own, hub_set, assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(own) + len(hub_set) - both))
-                yield batch.slice(at, len(texts)).select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                    if (hubs[i], own_blocks[i]) != place:
+                        place, hub_sets = (hubs[i], own_blocks[i]), []
+                    if members[i] is None:
+                        hub_sets.append(own)
+                        continue
+                    for hub in hub_sets:
+                        both = len(np.intersect1d(own, hub, assume_unique=True))
+                        if both and 100 * both >= percent * (len(own) + len(hub) - both):
+                            linked.append(i)
+                            break
                 at += len(texts)
+                if linked:
+                    yield pa.RecordBatch.from_arrays([pa.array([hubs[i] for i in linked], pa.int64()), pa.array([members[i] for i in linked], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` whose whole ``texts(doc_id, text)`` are similar enough. ``pairs`` must be materialised."""
+def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ``n_pairs`` of ``pairs(a, b)`` whose whole ``texts(doc_id, text)`` are similar enough. ``pairs`` must be materialised.
+
+    A hub's text goes once to each block of at most ``BLOCK_MEMBERS`` or so of its members, which then stream past it.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    both = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_arrow(both.select("a", "b", "text_a", "text_b"), _confirmed(k, percent), "a long, b long").distinct()
+    needed = texts.join(F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("block")
+    members = pairs.join(hubs, "a").select("a", block, "b").join(needed.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "text")
+    own = hubs.join(needed.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+    placed = own.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    return map_arrow(placed, _confirmed(k, percent), "a long, b long").distinct()
 
 
 def _compare_blocks(k: int, percent: int):
@@ -173,12 +189,13 @@ def _open_links(banded: DataFrame, members: DataFrame, texts: DataFrame, k: int,
     A pair that shares a table key shares a band value of the first collection, so those groups, ``m`` for a document
     instead of ``m * m``, hold every pair.
     """
-    own = banded.join(members, "doc_id").join(texts.select("doc_id", "text"), "doc_id").select(F.explode("bands").alias("band"), "doc_id", "component", "text")
+    own = banded.join(members, "doc_id").select(F.explode("bands").alias("band"), "doc_id", "component", F.col("n_bytes").alias("size"))
     own = materialize(own, "open")
-    mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("size") / BLOCK_TEXT)).cast("int")
-    dealt = own.join(mixed.filter("low < high").select("band", parts.alias("parts")), "band")
+    dealt = own.drop("size").join(mixed.select("band", parts.alias("parts")), "band")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = dealt.join(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     paired = dealt.select("band", "doc_id", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     paired = paired.select("band", "doc_id", "component", "block", "text", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return paired.groupBy("band", "low", "high").applyInArrow(_compare_blocks(k, percent), "a long, b long")
@@ -187,78 +204,101 @@ def _open_links(banded: DataFrame, members: DataFrame, texts: DataFrame, k: int,
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """``(node, component)`` of the class representatives with links; None if no two share a table key.
 
-    ``banded(doc_id, keys, bands)`` has a row for each representative.
+    ``banded(doc_id, n_bytes, keys, bands)`` has a row for each representative.
     """
     rows = banded.select(F.explode("keys").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").select("key", "hub")
     bucket = materialize(rows.join(shared, "key").select("key", "hub", "doc_id"), "buckets")
     pairs = materialize(bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
+    n_pairs = pairs.count()
+    if not n_pairs:
         return None
-    found = connected_components(materialize(confirm(pairs, texts, k, percent), "links"))
+    found = connected_components(materialize(confirm(pairs, n_pairs, texts, k, percent), "links"))
     known = bucket.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     members = materialize(known.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "members")
-    if members.isEmpty():
+    if not members.count():
         return found
-    more = _open_links(banded.select("doc_id", "bands"), members, texts, k, percent)
+    more = _open_links(banded.select("doc_id", "n_bytes", "bands"), members, texts, k, percent)
     of = lambda name: members.select(F.col("doc_id").alias(name), F.col("component").alias(f"component_{name}"))
     between = materialize(more.join(of("a"), "a").join(of("b"), "b").select(*_pairs("component_a", "component_b")).distinct(), "between")
-    if between.isEmpty():
+    if not between.count():
         return found
     joined = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
     nodes = found.union(members.select(F.col("doc_id").alias("node"), "component")).distinct()
     return nodes.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
-def _members(known: DataFrame, classes: DataFrame, prints: list[str]) -> DataFrame:
-    """Each document with the representative of its class."""
-    hot = classes.filter(F.col("copies") > HOT_COPIES).select(*prints, F.col("rep").alias("hot"))
+def _of_class(known: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """Each row of ``known(doc_id, *PRINTS)`` with ``column`` of its class; no task gets all copies of a large class."""
+    hot = classes.filter(F.col("copies") > HOT_COPIES).select(*PRINTS, F.col(column).alias("hot"))
     if not is_small(hot, BROADCAST_CLASSES):
-        return known.join(classes, prints).select("doc_id", "rep")
-    marked = known.join(F.broadcast(hot), prints, "left")
-    rest = marked.filter("hot IS NULL").drop("hot").join(classes, prints).select("doc_id", "rep")
-    return marked.filter("hot IS NOT NULL").select("doc_id", F.col("hot").alias("rep")).unionByName(rest)
+        return known.join(classes.select(*PRINTS, column), PRINTS)
+    marked = known.join(F.broadcast(hot), PRINTS, "left")
+    rest = marked.filter("hot IS NULL").drop("hot").join(classes.select(*PRINTS, column), PRINTS)
+    return marked.filter("hot IS NOT NULL").withColumnRenamed("hot", column).unionByName(rest)
+
 
+def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text", one_text: bool = False) -> DataFrame:
+    """``docs`` -> ``(doc_id, n_shingles, component_id, kept)`` with a row for each input row.
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` -> ``(doc_id, n_shingles, component_id, kept)`` with a row for each input row."""
+    ``one_text`` tells that no id stands on different texts.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    signed = materialize(map_arrow(source, _signatures(k, t, m), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, bands array<long>"), "signatures")
-    prints = ["n_shingles", "print_a", "print_b"]
-    known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(known.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints]).select("doc_id", "keys", "bands")
-    member = _members(known.select("doc_id", *prints), classes, prints).distinct()
+    schema = "doc_id long, n_shingles long, print_a long, print_b long, n_bytes long, keys array<long>, bands array<long>"
+    signed = materialize(map_arrow(source, _signatures(k, t, m), schema), "signatures")
+    known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *PRINTS)
+    classes = materialize(known.groupBy(*PRINTS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *PRINTS), ["doc_id", *PRINTS], "left_semi").dropDuplicates(["doc_id", *PRINTS]).select("doc_id", "n_bytes", "keys", "bands")
+    component = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
     # One id with several texts belongs to several classes: it links them.
-    if not known.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).filter("low < high").isEmpty():
-        found = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
-        links = member.filter("doc_id <> rep").select(*_pairs("doc_id", "rep"))
-        component = connected_components(links if found is None else links.union(found.filter("node <> component").select(*_pairs("node", "component"))))
-        group = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    else:
-        component = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
-        group = member
+    several = known.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).filter("low < high").select("doc_id")
+    if not one_text and not several.isEmpty():
+        links = _of_class(known.join(several, "doc_id", "left_semi"), classes, "rep").filter("doc_id <> rep").select(*_pairs("doc_id", "rep"))
+        links = links if component is None else links.union(component.filter("node <> component").select(*_pairs("node", "component")))
+        component = connected_components(materialize(links.distinct(), "links"))
     if component is None:
-        group = group.withColumnRenamed("rep", "component_id")
+        classes = classes.withColumn("component_id", F.col("rep"))
     else:
-        group = group.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(group, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        classes = materialize(classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*PRINTS, "copies", F.coalesce("component", "rep").alias("component_id")), "components")
+    grouped = _of_class(known, classes, "component_id").select("doc_id", "n_shingles", "component_id")
+    # A row without words stands alone unless its id has words elsewhere; a null id stands for nothing.
+    empty = signed.filter("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles")
+    elsewhere = grouped.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(elsewhere, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = signed.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = grouped.unionByName(empty).unionByName(nameless)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one document of each, with all columns.
+    """One row of ``docs`` for each group of near-duplicates, with all columns: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are reduced to one. A null doc_id stands for nothing and is dropped.
+    Every pair of id and text is a document here: an id that stands on different texts is several, and rows without an id
+    are documents by their text. Rows of the same id and text are one, of which the first in the order of its other columns
+    stays. Texts without words resemble nothing.
     """
-    groups = near_duplicate_groups(docs, k, percent, t, m)
-    dropped = groups.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped")).distinct()
-    twice = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if is_small(dropped, BROADCAST_IDS):
-        dropped = F.broadcast(dropped)
-    kept = docs.filter("doc_id IS NOT NULL").join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    node, own, first = fresh(docs, "__node", "__own", "__first")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    key = F.col("doc_id").cast("long")
+    clashing = docs.filter("doc_id IS NOT NULL").groupBy(key.alias(own)).agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).filter("low < high").select(own)
+    clashing = materialize(clashing, "clashing")
+    n_clashing = clashing.count()
+    made = F.xxhash64(key, text_hash).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)  # above all usual ids
+    if not n_clashing:
+        nodes = docs.withColumn(node, F.coalesce(key, made))
+    else:
+        ids = F.broadcast(clashing) if n_clashing <= BROADCAST_IDS else clashing
+        nodes = docs.join(ids, key == F.col(own), "left").withColumn(node, F.when(F.col(own).isNull(), F.coalesce(key, made)).otherwise(made)).drop(own)
+    groups = near_duplicate_groups(nodes.select(node, "text"), k, percent, t, m, id_col=node, one_text=True)
+    groups = materialize(groups.groupBy(F.col("doc_id").alias(own)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "groups")
+    n = groups.agg(F.count_if(~F.col("kept")).alias("dropped"), F.count_if(F.col("kept") & (F.col("rows") > 1)).alias("repeated")).first()
+    dropped = groups.filter("NOT kept").select(own)
+    kept = nodes.join(F.broadcast(dropped) if n["dropped"] <= BROADCAST_IDS else dropped, F.col(node) == F.col(own), "left_anti")
+    if n["repeated"]:
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        kept = kept.groupBy(node).agg(F.min_by(row, F.to_json(row)).alias(first)).select(f"{first}.*")
+    return kept.select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

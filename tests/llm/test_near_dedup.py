@@ -127,3 +127,22 @@ def test_one_id_with_two_texts_links_them(spark):
 
 def test_oracle(spark, sf_dir):
     assert_same(near_dedup.op3_near_dedup(spark, sf_dir), near_dedup.ORACLES["op3_near_dedup"], sf_dir)
+
+
+def test_stage_keeps_documents_without_or_with_clashing_ids(spark):
+    """Null ids and ids of several texts lose no text; repeated rows are one, the first in the order of their columns."""
+    rows = [(None, "text that no other has at all", 1), (None, "a b c d e f", 1), (2, "a b c d e f", 9), (5, "first text of five here", 1), (5, "second words under five there", 1), (6, "same row here again", 3), (6, "same row here again", 2), (None, None, 1), (None, None, 1), (7, None, 1), (8, "second words under five there", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __node int").repartition(3)
+    out = near_dedup.drop_near_duplicates(docs, 3, 85)
+    assert out.columns == docs.columns
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got == sorted([(None, "text that no other has at all", 1), (2, "a b c d e f", 9), (5, "first text of five here", 1), (6, "same row here again", 2), (None, None, 1), (7, None, 1), (8, "second words under five there", 4)], key=repr)
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_hub_with_several_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, "other words of one"), (1, " ".join(base))] + [(2 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(9)]
+    got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in range(1, 11)}
