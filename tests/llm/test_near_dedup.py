@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tarnflow.llm import near_dedup
+from tarnflow.llm import components, near_dedup
 from tarnflow.llm.shingles import shingle_sets
 from tests.oracle import assert_same
 
@@ -146,3 +146,13 @@ def test_hub_with_several_texts_and_small_blocks(spark, monkeypatch):
     rows = [(1, "other words of one"), (1, " ".join(base))] + [(2 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(9)]
     got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("limit", [500_000, 5])
+def test_components_of_chains_stars_and_one_giant(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "BROADCAST_NODES", limit)
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 400)] + [(900, 901), (901, 899)]
+    made = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = {r.node: r.component for r in components.connected_components(made).collect()}
+    want = {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 400)]} | {i: 899 for i in (899, 900, 901)}
+    assert got == want
