@@ -7,8 +7,8 @@ second: as many tables of ``2 * t`` minhashes would take ``m * m * 2 * t`` minha
 
 Every candidate is confirmed on the full sets. Texts with equal sets form a class that one document stands for, so
 copies are never paired. In a table's bucket every member is compared with one hub. Where that leaves members in
-different components, the members are dealt to blocks of bounded size, and each pair of blocks is compared inside one
-task, which gives out no more links than it takes to join what it found together. So no pair that shares a bucket is
+different components, those outside the largest one are compared with all: both are dealt to blocks of bounded size, and
+two blocks meet inside one task, which gives out no more links than it takes to join what it found together. So no pair that shares a bucket is
 lost, no bucket is expanded into its pairs, and no task holds more than two blocks.
 
 Defined results: a null or wordless text has an empty set, ``n_shingles`` 0, is its own component and is kept; rows that
@@ -37,6 +37,8 @@ HOT_COPIES, BROADCAST_CLASSES = 1_000, 200_000
 PRINTS = ["n_shingles", "print_a", "print_b"]
 #: Members and bytes of text of a block; a task holds two.
 BLOCK_MEMBERS, BLOCK_TEXT = 256, 8_000_000
+#: Members that meet one copy of their hub's text.
+HUB_MEMBERS = 64
 
 
 def band_keys(sets: list[np.ndarray], t: int, m: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,11 +124,11 @@ def _confirmed(k: int, percent: int):
 def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``n_pairs`` of ``pairs(a, b)`` whose whole ``texts(doc_id, text)`` are similar enough. ``pairs`` must be materialised.
 
-    A hub's text goes once to each block of at most ``BLOCK_MEMBERS`` or so of its members, which then stream past it.
+    A hub's text goes once to each block of ``HUB_MEMBERS`` or so of its members, which then stream past it.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     needed = texts.join(F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
     block = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("block")
     members = pairs.join(hubs, "a").select("a", block, "b").join(needed.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "text")
     own = hubs.join(needed.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
@@ -135,22 +137,19 @@ def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: i
 
 
 def _compare_blocks(k: int, percent: int):
-    """All members of two blocks -> links between members of different components, as few as join what is found."""
+    """Each ``open`` member of a block against all members of another -> links between different components, as few as join
+    what is found."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["doc_id"].to_pylist(), group["component"].to_pylist(), group["block"].to_pylist(), group["text"].to_pylist(), strict=True), key=lambda r: r[0])
+        rows = sorted(zip(*[group[c].to_pylist() for c in ("doc_id", "component", "open", "text")], strict=True), key=lambda r: (r[0], r[2]))
         sets = [s for texts in blocks(r[3] for r in rows) for s in shingle_sets(texts, k)]
-        block = np.array([r[2] for r in rows])
-        cross = len(set(block.tolist())) > 1
+        is_open, component = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
         sizes = np.array([len(s) for s in sets])
         shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
         order = np.argsort(place, kind="stable")
         owner = np.repeat(np.arange(len(sets)), sizes)[order]
         first = np.searchsorted(place[order], np.arange(len(shingles) + 1))
-        component = np.array([r[1] for r in rows])
-        names, counts = np.unique(component, return_counts=True)
-        main = names[counts.argmax()]
-        parent = {c: c for c in names.tolist()}
+        parent = {c: c for c in component.tolist()}
 
         def root(c):
             while parent[c] != c:
@@ -159,15 +158,12 @@ def _compare_blocks(k: int, percent: int):
 
         a, b = [], []
         ends = np.r_[0, np.cumsum(sizes)]
-        for i in np.flatnonzero(component != main).tolist():  # two members of the main component need no link
+        for i in np.flatnonzero(is_open).tolist():
             own = place[ends[i] : ends[i + 1]]
             starts, lengths = first[own], first[own + 1] - first[own]
             at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
             both = np.bincount(owner[at], minlength=len(sets))
-            near = 100 * both >= percent * (sizes[i] + sizes - both)
-            near &= component != component[i]
-            if cross:
-                near &= block != block[i]
+            near = (100 * both >= percent * (sizes[i] + sizes - both)) & (component != component[i]) & ~is_open
             for j in np.flatnonzero(near).tolist():
                 x, y = root(rows[i][1]), root(rows[j][1])
                 if x != y:
@@ -187,18 +183,22 @@ def _open_links(banded: DataFrame, members: DataFrame, texts: DataFrame, k: int,
     """Links between different components among ``members(doc_id, component)``, which share a band value.
 
     A pair that shares a table key shares a band value of the first collection, so those groups, ``m`` for a document
-    instead of ``m * m``, hold every pair.
+    instead of ``m * m``, hold every pair. Two members of a group's largest component need no link: only the others, the
+    open ones, are compared with all, a block of open ones with a block of all in each task.
     """
     own = banded.join(members, "doc_id").select(F.explode("bands").alias("band"), "doc_id", "component", F.col("n_bytes").alias("size"))
     own = materialize(own, "open")
-    mixed = own.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("size") / BLOCK_TEXT)).cast("int")
-    dealt = own.drop("size").join(mixed.select("band", parts.alias("parts")), "band")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    dealt = dealt.join(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    paired = dealt.select("band", "doc_id", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    paired = paired.select("band", "doc_id", "component", "block", "text", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return paired.groupBy("band", "low", "high").applyInArrow(_compare_blocks(k, percent), "a long, b long")
+    each = own.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = each.groupBy("band").agg(F.max_by(F.struct("component", "n", "size"), F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("main.n < n")
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK_MEMBERS, size / BLOCK_TEXT, F.lit(1.0))).cast("int")
+    mixed = mixed.select("band", F.col("main.component").alias("main"), parts(F.col("n"), F.col("size")).alias("parts"), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("open_parts"))
+    block = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = own.drop("size").join(mixed, "band")
+    as_all = dealt.select("band", "doc_id", "component", F.lit(False).alias("open"), every("open_parts").alias("row"), block("parts", 1).alias("column"))
+    as_open = dealt.filter("component <> main").select("band", "doc_id", "component", F.lit(True).alias("open"), block("open_parts", 2).alias("row"), every("parts").alias("column"))
+    needed = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    return as_all.unionByName(as_open).join(needed, "doc_id").groupBy("band", "row", "column").applyInArrow(_compare_blocks(k, percent), "a long, b long")
 
 
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:

@@ -141,7 +141,7 @@ def test_stage_keeps_documents_without_or_with_clashing_ids(spark):
 
 
 def test_hub_with_several_texts_and_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
+    monkeypatch.setattr(near_dedup, "HUB_MEMBERS", 2)
     base = [f"w{i}" for i in range(60)]
     rows = [(1, "other words of one"), (1, " ".join(base))] + [(2 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(9)]
     got = near_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
