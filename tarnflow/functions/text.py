@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ IMAGE_URL = r"(?i)(https?://[^\s)]+\.(?:png|jpg|jpeg|gif|webp|svg))"
 NOISY_HEADING = r"(?i)^(?:Page$|Page\s+\d+|\(Illustration\s+#?\d+\)|Illustration\s+#?\d+|Figure\s+#?\d+$|Table\s+#?\d+$|English Original Instructions|Original Instructions)"
 LINK_OF_THREE = r"\[[^|\]]+\|[^|\]]*\|([^|\]]+)\]"
 NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+#: All characters of Unicode white space.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def either(patterns: list[str], flags: str = "") -> str:
+    """One pattern for any of ``patterns``."""
+    return "|".join(f"(?:{flags}{p})" for p in patterns)
 
 
 def words(c: Column) -> Column:
@@ -30,37 +44,50 @@ def token_estimate(c: Column, mode: str = "chars4") -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def content_signals(c: Column, image_urls: Column) -> Column:
     """Words, sentences, shares of letters and digits, share of lines in columns, and whether there are images."""
-    text = F.coalesce(c, F.lit(""))
-    n, chars = word_count(text), F.length(text)
-    found = F.regexp_count(text, F.lit(r"[.!?]+"))
-    lines = F.split(text, "\n")
-    columns = F.size(F.filter(lines, lambda x: x.rlike(r"\S+\s{3,}\S+\s{3,}\S+") | x.contains("\t") | x.contains("|")))
-    share = lambda p: F.when(chars > 0, F.regexp_count(text, F.lit(p)) / chars).otherwise(F.lit(0.0))
-    return F.struct(
-        n.alias("word_count"), F.when((found == 0) & (n > 0), F.lit(1)).otherwise(found).alias("sentence_count"), share(r"\p{L}").alias("alpha_ratio"), share(r"\p{Nd}").alias("numeric_ratio"),
-        F.when(F.size(lines) < 2, F.lit(0.0)).otherwise(columns / F.size(lines)).alias("table_density"), (F.size(image_urls) > 0).alias("has_images"),
-    )
+    in_columns = lambda x: x.rlike(r"\S+\s{3,}\S+\s{3,}\S+") | x.contains("\t") | x.contains("|")
+
+    def counted(text: Column) -> Column:
+        return F.struct(
+            word_count(text).alias("n"), F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[.!?]+")).alias("ends"), F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"),
+            F.regexp_count(text, F.lit(r"\p{Nd}")).alias("digits"), let(F.split(text, "\n"), lambda x: F.struct(F.size(x).alias("all"), F.size(F.filter(x, in_columns)).alias("columns"))).alias("lines"),
+        )
+
+    def shares(m: Column) -> Column:
+        share = lambda k: F.when(m["chars"] > 0, m[k] / m["chars"]).otherwise(F.lit(0.0))
+        return F.struct(
+            m["n"].alias("word_count"), F.when((m["ends"] == 0) & (m["n"] > 0), F.lit(1)).otherwise(m["ends"]).alias("sentence_count"), share("letters").alias("alpha_ratio"), share("digits").alias("numeric_ratio"),
+            F.when(m["lines"]["all"] < 2, F.lit(0.0)).otherwise(m["lines"]["columns"] / m["lines"]["all"]).alias("table_density"), (F.size(image_urls) > 0).alias("has_images"),
+        )
+
+    return let(let(F.coalesce(c, F.lit("")), counted), shares)
 
 
 def content_type(signals: Column, c: Column) -> Column:
     """The first rule that fits: image_only, table, reference, narrative, else reference."""
-    s, low = signals, F.lower(c)
-    dated = low.contains("issue") & low.rlike(r"\d{4}") & (s["word_count"] < 50)
-    reference = (s["numeric_ratio"] > 0.3) | low.contains("...") | low.contains(". . .") | dated | low.contains("copyright") | low.contains("©") | ((s["word_count"] < 30) & (s["sentence_count"] < 2)) | (s["alpha_ratio"] < 0.5)
-    narrative = (s["sentence_count"] >= 2) & (s["alpha_ratio"] >= 0.65) & (s["numeric_ratio"] <= 0.3)
-    return F.when(s["has_images"] & (s["word_count"] < 20), "image_only").when(s["table_density"] >= 0.4, "table").when(reference, "reference").when(narrative, "narrative").otherwise("reference")
+
+    def kind(x: Column) -> Column:
+        s, low = x["s"], x["low"]
+        dated = low.contains("issue") & low.rlike(r"\d{4}") & (s["word_count"] < 50)
+        reference = (s["numeric_ratio"] > 0.3) | low.contains("...") | low.contains(". . .") | dated | low.contains("copyright") | low.contains("©") | ((s["word_count"] < 30) & (s["sentence_count"] < 2)) | (s["alpha_ratio"] < 0.5)
+        narrative = (s["sentence_count"] >= 2) & (s["alpha_ratio"] >= 0.65) & (s["numeric_ratio"] <= 0.3)
+        return F.when(s["has_images"] & (s["word_count"] < 20), "image_only").when(s["table_density"] >= 0.4, "table").when(reference, "reference").when(narrative, "narrative").otherwise("reference")
+
+    return let(F.struct(signals.alias("s"), F.lower(c).alias("low")), kind)
 
 
 def should_embed(signals: Column, kind: Column) -> Column:
-    s = signals
-    prose = (s["sentence_count"] >= 2) & (s["alpha_ratio"] >= 0.6) & (s["numeric_ratio"] <= 0.4)
-    long = (s["word_count"] >= 50) & (s["alpha_ratio"] >= 0.7) & (s["sentence_count"] >= 1)
-    return ~kind.isin("table", "reference", "image_only") & (s["word_count"] >= 20) & (prose | long)
+    def judged(x: Column) -> Column:
+        s = x["s"]
+        prose = (s["sentence_count"] >= 2) & (s["alpha_ratio"] >= 0.6) & (s["numeric_ratio"] <= 0.4)
+        long = (s["word_count"] >= 50) & (s["alpha_ratio"] >= 0.7) & (s["sentence_count"] >= 1)
+        return ~x["kind"].isin("table", "reference", "image_only") & (s["word_count"] >= 20) & (prose | long)
+
+    return let(F.struct(signals.alias("s"), kind.alias("kind")), judged)
 
 
 def content_type_light(c: Column) -> Column:

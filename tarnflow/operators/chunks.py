@@ -1,13 +1,15 @@
 """Chunks from sections: order-dependent packing in one small helper per document, overlap, and whole chunkers.
 
 Packing is greedy with resets, which a running sum can't express; it runs over one row per document that holds the
-document's sections as an array, in Arrow batches. Everything before and after is built-in.
+document's sections as an array, in Arrow batches. Everything before and after is built-in, and the chunkers of manuals
+keep a document in its row from its text to its chunks: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +17,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrow import map_batches
+from . import line_arrays as A
 from . import lines as L
 
-_UNIT = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())]))
-Piece = tuple[str | None, str]
+_UNIT = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string()), ("images", pa.list_(pa.string()))]))
+UNITS = "array<struct<heading:string,content:string,images:array<string>>>"
+
+
+class Piece(NamedTuple):
+    """A section or chunk with its heading and the links of its images."""
+
+    heading: str | None
+    content: str
+    images: tuple[str, ...] = ()
+
+    def plus(self, other: Piece) -> Piece:
+        """This piece and the ``other`` after it under its heading, with all their images."""
+        return Piece(self.heading, f"{self.content}\n\n{other.content}", tuple(sorted({*self.images, *other.images})))
 
 
 def words(text: str) -> int:
@@ -34,24 +50,24 @@ def chars4(text: str) -> int:
 
 
 def split_oversized(units: list[Piece], limit: int = 700) -> list[Piece]:
-    """Sections over ``limit`` tokens by greedy paragraphs; one huge paragraph stays whole."""
+    """Sections over ``limit`` tokens by greedy paragraphs, images with the first; one huge paragraph stays whole."""
     out: list[Piece] = []
-    for heading, content in units:
-        if chars4(content) <= limit:
-            out.append((heading, content))
+    for unit in units:
+        if chars4(unit.content) <= limit:
+            out.append(unit)
             continue
-        held, size = [], 0
-        for part in (p.strip() for p in re.split(r"\n\s*\n", content)):
+        held, size, images = [], 0, unit.images
+        for part in (p.strip() for p in re.split(r"\n\s*\n", unit.content)):
             if not part:
                 continue
             n = chars4(part)
             if held and size + n > limit:
-                out.append((heading, "\n\n".join(held)))
-                held, size = [], 0
+                out.append(Piece(unit.heading, "\n\n".join(held), images))
+                held, size, images = [], 0, ()
             held.append(part)
             size += n
         if held:
-            out.append((heading, "\n\n".join(held)))
+            out.append(Piece(unit.heading, "\n\n".join(held), images))
     return out
 
 
@@ -61,18 +77,17 @@ def merge_small(units: list[Piece], least: int = 80) -> list[Piece]:
         out: list[Piece] = []
         i = 0
         while i < len(units):
-            heading, content = units[i]
-            n = chars4(content)
+            unit, n = units[i], chars4(units[i].content)
             if n < least:
-                if i + 1 < len(units) and (units[i + 1][0] == heading or (n < 40 and chars4(units[i + 1][1]) < least)):
-                    out.append((heading if heading is not None else units[i + 1][0], f"{content}\n\n{units[i + 1][1]}"))
+                if i + 1 < len(units) and (units[i + 1].heading == unit.heading or (n < 40 and chars4(units[i + 1].content) < least)):
+                    out.append(unit.plus(units[i + 1]))
                     i += 2
                     continue
-                if out and (out[-1][0] == heading or n < 40):
-                    out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{content}")
+                if out and (out[-1].heading == unit.heading or n < 40):
+                    out[-1] = out[-1].plus(unit)
                     i += 1
                     continue
-            out.append((heading, content))
+            out.append(unit)
             i += 1
         if len(out) == len(units):
             return out
@@ -91,44 +106,45 @@ def sentences(text: str) -> list[str]:
 def pack_sentences(units: list[Piece], limit: int = 600, target: int = 350) -> list[Piece]:
     """Sections over ``limit`` by greedy sentences to ``target``; a new chunk starts with the last two sentences before it."""
     out: list[Piece] = []
-    for heading, content in units:
-        if words13(content) <= limit:
-            out.append((heading, content))
+    for unit in units:
+        if words13(unit.content) <= limit:
+            out.append(unit)
             continue
         held: list[str] = []
         size, made = 0, 0
-        for s in sentences(content):
+        named = lambda n, heading=unit.heading: heading if not n or heading is None else f"{heading} (continued)"
+        for s in sentences(unit.content):
             n = words13(s)
             if held and size + n > target:
-                out.append((heading if not made or heading is None else f"{heading} (continued)", "\n".join(held)))
+                out.append(Piece(named(made), "\n".join(held)))
                 made += 1
                 held = held[-2:]
                 size = sum(map(words13, held))
             held.append(s)
             size += n
         if held:
-            out.append((heading if not made or heading is None else f"{heading} (continued)", "\n".join(held)))
+            out.append(Piece(named(made), "\n".join(held)))
     return out
 
 
 def merge_small_into_previous(units: list[Piece], least: int = 80, most: int = 600) -> list[Piece]:
     out: list[Piece] = []
-    for heading, content in units:
-        if out and words13(content) < least and words13(out[-1][1]) + words13(content) <= most:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{content}")
+    for unit in units:
+        if out and words13(unit.content) < least and words13(out[-1].content) + words13(unit.content) <= most:
+            out[-1] = out[-1].plus(unit)
         else:
-            out.append((heading, content))
+            out.append(unit)
     return out
 
 
 def combine_small_sections(units: list[Piece], least: int = 180, most: int = 450) -> list[Piece]:
     """A section joins the one before while that is small or both fit, on true counts."""
     out: list[Piece] = []
-    for heading, content in units:
-        if out and (words(out[-1][1]) < least or words(out[-1][1]) + words(content) <= most):
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{heading + chr(10) if heading else ''}{content}")
+    for unit in units:
+        if out and (words(out[-1].content) < least or words(out[-1].content) + words(unit.content) <= most):
+            out[-1] = out[-1].plus(Piece(None, f"{unit.heading + chr(10) if unit.heading else ''}{unit.content}", unit.images))
         else:
-            out.append((heading, content))
+            out.append(unit)
     return out
 
 
@@ -137,38 +153,48 @@ def segment_steps(units: list[Piece], max_chars: int = 1200, max_steps: int = 5)
     out: list[Piece] = []
     held: list[str] = []
     chars = steps = 0
-    for heading, content in units:
+    for heading, content, _ in units:
         n, step = len(content) + len(heading or "Introduction") + 10, int(heading is not None)
         if held and (chars + n > max_chars or steps + step > max_steps):
-            out.append((None, "\n\n".join(held)))
+            out.append(Piece(None, "\n\n".join(held)))
             held, chars, steps = [], 0, 0
         held.append(f"{heading}\n{content}" if heading else content)
         chars, steps = chars + n, steps + step
     if held:
-        out.append((None, "\n\n".join(held)))
+        out.append(Piece(None, "\n\n".join(held)))
     return out
 
 
-def pack(sections: DataFrame, *rules: Callable[[list[Piece]], list[Piece]]) -> DataFrame:
-    """``sections(doc_id, section_no, heading, content)`` through ``rules`` -> ``(doc_id, chunk_index, heading, content)``."""
+def pack_units(documents: DataFrame, *rules: Callable[[list[Piece]], list[Piece]]) -> DataFrame:
+    """``documents(doc_id, units)``, the sections of a document in order, through ``rules`` -> the same with chunks as units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for units in batch.column(1).to_pylist():
-                pieces = [(u["heading"], u["content"]) for u in units]
-                for rule in rules:
-                    pieces = rule(pieces)
-                packed.append([{"heading": h, "content": c} for h, c in pieces])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, _UNIT)], names=["doc_id", "units"])
+            for at in range(0, batch.num_rows, 64):  # few documents at once as Python objects
+                part = batch.slice(at, 64)
+                packed = []
+                for units in part.column(1).to_pylist():
+                    pieces = [Piece(u["heading"], u["content"], tuple(u["images"] or ())) for u in units]
+                    for rule in rules:
+                        pieces = rule(pieces)
+                    packed.append([{"heading": h, "content": c, "images": list(i)} for h, c, i in pieces])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, _UNIT)], names=["doc_id", "units"])
+
+    return map_batches(documents.select("doc_id", F.col("units").cast(UNITS)), run, f"doc_id {dict(documents.dtypes)['doc_id']}, units {UNITS}")
+
 
+def pack(sections: DataFrame, *rules: Callable[[list[Piece]], list[Piece]]) -> DataFrame:
+    """``sections(doc_id, section_no, heading, content)`` through ``rules`` -> ``(doc_id, chunk_index, heading, content)``."""
     ordered = F.array_sort(F.collect_list(F.struct("section_no", "heading", "content")))
-    arrays = sections.groupBy("doc_id").agg(F.transform(ordered, lambda u: F.struct(u["heading"].alias("heading"), u["content"].alias("content"))).alias("units"))
-    kind = dict(arrays.dtypes)["doc_id"]
-    out = arrays.mapInArrow(run, f"doc_id {kind}, units array<struct<heading:string,content:string>>")
+    arrays = sections.groupBy("doc_id").agg(F.transform(ordered, lambda u: _unit(u["heading"], u["content"])).alias("units"))
+    out = pack_units(arrays, *rules)
     return out.select("doc_id", F.posexplode("units").alias("chunk_index", "u")).select("doc_id", "chunk_index", "u.heading", "u.content")
 
 
+def _unit(heading: Column, content: Column, images: Column | None = None) -> Column:
+    return F.struct(heading.alias("heading"), content.alias("content"), (F.array().cast("array<string>") if images is None else images).alias("images"))
+
+
 def paragraph_groups(docs: DataFrame, n: int = 4, text_col: str = "text") -> DataFrame:
     """Every ``n`` paragraphs of a document as an unnamed section."""
     paragraphs = F.filter(F.transform(F.split(text_col, r"\n\s*\n"), T.strip), lambda p: p != "")
@@ -178,34 +204,53 @@ def paragraph_groups(docs: DataFrame, n: int = 4, text_col: str = "text") -> Dat
     return grouped.select("doc_id", "section_no", F.lit(None).cast("string").alias("heading"), "content")
 
 
+def _slices(content: Column, most: int = 450, overlap: int = 50, safety: int = 8) -> Column:
+    """A text over ``most`` words in windows that overlap."""
+    size, step = most - safety, most - safety - overlap
+    windows = lambda tokens: F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)), lambda i: F.array_join(F.slice(tokens, i + 1, size), " "))
+    return T.let(T.words(content), lambda tokens: F.when(F.size(tokens) > most, windows(tokens)).otherwise(F.array(content)))
+
+
 def slice_tokens(sections: DataFrame, most: int = 450, overlap: int = 50, safety: int = 8) -> DataFrame:
     """Sections over ``most`` words in windows that overlap; the heading on the first only. Built-in."""
-    size, step = most - safety, most - safety - overlap
-    tokens, n = T.words(F.col("content")), F.size(T.words(F.col("content")))
-    windows = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.array_join(F.slice(tokens, i + 1, size), " "))
-    pieces = F.when(n > most, windows).otherwise(F.array("content"))
-    out = sections.select("doc_id", "section_no", "heading", F.posexplode(pieces).alias("piece_no", "content"))
+    out = sections.select("doc_id", "section_no", "heading", F.posexplode(_slices(F.col("content"), most, overlap, safety)).alias("piece_no", "content"))
     return out.withColumn("heading", F.when(F.col("piece_no") == 0, F.col("heading")))
 
 
+def _overlapped(content: Column, heading: Column, before: Column, head: Column, ratio: float) -> Column:
+    """A chunk after the chunk ``before`` it with heading ``head``: its text, heading, and what overlaps."""
+
+    def tailed(n: Column) -> Column:
+        def cut(tail: Column) -> Column:
+            stop, space = F.locate(". ", tail, 1), F.locate(" ", tail, 1)
+            return T.strip(
+                F.when((stop > 0) & (stop - 1 < F.floor(F.length(tail) / 2)) & (stop + 1 < F.length(tail)), F.substr(tail, stop + 2))
+                .when((space > 1) & (space - 1 < F.floor(F.length(tail) / 3)), F.substr(tail, space + 1)).otherwise(tail)
+            )
+
+        usable = F.coalesce((n > 0) & (F.length(before) > n * 4), F.lit(False))
+        return F.struct(n.alias("n"), F.when(usable, T.let(F.right(before, n * 4), cut)).otherwise("").alias("text"))
+
+    def built(o: Column) -> Column:
+        has = F.coalesce(o["text"] != "", F.lit(False))
+        continued = F.when(heading.isNull() & head.isNotNull(), F.concat(F.lit("Continued: "), head)).when(heading == head, F.concat(F.lit("Continued: "), heading)).otherwise(heading)
+        return F.struct(
+            F.when(has, continued).otherwise(heading).alias("heading"), F.when(has, F.concat(o["text"], F.lit("\n\n"), content)).otherwise(content).alias("content"),
+            has.alias("has_overlap"), F.when(has, o["n"]).alias("overlap_tokens"),
+        )
+
+    return T.let(T.let(F.floor(F.floor(F.length(before) / 4) * ratio).cast("int"), tailed), built)
+
+
 def overlap_chunks(chunks: DataFrame, ratio: float = 0.15) -> DataFrame:
     """Each chunk but the first starts with the end of the one before: from a sentence in the first half of the last
     ``ratio`` of its tokens, else from a space in the first third."""
     order = W.partitionBy("doc_id").orderBy("chunk_index")
-    before, head = F.lag("content").over(order), F.lag("heading").over(order)
-    rows = chunks.withColumn("__before", before).withColumn("__head", head)
-    n = F.floor(F.floor(F.length("__before") / 4) * ratio).cast("int")
-    tail = F.right(F.col("__before"), n * 4)
-    stop, space = F.locate(". ", tail, 1), F.locate(" ", tail, 1)
-    usable = F.coalesce((n > 0) & (F.length("__before") > n * 4), F.lit(False))
-    cut = F.when((stop > 0) & (stop - 1 < F.floor(F.length(tail) / 2)) & (stop + 1 < F.length(tail)), F.substr(tail, stop + 2)).when((space > 1) & (space - 1 < F.floor(F.length(tail) / 3)), F.substr(tail, space + 1)).otherwise(tail)
-    text = T.strip(cut)
-    has = usable & (text != "")
-    rows = rows.withColumn("has_overlap", F.coalesce(has, F.lit(False))).withColumn("overlap_tokens", F.when(F.col("has_overlap"), n))
-    rows = rows.withColumn("content", F.when(F.col("has_overlap"), F.concat(text, F.lit("\n\n"), F.col("content"))).otherwise(F.col("content")))
-    continued = F.when(F.col("heading").isNull() & F.col("__head").isNotNull(), F.concat(F.lit("Continued: "), "__head")).when(F.col("heading") == F.col("__head"), F.concat(F.lit("Continued: "), "heading")).otherwise(F.col("heading"))
-    rows = rows.withColumn("heading", F.when(F.col("has_overlap"), continued).otherwise(F.col("heading")))
-    return rows.withColumn("token_count", T.token_estimate(F.col("content"))).drop("__before", "__head")
+    rows = chunks.withColumn("__before", F.lag("content").over(order)).withColumn("__head", F.lag("heading").over(order))
+    rows = rows.withColumn("__o", _overlapped(F.col("content"), F.col("heading"), F.col("__before"), F.col("__head"), ratio))
+    for name in ("heading", "content", "has_overlap", "overlap_tokens"):
+        rows = rows.withColumn(name, F.col("__o")[name])
+    return rows.withColumn("token_count", T.token_estimate(F.col("content"))).drop("__before", "__head", "__o")
 
 
 def step_overlap_segments(items: DataFrame) -> DataFrame:
@@ -222,48 +267,74 @@ def step_overlap_segments(items: DataFrame) -> DataFrame:
     )
 
 
-def pack_embedding_batches(rows: DataFrame, max_requests: int = 50_000, max_bytes: int = 188_743_680) -> DataFrame:
-    """``rows(family_id, position, chunk_id, bytes)`` -> ``batch_no``: by running sums, so a family needs no single task's memory.
+def pack_embedding_batches(rows: DataFrame, max_items: int = 50_000, max_size: int = 188_743_680, size_col: str = "bytes") -> DataFrame:
+    """``rows(family_id, position, chunk_id, bytes)`` -> ``(family_id, chunk_id, batch_no)``: greedy in the order of a family.
 
-    A batch takes the rows whose request count and bytes before them fall into it; bytes are counted against the limit
-    less the family's largest row, so no batch is over. Greedy filling would save part of a batch for each.
+    A row opens a new batch where the open one has ``max_items`` rows or its sizes would come over ``max_size``; a row over it
+    alone is a batch. With the words of chunks as ``size_col``, 2,040 items and 298,000 words it is the second form of the rule.
+    Greedy filling goes row by row, so a family is one task's work; it streams past and holds no more than the open batch's sums.
     """
-    order = W.partitionBy("family_id").orderBy("position", "chunk_id")
-    room = F.greatest(F.lit(max_bytes) - F.max("bytes").over(W.partitionBy("family_id")), F.lit(1))
-    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    number = F.row_number().over(order) - 1
-    keyed = rows.withColumn("__a", F.floor(before / room)).withColumn("__b", F.floor(number / max_requests))
-    return keyed.withColumn("batch_no", F.dense_rank().over(W.partitionBy("family_id").orderBy("__a", "__b")) - 1).drop("__a", "__b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, number, items, size = object(), 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != family:
+                    family, number, items, size = name, 0, 0, 0
+                elif items >= max_items or size + n > max_size:
+                    number, items, size = number + 1, 0, 0
+                items, size = items + 1, size + n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["family_id", "chunk_id", "batch_no"])
+
+    kinds = dict(rows.dtypes)
+    ordered = rows.repartition("family_id").sortWithinPartitions("family_id", "position", "chunk_id")
+    sizes = ordered.select("family_id", "chunk_id", F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
+    return map_batches(sizes, run, f"family_id {kinds['family_id']}, chunk_id {kinds['chunk_id']}, batch_no long")
 
 
 def light_sections(docs: DataFrame, text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
-    clean = docs.select(F.col(id_col).alias("doc_id"), T.without_images(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")).alias("raw_content"))
-    kept = L.drop_noise_lines_light(L.lines_of(clean)).withColumn("line", F.regexp_replace("line", r"[ \t]+", " "))
-    merged = L.merge_wrapped_lines(kept, light=True)
-    return L.split_sections(L.detect_headings(merged, "light"), 5, True)
+    """``(doc_id, section_no, heading, content)``, a row for each section."""
+    units = _light_units(docs, text_col, id_col).select("doc_id", F.posexplode("units").alias("section_no", "u"))
+    return units.select("doc_id", "section_no", "u.heading", "u.content")
+
+
+def _light_units(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    text = T.without_images(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.transform(A.light_sections(text), lambda u: _unit(u["heading"], u["content"])).alias("units"))
+
 
+def _universal_units(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Sections, the links of all images with the first."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), T.image_urls(text).alias("images"), A.universal_sections(T.without_images(text)).alias("sections"))
+    return rows.select("doc_id", F.transform("sections", lambda u, i: _unit(u["heading"], u["content"], F.when(i == 0, F.col("images")).otherwise(none))).alias("units"))
 
-def universal_sections(docs: DataFrame, text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
-    clean = docs.select(F.col(id_col).alias("doc_id"), T.without_images(F.coalesce(F.col(text_col), F.lit(""))).alias("raw_content"))
-    rows = L.drop_toc_sections(L.lines_of(clean), english_only=True)
-    blank = T.strip(F.col("line")) == ""
-    rows = L.drop_noise_lines(rows).filter(blank | ~L.is_contents_line(T.strip(F.col("line")))).withColumn("line", F.regexp_replace("line", " +", " "))
-    rows = L.drop_junk_lines(L.merge_wrapped_lines(rows))
-    return L.split_sections(L.detect_headings(rows, "universal")).withColumn("heading", T.normalize_heading(F.col("heading")))
+
+def _exploded(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.posexplode("units").alias("chunk_index", "u"))
 
 
 def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
-    """Documents to chunks: cleaning, sections, packing, classes (and overlap for ``universal``)."""
+    """Documents to chunks: cleaning, sections, packing, classes (overlap and image links for ``universal``).
+
+    A document without text, or of noise only, has no chunks. ``guide`` shuffles once, by document; the others not at all.
+    """
     if mode == "universal":
-        chunks = overlap_chunks(pack(universal_sections(docs, text_col, id_col), split_oversized, merge_small))
-        signals = T.content_signals(F.col("content"), F.array().cast("array<string>"))
-        return chunks.withColumn("content_type", T.content_type(signals, F.col("content")))
+        packed = pack_units(_universal_units(docs, text_col, id_col), split_oversized, merge_small)
+        kinds = F.transform("units", lambda u: F.struct(u.alias("u"), T.content_type(T.content_signals(u["content"], u["images"]), u["content"]).alias("kind")))
+        rows = packed.select("doc_id", kinds.alias("units"))
+        before = lambda units, i, name: F.get(units, i - 1)["u"][name]
+        lapped = T.let(F.col("units"), lambda units: F.transform(units, lambda x, i: F.struct(_overlapped(x["u"]["content"], x["u"]["heading"], before(units, i, "content"), before(units, i, "heading"), 0.15).alias("o"), x["kind"].alias("kind"), x["u"]["images"].alias("images"))))
+        chunks = _exploded(rows.select("doc_id", lapped.alias("units")))
+        return chunks.select("doc_id", "chunk_index", "u.o.*", T.token_estimate(F.col("u.o.content")).alias("token_count"), F.col("u.kind").alias("content_type"), F.col("u.images").alias("image_urls"))
     if mode == "final":
-        lines = L.normalize_pdf_markdown(L.lines_of(docs, text_col, id_col))
-        sections = pack(L.split_sections(L.detect_headings(lines, "markdown"), 1), combine_small_sections).withColumnRenamed("chunk_index", "section_no")
-        out = slice_tokens(sections)
-        index = F.row_number().over(W.partitionBy("doc_id").orderBy("section_no", "piece_no")) - 1
-        chunks = out.withColumn("chunk_index", index).drop("section_no", "piece_no")
+        sections = docs.select(F.col(id_col).alias("doc_id"), A.final_sections(F.coalesce(F.col(text_col), F.lit(""))).alias("units"))
+        units = sections.select("doc_id", F.transform("units", lambda u: _unit(u["heading"], u["content"])).alias("units"))
+        sliced = F.flatten(F.transform("units", lambda u: F.transform(_slices(u["content"]), lambda c, i: F.struct(F.when(i == 0, u["heading"]).alias("heading"), c.alias("content")))))
+        chunks = _exploded(pack_units(units, combine_small_sections).select("doc_id", sliced.alias("units"))).select("doc_id", "chunk_index", "u.*")
         return chunks.withColumn("token_count", T.token_estimate(F.col("content"), "words")).withColumn("content_type", T.content_type_light(F.col("content")))
     if mode == "guide":
         rows = L.guide_steps(L.drop_guide_noise_lines(L.lines_of(docs, text_col, id_col)))
@@ -273,7 +344,8 @@ def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_c
         heading = F.when(F.col("step") > 0, F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "), T.display_heading(F.col("heading"), body)))
         sections = items.select("doc_id", F.col("step").alias("section_no"), heading.alias("heading"), body.alias("content")).filter("content <> ''")
         return pack(sections, segment_steps).withColumn("token_count", T.token_estimate(F.col("content"), "words")).withColumn("content_type", F.lit("narrative"))
-    chunks = pack(light_sections(docs, text_col, id_col), pack_sentences, merge_small_into_previous)
+    packed = pack_units(_light_units(docs, text_col, id_col), pack_sentences, merge_small_into_previous)
+    chunks = _exploded(packed).select("doc_id", "chunk_index", "u.heading", "u.content")
     return chunks.withColumn("token_count", T.token_estimate(F.col("content"), "words13")).withColumn("content_type", T.content_type_light(F.col("content")))
 
 

@@ -1,6 +1,7 @@
 """Operators on documents as ordered lines ``(doc_id, line_no, line)``: noise, contents pages, wraps, headings, sections, steps.
 
 All windows share one specification (partitioned by document, ordered by line), so a chain of them shuffles once.
+Whole documents that keep their lines in an array are treated by ``line_arrays`` without any shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import either, let, strip
 
 # Line patterns of extracted manuals.
 NOISE = [
@@ -37,6 +38,8 @@ FOREIGN = {
     ],
 }
 ARTICLE_PATTERN = f"{_B}(?:e|o|a)\\s"
+MARKDOWN_HEADING = r"^(#{1,6})\s+"
+URL_MARK = r"(?i)\burl:\s*"
 GUIDE_IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
 
 
@@ -54,19 +57,16 @@ def text_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text"))
 
 
-def _any(c: Column, patterns: list[str], flags: str = "") -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(flags + p)
-    return out
+def any_of(c: Column, patterns: list[str], flags: str = "") -> Column:
+    return c.rlike(either(patterns, flags))
 
 
 def drop_noise_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter((strip(F.col("line")) == "") | ~_any(strip(F.col("line")), NOISE))
+    return lines.filter((strip(F.col("line")) == "") | ~any_of(strip(F.col("line")), NOISE))
 
 
 def drop_noise_lines_light(lines: DataFrame) -> DataFrame:
-    return lines.filter((strip(F.col("line")) == "") | ~_any(strip(F.col("line")), NOISE_LIGHT, "(?i)"))
+    return lines.filter((strip(F.col("line")) == "") | ~any_of(strip(F.col("line")), NOISE_LIGHT, "(?i)"))
 
 
 def is_contents_line(line: Column) -> Column:
@@ -77,28 +77,42 @@ def drop_toc_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(~is_contents_line(strip(F.col("line"))))
 
 
+def is_junk(s: Column) -> Column:
+    """Of a stripped line that isn't blank."""
+    return any_of(s, JUNK) | (s.rlike(r"^[\d\s\-\(\)]+$") & (F.length(s) < 15))
+
+
 def drop_junk_lines(lines: DataFrame) -> DataFrame:
     """Lines without junk, stripped; at most one blank line in a row; ``url:`` inside a line removed."""
-    s = strip(F.col("line"))
-    short = s.rlike(r"^[\d\s\-\(\)]+$") & (F.length(s) < 15)
-    kept = lines.withColumn("line", s).filter((F.col("line") == "") | ~(_any(F.col("line"), JUNK) | (short & (s != ""))))
+    kept = lines.withColumn("line", strip(F.col("line"))).filter((F.col("line") == "") | ~is_junk(F.col("line")))
     squeezed = kept.withColumn("__before", F.lag("line").over(document())).filter((F.col("line") != "") | (F.col("__before") != "")).drop("__before")
-    return squeezed.withColumn("line", F.regexp_replace("line", r"(?i)\burl:\s*", ""))
+    return squeezed.withColumn("line", F.regexp_replace("line", URL_MARK, ""))
+
+
+def _after_border(patterns: list[str]) -> str:
+    """One pattern for any of ``patterns``, which looks for a word's start once for all that begin with one."""
+    inner = [p.removeprefix(_B) for p in patterns if p.startswith(_B)]
+    return either([f"{_B}(?:{either(inner)})", *[p for p in patterns if not p.startswith(_B)]])
 
 
-def foreign_score(line: Column, strict_parity: bool = True) -> Column:
-    low, score = F.lower(line), F.lit(0)
-    for weight, patterns in FOREIGN.items():
-        for p in patterns:
-            if strict_parity or p != ARTICLE_PATTERN:
-                score = score + F.when(low.rlike(p), weight).otherwise(0)
-    return score
+def is_foreign(line: Column, strict_parity: bool = True) -> Column:
+    """Whether the weights of the patterns that a line matches add up to more than 3: one of weight 5, or two of weight 3."""
+    strong = [p for p in FOREIGN[5] if strict_parity or p != ARTICLE_PATTERN]
+    weak = FOREIGN[3]
+
+    def judged(low: Column) -> Column:
+        hits = F.lit(0)
+        for p in weak:
+            hits = hits + low.rlike(p).cast("int")
+        return low.rlike(_after_border(strong)) | (low.rlike(_after_border(weak)) & (hits > 1))
+
+    return let(F.lower(line), judged)
 
 
 def english_lines(lines: DataFrame, strict_parity: bool = True) -> DataFrame:
     """Lines that don't score as Italian, Spanish, French or German. With ``strict_parity`` the single words e, o and a
     count as Italian, so English lines with the article are dropped too."""
-    return lines.filter((F.length(strip(F.col("line"))) < 3) | (foreign_score(F.col("line"), strict_parity) <= 3))
+    return lines.filter((F.length(strip(F.col("line"))) < 3) | ~is_foreign(F.col("line"), strict_parity))
 
 
 def drop_guide_noise_lines(lines: DataFrame) -> DataFrame:
@@ -114,22 +128,31 @@ def is_major_heading(line: Column) -> Column:
     return (_is_upper(line) & (F.length(line) > 3)) | line.rlike(r"^\d+\.\s+[A-Z]") | line.startswith("#")
 
 
+def contents_event(s: Column) -> Column:
+    """Of a stripped line: ``open`` where a contents section begins, ``close`` at a major heading, else null."""
+    return F.when(s == "", F.lit(None)).when(any_of(s, CONTENTS), F.lit("open")).when(is_major_heading(s), F.lit("close"))
+
+
 def drop_toc_sections(lines: DataFrame, english_only: bool = False) -> DataFrame:
     """Contents sections removed: a contents heading opens one, the next major heading ends it and stays; blank lines stay."""
     if english_only:
         lines = english_lines(lines)
     s = strip(F.col("line"))
-    event = F.when(s == "", F.lit(None)).when(_any(s, CONTENTS), F.lit("open")).when(is_major_heading(s), F.lit("close"))
-    state = F.last(event, ignorenulls=True).over(document().rowsBetween(W.unboundedPreceding, 0))
+    state = F.last(contents_event(s), ignorenulls=True).over(document().rowsBetween(W.unboundedPreceding, 0))
     return lines.withColumn("__state", state).filter((s == "") | F.coalesce(F.col("__state") != "open", F.lit(True))).drop("__state")
 
 
+def continues(s: Column, before: Column, stop: str, light: bool) -> Column:
+    """Whether a stripped line continues the one before it."""
+    first = F.substring(s, 1, 1)
+    return F.coalesce((s != "") & (before != "") & ~F.lit(stop + (")" if light else "")).contains(F.right(before, F.lit(1))) & (first != F.upper(first)), F.lit(False))
+
+
 def merge_wrapped_lines(lines: DataFrame, stop: str = ".!?:;", light: bool = False) -> DataFrame:
     """A line that starts lower-case continues a line that isn't blank and has no stop at its end; light also stops at
     ``)`` and never merges bullets. Gaps and islands: a merged run keeps the number of its first line."""
     s, before = strip(F.col("line")), strip(F.lag("line").over(document()))
-    first = F.substring(s, 1, 1)
-    joins = F.coalesce((s != "") & (before != "") & ~F.lit(stop + (")" if light else "")).contains(F.right(before, F.lit(1))) & (first != F.upper(first)), F.lit(False))
+    joins = continues(s, before, stop, light)
     run = F.sum(F.when(joins, 0).otherwise(1)).over(document().rowsBetween(W.unboundedPreceding, 0))
     marked = lines.withColumn("__joins", joins).withColumn("__run", run)
     parts = F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("__joins"), s).otherwise(F.col("line")).alias("line"))))
@@ -137,23 +160,26 @@ def merge_wrapped_lines(lines: DataFrame, stop: str = ".!?:;", light: bool = Fal
     return merged.select("doc_id", "line_no", F.array_join(F.transform("parts", lambda x, i: F.when(i < F.size("parts") - 1, F.rtrim(x)).otherwise(x)), " ").alias("line"))
 
 
-def detect_headings(lines: DataFrame, mode: str = "universal") -> DataFrame:
-    """Adds ``is_heading`` (and ``level`` for markdown)."""
-    s, following = strip(F.col("line")), strip(F.coalesce(F.lead("line").over(document()), F.lit("")))
-    if mode == "markdown":
-        level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+", 1))
-        return lines.withColumn("level", level).withColumn("is_heading", F.col("level") > 0)
+def is_heading(s: Column, following: Column, mode: str) -> Column:
+    """Of a stripped line and the stripped line that follows it."""
     last, first = F.right(s, F.lit(1)), F.substring(s, 1, 1)
     capital = (first == F.upper(first)) & (first != F.lower(first))
     if mode == "light":
-        fits = _any(s, HEADINGS_LIGHT) | (_is_upper(s) & F.length(s).between(3, 60)) | ((F.length(s) < 40) & capital & ~F.lit(".!?,;:").contains(last) & (F.length(following) > F.length(s)))
+        fits = any_of(s, HEADINGS_LIGHT) | (_is_upper(s) & F.length(s).between(3, 60)) | ((F.length(s) < 40) & capital & ~F.lit(".!?,;:").contains(last) & (F.length(following) > F.length(s)))
         found = (s != "") & (F.length(s) <= 100) & ~(s.contains(". ") & (F.length(s) > 50)) & fits
     else:
-        words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-        capitals = F.size(F.filter(words, lambda w: (F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1))) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))))
-        title = (F.length(s) < 60) & ~F.lit(".,;:!?").contains(last) & capital & (F.size(words) >= 2) & (capitals >= F.size(words) * 0.6) & (following != "")
+        is_capital = lambda w: (F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1))) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)))
+        titled = let(F.filter(F.split(s, r"\s+"), lambda w: w != ""), lambda words: (F.size(words) >= 2) & (F.size(F.filter(words, is_capital)) >= F.size(words) * 0.6))
+        title = (F.length(s) < 60) & ~F.lit(".,;:!?").contains(last) & capital & (following != "") & titled
         found = (F.length(s) >= 2) & (s.startswith("#") | (_is_upper(s) & (F.length(s) >= 3) & s.contains(" ")) | s.rlike(r"^(\d+\.)+\s+[A-Z]") | s.rlike(r"^[A-Z]\.\d+\s+") | title)
-    return lines.withColumn("is_heading", F.coalesce(found, F.lit(False)))
+    return F.coalesce(found, F.lit(False))
+
+
+def detect_headings(lines: DataFrame, mode: str = "universal") -> DataFrame:
+    """Adds ``is_heading`` (and ``level`` for markdown)."""
+    if mode == "markdown":
+        return lines.withColumn("level", F.length(F.regexp_extract("line", MARKDOWN_HEADING, 1))).withColumn("is_heading", F.col("level") > 0)
+    return lines.withColumn("is_heading", is_heading(strip(F.col("line")), strip(F.coalesce(F.lead("line").over(document()), F.lit(""))), mode))
 
 
 def split_sections(marked: DataFrame, min_chars: int = 10, prefix_heading: bool = False) -> DataFrame:
@@ -240,10 +266,15 @@ def document_identifier(docs: DataFrame, file_title: str = "title", text_col: st
     return docs.select(F.col(id_col).alias("doc_id"), found.alias("identifier"))
 
 
+def is_stray(s: Column) -> Column:
+    """Of a stripped line: a contents heading, or a bare short mark."""
+    return any_of(F.regexp_replace(s, r"^#+\s*", ""), CONTENTS) | (s.rlike(r"^[\d.\-•*\s]+$") & (F.length(s) <= 20) & (s != ""))
+
+
 def normalize_pdf_markdown(lines: DataFrame) -> DataFrame:
     """Contents headings and bare short marks dropped; the lines of a paragraph joined, headings apart."""
     s = strip(F.col("line"))
-    rows = lines.withColumn("line", s).filter(~_any(F.regexp_replace(F.col("line"), r"^#+\s*", ""), CONTENTS) & ~(F.col("line").rlike(r"^[\d.\-•*\s]+$") & (F.length("line") <= 20) & (F.col("line") != "")))
+    rows = lines.withColumn("line", s).filter(~is_stray(F.col("line")))
     plain = (F.col("line") != "") & ~F.col("line").startswith("#")
     rows = rows.withColumn("__plain", plain)
     joins = F.col("__plain") & F.coalesce(F.lag("__plain").over(document()), F.lit(False))

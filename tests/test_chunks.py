@@ -15,11 +15,19 @@ def random_units(rng):
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
     sentence = lambda: word().capitalize() + " " + " ".join(word() for _ in range(rng.randint(1, 30))) + rng.choice(".!?")
     paragraph = lambda: " ".join(sentence() for _ in range(rng.randint(1, 12)))
-    return [(rng.choice([None, "A", "B"]), "\n\n".join(paragraph() for _ in range(rng.randint(1, 9)))) for _ in range(rng.randint(1, 8))]
+    return [C.Piece(rng.choice([None, "A", "B"]), "\n\n".join(paragraph() for _ in range(rng.randint(1, 9))), (f"u{i}",) if rng.random() < 0.3 else ()) for i in range(rng.randint(1, 8))]
+
+
+def pairs(units):
+    return [(u.heading, u.content) for u in units]
+
+
+def pieces(*units):
+    return [C.Piece(*u) for u in units]
 
 
 def plain(units):
-    return "".join("".join(c for _, c in units).split())
+    return "".join("".join(u.content for u in units).split())
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -28,29 +36,41 @@ def test_packing_keeps_all_text(seed):
     assert plain(C.split_oversized(units, 120)) == plain(units)
     assert plain(C.merge_small(units)) == plain(units)
     assert plain(C.merge_small_into_previous(units)) == plain(units)
-    for h, c in C.split_oversized(units, 120):
-        assert C.chars4(c) <= 120 + len(c.split("\n\n")) or "\n\n" not in c
+    for u in C.split_oversized(units, 120):
+        assert C.chars4(u.content) <= 120 + len(u.content.split("\n\n")) or "\n\n" not in u.content
+    for rule in (lambda x: C.split_oversized(x, 120), C.merge_small):
+        assert sorted(i for u in rule(units) for i in u.images) == sorted(i for u in units for i in u.images)
 
 
 @pytest.mark.parametrize("seed", range(20))
 def test_sentences_overlap_by_two(seed):
-    units = [(h, c) for h, c in random_units(random.Random(seed)) if C.words13(c) > 100]
-    for heading, content in units:
-        pieces = C.pack_sentences([(heading, content)], 100, 60)
-        for (_, a), (name, b) in zip(pieces, pieces[1:], strict=False):
+    for unit in [u for u in random_units(random.Random(seed)) if C.words13(u.content) > 100]:
+        heading, found = unit.heading, pairs(C.pack_sentences([unit], 100, 60))
+        for (_, a), (name, b) in zip(found, found[1:], strict=False):
             assert a.split("\n")[-2:] == b.split("\n")[: len(a.split("\n")[-2:])]
             assert name in (None, f"{heading} (continued)")
 
 
 def test_merges_by_hand():
     small, tiny, big = "x" * 200, "y" * 100, "z" * 400
-    assert C.merge_small([("A", small), ("A", big)]) == [("A", f"{small}\n\n{big}")]
-    assert C.merge_small([("A", small), ("B", big)]) == [("A", small), ("B", big)]
-    assert C.merge_small([("A", tiny), ("B", small)]) == [("A", f"{tiny}\n\n{small}")]
-    assert C.merge_small([("A", big), ("B", tiny)]) == [("A", f"{big}\n\n{tiny}")]
-    assert C.combine_small_sections([("A", "a " * 100), ("B", "b " * 440), ("C", "c " * 300)])[0][1].startswith("a ")
-    assert len(C.combine_small_sections([("A", "a " * 200), ("B", "b " * 300)])) == 2
-    assert len(C.segment_steps([(None, "i" * 20)] + [(f"Step {i}: x", "b" * 50) for i in range(12)])) == 3
+    merged = lambda *units: pairs(C.merge_small(pieces(*units)))
+    assert merged(("A", small), ("A", big)) == [("A", f"{small}\n\n{big}")]
+    assert merged(("A", small), ("B", big)) == [("A", small), ("B", big)]
+    assert merged(("A", tiny), ("B", small)) == [("A", f"{tiny}\n\n{small}")]
+    assert merged(("A", big), ("B", tiny)) == [("A", f"{big}\n\n{tiny}")]
+    assert C.combine_small_sections(pieces(("A", "a " * 100), ("B", "b " * 440), ("C", "c " * 300)))[0].content.startswith("a ")
+    assert len(C.combine_small_sections(pieces(("A", "a " * 200), ("B", "b " * 300)))) == 2
+    assert len(C.segment_steps(pieces((None, "i" * 20), *[(f"Step {i}: x", "b" * 50) for i in range(12)]))) == 3
+
+
+def test_greedy_batches(spark):
+    """Row by row: a batch ends where the next row would be one too many or come over the size; an oversized row is alone."""
+    sizes = {1: [5, 5, 5, 90, 1, 120, 3], 2: [1] * 10}
+    rows = spark.createDataFrame([(f, i, 10 * f + i, n) for f, v in sizes.items() for i, n in enumerate(v)], "family_id int, position int, chunk_id int, words int").repartition(3)
+    got = {r.chunk_id: r.batch_no for r in C.pack_embedding_batches(rows, 4, 100, "words").collect()}
+    assert [got[10 + i] for i in range(7)] == [0, 0, 0, 1, 1, 2, 3]
+    assert [got[20 + i] for i in range(10)] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+    assert C.pack_embedding_batches(rows.limit(0), 4, 100, "words").collect() == []
 
 
 def test_blank_and_null_documents(spark):
