@@ -42,18 +42,25 @@ def match_guides_to_devices(guides: DataFrame, devices: DataFrame) -> DataFrame:
     """``guides(guide_id, category)``, ``devices(model_id, family_name, path, title, position)``: a guide's devices are those
     whose family, path or title contains its category; the first in tree order is primary.
 
-    Categories are made distinct first, and only they meet the devices: an inequality no hash can decide. The devices are
-    broadcast in blocks of a bounded number; matches go back to the guides by an equality.
+    A name that contains a category contains its three-letter parts, so a category meets only the devices that hold the
+    rarest of them, by an equality, and is then looked for in their names. Shorter categories meet the devices in
+    broadcast blocks. Categories are made distinct first; matches go back to the guides by an equality.
     """
+    parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     names = guides.select("guide_id", F.lower(F.trim("category")).alias("g")).filter("g <> ''")
     kinds = names.select("g").distinct()
     rows = devices.select("model_id", "path", "position", F.concat_ws("\n", _lower("family_name"), _lower("path"), _lower("title")).alias("hay"))
-    blocks = max(1, -(-rows.count() // BROADCAST_DEVICES))
-    found = None
-    for block in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("model_id"), F.lit(blocks)) == block)
-        hit = kinds.join(F.broadcast(part), F.col("hay").contains(F.col("g"))).select("g", "model_id", "path", "position")
-        found = hit if found is None else found.unionByName(hit)
+    held = rows.select("model_id", F.explode(parts(F.col("hay"))).alias("part"))
+    counts = held.groupBy("part").count()
+    asked = kinds.filter(F.length("g") >= 3).select("g", F.explode(parts(F.col("g"))).alias("part")).join(counts, "part", "left")
+    rarest = asked.groupBy("g").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "part")).alias("r")).filter("r.n > 0").select("g", F.col("r.part").alias("part"))
+    found = rarest.join(held, "part").join(rows, "model_id").filter(F.col("hay").contains(F.col("g"))).select("g", "model_id", "path", "position")
+    short = kinds.filter(F.length("g") < 3)
+    if not short.isEmpty():
+        blocks = max(1, -(-rows.count() // BROADCAST_DEVICES))
+        for block in range(blocks):
+            part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("model_id"), F.lit(blocks)) == block)
+            found = found.unionByName(short.join(F.broadcast(part), F.col("hay").contains(F.col("g"))).select("g", "model_id", "path", "position"))
     once = found.groupBy("g", "path").agg(F.min(F.struct("position", "model_id")).alias("m"))
     out = names.join(once, "g").select("guide_id", "path", "m.model_id", "m.position")
     return out.withColumn("is_primary", F.row_number().over(W.partitionBy("guide_id").orderBy("position", "model_id")) == 1)
@@ -65,7 +72,14 @@ def family_sources(models: DataFrame, sources: DataFrame, family_id: str) -> Dat
 
 def unembedded_chunks(models: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks without an embedding, with the family that they belong to, for all families at once."""
-    return chunks.filter("embedding IS NULL").join(sources.select("source_id", "model_id"), "source_id").join(models.select("model_id", "family_id"), "model_id").select("family_id", "source_id", "chunk_id", "chunk_index")
+    more = [c for c in ("created_at",) if c in chunks.columns]
+    return chunks.filter("embedding IS NULL").join(sources.select("source_id", "model_id"), "source_id").join(models.select("model_id", "family_id"), "model_id").select("family_id", "source_id", "chunk_id", "chunk_index", *more)
+
+
+def unembedded_chunks_for_family(models: DataFrame, sources: DataFrame, chunks: DataFrame, family_id: str, limit: int | None = None) -> DataFrame:
+    """Those of one family, oldest first and in order, at most ``limit``."""
+    rows = unembedded_chunks(models.filter(F.col("family_id") == family_id), sources, chunks).orderBy("created_at", "chunk_index", "chunk_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def sources_to_process(sources: DataFrame, chunks: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -77,23 +91,23 @@ def pending_guides(guides: DataFrame, processed: DataFrame, failed: DataFrame, r
     return rows.join(failed.select("guide_id"), "guide_id", "left_semi") if retry_failed else rows.join(processed.select("guide_id"), "guide_id", "left_anti")
 
 
-def flatten_category_tree(trees: DataFrame, json_col: str = "tree", max_depth: int = 20, with_categories: bool = False) -> DataFrame:
+def flatten_category_tree(trees: DataFrame, json_col: str = "tree", with_categories: bool = False) -> DataFrame:
     """``trees(tree_id, tree)``: nested JSON objects with any keys, null a device -> ``(tree_id, path, title, depth, is_device)``.
 
-    One ``variant_explode`` for each level, until a level holds no more objects (or ``max_depth``).
+    One ``variant_explode`` for each level, until a level holds no more objects, however deep.
     """
+    spark = trees.sparkSession
     level = trees.select("tree_id", F.parse_json(json_col).alias("node"), F.lit("").alias("path"))
-    out = None
-    for depth in range(max_depth):
-        level.createOrReplaceTempView("__tree_level")
-        rows = level.sparkSession.sql("SELECT t.tree_id, concat(CASE WHEN t.path = '' THEN '' ELSE concat(t.path, '/') END, e.key) AS path, e.key AS title, e.value AS node FROM __tree_level t, LATERAL variant_explode(t.node) e")
+    out, depth = None, 0
+    while True:
+        rows = spark.sql("SELECT t.tree_id, concat(CASE WHEN t.path = '' THEN '' ELSE concat(t.path, '/') END, e.key) AS path, e.key AS title, e.value AS node FROM {level} t, LATERAL variant_explode(t.node) e", level=level)
         rows = rows.withColumn("is_device", F.expr("is_variant_null(node)"))
         found = rows.select("tree_id", "path", "title", F.lit(depth).alias("depth"), "is_device").filter(F.lit(True) if with_categories else F.col("is_device"))
         out = found if out is None else out.unionByName(found)
         level = rows.filter(~F.col("is_device")).select("tree_id", "node", "path")
         if level.isEmpty():
-            break
-    return out
+            return out
+        depth += 1
 
 
 def category_device_counts(devices: DataFrame) -> DataFrame:

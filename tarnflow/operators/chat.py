@@ -117,6 +117,12 @@ def incomplete_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("incomplete", (F.col("role") == "assistant") & (F.coalesce("content", F.lit("")) == ""))
 
 
+def chunks_in_order(chunks: DataFrame, source_id: int | None = None) -> DataFrame:
+    """The chunks of a source (or of each) in their order, as an array of content with heading and place."""
+    rows = chunks if source_id is None else chunks.filter(F.col("source_id") == source_id)
+    return rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "heading", "content"))).alias("chunks"))
+
+
 def session_transcript(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     """One row for each session: its messages in order as an array, each with its attachments' ids in order."""
     files = attachments.groupBy("message_id").agg(F.array_sort(F.collect_list("attachment_id")).alias("files"))

@@ -100,16 +100,19 @@ def wrong_dimensions(results: DataFrame, dims: int = 1536) -> DataFrame:
 
 
 def cascade_delete(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[str, DataFrame]:
-    """Users gone, with their sessions, messages, attachments, subscriptions and uploads; their sources become shared."""
+    """Users gone, with their sessions, messages, attachments, image analyses, subscriptions, settings and uploads; their
+    sources become shared."""
     out = dict(tables)
     gone = user_ids.select("user_id").distinct()
-    for name in ("users", "sessions", "subscriptions", "uploads"):
+    for name in ("users", "sessions", "subscriptions", "settings", "uploads"):
         if name in out:
             out[name] = out[name].join(gone, "user_id", "left_anti")
     if "messages" in out:
         out["messages"] = out["messages"].join(tables["sessions"].join(gone, "user_id", "left_semi").select("session_id"), "session_id", "left_anti")
     if "attachments" in out:
         out["attachments"] = out["attachments"].join(out["messages"].select("message_id"), "message_id", "left_semi")
+    if "analyses" in out:
+        out["analyses"] = out["analyses"].join(out["attachments"].select("attachment_id"), "attachment_id", "left_semi")
     if "sources" in out:
         marked = out["sources"].join(gone.withColumn("__gone", F.lit(True)), "user_id", "left")
         out["sources"] = marked.withColumn("user_id", F.when(F.col("__gone").isNull(), F.col("user_id"))).select(*tables["sources"].columns)
@@ -117,10 +120,13 @@ def cascade_delete(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[st
 
 
 def delete_documents(uploads: DataFrame, sources: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Uploads ``ids(upload_id)`` and the sources of the same user and file name, with their chunks, removed."""
+    """Uploads ``ids(upload_id)`` removed, each with the source that it is linked to (``source_id``) or, where it is linked to
+    none, those of its user and file name, and their chunks."""
     gone = uploads.join(ids, "upload_id", "left_semi")
-    named = gone.select("user_id", F.col("file_name").alias("title")).distinct()
+    linked = gone.filter("source_id IS NOT NULL").select("source_id") if "source_id" in uploads.columns else None
+    named = (gone if linked is None else gone.filter("source_id IS NULL")).select("user_id", F.col("file_name").alias("title")).distinct()
     dead = sources.filter("source_type = 'pdf'").join(named, ["user_id", "title"], "left_semi").select("source_id")
+    dead = dead if linked is None else dead.union(linked).distinct()
     return uploads.join(ids, "upload_id", "left_anti"), sources.join(dead, "source_id", "left_anti"), chunks.join(dead, "source_id", "left_anti")
 
 

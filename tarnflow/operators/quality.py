@@ -73,12 +73,12 @@ def validation_issues(families: DataFrame, models: DataFrame, sources: DataFrame
 
     blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
     always = lambda k: {k: F.lit(True)}
-    content = strip(F.coalesce("raw_content", F.lit("")))
+    content = F.coalesce("raw_content", F.lit(""))
     parts = [
         rows(families, "families", "family_id", {"missing_name": blank("family_name")}),
         rows(models, "models", "model_id", {"missing_model_name": blank("title")}),
         rows(orphans(models, families, "family_id", "family_id"), "models", "model_id", always("orphaned_model")),
-        rows(sources, "sources", "source_id", {"missing_title": blank("title"), "missing_content": content == "", "short_content": (content != "") & (F.length(content) < 20), "missing_metadata": F.col("metadata").isNull(), "invalid_metadata": F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()}),
+        rows(sources, "sources", "source_id", {"missing_title": blank("title"), "missing_content": content == "", "short_content": (content != "") & (F.length(strip(content)) < 10), "missing_metadata": F.col("metadata").isNull(), "invalid_metadata": F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()}),
         rows(orphans(sources, models, "model_id", "model_id"), "sources", "source_id", always("orphaned_source")),
         rows(parents_without_children(families, models, "family_id"), "families", "family_id", always("family_without_models")),
     ]
@@ -93,6 +93,21 @@ def validation_summary(issues: DataFrame) -> DataFrame:
     return issues.groupingSets([[], ["section"], ["type"]], "section", "type").agg(F.count("*").alias("n"))
 
 
+def validation_stats(families: DataFrame, models: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(section, field, n)``: the rows of each table, and how many have each of its fields (a blank text is none)."""
+
+    def counts(df: DataFrame, section: str, fields: dict[str, Column]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("field"), c.alias("n")) for k, c in {"total": F.count("*"), **{f"with_{k}": F.count_if(c) for k, c in fields.items()}}.items()])
+        return df.agg(pairs.alias("p")).select(F.lit(section).alias("section"), F.inline("p"))
+
+    some = lambda c: F.coalesce(strip(F.col(c)) != "", F.lit(False))
+    held = [("family_name", "name"), ("description", "description")]
+    family = counts(families, "families", {name: some(c) for c, name in held if c in families.columns})
+    model = counts(models, "models", {"name": some("title"), "family": F.col("family_id").isNotNull()})
+    source = counts(sources, "sources", {"title": some("title"), "content": F.coalesce(F.col("raw_content") != "", F.lit(False)), "model": F.col("model_id").isNotNull(), "metadata": F.col("metadata").isNotNull()})
+    return family.unionByName(model).unionByName(source)
+
+
 def keyword_inventory(sources: DataFrame, models: DataFrame, chunks: DataFrame, keyword: str) -> DataFrame:
     """Rows and matches by table, and the sources of matching models."""
     has = lambda c: F.count_if(F.lower(F.col(c)).contains(keyword.lower()))
@@ -115,11 +130,13 @@ def reconcile_counts(expected: DataFrame, actual: DataFrame, key: str) -> DataFr
     return both.select(key, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("stored", F.lit(0)).alias("stored")).withColumn("matches", F.col("expected") == F.col("stored"))
 
 
-def top_documents(sources: DataFrame, models: DataFrame, n: int = 3, by: str = "length") -> DataFrame:
-    """The longest sources with a preview and their model's title; the limit is the report's size."""
+def top_documents(sources: DataFrame, models: DataFrame, n: int = 3, by: str = "length", title_like: str | None = None) -> DataFrame:
+    """The longest sources (with a title like the pattern) with a preview, their link and model's title; the limit is the report's size."""
     size = F.length("raw_content") if by == "length" else word_count(F.col("raw_content"))
-    top = sources.withColumn("size", size).orderBy(F.col("size").desc(), "source_id").limit(n)
-    return top.join(models.select("model_id", F.col("title").alias("model_title")), "model_id", "left").select("source_id", "title", "size", F.left("raw_content", F.lit(40)).alias("preview"), "model_title")
+    rows = sources if title_like is None else sources.filter(F.col("title").ilike(title_like))
+    top = rows.withColumn("size", size).orderBy(F.col("size").desc(), "source_id").limit(n)
+    link = F.get_json_object("metadata", "$.url") if "metadata" in sources.columns else F.lit(None).cast("string")
+    return top.join(models.select("model_id", F.col("title").alias("model_title")), "model_id", "left").select("source_id", "title", "size", F.left("raw_content", F.lit(40)).alias("preview"), "model_title", link.alias("url"))
 
 
 def size_bucket_sample(sources: DataFrame, n: int = 2) -> DataFrame:
@@ -130,6 +147,20 @@ def size_bucket_sample(sources: DataFrame, n: int = 2) -> DataFrame:
     return rows.withColumn("rank", rank).filter(F.col("rank") <= n).select("bucket", "rank", "source_id", "words")
 
 
+def edge_case_sample(sources: DataFrame, n: int = 1) -> DataFrame:
+    """``n`` sources of each odd kind: under 100 words (shortest first), a single step, many ``##`` marks in 500 to 1500
+    words (most first), over 2000 words; ties by id."""
+    words, text = word_count(F.col("raw_content")), F.col("raw_content")
+    marks = ((F.length(text) - F.length(F.replace(text, F.lit("##"), F.lit("")))) / 2).cast("int")
+    rows = sources.select("source_id", text, words.alias("words"), marks.alias("marks"))
+    single = text.contains("## 1.") & ~text.contains("## 2.") & ~text.contains("## 3.")
+    kinds = {"very_short": (F.col("words") < 100, F.col("words")), "single_step": (single, F.lit(0)), "many_steps": (F.col("words").between(500, 1500) & (F.col("marks") > 10), -F.col("marks")), "long": (F.col("words") > 2000, F.lit(0))}
+    of = F.filter(F.array(*[F.when(F.coalesce(fits, F.lit(False)), F.struct(F.lit(k).alias("kind"), order.cast("int").alias("order"))) for k, (fits, order) in kinds.items()]), lambda k: k.isNotNull())
+    each = rows.select("source_id", "words", F.inline(of))
+    rank = F.row_number().over(W.partitionBy("kind").orderBy("order", "source_id"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= n).select("kind", "rank", "source_id", "words")
+
+
 def filter_chunks_by_words(chunks: DataFrame, least: int = 10, most: int = 5000) -> DataFrame:
     return chunks.filter(word_count(F.col("content")).between(least, most))
 

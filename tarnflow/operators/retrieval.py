@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that a broadcast may hold: at 1,536 single-precision components under 64 MB. More are scored in blocks.
-BROADCAST_QUERIES = 10_000
+from ..functions.arrow import map_batches
+
+#: Vectors of a block, and blocks of queries that a broadcast may hold: at 1,536 single-precision components 61 MB. More
+#: blocks of queries meet the blocks of chunks by a shuffle.
+BLOCK_VECTORS, BROADCAST_BLOCKS = 1_000, 10
 
 
 def visible_chunks(chunks: DataFrame, sources: DataFrame, user_id: int, mode: str = "gateway") -> DataFrame:
@@ -29,58 +32,62 @@ def similarity(a: Column, b: Column) -> Column:
     return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
 
 
-def _scorer(queries: "object", k: int, least: float | None):
-    """Blocks of chunks against all queries of a broadcast; a task gives out its best ``k`` for each query and group."""
+def _blocks(df: DataFrame, id_col: str) -> DataFrame:
+    """``df(id, user_id, embedding)`` -> a row for each block of vectors: ids, owners and the components, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, users, matrix, shared = queries.value
         for batch in batches:
-            flat = batch.column(2)
-            vectors = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
-            norm = np.linalg.norm(vectors, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (matrix @ vectors.T) / norm[None, :]
-            owner = np.array([-1 if u is None else u for u in batch.column(1).to_pylist()])
-            seen = (owner[None, :] == users[:, None]) | (shared & (owner[None, :] == -1))
-            seen &= ~np.isnan(scores)
-            if least is not None:
-                seen &= scores > least
-            scores = np.where(seen, scores, -2.0)
-            kept = min(k, scores.shape[1])
-            names = np.array(batch.column(0).to_pylist())
-            order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :kept]
-            rows = np.repeat(np.arange(len(ids)), kept)
-            columns = order.ravel()
-            good = scores[rows, columns] > -2.0
-            rows, columns = rows[good], columns[good]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(names[columns]), pa.array(scores[rows, columns])], names=["query_id", "chunk_id", "similarity"])
+            for at in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(at, BLOCK_VECTORS)
+                vectors = np.asarray(part.column(2).flatten(), dtype=np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part.column(0).to_pylist(), pa.list_(pa.int64())), (part.column(1).to_pylist(), pa.list_(pa.int64())), (vectors.tobytes(), pa.binary()))], names=["ids", "owners", "vectors"])
+
+    rows = df.filter("embedding IS NOT NULL").select(F.col(id_col).cast("long"), F.col("user_id").cast("long"), F.col("embedding").cast("array<float>"))
+    return map_batches(rows, run, "ids array<long>, owners array<long>, vectors binary")
+
+
+def _best_of_blocks(k: int, least: float | None, shared: bool):
+    """A block of queries against a block of chunks -> the best ``k`` of each query, ties by chunk id."""
+
+    def matrix(ids: list, data: bytes) -> np.ndarray:
+        vectors = np.frombuffer(data, np.float32).astype(np.float64).reshape(len(ids), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = np.array(row["ids"])
+                owner = np.array([-1 if u is None else u for u in row["owners"]])
+                user = np.array([-2 if u is None else u for u in row["q_owners"]])
+                scores = matrix(row["q_ids"], row["q_vectors"]) @ matrix(row["ids"], row["vectors"]).T
+                seen = ((owner[None, :] == user[:, None]) | (shared & (owner[None, :] == -1))) & ~np.isnan(scores)
+                if least is not None:
+                    seen &= scores > least
+                found: tuple[list, list, list] = ([], [], [])
+                for i, query in enumerate(row["q_ids"]):
+                    at = np.flatnonzero(seen[i])
+                    if len(at) > k:  # all that tie with the k-th stay until the ids decide
+                        at = at[scores[i, at] >= np.partition(scores[i, at], len(at) - k)[len(at) - k]]
+                    at = at[np.lexsort((names[at], -scores[i, at]))][:k]
+                    for column, values in zip(found, ([query] * len(at), names[at], scores[i, at]), strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "chunk_id", "similarity"])
 
     return run
 
 
-def _scored(queries: DataFrame, rows: DataFrame, k: int, least: float | None, shared: bool) -> DataFrame:
-    """``rows(chunk_id, user_id, embedding)`` scored by each query; queries beyond the broadcast's size go in blocks."""
-    spark = rows.sparkSession
-    out = None
-    after = None
-    while True:
-        part = queries.select("query_id", "user_id", "embedding").filter("embedding IS NOT NULL")
-        part = part if after is None else part.filter(F.col("query_id") > after)
-        held = part.orderBy("query_id").limit(BROADCAST_QUERIES).collect()
-        if held:
-            matrix = np.array([r["embedding"] for r in held], dtype=np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-            value = spark.sparkContext.broadcast((np.array([r["query_id"] for r in held]), np.array([-2 if r["user_id"] is None else r["user_id"] for r in held]), matrix, shared))
-            found = rows.select("chunk_id", "user_id", "embedding").mapInArrow(_scorer(value, k, least), "query_id long, chunk_id long, similarity double")
-            out = found if out is None else out.unionByName(found)
-            after = held[-1]["query_id"]
-        if len(held) < BROADCAST_QUERIES:
-            break
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, chunk_id long, similarity double")
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id"))
-    return out.withColumn("rank", best).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", best).filter(F.col("rank") <= k)
+
+
+def _scored(queries: DataFrame, rows: DataFrame, k: int, least: float | None, shared: bool) -> DataFrame:
+    """``rows(chunk_id, user_id, embedding)`` scored by each query, blocks of chunks against blocks of queries."""
+    asked = _blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("owners").alias("q_owners"), F.col("vectors").alias("q_vectors"))
+    few = asked.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    pairs = _blocks(rows, "chunk_id").crossJoin(F.broadcast(asked) if few else asked)  # blocks of a stated query set against all
+    return _ranked(map_batches(pairs, _best_of_blocks(k, least, shared), "query_id long, chunk_id long, similarity double"), k)
 
 
 def _readable(chunks: DataFrame, sources: DataFrame, source_id: int | None = None) -> DataFrame:
@@ -109,8 +116,9 @@ def cosine_top_k_soft(queries: DataFrame, chunks: DataFrame, sources: DataFrame,
     return top.filter(soft).drop("__good", "__n")
 
 
-def ann_top_k(queries: DataFrame, chunks: DataFrame, sources: DataFrame, k: int = 10, threshold: float = 0.4, cells: int = 50, nprobe: int = 8, sample: int = 50_000) -> DataFrame:
-    """Approximate ``cosine_top_k``: k-means cells fitted to at most ``sample`` unit vectors hold every chunk; each query looks into ``nprobe``."""
+def ann_top_k(queries: DataFrame, chunks: DataFrame, sources: DataFrame, k: int = 10, threshold: float = 0.4, cells: int = 50, nprobe: int = 8, sample: int = 50_000, parts: int = 16) -> DataFrame:
+    """Approximate ``cosine_top_k``: k-means cells fitted to at most ``sample`` unit vectors hold every chunk; each query looks
+    into ``nprobe``. A cell's chunks are dealt to ``parts`` tasks, so a large cell isn't one."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -118,13 +126,12 @@ def ann_top_k(queries: DataFrame, chunks: DataFrame, sources: DataFrame, k: int
     rows = unit(_readable(chunks, sources))
     model = KMeans(k=cells, seed=5, featuresCol="u", predictionCol="cell", maxIter=10).fit(rows.orderBy(F.xxhash64("chunk_id")).limit(sample))
     centres = model.clusterCenters()  # ``cells`` vectors
-    assigned = model.transform(rows).select("chunk_id", F.col("user_id").alias("owner"), F.col("embedding").alias("chunk"), "cell")
+    assigned = model.transform(rows).select("chunk_id", F.col("user_id").alias("owner"), F.col("embedding").alias("chunk"), "cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
     near = F.array(*[F.struct((-_dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in c])) / F.sqrt(F.lit(float((c * c).sum()) or 1.0))).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    probes = queries.filter("embedding IS NOT NULL").select("query_id", "user_id", "embedding", F.explode(F.slice(F.array_sort(near), 1, nprobe)).alias("p")).select("query_id", "user_id", "embedding", "p.cell")
-    found = probes.join(assigned, "cell").filter(F.col("owner").isNull() | (F.col("owner") == F.col("user_id")))
+    probes = queries.filter("embedding IS NOT NULL").select("query_id", "user_id", "embedding", F.explode(F.slice(F.array_sort(near), 1, nprobe)).alias("p")).select("query_id", "user_id", "embedding", "p.cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = probes.join(assigned, ["cell", "part"]).filter(F.col("owner").isNull() | (F.col("owner") == F.col("user_id")))
     scored = found.select("query_id", "chunk_id", similarity(F.col("embedding"), F.col("chunk")).alias("similarity")).filter(F.col("similarity") > 1 - threshold)
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id"))
-    return scored.withColumn("rank", best).filter(F.col("rank") <= k)
+    return _ranked(scored, k)
 
 
 def expand_adjacent_chunks(hits: DataFrame, chunks: DataFrame, sources: DataFrame, n: int = 1) -> DataFrame:
@@ -146,3 +153,11 @@ def prompt_context(hits: DataFrame, max_chars: int = 3000) -> DataFrame:
     rows = hits.withColumn("__first", F.min("rank").over(W.partitionBy("query_id", "source_id"))).withColumn("__t", shown)
     parts = F.array_sort(F.collect_list(F.struct("__first", "source_id", "chunk_index", "__t")))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda p: p["__t"]), "\n\n").alias("context"))
+
+
+def voice_context(hits: DataFrame, most: int = 5, max_chars: int = 200) -> DataFrame:
+    """``hits(query_id, rank, similarity, heading, content)`` -> the short numbered form for spoken answers."""
+    name = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("heading", F.lit("Untitled")))
+    shown = F.concat(name, F.lit(" (Relevance: "), F.format_number(F.col("similarity") * 100, 1), F.lit("%)\n    "), F.left("content", F.lit(max_chars)), F.lit("\n\n"))
+    parts = F.array_sort(F.collect_list(F.struct("rank", shown.alias("t"))))
+    return hits.filter(F.col("rank") <= most).groupBy("query_id").agg(F.concat(F.lit("📚 Knowledge Base References:\n\n"), F.array_join(F.transform(parts, lambda p: p["t"]), "")).alias("context"))

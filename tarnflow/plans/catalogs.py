@@ -93,11 +93,13 @@ def _texts(s, d):
 
 def _bundle(s, d):
     path = _folder(s) + "/bundle"
-    v = view(s, d, "v_models").filter("model_id <= 500")
-    one = v.agg(F.collect_list(F.struct(F.col("model_id").cast("string").alias("model_id"), "family_id", F.lit("m").alias("manufacturer"), F.col("title").alias("model_name"), F.col("title").alias("model_number"))).alias("devices"), F.collect_set(F.struct("family_id", F.col("family_name").alias("name"), F.lit("x").alias("description"))).alias("families"))
-    one.write.json(path)
-    bundle = files.read_guide_bundle(s, path)
-    return bundle["devices"].join(bundle["families"].select("family_id", "name"), "family_id").select("model_id", "family_id", "name", "model_name")
+    device = F.struct(F.col("model_id").cast("string").alias("model_id"), "family_id", F.lit("m").alias("manufacturer"), F.col("title").alias("model_name"), F.col("title").alias("model_number"))
+    family = F.struct("family_id", F.col("family_name").alias("name"), F.lit("x").alias("description"))
+    part = F.pmod(F.xxhash64("model_id"), F.lit(16)).alias("part")  # a bundle for each part of a family: none grows with its devices alone
+    bundles = view(s, d, "v_models").groupBy("family_id", part).agg(F.collect_list(device).alias("devices"), F.collect_set(family).alias("families"))
+    bundles.select("devices", "families").write.json(path)
+    bundle = files.read_guide_bundle(s, path, False)
+    return bundle["devices"].join(bundle["families"].select("family_id", "name").distinct(), "family_id").select("model_id", "family_id", "name", "model_name")
 
 
 def _events(s, d, files_a_trigger=2):
@@ -116,22 +118,35 @@ def _streamed(make, mode, files_a_trigger=2):
 
 
 def _last(s, d):
-    """The rows that stand after the last update of each job."""
-    out = _streamed(J.job_status_stream, "update")(s, d)
-    return out.groupBy("job_id").agg(F.count("*").alias("changes"))
+    """All events of a job lie in one file and so in one trigger: a change for each job, to its newest status."""
+    return _streamed(J.job_status_stream, "update")(s, d)
 
 
 def _auto(s, d):
     base = _folder(s)
-    view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), "raw_content").write.parquet(base + "/docs")
-    J.auto_chunk_stream(s.readStream.schema("doc_id long, raw_content string").parquet(base + "/docs"), base + "/chunks", base + "/checkpoint").awaitTermination()
-    return s.read.parquet(base + "/chunks").select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_index", F.md5("content").alias("content"))
+    texts = view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), "raw_content", F.lit(2).alias("updated_at"))
+    texts.unionByName(texts.filter("doc_id % 2 = 0").withColumns({"raw_content": F.lit("zz former text"), "updated_at": F.lit(1)})).write.parquet(base + "/docs")
+    J.auto_chunk_stream(s.readStream.schema("doc_id long, raw_content string, updated_at int").parquet(base + "/docs"), base + "/chunked", base + "/checkpoint").awaitTermination()
+    return J.current_chunks(s, base + "/chunked").select("doc_id", "chunk_index", F.md5("content").alias("content"))
 
 
-def _tokens(s, d):
+def _token_stream(s, d):
+    """The same over a stream of the tokens, closed by one late token of another response."""
+    path = _folder(s) + "/tokens"
+    tokens = _token_rows(s, d)
+    last = tokens.agg(F.lit(-1).cast("long").alias("stream_id"), F.lit(0).alias("position"), F.lit("end").alias("token"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(False).alias("stopped"))
+    tokens.unionByName(last).write.parquet(path)
+    stream = s.readStream.schema(tokens.schema).parquet(path)
+    return J.run_to_table(J.assemble_responses(stream), f"stream_{uuid.uuid4().hex}", _folder(s) + "/checkpoint", "append")
+
+
+def _token_rows(s, d):
     words = view(s, d, "v_messages").filter("role = 'assistant'").select("message_id", "created_at", "is_stopped", F.posexplode(F.split("content", " ")).alias("position", "w"))
-    tokens = words.select(F.col("message_id").alias("stream_id"), "position", F.concat("w", F.lit(" ")).alias("token"), (F.col("created_at") + F.make_interval(secs=F.col("position"))).alias("ts"), F.col("is_stopped").alias("stopped"))
-    return J.assemble_responses(tokens)
+    return words.select(F.col("message_id").alias("stream_id"), "position", F.concat("w", F.lit(" ")).alias("token"), (F.col("created_at") + F.make_interval(secs=F.col("position"))).alias("ts"), F.col("is_stopped").alias("stopped"))
+
+
+def _tokens(s, d):
+    return J.assemble_responses(_token_rows(s, d))
 
 
 QUERIES = {
@@ -140,6 +155,7 @@ QUERIES = {
     "match_guides_to_devices": lambda s, d: C.match_guides_to_devices(view(s, d, "v_guides"), _devices(s, d)).groupBy("guide_id").agg(F.count("*").alias("devices"), F.max(F.when(F.col("is_primary"), F.col("model_id"))).alias("primary_model")),
     "family_sources": lambda s, d: C.family_sources(view(s, d, "v_models"), view(s, d, "v_sources"), "Brand#23").select("source_id", "model_id"),
     "unembedded_chunks": lambda s, d: C.unembedded_chunks(view(s, d, "v_models"), view(s, d, "v_sources"), view(s, d, "v_chunks")),
+    "unembedded_chunks_for_family": lambda s, d: C.unembedded_chunks_for_family(view(s, d, "v_models"), view(s, d, "v_sources"), view(s, d, "v_chunks").withColumn("created_at", F.col("chunk_id") % 5), "Brand#23", 3),
     "sources_to_process": lambda s, d: C.sources_to_process(view(s, d, "v_sources"), view(s, d, "v_chunks").filter("source_id % 2 = 0")).select("source_id"),
     "pending_guides": lambda s, d: C.pending_guides(view(s, d, "v_guides"), view(s, d, "v_guides").filter("guide_id % 3 = 0"), view(s, d, "v_guides").filter("guide_id % 4 = 0")).select("guide_id"),
     "failed_guides": lambda s, d: C.pending_guides(view(s, d, "v_guides"), view(s, d, "v_guides"), view(s, d, "v_guides").filter("guide_id % 4 = 0"), True).select("guide_id"),
@@ -158,12 +174,13 @@ QUERIES = {
     "read_guide_bundle": _bundle,
     "read_table": lambda s, d: files.read_table(s, f"{d}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n")),
     "job_status_stream": _last,
-    "batch_completion_stream": lambda s, d: _streamed(J.batch_completion_stream, "update")(s, d).select("batch_id").distinct(),
+    "batch_completion_stream": lambda s, d: J.batch_completion(_streamed(J.batch_change_stream, "update")(s, d)),
     "stalled_jobs_stream": _streamed(lambda e: J.stalled_jobs_stream(e, "2 hours", "1 hour"), "append", 100),
     "trend_stream": _streamed(lambda e: J.trend_stream(e, "1 day", "1 day"), "complete"),
     "dedupe_stream": lambda s, d: _streamed(lambda e: J.dedupe_stream(e.select("job_id", "ts"), "job_id"), "append")(s, d).select("job_id"),
     "auto_chunk_stream": _auto,
     "assemble_responses": _tokens,
+    "assemble_responses_stream": _token_stream,
 }
 
 _RESULTS = """results AS (SELECT chunk_id AS line_no, CASE WHEN chunk_id % 8 IN (0, 1) THEN NULL ELSE CAST(chunk_id AS VARCHAR) END AS chunk_id, CASE WHEN chunk_id % 8 = 7 THEN '1.0,2.5' END AS embedding,
@@ -210,9 +227,11 @@ ORACLES = {
     "write_failures_tsv": with_views("SELECT chunk_id, error FROM results WHERE error IS NOT NULL", _RESULTS),
     "failure_report": with_views("""SELECT path AS category_path, CASE WHEN model_id % 4 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN model_id % 6 = 0 THEN 'a "b", c+d' ELSE '' END AS failed_devices FROM v_models WHERE model_id % 4 = 0 OR model_id % 6 = 0"""),
     "read_source_texts": with_views("SELECT CAST(sum(length(regexp_replace(raw_content, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS BIGINT) AS chars FROM v_sources"),
-    "read_guide_bundle": with_views("SELECT CAST(model_id AS VARCHAR) AS model_id, family_id, family_name AS name, title AS model_name FROM v_models WHERE model_id <= 500"),
+    "read_guide_bundle": with_views("SELECT CAST(model_id AS VARCHAR) AS model_id, family_id, family_name AS name, title AS model_name FROM v_models"),
     "read_table": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
-    "batch_completion_stream": with_views("SELECT DISTINCT batch_id FROM v_job_events"),
+    "job_status_stream": with_views("SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(status, (ts, event_id)) IN ('completed', 'failed') AS is_terminal FROM v_job_events GROUP BY 1"),
+    "batch_completion_stream": with_views("SELECT batch_id, count(*) AS jobs, count_if(status IN ('completed', 'failed')) AS ended, count_if(status IN ('completed', 'failed')) = count(*) AS all_done FROM (SELECT batch_id, job_id, arg_max(status, (ts, event_id)) AS status FROM v_job_events GROUP BY 1, 2) GROUP BY 1"),
+    "unembedded_chunks_for_family": with_views("SELECT family_id, source_id, chunk_id, chunk_index, created_at FROM (SELECT *, chunk_id % 5 AS created_at FROM v_chunks) JOIN v_sources USING (source_id) JOIN v_models USING (model_id) WHERE embedding IS NULL AND family_id = 'Brand#23' ORDER BY created_at, chunk_index, chunk_id LIMIT 3"),
     "stalled_jobs_stream": with_views(
         """SELECT job_id, status, events, stalled_at FROM (SELECT job_id, session, arg_max(status, ts) AS status, count(*) AS events, max(ts) + INTERVAL 2 HOUR AS stalled_at
            FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM v_job_events))
@@ -221,4 +240,5 @@ ORACLES = {
     "trend_stream": with_views("SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM v_job_events GROUP BY 1, 2"),
     "dedupe_stream": with_views("SELECT DISTINCT job_id FROM v_job_events"),
     "assemble_responses": with_views("SELECT message_id AS stream_id, content || ' ' AS content, len(string_split(content, ' ')) AS tokens, (len(string_split(content, ' ')) - 1) * 1000000 AS duration_us, is_stopped FROM v_messages WHERE role = 'assistant'"),
+    "assemble_responses_stream": with_views("SELECT message_id AS stream_id, content || ' ' AS content, len(string_split(content, ' ')) AS tokens, (len(string_split(content, ' ')) - 1) * 1000000 AS duration_us, is_stopped FROM v_messages WHERE role = 'assistant'"),
 }

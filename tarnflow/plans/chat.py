@@ -52,6 +52,7 @@ QUERIES = {
     "messages_after_edit": lambda s, d: chat.messages_after_edit(view(s, d, _M), view(s, d, _M).filter("role = 'user' AND session_id % 2 = 0 AND turn <= 1").select("message_id", F.concat(F.lit("edited "), F.col("message_id").cast("string")).alias("new_content"))).select("message_id", "content", "is_stopped"),
     "recent_orphan_messages": lambda s, d: chat.recent_orphan_messages(view(s, d, _M), _now(), 864000).select("message_id", "session_id"),
     "incomplete_messages": lambda s, d: chat.incomplete_messages(view(s, d, _M).withColumn("content", F.when(F.col("turn") % 4 == 1, F.lit("")).otherwise(F.col("content")))).select("message_id", "incomplete"),
+    "chunks_in_order": lambda s, d: chat.chunks_in_order(view(s, d, "v_chunks")).select("source_id", F.array_join(F.transform("chunks", lambda c: F.concat_ws("|", c["chunk_index"].cast("string"), F.coalesce(c["heading"], F.lit("-")), c["content"])), ";").alias("chunks")),
     "session_transcript": lambda s, d: chat.session_transcript(view(s, d, _M), _attachments(s, d)).select("session_id", F.array_join(F.transform("turns", lambda t: F.concat_ws("|", t["message_id"].cast("string"), t["role"], F.array_join(t["files"].cast("array<string>"), "+"))), ";").alias("transcript")),
     "user_images": lambda s, d: chat.user_images(_attachments(s, d), view(s, d, _M), view(s, d, "v_sessions"), 3, 1, 5),
     "image_summaries": lambda s, d: chat.image_summaries(_analyses(s, d), _attachments(s, d), view(s, d, _M), 700).select("session_id", F.array_join("summaries", "|").alias("summaries"), "left_out"),
@@ -132,6 +133,7 @@ ORACLES = {
     ),
     "recent_orphan_messages": with_views(f"SELECT arg_max(message_id, (created_at, message_id)) AS message_id, session_id FROM v_messages WHERE role = 'assistant' AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 864000 SECOND GROUP BY session_id"),
     "incomplete_messages": with_views("SELECT message_id, role = 'assistant' AND coalesce(CASE WHEN turn % 4 = 1 THEN '' ELSE content END, '') = '' AS incomplete FROM v_messages"),
+    "chunks_in_order": with_views("SELECT source_id, string_agg(chunk_index || '|' || coalesce(heading, '-') || '|' || content, ';' ORDER BY chunk_index, chunk_id) AS chunks FROM v_chunks GROUP BY 1"),
     "session_transcript": with_views("SELECT session_id, string_agg(m.message_id || '|' || role || '|' || coalesce(CAST(attachment_id AS VARCHAR), ''), ';' ORDER BY m.created_at, m.message_id) AS transcript FROM v_messages m LEFT JOIN attachments a ON a.message_id = m.message_id GROUP BY session_id", _ATTACHMENTS),
     "user_images": with_views(
         """SELECT attachment_id, message_id, session_id, created_at, coalesce(size, 0) AS size, total > 5 AS has_more FROM (SELECT a.*, m.session_id, count(*) OVER () AS total FROM attachments a JOIN v_messages m USING (message_id)

@@ -46,26 +46,42 @@ def _packed(*rules):
 
 
 def _pages(s, d):
-    line = F.when(F.col("line_no") % 3 == 0, F.lit("[TABLE_PLACEHOLDER]")).otherwise(F.lit("text"))
-    lines = _lines(s, d).filter("line_no < 12").select("doc_id", (F.col("line_no") % 2).alias("page"), "line_no", line.alias("line"))
-    tables = view(s, d, "v_manuals").select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int"))).alias("table_no")).select("doc_id", (F.col("table_no") % 2).alias("page"), "table_no", F.concat(F.lit("table "), F.col("table_no").cast("string")).alias("rendered"))
+    """Every line of every manual, a page for each ten lines; each third line marks a table; a table for each fifth line of a document."""
+    line = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("[TABLE_PLACEHOLDER] "), F.left("line", F.lit(5)))).otherwise(F.col("line"))
+    page = F.floor(F.col("line_no") / 10).cast("int")
+    lines = _lines(s, d).select("doc_id", page.alias("page"), "line_no", line.alias("line"))
+    tables = _lines(s, d).filter("line_no % 5 <= doc_id % 5").select("doc_id", page.alias("page"), F.col("line_no").alias("table_no"), F.concat(F.lit("| "), "line", F.lit(" |")).alias("rendered"))
     return L.merge_tables_into_pages(lines, tables)
 
 
 def _marked(s, d):
-    docs = view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), F.lit("a [IMAGE:1] b IMAGE:2 c IMAGE:12").alias("raw_content"))
+    """Every text with marks of images where its sentences and lines end, and some images for it."""
+    text = F.replace(F.replace("raw_content", F.lit(". "), F.lit(". [IMAGE:1] ")), F.lit("\n"), F.lit(" IMAGE:2\nIMAGE:12 "))
+    docs = view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), text.alias("raw_content"))
     images = docs.select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int") + 1)).alias("image_no")).filter("doc_id % 4 <> 0").select("doc_id", "image_no", F.concat(F.lit("u"), F.col("image_no").cast("string")).alias("url"))
     return L.replace_image_markers(docs, images)
 
 
+def _line_chunks(s, d):
+    """Each line that isn't blank as a chunk, some without a heading."""
+    rows = _line_sections(s, d)
+    heading = F.when(F.col("section_no") % 5 < 2, F.lit("A")).when(F.col("section_no") % 5 == 2, F.lit("B"))
+    return rows.select("doc_id", F.col("section_no").alias("chunk_index"), heading.alias("heading"), "content")
+
+
+def _typed_chunks(s, d):
+    kind = F.when(F.col("chunk_id") % 3 == 0, F.lit("table")).otherwise(F.lit("narrative"))
+    return view(s, d, "v_chunks").select(F.col("source_id").alias("doc_id"), "chunk_index", "heading", "content", "token_count", kind.alias("content_type"))
+
+
 def _items(s, d):
     steps = L.guide_steps(_headings(s, d))
     return steps.groupBy("doc_id", "step").agg(F.first("title").alias("title"), F.first("heading").alias("heading"), F.count("*").cast("string").alias("body")).select("doc_id", "step", "title", F.coalesce("heading", F.lit("Introduction")).alias("heading"), "body", F.floor(F.col("step") / 4).cast("int").alias("segment"))
 
 
 def _batches(s, d):
-    rows = view(s, d, "v_chunks").select((F.col("source_id") % 3).alias("family_id"), F.col("chunk_id").alias("position"), "chunk_id", F.octet_length("content").cast("long").alias("bytes"))
-    return C.pack_embedding_batches(rows, 40, 600).select("family_id", "chunk_id", "batch_no")
+    rows = view(s, d, "v_chunks").select((F.col("source_id") % 3).alias("family_id"), F.col("chunk_id").alias("position"), "chunk_id", (F.octet_length("content") + F.col("token_count")).cast("long").alias("bytes"))
+    return C.pack_embedding_batches(rows, 7, 1200)
 
 
 def _images(s, d):
@@ -106,15 +122,15 @@ QUERIES = {
     "combine_small_sections": _digest(_line_sections, C.combine_small_sections),
     "segment_steps": _digest(_line_sections, C.segment_steps),
     "slice_tokens": lambda s, d: C.slice_tokens(view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("title").alias("heading"), F.col("raw_content").alias("content"))),
-    "overlap_chunks": lambda s, d: C.overlap_chunks(_packed(C.split_oversized)(s, d)),
-    "step_overlap_segments": lambda s, d: C.step_overlap_segments(_items(s, d)),
+    "overlap_chunks": lambda s, d: C.overlap_chunks(_line_chunks(s, d)),
+    "step_overlap_segments": lambda s, d: C.step_overlap_segments(_items(s, d)).select("doc_id", "segment", "content", F.array_join("step_indices", ",").alias("step_indices"), F.array_join("headings", "|").alias("headings")),
     "pack_embedding_batches": _batches,
     "attach_images_to_chunks": _images,
     "chunk_documents": lambda s, d: C.chunk_documents(view(s, d, "v_sources"), id_col="source_id"),
-    "chunk_documents_universal": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "universal"),
+    "chunk_documents_universal": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "universal").withColumn("image_urls", F.array_join("image_urls", "|")),
     "chunk_documents_final": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "final"),
     "chunk_documents_guide": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "guide"),
-    "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(C.chunk_documents(view(s, d, "v_sources"), id_col="source_id")),
+    "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(_typed_chunks(s, d)),
 }
 
 _L = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(raw_content, chr(10)) AS l FROM v_manuals)))"
@@ -178,18 +194,13 @@ ORACLES = {
     ),
     "first_occurrence_blocks": with_views("SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS r FROM lines) WHERE r = 1 OR trim(line) = ''", _L),
     "replace_image_markers": with_views(
-        """SELECT source_id AS doc_id, CASE WHEN source_id % 4 = 0 THEN 'a [IMAGE:1] b IMAGE:2 c IMAGE:12' ELSE CASE WHEN source_id % 3 >= 1 THEN replace(one, 'IMAGE:2', chr(10) || 'image: 2' || chr(10) || 'url: u2' || chr(10)) ELSE one END END AS raw_content
-           FROM (SELECT source_id, replace(replace('a [IMAGE:1] b IMAGE:2 c IMAGE:12', '[IMAGE:1]', m), 'IMAGE:1', m) AS one FROM (SELECT source_id, chr(10) || 'image: 1' || chr(10) || 'url: u1' || chr(10) AS m FROM v_sources))"""
+        """SELECT source_id AS doc_id, CASE WHEN source_id % 4 = 0 THEN text WHEN source_id % 3 >= 1 THEN replace(replace(one, '[IMAGE:2]', chr(10) || 'image: 2' || chr(10) || 'url: u2' || chr(10)), 'IMAGE:2', chr(10) || 'image: 2' || chr(10) || 'url: u2' || chr(10)) ELSE one END AS raw_content
+           FROM (SELECT source_id, text, replace(replace(text, '[IMAGE:1]', m), 'IMAGE:1', m) AS one FROM (SELECT source_id, replace(replace(raw_content, '. ', '. [IMAGE:1] '), chr(10), ' IMAGE:2' || chr(10) || 'IMAGE:12 ') AS text, chr(10) || 'image: 1' || chr(10) || 'url: u1' || chr(10) AS m FROM v_sources))"""
     ),
     "slice_tokens": with_views(
         """SELECT source_id AS doc_id, 0 AS section_no, CASE WHEN p = 0 THEN title END AS heading, CAST(p AS INT) AS piece_no, CASE WHEN n > 450 THEN array_to_string(w[p * 392 + 1 : p * 392 + 442], ' ') ELSE raw_content END AS content
            FROM (SELECT *, unnest(range(0, CASE WHEN n > 450 THEN (n - 1) // 392 + 1 ELSE 1 END)) AS p FROM (SELECT *, len(w) AS n FROM (SELECT *, [x for x in regexp_split_to_array(raw_content, '\\s+') if x <> ''] AS w FROM v_sources)))"""
     ),
-    "pack_embedding_batches": with_views(
-        """SELECT family_id, chunk_id, dense_rank() OVER (PARTITION BY family_id ORDER BY a, b) - 1 AS batch_no FROM (SELECT family_id, chunk_id, coalesce(sum(bytes) OVER w, 0) // greatest(600 - max(bytes) OVER (PARTITION BY family_id), 1) AS a,
-           (row_number() OVER (PARTITION BY family_id ORDER BY chunk_id) - 1) // 40 AS b FROM (SELECT source_id % 3 AS family_id, chunk_id, strlen(content) AS bytes FROM v_chunks)
-           WINDOW w AS (PARTITION BY family_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-    ),
 }
 
 _PARAGRAPHS = "p AS (SELECT doc_id, [x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in regexp_split_to_array(raw_content, '\\n\\s*\\n')] if x <> ''] AS l FROM v_manuals)"
@@ -238,10 +249,11 @@ ORACLES |= {
         marked AS (SELECT *, lag(plain) {_W} AS before FROM plains)""",
     ),
     "merge_tables_into_pages": with_views(
-        """SELECT doc_id, page, line_no, CASE WHEN n * 2 + page <= doc_id % 5 THEN 'table ' || (n * 2 + page) WHEN mark THEN '[TABLE_PLACEHOLDER]' ELSE 'text' END AS line FROM marks
-           UNION ALL SELECT doc_id, page, CAST(last + 1 + i - m AS INT), 'table ' || (i * 2 + page) FROM (SELECT doc_id, page, max(line_no) AS last, count(n) AS m, unnest(range(0, doc_id % 5 // 2 + 1)) AS i FROM marks GROUP BY 1, 2) WHERE i >= m AND i * 2 + page <= doc_id % 5""",
+        """SELECT doc_id, page, line_no, coalesce(rendered, line) AS line FROM marks LEFT JOIN tables USING (doc_id, page, n)
+           UNION ALL SELECT doc_id, page, CAST(last + 1 + n - m AS INT), rendered FROM tables JOIN (SELECT doc_id, page, max(line_no) AS last, count(n) AS m FROM marks GROUP BY 1, 2) USING (doc_id, page) WHERE n >= m""",
         _L,
-        "marks AS (SELECT doc_id, page, line_no, mark, CASE WHEN mark THEN count(CASE WHEN mark THEN 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 END AS n FROM (SELECT doc_id, line_no % 2 AS page, line_no, line_no % 3 = 0 AS mark FROM lines WHERE line_no < 12))",
+        "marks AS (SELECT doc_id, page, line_no, CASE WHEN mark THEN '[TABLE_PLACEHOLDER] ' || left(line, 5) ELSE line END AS line, CASE WHEN mark THEN count(CASE WHEN mark THEN 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 END AS n FROM (SELECT doc_id, CAST(line_no // 10 AS INT) AS page, line_no, line, line_no % 3 = 0 AS mark FROM lines))",
+        "tables AS (SELECT doc_id, CAST(line_no // 10 AS INT) AS page, row_number() OVER (PARTITION BY doc_id, line_no // 10 ORDER BY line_no) - 1 AS n, '| ' || line || ' |' AS rendered FROM lines WHERE line_no % 5 <= doc_id % 5)",
     ),
 }
 
@@ -265,3 +277,62 @@ ORACLES |= {
     "segment_steps": with_views(_CHUNKS, _UNITS, _greedy("c.size + length(u.content) + 22 <= 1200", "(length(u.content) + 22)")),
     "split_oversized": with_views(_CHUNKS + " UNION ALL SELECT doc_id, 0, md5(raw_content) FROM v_manuals WHERE length(raw_content) // 4 <= 700", _PARTS, _greedy("c.size + u.n <= 700")),
 }
+
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_TITLED = "(length(x) BETWEEN 3 AND 80 AND NOT regexp_matches(x, '\\.\\s') AND regexp_matches(x, '^[\\p{Lu}\\d]') AND (len(w) >= 2 OR (x = upper(x) AND x <> lower(x))) AND len([y for y in w if length(y) > 3 AND y = lower(y) AND y <> upper(y)]) * 2 <= len(w) AND NOT starts_with(x, '#'))"
+_USABLE = "length(h) >= 3 AND lower(h) NOT IN ('introduction', 'contents', 'table of contents', 'index', 'overview', 'untitled')"
+_LIGHT_KIND = """CASE WHEN length(content) - length(replace(content, '|', '')) > 5 OR length(content) - length(replace(content, chr(9), '')) > 5 THEN 'table'
+  WHEN len([x for x in string_split(content, chr(10)) if trim(x) <> '']) > 0 AND len([x for x in string_split(content, chr(10)) if regexp_matches(x, '^\\s*[•\\-*■●]')]) > 0.5 * len([x for x in string_split(content, chr(10)) if trim(x) <> '']) THEN 'list'
+  WHEN length(regexp_replace(content, '\\P{Nd}', '', 'g')) > 0.3 * length(content) THEN 'reference' ELSE 'narrative' END"""
+_NUMBER = "len([y for y in regexp_split_to_array({}, '\\s+') if y <> ''])"
+
+ORACLES |= {
+    "pack_embedding_batches": with_views(
+        "SELECT doc_id AS family_id, chunk_id, CAST(chunk AS BIGINT) AS batch_no FROM packed JOIN units USING (doc_id, i)",
+        "units AS (SELECT source_id % 3 AS doc_id, row_number() OVER (PARTITION BY source_id % 3 ORDER BY chunk_id) AS i, chunk_id, strlen(content) + token_count AS n FROM v_chunks)",
+        _greedy("c.steps < 7 AND c.size + u.n <= 1200"),
+    ),
+    "overlap_chunks": with_views(
+        """SELECT doc_id, chunk_index, CASE WHEN has AND heading IS NULL AND head IS NOT NULL THEN 'Continued: ' || head WHEN has AND heading = head THEN 'Continued: ' || heading ELSE heading END AS heading,
+           CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END AS content, has AS has_overlap, CASE WHEN has THEN n END AS overlap_tokens, CAST(length(CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END) // 4 AS INT) AS token_count
+           FROM (SELECT *, coalesce(usable AND lap <> '', false) AS has FROM (SELECT *, trim(CASE WHEN stop > 0 AND stop - 1 < length(tail) // 2 AND stop + 1 < length(tail) THEN substr(tail, stop + 2) WHEN space > 1 AND space - 1 < length(tail) // 3 THEN substr(tail, space + 1) ELSE tail END) AS lap
+             FROM (SELECT *, instr(tail, '. ') AS stop, instr(tail, ' ') AS space FROM (SELECT *, n > 0 AND length(before) > n * 4 AS usable, CASE WHEN n > 0 THEN right(before, n * 4) ELSE '' END AS tail
+               FROM (SELECT *, CAST(floor(length(before) // 4 * 0.15) AS INT) AS n FROM (SELECT *, lag(content) OVER o AS before, lag(heading) OVER o AS head FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)))))))""",
+        f"""chunks AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 < 2 THEN 'A' WHEN chunk_index % 5 = 2 THEN 'B' END AS heading, content FROM (SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, {_TRIM.format("l[i]")} AS content
+          FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id AS doc_id, string_split(raw_content, chr(10)) AS l FROM v_sources))) WHERE content <> '')""",
+    ),
+    "document_identifier": with_views(
+        f"""SELECT source_id AS doc_id, coalesce([h for h in [{_TRIM.format("substr(x, 3)")} for x in l[:30] if starts_with(x, '# ')] if {_USABLE}][1], [h for h in [{_TRIM.format("substr(x, 4)")} for x in l[:30] if starts_with(x, '## ')] if {_USABLE}][1],
+            (SELECT arg_min(x, i) FROM (SELECT i, l[i] AS x, regexp_split_to_array(l[i], '\\s+') AS w FROM unnest(range(1, least(len(l), 20) + 1)) t(i)) WHERE {_TITLED}), regexp_replace(title, '(?i)\\.pdf$', '')) AS identifier
+            FROM (SELECT source_id, title, [{_TRIM.format("x")} for x in string_split(raw_content, chr(10))] AS l FROM v_sources)"""
+    ),
+    "step_overlap_segments": with_views(
+        """SELECT doc_id, segment, trim('Guide: ' || any_value(title) || chr(10) || chr(10) || string_agg(CASE WHEN step > 0 THEN 'Step ' || step || ': ' ELSE '' END || heading || chr(10) || body || chr(10), chr(10) ORDER BY step), ' ' || chr(10)) AS content,
+           string_agg(CASE WHEN step > 0 THEN CAST(step AS VARCHAR) END, ',' ORDER BY step) AS step_indices, array_to_string(list_distinct_in_order(list(heading ORDER BY step)), '|') AS headings
+           FROM (SELECT * FROM items UNION ALL SELECT l.doc_id, l.segment + 1, l.step, l.heading, l.body, l.title FROM (SELECT * FROM items WHERE step > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, segment ORDER BY step DESC) = 1) l
+             WHERE EXISTS (SELECT 1 FROM items i WHERE i.doc_id = l.doc_id AND i.segment = l.segment + 1)) GROUP BY doc_id, segment""".replace("list_distinct_in_order(list(heading ORDER BY step))", "list_reduce([[h] for h in list(heading ORDER BY step)], lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END)"),
+        _L,
+        _GUIDE,
+        "items AS (SELECT doc_id, CAST(step // 4 AS INT) AS segment, step, coalesce(any_value(heading), 'Introduction') AS heading, CAST(count(*) AS VARCHAR) AS body, any_value(title) AS title FROM steps WHERE head IS NULL GROUP BY doc_id, step)",
+    ),
+    "chunk_corpus_report": with_views(
+        f"""SELECT source_id AS doc_id, count(*) AS chunks, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 4) AS avg_tokens, count(heading) AS with_heading, CAST(sum(length(content)) AS BIGINT) AS chars,
+            CAST(sum({_NUMBER.format("content")}) AS BIGINT) AS words, count_if(chunk_id % 3 <> 0) AS narrative, count_if(chunk_id % 3 = 0) AS other FROM v_chunks GROUP BY 1"""
+    ),
+    "chunk_documents_final": with_views(
+        f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p) - 1 AS INT) AS chunk_index, heading, content, CAST({_NUMBER.format("content")} AS INT) AS token_count, {_LIGHT_KIND} AS content_type
+            FROM (SELECT doc_id, chunk, p, CASE WHEN p = 0 THEN heading END AS heading, CASE WHEN n > 450 THEN array_to_string(w[p * 392 + 1 : p * 392 + 442], ' ') ELSE content END AS content
+              FROM (SELECT *, unnest(range(0, CASE WHEN n > 450 THEN (n - 1) // 392 + 1 ELSE 1 END)) AS p FROM (SELECT *, len(w) AS n FROM (SELECT *, [x for x in regexp_split_to_array(content, '\\s+') if x <> ''] AS w
+                FROM (SELECT doc_id, chunk, arg_min(heading, i) AS heading, string_agg(CASE WHEN opens THEN content ELSE coalesce(heading || chr(10), '') || content END, chr(10) || chr(10) ORDER BY i) AS content FROM packed JOIN units USING (doc_id, i) GROUP BY 1, 2)))))""",
+        _L,
+        _S,
+        f"""plains AS (SELECT doc_id, line_no, t AS line, t <> '' AND NOT starts_with(t, '#') AS plain FROM s WHERE NOT {_hits("regexp_replace(t, '^#+\\s*', '')", L.CONTENTS)} AND NOT (regexp_matches(t, '^[\\d.\\-•*\\s]+$') AND length(t) <= 20 AND t <> '')),
+        marked AS (SELECT *, lag(plain) {_W} AS before FROM plains), whole AS ({_joined("marked", "plain AND coalesce(before, false)")}),
+        parted AS (SELECT *, sum(CAST(h AS INT)) {_W} AS section_no FROM (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+') AS h FROM whole)),
+        kept AS (SELECT doc_id, section_no, max(CASE WHEN h THEN {_TRIM.format("line")} END) AS heading, {_TRIM.format("coalesce(string_agg(CASE WHEN NOT h THEN line END, chr(10) ORDER BY line_no), '')")} AS content FROM parted GROUP BY 1, 2),
+        units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS i, heading, content, {_NUMBER.format("content")} AS n, {_NUMBER.format("coalesce(heading, '')")} AS h FROM kept WHERE content <> '')""",
+        """packed AS ( /* recursive */ SELECT doc_id, i, 0 AS chunk, n AS size, true AS opens FROM units WHERE i = 1
+          UNION ALL SELECT u.doc_id, u.i, CASE WHEN c.size < 180 OR c.size + u.n <= 450 THEN c.chunk ELSE c.chunk + 1 END, CASE WHEN c.size < 180 OR c.size + u.n <= 450 THEN c.size + u.n + u.h ELSE u.n END, NOT (c.size < 180 OR c.size + u.n <= 450)
+          FROM packed c JOIN units u ON u.doc_id = c.doc_id AND u.i = c.i + 1)""",
+    ),
+}

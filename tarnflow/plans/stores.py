@@ -32,6 +32,10 @@ def _context(s, d):
     return R.prompt_context(rows)
 
 
+def _voice(s, d):
+    return R.voice_context(_hits(s, d).join(view(s, d, "v_chunks").select("chunk_id", "heading", "content"), "chunk_id"))
+
+
 def _families(s, d):
     target = view(s, d, "v_models").groupBy("family_id").agg(F.first("family_name").alias("name")).select("family_id", "name", F.when(F.col("family_id").endswith("1"), F.lit("old text")).alias("description"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("metadata"))
     keys = view(s, d, "v_models").select("model_id", F.when(F.col("model_id") % 3 == 0, F.concat(F.lit("New#"), (F.col("model_id") % 10).cast("string"))).otherwise(F.col("family_id")).alias("family_id")).filter("model_id % 2 = 0")
@@ -71,8 +75,11 @@ def _wrong(s, d):
 
 def _cascade(s, d):
     tables = dict(zip(("users", "sessions", "messages", "subscriptions", "uploads", "sources"), _v(s, d, "v_users", "v_sessions", "v_messages", "v_subscriptions", "v_uploads", "v_sources"), strict=True))
+    tables["settings"] = tables["users"].select("user_id", F.lit("dark").alias("theme"))
+    tables["attachments"] = tables["messages"].filter("turn % 2 = 0").select((F.col("message_id") + 5).alias("attachment_id"), "message_id")
+    tables["analyses"] = tables["attachments"].select((F.col("attachment_id") * 2).alias("analysis_id"), "attachment_id")
     out = M.cascade_delete(tables, view(s, d, "v_users").filter("user_id % 3 = 0").select("user_id"))
-    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count("user_id" if "user_id" in df.columns else "session_id").alias("owned")) for name, df in out.items()]
+    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count(next(c for c in ("user_id", "session_id", "message_id", "attachment_id") if c in df.columns)).alias("owned")) for name, df in out.items()]
     first = rows[0]
     for r in rows[1:]:
         first = first.unionByName(r)
@@ -80,7 +87,8 @@ def _cascade(s, d):
 
 
 def _deleted(s, d):
-    uploads = view(s, d, "v_sources").filter("user_id IS NOT NULL").select((F.col("source_id") + 7).alias("upload_id"), "user_id", F.col("title").alias("file_name"))
+    linked = F.when(F.col("source_id") % 5 == 0, F.col("source_id") + 1)
+    uploads = view(s, d, "v_sources").filter("user_id IS NOT NULL").select((F.col("source_id") + 7).alias("upload_id"), "user_id", F.col("title").alias("file_name"), linked.alias("source_id"))
     kept = M.delete_documents(uploads, view(s, d, "v_sources"), view(s, d, "v_chunks"), uploads.filter("upload_id % 2 = 0").select("upload_id"))
     counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in zip(("uploads", "sources", "chunks"), kept, strict=True)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -105,9 +113,10 @@ QUERIES = {
     "cosine_top_k": _rag(R.cosine_top_k, 10, 0.6),
     "cosine_top_k_scoped": _rag(R.cosine_top_k_scoped, 4, 3),
     "cosine_top_k_soft": _rag(R.cosine_top_k_soft, 10, 0.4, 3),
-    "ann_top_k": _rag(R.ann_top_k, 10, 0.6, 10, 10),
+    "ann_top_k": _rag(R.ann_top_k, 10, 0.6),
     "expand_adjacent_chunks": lambda s, d: R.expand_adjacent_chunks(_hits(s, d), *_v(s, d, "v_chunks", "v_sources")),
     "prompt_context": _context,
+    "voice_context": _voice,
     "upsert_families": _families,
     "upsert_models": _models,
     "upsert_sources": _sources,
@@ -130,10 +139,13 @@ QUERIES = {
     "metadata_completeness": lambda s, d: Q.metadata_completeness(_with_metadata(s, d)),
     "validation_issues": _issues,
     "validation_summary": lambda s, d: Q.validation_summary(_issues(s, d)),
+    "validation_stats": lambda s, d: Q.validation_stats(view(s, d, "v_models").select("family_id", "family_name").distinct(), view(s, d, "v_models"), _with_metadata(s, d)),
     "keyword_inventory": lambda s, d: Q.keyword_inventory(*_v(s, d, "v_sources", "v_models", "v_chunks"), "red"),
     "reconcile_counts": lambda s, d: Q.reconcile_counts(view(s, d, "v_sources").select("source_id", F.lit(5).cast("long").alias("expected")), view(s, d, "v_chunks").filter("chunk_id % 9 <> 0"), "source_id"),
     "top_documents": lambda s, d: Q.top_documents(*_v(s, d, "v_sources", "v_models"), 5),
+    "top_documents_like": lambda s, d: Q.top_documents(_with_metadata(s, d), view(s, d, "v_models"), 4, "words", "DOC-1%"),
     "size_bucket_sample": lambda s, d: Q.size_bucket_sample(view(s, d, "v_sources")),
+    "edge_case_sample": lambda s, d: Q.edge_case_sample(view(s, d, "v_sources").withColumn("raw_content", F.when(F.col("source_id") % 3 == 0, F.concat(F.lit("## 1. one\n"), "raw_content")).when(F.col("source_id") % 3 == 1, F.replace("raw_content", F.lit(". "), F.lit(".\n## "))).otherwise(F.col("raw_content"))), 2),
     "filter_chunks_by_words": lambda s, d: Q.filter_chunks_by_words(view(s, d, "v_sources").withColumn("content", F.col("raw_content")), 50, 300).select("source_id"),
     "embedding_ingest_stats": lambda s, d: Q.embedding_ingest_stats(view(s, d, "v_chunks").select((F.col("chunk_id") % 4).alias("batch_no"), F.when(F.col("embedding").isNull(), F.lit("missing")).alias("error"))),
 }
@@ -148,8 +160,8 @@ _ISSUES = """families AS (SELECT DISTINCT family_id, CASE WHEN family_id LIKE '%
 issues AS (SELECT *, type || ' in ' || section || ' ' || id AS message FROM (
   SELECT 'families' AS section, 'missing_name' AS type, family_id AS id FROM families WHERE trim(family_name) = ''
   UNION ALL SELECT 'models', 'orphaned_model', CAST(model_id AS VARCHAR) FROM v_models WHERE family_id NOT IN (SELECT family_id FROM families)
-  UNION ALL SELECT 'sources', 'missing_content', CAST(source_id AS VARCHAR) FROM meta WHERE regexp_replace(raw_content, '^\\s+|\\s+$', '', 'g') = ''
-  UNION ALL SELECT 'sources', 'short_content', CAST(source_id AS VARCHAR) FROM meta WHERE length(regexp_replace(raw_content, '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 19
+  UNION ALL SELECT 'sources', 'missing_content', CAST(source_id AS VARCHAR) FROM meta WHERE coalesce(raw_content, '') = ''
+  UNION ALL SELECT 'sources', 'short_content', CAST(source_id AS VARCHAR) FROM meta WHERE raw_content <> '' AND length(regexp_replace(raw_content, '^\\s+|\\s+$', '', 'g')) < 10
   UNION ALL SELECT 'sources', 'missing_metadata', CAST(source_id AS VARCHAR) FROM meta WHERE metadata IS NULL
   UNION ALL SELECT 'sources', 'invalid_metadata', CAST(source_id AS VARCHAR) FROM meta WHERE source_id % 7 = 0
   UNION ALL SELECT 'sources', 'orphaned_source', CAST(source_id AS VARCHAR) FROM meta WHERE model_id IS NOT NULL AND model_id NOT IN (SELECT model_id FROM v_models)
@@ -167,7 +179,6 @@ ORACLES = {
            WHERE CASE WHEN good >= 3 THEN sim >= 0.4 WHEN n >= 3 THEN rank <= 3 WHEN good > 0 THEN sim >= 0.4 ELSE true END""",
         _SCORES,
     ),
-    "ann_top_k": with_views(_TOP.format("(owner IS NULL OR owner = user_id) AND sim > 0.4", 10), _SCORES),
     "expand_adjacent_chunks": with_views(
         """SELECT query_id, source_id, chunk_index, chunk_id, bool_or(hit) AS hit FROM (SELECT h.query_id, c.source_id, c.chunk_index, c.chunk_id, true AS hit FROM hits h JOIN v_chunks c USING (chunk_id)
            UNION ALL SELECT h.query_id, n.source_id, n.chunk_index, n.chunk_id, false FROM hits h JOIN v_chunks c USING (chunk_id) JOIN v_chunks n ON n.source_id = c.source_id AND n.chunk_index BETWEEN c.chunk_index - 1 AND c.chunk_index + 1
@@ -181,6 +192,12 @@ ORACLES = {
         _SCORES,
         _HITS,
     ),
+    "voice_context": with_views(
+        """SELECT query_id, '📚 Knowledge Base References:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || coalesce(heading, 'Untitled') || ' (Relevance: ' || printf('%.1f', sim * 100) || '%)' || chr(10) || '    ' || left(content, 200) || chr(10) || chr(10), '' ORDER BY rank) AS context
+           FROM hits JOIN (SELECT chunk_id, heading, content FROM v_chunks) USING (chunk_id) GROUP BY query_id""",
+        _SCORES,
+        _HITS,
+    ),
     "upsert_families": with_views(
         """SELECT coalesce(t.family_id, u.family_id) AS family_id, coalesce(u.name, t.name) AS name, coalesce(u.description, t.description) AS description,
            CASE WHEN t.family_id IS NULL THEN 'b=9,c=3' WHEN u.family_id IS NULL THEN 'a=1,b=2' ELSE 'a=1,b=9,c=3' END AS metadata
@@ -209,11 +226,15 @@ ORACLES = {
         """SELECT 'users' AS name, count(*) AS n, count(user_id) AS owned FROM v_users WHERE user_id % 3 <> 0 UNION ALL SELECT 'sessions', count(*), count(user_id) FROM v_sessions WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0)
            UNION ALL SELECT 'messages', count(*), count(session_id) FROM v_messages WHERE session_id IN (SELECT session_id FROM v_sessions WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0))
            UNION ALL SELECT 'subscriptions', count(*), count(user_id) FROM v_subscriptions WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0) UNION ALL SELECT 'uploads', count(*), count(user_id) FROM v_uploads WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0)
+           UNION ALL SELECT 'settings', count(*), count(user_id) FROM v_users WHERE user_id % 3 <> 0
+           UNION ALL SELECT 'attachments', count(*), count(*) FROM v_messages WHERE turn % 2 = 0 AND session_id IN (SELECT session_id FROM v_sessions WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0))
+           UNION ALL SELECT 'analyses', count(*), count(*) FROM v_messages WHERE turn % 2 = 0 AND session_id IN (SELECT session_id FROM v_sessions WHERE user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0))
            UNION ALL SELECT 'sources', count(*), count(CASE WHEN user_id NOT IN (SELECT user_id FROM v_users WHERE user_id % 3 = 0) THEN 1 END) FROM v_sources"""
     ),
     "delete_documents": with_views(
-        """SELECT 'uploads' AS name, count(*) AS n FROM v_sources WHERE user_id IS NOT NULL AND source_id % 2 = 0 UNION ALL SELECT 'sources', count(*) FROM v_sources WHERE NOT (user_id IS NOT NULL AND source_id % 2 = 1 AND source_type = 'pdf')
-           UNION ALL SELECT 'chunks', count(*) FROM v_chunks WHERE source_id NOT IN (SELECT source_id FROM v_sources WHERE user_id IS NOT NULL AND source_id % 2 = 1 AND source_type = 'pdf')"""
+        """SELECT 'uploads' AS name, count(*) AS n FROM v_sources WHERE user_id IS NOT NULL AND source_id % 2 = 0 UNION ALL SELECT 'sources', count(*) FROM v_sources WHERE source_id NOT IN (SELECT source_id FROM dead)
+           UNION ALL SELECT 'chunks', count(*) FROM v_chunks WHERE source_id NOT IN (SELECT source_id FROM dead)""",
+        "dead AS (SELECT source_id FROM v_sources WHERE user_id IS NOT NULL AND source_id % 2 = 1 AND source_id % 5 <> 0 AND source_type = 'pdf' UNION SELECT source_id + 1 FROM v_sources WHERE user_id IS NOT NULL AND source_id % 2 = 1 AND source_id % 5 = 0)",
     ),
     "new_keys": with_views("SELECT DISTINCT source_id, chunk_index + 2 AS chunk_index FROM v_chunks WHERE (source_id, chunk_index + 2) NOT IN (SELECT (source_id, chunk_index) FROM v_chunks)"),
     "dedupe_keep_first": with_views("SELECT family_id, max(model_id) AS model_id FROM v_models GROUP BY 1"),
@@ -242,7 +263,21 @@ ORACLES = {
            UNION ALL SELECT 'chunks of ' || source_type, count(*), count_if(contains(lower(content), 'red')) FROM v_chunks JOIN v_sources USING (source_id) GROUP BY source_type"""
     ),
     "reconcile_counts": with_views("SELECT source_id, CAST(CASE WHEN source_id IN (SELECT source_id FROM v_sources) THEN 5 ELSE 0 END AS BIGINT) AS expected, coalesce(n, 0) AS stored, CASE WHEN source_id IN (SELECT source_id FROM v_sources) THEN 5 ELSE 0 END = coalesce(n, 0) AS matches FROM (SELECT source_id FROM v_sources) FULL JOIN (SELECT source_id, count(*) AS n FROM v_chunks WHERE chunk_id % 9 <> 0 GROUP BY 1) USING (source_id)"),
-    "top_documents": with_views("SELECT source_id, s.title, CAST(length(raw_content) AS INT) AS size, left(raw_content, 40) AS preview, m.title AS model_title FROM (SELECT * FROM v_sources ORDER BY length(raw_content) DESC, source_id LIMIT 5) s LEFT JOIN v_models m USING (model_id)"),
+    "top_documents": with_views("SELECT source_id, s.title, CAST(length(raw_content) AS INT) AS size, left(raw_content, 40) AS preview, m.title AS model_title, CAST(NULL AS VARCHAR) AS url FROM (SELECT * FROM v_sources ORDER BY length(raw_content) DESC, source_id LIMIT 5) s LEFT JOIN v_models m USING (model_id)"),
+    "top_documents_like": with_views(
+        f"SELECT source_id, s.title, CAST(size AS INT) AS size, left(raw_content, 40) AS preview, m.title AS model_title, CASE WHEN source_id % 7 > 2 THEN 'u' END AS url FROM (SELECT *, {_words} AS size FROM v_sources WHERE title ILIKE 'DOC-1%' ORDER BY size DESC, source_id LIMIT 4) s LEFT JOIN v_models m USING (model_id)"
+    ),
+    "validation_stats": with_views(
+        """SELECT section, field, n FROM (SELECT 'families' AS section, unnest(['total', 'with_name']) AS field, unnest([count(*), count(*)]) AS n FROM (SELECT DISTINCT family_id FROM v_models)
+           UNION ALL SELECT 'models', unnest(['total', 'with_name', 'with_family']), unnest([count(*), count_if(trim(title) <> ''), count(family_id)]) FROM v_models
+           UNION ALL SELECT 'sources', unnest(['total', 'with_title', 'with_content', 'with_model', 'with_metadata']), unnest([count(*), count_if(trim(title) <> ''), count_if(raw_content <> ''), count(model_id), count_if(source_id % 7 <> 2)]) FROM v_sources)"""
+    ),
+    "edge_case_sample": with_views(
+        f"""SELECT kind, CAST(rank AS INT) AS rank, source_id, words FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY place, source_id) AS rank FROM (
+            SELECT 'very_short' AS kind, words AS place, source_id, words FROM odd WHERE words < 100 UNION ALL SELECT 'single_step', 0, source_id, words FROM odd WHERE contains(raw_content, '## 1.') AND NOT contains(raw_content, '## 2.') AND NOT contains(raw_content, '## 3.')
+            UNION ALL SELECT 'many_steps', -marks, source_id, words FROM odd WHERE words BETWEEN 500 AND 1500 AND marks > 10 UNION ALL SELECT 'long', 0, source_id, words FROM odd WHERE words > 2000)) WHERE rank <= 2""",
+        f"odd AS (SELECT *, {_words} AS words, (length(raw_content) - length(replace(raw_content, '##', ''))) // 2 AS marks FROM (SELECT source_id, CASE source_id % 3 WHEN 0 THEN '## 1. one' || chr(10) || raw_content WHEN 1 THEN replace(raw_content, '. ', '.' || chr(10) || '## ') ELSE raw_content END AS raw_content FROM v_sources))",
+    ),
     "size_bucket_sample": with_views(
         f"""SELECT bucket, CAST(rank AS INT) AS rank, source_id, words FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 'large' THEN -words ELSE words END, source_id) AS rank
             FROM (SELECT source_id, {_words} AS words, CASE WHEN {_words} < 500 THEN 'small' WHEN {_words} < 2000 THEN 'medium' ELSE 'large' END AS bucket FROM v_sources)) WHERE rank <= 2"""

@@ -45,6 +45,8 @@ QUERIES = {
     "normalize_url": _on("v_models", "model_id", url=lambda: T.normalize_url(F.when(F.col("model_id") % 4 == 0, "").when(F.col("model_id") % 4 == 1, F.concat(F.lit("/g/"), F.col("model_id").cast("string"))).when(F.col("model_id") % 4 == 2, "http://x.example/a").otherwise("rel"), "https://base.example")),
     "split_manufacturer": _on("v_models", "model_id", manufacturer=lambda: T.split_manufacturer(F.when(F.col("model_id") % 5 == 0, "Single").otherwise(F.col("title")))["manufacturer"], number=lambda: T.split_manufacturer(F.col("title"))["model_number"]),
     "uuid5": _on("v_models", "model_id", id=lambda: T.uuid5(F.concat(F.lit("catalog/model/"), F.col("path")))),
+    "split_sentences_list": _on("v_manuals", "doc_id", sentences=lambda: F.array_join(T.split_sentences(F.replace(_raw(), F.lit("SAFETY NOTES"), F.lit("SAFETY NOTES\n- one thing. Two\n- three"))), "|")),
+    "vector_literal": _on("v_chunks", "chunk_id", literal=lambda: T.vector_literal(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")))),
     "sanitize_vector": _on("v_chunks", "chunk_id", size=lambda: F.size(T.sanitize_vector(F.col("embedding"), 64)), total=lambda: F.round(F.aggregate(T.sanitize_vector(F.transform("embedding", lambda x: F.when(x > 0.1, F.lit(float("nan")).cast("float")).otherwise(x)), 64), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)),
     "mock_embedding": _on("v_chunks", "chunk_id", first=lambda: F.get(T.mock_embedding(F.col("content"), 8), F.lit(0)), last=lambda: F.get(T.mock_embedding(F.col("content"), 8), F.lit(7))),
     "fallback_title": _on("v_messages", "message_id", short=lambda: T.fallback_title(F.when(F.col("turn") == 0, " ").otherwise(F.col("content")), F.col("message_id") % 2 == 0), long=lambda: T.fallback_title(F.col("content"), F.lit(False), 60)),
@@ -65,6 +67,10 @@ _KIND = """kinds AS (SELECT *, CASE WHEN has_images AND word_count < 20 THEN 'im
 _trim = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _hex = lambda x: f"CAST('0x' || {x} AS UBIGINT)"
 
+_PLAIN = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_SENTENCES = f"""[z for z in [{_PLAIN.format('y')} for y in flatten([CASE WHEN regexp_matches(q, '(?m)^\\s*(?:[•\\-*■●]|\\d+\\.)\\s') THEN string_split(q, chr(10)) ELSE string_split(regexp_replace(q, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END
+  for q in [{_PLAIN.format('x')} for x in regexp_split_to_array(raw_content, '\\n\\s*\\n')] if q <> ''])] if z <> '']"""
+_SPLIT = f"SELECT doc_id, CAST(len({_SENTENCES}) AS INT) AS n FROM v_manuals"
 ORACLES = {
     "word_count": with_views(f"SELECT source_id, {_WORDS} AS words FROM v_sources"),
     "token_estimate": with_views(f"SELECT source_id, CAST(floor(length(raw_content) / 4.0) AS INT) AS chars4, CAST(floor({_WORDS} * 13 / 10.0) AS INT) AS words13, {_WORDS} AS words FROM v_sources"),
@@ -93,6 +99,11 @@ ORACLES = {
         """SELECT model_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END
            || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT model_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('catalog/model/' || path)) AS h FROM v_models)"""
     ),
+    "vector_literal": with_views("SELECT chunk_id, CASE WHEN embedding IS NOT NULL THEN '[' || array_to_string([CAST(floor(CAST(x AS FLOAT) * 100) AS INT) for x in embedding], ',') || ']' END AS literal FROM v_chunks"),
+    "split_sentences_list": with_views(
+        f"SELECT doc_id, coalesce(array_to_string({_SENTENCES}, '|'), '') AS sentences FROM (SELECT doc_id, replace(raw_content, 'SAFETY NOTES', 'SAFETY NOTES' || chr(10) || '- one thing. Two' || chr(10) || '- three') AS raw_content FROM v_manuals)"
+    ),
+    "split_sentences": with_views(_SPLIT),
     "sanitize_vector": with_views("SELECT chunk_id, CASE WHEN embedding IS NOT NULL THEN len(embedding) END AS size, round(list_sum([CASE WHEN x > CAST(0.1 AS DOUBLE) THEN 0.0 ELSE CAST(x AS DOUBLE) END for x in embedding]), 4) AS total FROM v_chunks"),
     "mock_embedding": with_views(
         f"""SELECT chunk_id, b / 1000.0 AS first, ((b + 7) % 1000) / 1000.0 AS last FROM (SELECT chunk_id, CAST((({_hex('substr(h, 1, 16)')} % 1000) * 616 + {_hex('substr(h, 17, 16)')} % 1000) % 1000 AS INT) AS b FROM (SELECT chunk_id, md5(content) AS h FROM v_chunks))"""

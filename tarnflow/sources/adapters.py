@@ -26,7 +26,7 @@ VIEWS = {
     "v_subscriptions": """
         SELECT o_orderkey AS subscription_id, o_custkey AS user_id, o_orderpriority AS plan_name,
         CASE WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'canceled' END AS status, o_orderdate AS created_at
-        FROM orders WHERE o_orderkey % 20 = 0
+        FROM orders
     """,
     "v_sessions": """
         SELECT conv_id AS session_id, 1 + conv_id % 40 AS user_id,
@@ -72,7 +72,7 @@ VIEWS = {
         FROM embeddings
     """,
     "v_queries": """
-        SELECT vec_id AS query_id, 1 + vec_id % 40 AS user_id, embedding FROM embeddings WHERE vec_id % 25 = 0
+        SELECT vec_id AS query_id, 1 + vec_id % 40 AS user_id, embedding FROM embeddings WHERE vec_id % 20 = 0
     """,
     "v_job_events": """
         SELECT event_id, user_id AS job_id, user_id % 10 AS batch_id,

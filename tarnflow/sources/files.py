@@ -19,8 +19,9 @@ def read_source_texts(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_content"))
 
 
-def read_guide_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    bundle = spark.read.schema(BUNDLE_SCHEMA).json(path, multiLine=True)
+def read_guide_bundle(spark: SparkSession, path: str, one_each: bool = True) -> dict[str, DataFrame]:
+    """Bundles, one in each file or (``one_each`` false) one in each line, which Spark can split."""
+    bundle = spark.read.schema(BUNDLE_SCHEMA).json(path, multiLine=one_each)
     return {name: bundle.select(F.inline(name)) for name in ("guides", "families", "devices", "applicable_devices_updates")}
 
 
