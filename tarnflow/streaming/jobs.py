@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,42 +14,54 @@ from ..operators.chunks import chunk_documents
 TERMINAL = ("completed", "failed")
 
 
-def job_status_stream(events: DataFrame) -> DataFrame:
-    """``events(job_id, event_id, batch_id, status, ts)`` -> a row whenever a job's latest status changes."""
+def _latest(rows: Iterator[pd.DataFrame], held: tuple) -> tuple:
+    """The newest of ``held`` and the rows: ``(status, ts, event_id)``."""
+    for frame in rows:
+        last = frame.sort_values(["ts", "event_id"], kind="stable").iloc[-1]
+        if held[1] is None or (last.ts.value, last.event_id) > held[1:]:
+            held = (last.status, last.ts.value, int(last.event_id))
+    return held
+
+
+def _by_job(events: DataFrame, keys: list[str], emit, out: str, keep: str) -> DataFrame:
+    """A row of ``emit(key, before, status)`` whenever a job's latest status changes; a job is forgotten when all events are
+    newer than its last by twice ``keep``."""
+    kept_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else (None, None, -1)
-        latest = held
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if latest[1] is None or (r.ts.value, r.event_id) > (latest[1], latest[2]):
-                    latest = (r.status, r.ts.value, r.event_id)
+        latest = _latest(rows, held)
         state.update(latest)
+        state.setTimeoutTimestamp(max(latest[1] // 1_000_000, state.getCurrentWatermarkMs()) + kept_ms)
         if latest[0] != held[0]:
-            yield pd.DataFrame({"job_id": [key[0]], "status": [latest[0]], "is_terminal": [latest[0] in TERMINAL]})
+            yield pd.DataFrame([emit(key, held[0], latest[0])])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, is_terminal boolean", "status string, ts long, event_id long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", keep)
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, "status string, ts long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def batch_completion_stream(events: DataFrame) -> DataFrame:
-    """Batches whose known jobs have all ended, again whenever that changes. State is a batch's jobs and their last status."""
+def job_status_stream(events: DataFrame, keep: str = "90 days") -> DataFrame:
+    """``events(job_id, event_id, status, ts)`` -> a row whenever a job's latest status changes."""
+    emit = lambda key, before, status: {"job_id": key[0], "status": status, "is_terminal": status in TERMINAL}
+    return _by_job(events, ["job_id"], emit, "job_id long, status string, is_terminal boolean", keep)
+
+
+def batch_change_stream(events: DataFrame, keep: str = "90 days") -> DataFrame:
+    """``events(batch_id, job_id, event_id, status, ts)`` -> what each change of a job adds to its batch's known and ended jobs.
+
+    State is one small row for each job, so a large batch is spread like any other jobs; ``batch_completion`` adds up the rows.
+    """
+    emit = lambda key, before, status: {"batch_id": key[0], "jobs": int(before is None), "ended": int(status in TERMINAL) - int(before in TERMINAL)}
+    return _by_job(events, ["batch_id", "job_id"], emit, "batch_id long, jobs long, ended long", keep)
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        jobs, was = ({}, None)
-        if state.exists:
-            ids, stamps, events_, states, was = state.get
-            jobs = {i: (t, e, s) for i, t, e, s in zip(ids, stamps, events_, states, strict=True)}
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.job_id not in jobs or (r.ts.value, r.event_id) > jobs[r.job_id][:2]:
-                    jobs[r.job_id] = (r.ts.value, r.event_id, r.status)
-        done = all(s in TERMINAL for _, _, s in jobs.values())
-        state.update((list(jobs), [x[0] for x in jobs.values()], [x[1] for x in jobs.values()], [x[2] for x in jobs.values()], done))
-        if done != was:
-            yield pd.DataFrame({"batch_id": [key[0]], "jobs": [len(jobs)], "all_done": [done]})
-
-    schema = "ids array<long>, stamps array<long>, events array<long>, states array<string>, done boolean"
-    return events.groupBy("batch_id").applyInPandasWithState(step, "batch_id long, jobs long, all_done boolean", schema, "update", GroupStateTimeout.NoTimeout)
+
+def batch_completion(changes: DataFrame) -> DataFrame:
+    """Rows of ``batch_change_stream`` -> each batch's known and ended jobs, and whether all have ended."""
+    sums = changes.groupBy("batch_id").agg(F.sum("jobs").alias("jobs"), F.sum("ended").alias("ended"))
+    return sums.withColumn("all_done", F.col("jobs") == F.col("ended"))
 
 
 def stalled_jobs_stream(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -59,12 +71,19 @@ def stalled_jobs_stream(events: DataFrame, gap: str = "10 minutes", late: str =
     return out.filter(~F.col("status").isin(*TERMINAL)).select("job_id", "status", "events", F.col("session_window.end").alias("stalled_at"))
 
 
-def assemble_responses(tokens: DataFrame) -> DataFrame:
-    """``tokens(stream_id, position, token, ts, stopped)`` -> the text of each stream in order, with counts and duration."""
+def assemble_responses(tokens: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """``tokens(stream_id, position, token, ts, stopped)`` -> the text of each stream in order, with counts and duration.
+
+    On a stream a response is complete when no token of it has come for ``late``, by a session window.
+    """
     parts = F.array_sort(F.collect_list(F.struct("position", "token")))
-    return tokens.groupBy("stream_id").agg(
+    keys = ["stream_id"]
+    if tokens.isStreaming:
+        tokens = tokens.withWatermark("ts", late)
+        keys.append(F.session_window("ts", late))
+    return tokens.groupBy(*keys).agg(
         F.array_join(F.transform(parts, lambda p: p["token"]), "").alias("content"), F.count("*").alias("tokens"), (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).alias("duration_us"), F.bool_or("stopped").alias("is_stopped")
-    )
+    ).select("stream_id", "content", "tokens", "duration_us", "is_stopped")
 
 
 def trend_stream(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -78,15 +97,26 @@ def dedupe_stream(events: DataFrame, key: str, late: str = "30 days") -> DataFra
 
 
 def auto_chunk_stream(documents: DataFrame, target: str, checkpoint: str, mode: str = "light"):
-    """Every new document is chunked; its chunks replace those of the same source, a folder for each. Started with ``availableNow``."""
+    """``documents(doc_id, raw_content, updated_at)``: every new text is chunked right away. Started with ``availableNow``.
+
+    Each trigger writes a folder of its documents' versions and one of their chunks, so a trigger that runs again replaces
+    its own rows; ``current_chunks`` reads what stands.
+    """
 
     def store(batch: DataFrame, epoch: int) -> None:
-        newest = batch.groupBy("doc_id").agg(F.max("raw_content").alias("raw_content"))
-        chunk_documents(newest, mode).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(target)
+        newest = batch.groupBy("doc_id").agg(F.max(F.struct("updated_at", "raw_content")).alias("n")).select("doc_id", "n.*")
+        newest.select("doc_id", "updated_at").write.mode("overwrite").parquet(f"{target}/versions/epoch={epoch}")
+        chunk_documents(newest, mode).write.mode("overwrite").parquet(f"{target}/chunks/epoch={epoch}")
 
     return documents.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks of each document's newest text; none where that gave none."""
+    versions = spark.read.parquet(f"{target}/versions").groupBy("doc_id").agg(F.max_by("epoch", F.struct("updated_at", "epoch")).alias("epoch"))
+    return spark.read.parquet(f"{target}/chunks").join(versions, ["doc_id", "epoch"]).drop("epoch")
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its rows: for bounded inputs.
 
