@@ -75,7 +75,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = bits[:, :width].ravel()
     else:
         values = np.frombuffer(data, np.uint8, count, at + 1)
-    if len(values) != count or (kind != 5 and kind != 6 and len(values) and values.max() > top):
+    if len(values) != count or ((kind <= 3 or top < 255) and values.max() > top):
         raise ValueError("bad Netpbm samples")
     if kind in (1, 4):
         values = (1 - values) * 255

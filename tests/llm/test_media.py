@@ -79,3 +79,10 @@ def test_edge_rows(spark):
     broken = spark.createDataFrame([(1, b"P5\n9 9\n255\nxx"), (2, None), (3, b"GIF"), (4, b"BM")], "doc_id long, media binary")
     assert [r.width for r in media.decode_images(broken).collect()] == [None] * 4
     assert media.decode_images(images.limit(0)).collect() == []
+
+
+def test_samples_above_the_greatest_value_are_no_image():
+    for data in (b"P5 2 1 100\n\xc8\x01", b"P2 2 1 100\n200 1", b"P6 1 1 9\n\x01\x02\x0a"):
+        with pytest.raises(ValueError, match="bad Netpbm samples"):
+            media.decode(data)
+    assert media.decode(b"P5 2 1 100\n\x64\x00").tolist() == [[255, 0]]

@@ -51,3 +51,30 @@ def test_clean_labelled_documents_stay(spark):
 def test_stages_do_not_hide_import_errors():
     source = open(corpus_pipeline.__file__).read()
     assert not re.search(r"\bexcept\b", source)
+
+
+def test_hard_rows_through_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns; then empty tables."""
+    import random
+
+    made = random.Random(2)
+    prose = lambda n: " ".join("".join(made.choice("etaoinshrdlu") for _ in range(made.randint(2, 8))) for _ in range(n)) + "."
+    text, other = prose(120), prose(90)
+    rows = [
+        (1, text, "en", "s", 1, 1, 2), (2, text, None, None, None, 1, 2), (3, None, "en", "s", 0, 1, 2), (4, "", "", "", 0, 1, 2), (None, other, "en", "s", 1, 1, 2), (None, None, None, None, None, None, None),
+        (5, prose(200_000), "en", "s", 1, 1, 2), (6, prose(80), "en", "s", 1, 1, 2), (6, prose(80), "en", "s", 1, 1, 2), (7, other, "fr", "t", 1, 1, 2), (8, prose(70), "en", "s", 1, 1, 2), (8, " ".join(["one two three"] * 60), "en", "s", 1, 1, 2),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id int, component_id int"
+    docs = spark.createDataFrame([*rows, rows[0]], schema).repartition(3)
+    spark.createDataFrame([(1, 1), (3, 0), (None, 1), (1, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        docs = spark.createDataFrame(out.collect(), schema)
+        if name == "near_dedup":
+            ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.collect())
+            assert ids == [1, 5, 6, 6, 7, 8], ids
+    assert sorted({r.doc_id for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()}) == [1, 5, 6, 7, 8]
+    docs = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
