@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again for the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again for the next.
+
+All stages but the last return the columns of the documents, whatever further columns they have and however these are
+named; an empty table gives an empty one. No stage is upset by nulls: a null text is an empty text, a null id is a document
+of its own. Repeated rows share their verdict in the filters and are one document in ``near_dedup``.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,30 @@ from tarnflow.llm.site_quality import keep_good as keep_by_site
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed quality rules keep."""
+    """Documents that the weighed quality rules keep. Null, empty and white-space texts have fewer than 50 words and go."""
     return keep_by_rules(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality, with that of their host and path, is good."""
+    """Documents whose posterior quality, with that of their host and path, is good; a posterior of exactly a half is good.
+    Without labels of both kinds all stay."""
     return keep_by_site(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more, that of the smallest id.
+    Texts without words resemble nothing and stay."""
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their secrets masked."""
+    """The documents with their secrets masked and ``n_chars`` kept right; none goes."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences of 2048 tokens."""
+    """The documents' pieces and their places in sequences of 2048 tokens. An empty text is a piece of one id; equal pieces take
+    places in any order."""
     return pack_documents(docs)
 
 
