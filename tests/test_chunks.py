@@ -9,6 +9,7 @@ from tarnflow.functions import text as T
 from tarnflow.operators import catalog, merge, quality
 from tarnflow.operators import chunks as C
 from tarnflow.operators import lines as L
+from tarnflow.sources import files
 
 
 def random_units(rng):
@@ -132,3 +133,10 @@ def test_issue_summary_totals(spark):
     issues = quality.validation_issues(families, models, sources)
     total = {(r.section, r.type): r.n for r in quality.validation_summary(issues).collect()}
     assert total[(None, None)] == issues.count() == 9
+
+
+def test_tables_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    files.write_table(rows, f"{tmp_path}/t")
+    files.write_table(rows, f"{tmp_path}/t", "append")
+    assert sorted((r.id, r.text or "") for r in files.read_table(spark, f"{tmp_path}/t").collect()) == [(1, "a"), (1, "a"), (2, ""), (2, "")]
