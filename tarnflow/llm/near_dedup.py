@@ -31,6 +31,8 @@ from .shingles import mix, shingle_sets
 
 #: Ids that a broadcast may hold: 8 bytes each, 16 MB at most. More are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Pairs, or places of open groups' members, that a broadcast may hold: 40 bytes each, 20 MB at most.
+BROADCAST_PLACES = 500_000
 #: A class with more copies is joined by a broadcast of the few such classes, so that no task gets all its copies.
 HOT_COPIES, BROADCAST_CLASSES = 1_000, 200_000
 #: What tells classes of equal sets apart: their size and two independent 64-bit sums over their shingles.
@@ -124,14 +126,14 @@ def _confirmed(k: int, percent: int):
 def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``n_pairs`` of ``pairs(a, b)`` whose whole ``texts(doc_id, text)`` are similar enough. ``pairs`` must be materialised.
 
-    A hub's text goes once to each block of ``HUB_MEMBERS`` or so of its members, which then stream past it.
+    A hub's text goes once to each block of ``HUB_MEMBERS`` or so of its members, which then stream past it. Up to
+    ``BROADCAST_PLACES`` pairs go to the texts, so that a text is shuffled once, to its hub; beyond it texts are shuffled to the pairs first.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    small = (lambda df: F.broadcast(df)) if n_pairs <= BROADCAST_PLACES else (lambda df: df)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
     block = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("block")
-    members = pairs.join(hubs, "a").select("a", block, "b").join(needed.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "text")
-    own = hubs.join(needed.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
+    members = texts.withColumnRenamed("doc_id", "b").join(small(pairs.join(hubs, "a").select("a", block, "b")), "b").select("a", "block", "b", "text")
+    own = texts.withColumnRenamed("doc_id", "a").join(small(hubs), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     placed = own.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
     return map_arrow(placed, _confirmed(k, percent), "a long, b long").distinct()
 
@@ -197,8 +199,9 @@ def _open_links(banded: DataFrame, members: DataFrame, texts: DataFrame, k: int,
     dealt = own.drop("size").join(mixed, "band")
     as_all = dealt.select("band", "doc_id", "component", F.lit(False).alias("open"), every("open_parts").alias("row"), block("parts", 1).alias("column"))
     as_open = dealt.filter("component <> main").select("band", "doc_id", "component", F.lit(True).alias("open"), block("open_parts", 2).alias("row"), every("parts").alias("column"))
-    needed = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    return as_all.unionByName(as_open).join(needed, "doc_id").groupBy("band", "row", "column").applyInArrow(_compare_blocks(k, percent), "a long, b long")
+    placed = materialize(as_all.unionByName(as_open), "placed")
+    whole = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
+    return whole.select(*placed.columns, "text").groupBy("band", "row", "column").applyInArrow(_compare_blocks(k, percent), "a long, b long")
 
 
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
