@@ -242,18 +242,19 @@ def _of_class(known: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     return marked.filter("hot IS NOT NULL").withColumnRenamed("hot", column).unionByName(rest)
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text", one_text: bool = False) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, k: int = 5, percent: int = 80, t: int = 2, m: int = 7, id_col: str = "doc_id", text_col: str = "text", one_text: bool = False, sign=None, find=None) -> DataFrame:
     """``docs`` -> ``(doc_id, n_shingles, component_id, kept)`` with a row for each input row.
 
-    ``one_text`` tells that no id stands on different texts.
+    ``one_text`` tells that no id stands on different texts. Another way to find links has its own ``sign``, which gives the
+    columns of ``_signatures``, and its own ``find`` in place of ``find_components``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     schema = "doc_id long, n_shingles long, print_a long, print_b long, n_bytes long, keys array<long>, bands array<long>"
-    signed = materialize(map_arrow(source, _signatures(k, t, m), schema), "signatures")
+    signed = materialize(map_arrow(source, sign or _signatures(k, t, m), schema), "signatures")
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *PRINTS)
     classes = materialize(known.groupBy(*PRINTS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *PRINTS), ["doc_id", *PRINTS], "left_semi").dropDuplicates(["doc_id", *PRINTS]).select("doc_id", "n_bytes", "keys", "bands")
-    component = find_components(banded, source.filter("doc_id IS NOT NULL"), k, percent)
+    banded = signed.join(classes.select(F.col("rep").alias("doc_id"), *PRINTS), ["doc_id", *PRINTS], "left_semi").dropDuplicates(["doc_id", *PRINTS]).select("doc_id", *PRINTS, "n_bytes", "keys", "bands")
+    component = (find or find_components)(banded, source.filter("doc_id IS NOT NULL"), k, percent)
     # One id with several texts belongs to several classes: it links them.
     several = known.groupBy("doc_id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).filter("low < high").select("doc_id")
     if not one_text and not several.isEmpty():
