@@ -267,33 +267,6 @@ def step_overlap_segments(items: DataFrame) -> DataFrame:
     )
 
 
-def pack_embedding_batches(rows: DataFrame, max_items: int = 50_000, max_size: int = 188_743_680, size_col: str = "bytes") -> DataFrame:
-    """``rows(family_id, position, chunk_id, bytes)`` -> ``(family_id, chunk_id, batch_no)``: greedy in the order of a family.
-
-    A row opens a new batch where the open one has ``max_items`` rows or its sizes would come over ``max_size``; a row over it
-    alone is a batch. With the words of chunks as ``size_col``, 2,040 items and 298,000 words it is the second form of the rule.
-    Greedy filling goes row by row, so a family is one task's work; it streams past and holds no more than the open batch's sums.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, number, items, size = object(), 0, 0, 0
-        for batch in batches:
-            numbers = []
-            for name, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if name != family:
-                    family, number, items, size = name, 0, 0, 0
-                elif items >= max_items or size + n > max_size:
-                    number, items, size = number + 1, 0, 0
-                items, size = items + 1, size + n
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["family_id", "chunk_id", "batch_no"])
-
-    kinds = dict(rows.dtypes)
-    ordered = rows.repartition("family_id").sortWithinPartitions("family_id", "position", "chunk_id")
-    sizes = ordered.select("family_id", "chunk_id", F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
-    return map_batches(sizes, run, f"family_id {kinds['family_id']}, chunk_id {kinds['chunk_id']}, batch_no long")
-
-
 def light_sections(docs: DataFrame, text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, section_no, heading, content)``, a row for each section."""
     units = _light_units(docs, text_col, id_col).select("doc_id", F.posexplode("units").alias("section_no", "u"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import batching
 from ..operators import chunks as C
 from ..operators import lines as L
 from ..sources.adapters import view, with_views
@@ -81,7 +83,13 @@ def _items(s, d):
 
 def _batches(s, d):
     rows = view(s, d, "v_chunks").select((F.col("source_id") % 3).alias("family_id"), F.col("chunk_id").alias("position"), "chunk_id", (F.octet_length("content") + F.col("token_count")).cast("long").alias("bytes"))
-    return C.pack_embedding_batches(rows, 7, 1200)
+    return batching.pack_embedding_batches(rows, 7, 1200)
+
+
+def _words_of_one_family(s, d):
+    """All texts of one family, by their words, over many blocks."""
+    rows = view(s, d, "v_sources").select(F.lit("all").alias("family_id"), (F.col("source_id") % 97).alias("position"), F.col("source_id").alias("chunk_id"), T.word_count(F.col("raw_content")).alias("words"))
+    return batching.pack_embedding_batches(rows, 20, 3000, "words", 100)
 
 
 def _images(s, d):
@@ -125,6 +133,7 @@ QUERIES = {
     "overlap_chunks": lambda s, d: C.overlap_chunks(_line_chunks(s, d)),
     "step_overlap_segments": lambda s, d: C.step_overlap_segments(_items(s, d)).select("doc_id", "segment", "content", F.array_join("step_indices", ",").alias("step_indices"), F.array_join("headings", "|").alias("headings")),
     "pack_embedding_batches": _batches,
+    "pack_embedding_batches_words": _words_of_one_family,
     "attach_images_to_chunks": _images,
     "chunk_documents": lambda s, d: C.chunk_documents(view(s, d, "v_sources"), id_col="source_id"),
     "chunk_documents_universal": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "universal").withColumn("image_urls", F.array_join("image_urls", "|")),
@@ -292,6 +301,11 @@ ORACLES |= {
         "units AS (SELECT source_id % 3 AS doc_id, row_number() OVER (PARTITION BY source_id % 3 ORDER BY chunk_id) AS i, chunk_id, strlen(content) + token_count AS n FROM v_chunks)",
         _greedy("c.steps < 7 AND c.size + u.n <= 1200"),
     ),
+    "pack_embedding_batches_words": with_views(
+        "SELECT 'all' AS family_id, chunk_id, CAST(chunk AS BIGINT) AS batch_no FROM packed JOIN units USING (doc_id, i)",
+        f"units AS (SELECT 0 AS doc_id, row_number() OVER (ORDER BY source_id % 97, source_id) AS i, source_id AS chunk_id, {_NUMBER.format('raw_content')} AS n FROM v_sources)",
+        _greedy("c.steps < 20 AND c.size + u.n <= 3000"),
+    ),
     "overlap_chunks": with_views(
         """SELECT doc_id, chunk_index, CASE WHEN has AND heading IS NULL AND head IS NOT NULL THEN 'Continued: ' || head WHEN has AND heading = head THEN 'Continued: ' || heading ELSE heading END AS heading,
            CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END AS content, has AS has_overlap, CASE WHEN has THEN n END AS overlap_tokens, CAST(length(CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END) // 4 AS INT) AS token_count

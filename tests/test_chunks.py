@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.functions import text as T
-from tarnflow.operators import catalog, merge, quality
+from tarnflow.operators import batching, catalog, merge, quality
 from tarnflow.operators import chunks as C
 from tarnflow.operators import lines as L
 from tarnflow.sources import files
@@ -68,10 +68,10 @@ def test_greedy_batches(spark):
     """Row by row: a batch ends where the next row would be one too many or come over the size; an oversized row is alone."""
     sizes = {1: [5, 5, 5, 90, 1, 120, 3], 2: [1] * 10}
     rows = spark.createDataFrame([(f, i, 10 * f + i, n) for f, v in sizes.items() for i, n in enumerate(v)], "family_id int, position int, chunk_id int, words int").repartition(3)
-    got = {r.chunk_id: r.batch_no for r in C.pack_embedding_batches(rows, 4, 100, "words").collect()}
+    got = {r.chunk_id: r.batch_no for r in batching.pack_embedding_batches(rows, 4, 100, "words").collect()}
     assert [got[10 + i] for i in range(7)] == [0, 0, 0, 1, 1, 2, 3]
     assert [got[20 + i] for i in range(10)] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
-    assert C.pack_embedding_batches(rows.limit(0), 4, 100, "words").collect() == []
+    assert batching.pack_embedding_batches(rows.limit(0), 4, 100, "words").collect() == []
 
 
 def test_blank_and_null_documents(spark):
