@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_folder
 from ..operators import catalog as C
 from ..operators import chunks as chunking
 from ..sources import files
@@ -18,7 +19,7 @@ def _devices(s, d):
 
 
 def _folder(spark):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tarnflow-core-{uuid.uuid4().hex}"
+    return new_folder(spark)
 
 
 def _tree(s, d):
@@ -102,24 +103,37 @@ def _bundle(s, d):
     return bundle["devices"].join(bundle["families"].select("family_id", "name").distinct(), "family_id").select("model_id", "family_id", "name", "model_name")
 
 
-def _events(s, d, files_a_trigger=2):
-    """The status events as a stream of files that Spark has written."""
-    path = _folder(s) + "/events"
-    rows = view(s, d, "v_job_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.repartition(4, "job_id").write.parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+_SLICES = 5
 
 
-def _streamed(make, mode, files_a_trigger=2):
+def _events(s, d, sliced=False):
+    """The status events as a stream of files that Spark has written; ``sliced``: in five files by time, one a trigger, so most jobs
+    have events in several triggers, and the last file holds events of the first once more."""
+    path = _folder(s) + "/events"
+    rows = view(s, d, "v_job_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    if not sliced:
+        rows.repartition(4, "job_id").write.parquet(path)
+        return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    times = rows.agg(F.unix_seconds(F.min("ts")).alias("low"), F.unix_seconds(F.max("ts")).alias("high"))
+    part = F.floor((F.unix_seconds("ts") - F.col("low")) * _SLICES / (F.col("high") - F.col("low") + 1))
+    marked = rows.crossJoin(F.broadcast(times)).select(*rows.columns, part.alias("slice"))  # one row of times
+    for i in range(_SLICES):
+        again = (F.col("slice") == i) | ((F.col("slice") == 0) & (F.col("event_id") % 7 == 0) if i == _SLICES - 1 else F.lit(False))
+        marked.filter(again).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _streamed(make, mode, sliced=False):
     def run(s, d):
-        return J.run_to_table(make(_events(s, d, files_a_trigger)), f"stream_{uuid.uuid4().hex}", _folder(s) + "/checkpoint", mode)
+        return J.run_to_table(make(_events(s, d, sliced)), f"stream_{uuid.uuid4().hex}", _folder(s) + "/checkpoint", mode)
 
     return run
 
 
-def _last(s, d):
-    """All events of a job lie in one file and so in one trigger: a change for each job, to its newest status."""
-    return _streamed(J.job_status_stream, "update")(s, d)
+def _trend_totals(s, d):
+    base = _folder(s)
+    J.trend_deltas(_events(s, d), base + "/deltas", base + "/checkpoint")
+    return J.trend_totals(s, base + "/deltas")
 
 
 def _auto(s, d):
@@ -173,10 +187,11 @@ QUERIES = {
     "read_source_texts": _texts,
     "read_guide_bundle": _bundle,
     "read_table": lambda s, d: files.read_table(s, f"{d}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n")),
-    "job_status_stream": _last,
-    "batch_completion_stream": lambda s, d: J.batch_completion(_streamed(J.batch_change_stream, "update")(s, d)),
-    "stalled_jobs_stream": _streamed(lambda e: J.stalled_jobs_stream(e, "2 hours", "1 hour"), "append", 100),
-    "trend_stream": _streamed(lambda e: J.trend_stream(e, "1 day", "1 day"), "complete"),
+    "job_status_stream": lambda s, d: _streamed(J.job_status_stream, "append", True)(s, d).select("job_id", "status", "is_terminal", "ts"),
+    "batch_completion_stream": _streamed(lambda e: J.batch_completion_stream(e.withColumn("batch_id", F.col("job_id") % 40)), "append", True),
+    "stalled_jobs_stream": _streamed(lambda e: J.stalled_jobs_stream(e, "2 hours", "1 hour"), "append", True),
+    "trend_stream": _streamed(lambda e: J.trend_stream(e, "1 day", "1 day"), "append", True),
+    "trend_totals": _trend_totals,
     "dedupe_stream": lambda s, d: _streamed(lambda e: J.dedupe_stream(e.select("job_id", "ts"), "job_id"), "append")(s, d).select("job_id"),
     "auto_chunk_stream": _auto,
     "assemble_responses": _tokens,
@@ -186,6 +201,9 @@ QUERIES = {
 _RESULTS = """results AS (SELECT chunk_id AS line_no, CASE WHEN chunk_id % 8 IN (0, 1) THEN NULL ELSE CAST(chunk_id AS VARCHAR) END AS chunk_id, CASE WHEN chunk_id % 8 = 7 THEN '1.0,2.5' END AS embedding,
   CASE chunk_id % 8 WHEN 0 THEN 'invalid json' WHEN 1 THEN 'missing custom_id' WHEN 2 THEN 'error: quota' WHEN 3 THEN 'missing response' WHEN 4 THEN 'status 500' WHEN 5 THEN 'embedding is no list' END AS error FROM v_chunks WHERE chunk_id % 8 <> 6)"""
 _top = "split_part(path, '/', 1)"
+_SLICED = """sliced AS (SELECT *, CAST(floor((epoch(date_trunc('second', ts)) - low) * 5 / (high - low + 1)) AS INT) AS slice FROM v_job_events, (SELECT epoch(date_trunc('second', min(ts))) AS low, epoch(date_trunc('second', max(ts))) AS high FROM v_job_events))"""
+#: A job's newest status after each file with events of it, and the one before.
+_NEWEST = """newest AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY slice) AS before FROM (SELECT job_id, slice, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM sliced GROUP BY 1, 2))"""
 
 ORACLES = {
     "select_devices": with_views(f"SELECT model_id, path FROM (SELECT *, row_number() OVER (PARTITION BY {_top} ORDER BY model_id) AS r FROM v_models WHERE contains(lower(path), 'red') AND {_top} IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21')) WHERE r <= 3"),
@@ -229,15 +247,23 @@ ORACLES = {
     "read_source_texts": with_views("SELECT CAST(sum(length(regexp_replace(raw_content, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS BIGINT) AS chars FROM v_sources"),
     "read_guide_bundle": with_views("SELECT CAST(model_id AS VARCHAR) AS model_id, family_id, family_name AS name, title AS model_name FROM v_models"),
     "read_table": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
-    "job_status_stream": with_views("SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(status, (ts, event_id)) IN ('completed', 'failed') AS is_terminal FROM v_job_events GROUP BY 1"),
-    "batch_completion_stream": with_views("SELECT batch_id, count(*) AS jobs, count_if(status IN ('completed', 'failed')) AS ended, count_if(status IN ('completed', 'failed')) = count(*) AS all_done FROM (SELECT batch_id, job_id, arg_max(status, (ts, event_id)) AS status FROM v_job_events GROUP BY 1, 2) GROUP BY 1"),
+    "job_status_stream": with_views("SELECT job_id, status, status IN ('completed', 'failed') AS is_terminal, ts FROM newest WHERE before IS NULL OR before <> status", _SLICED, _NEWEST),
+    "batch_completion_stream": with_views(
+        """SELECT batch_id, jobs, ended, jobs = ended AS all_done, ts FROM (SELECT *, coalesce(lag(jobs = ended) OVER (PARTITION BY batch_id ORDER BY slice), false) AS was_done FROM (
+             SELECT batch_id, slice, CAST(sum(jobs) OVER w AS BIGINT) AS jobs, CAST(sum(ended) OVER w AS BIGINT) AS ended, ts FROM (
+               SELECT job_id % 40 AS batch_id, slice, count_if(before IS NULL) AS jobs, sum(CAST(status IN ('completed', 'failed') AS INT) - CAST(coalesce(before, '') IN ('completed', 'failed') AS INT)) AS ended, max(ts) AS ts
+               FROM newest WHERE before IS NULL OR before <> status GROUP BY 1, 2) WINDOW w AS (PARTITION BY batch_id ORDER BY slice))) WHERE (jobs = ended) <> was_done""",
+        _SLICED,
+        _NEWEST,
+    ),
     "unembedded_chunks_for_family": with_views("SELECT family_id, source_id, chunk_id, chunk_index, created_at FROM (SELECT *, chunk_id % 5 AS created_at FROM v_chunks) JOIN v_sources USING (source_id) JOIN v_models USING (model_id) WHERE embedding IS NULL AND family_id = 'Brand#23' ORDER BY created_at, chunk_index, chunk_id LIMIT 3"),
     "stalled_jobs_stream": with_views(
-        """SELECT job_id, status, events, stalled_at FROM (SELECT job_id, session, arg_max(status, ts) AS status, count(*) AS events, max(ts) + INTERVAL 2 HOUR AS stalled_at
+        """SELECT job_id, status, events, stalled_at FROM (SELECT job_id, session, arg_max(status, (ts, event_id)) AS status, count(*) AS events, max(ts) + INTERVAL 2 HOUR AS stalled_at
            FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM v_job_events))
            GROUP BY 1, 2) WHERE status NOT IN ('completed', 'failed') AND stalled_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_job_events)"""
     ),
-    "trend_stream": with_views("SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM v_job_events GROUP BY 1, 2"),
+    "trend_stream": with_views("SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM v_job_events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM v_job_events)"),
+    "trend_totals": with_views("SELECT date_trunc('day', ts) AS start, status, count(*) AS n FROM v_job_events GROUP BY 1, 2"),
     "dedupe_stream": with_views("SELECT DISTINCT job_id FROM v_job_events"),
     "assemble_responses": with_views("SELECT message_id AS stream_id, content || ' ' AS content, len(string_split(content, ' ')) AS tokens, (len(string_split(content, ' ')) - 1) * 1000000 AS duration_us, is_stopped FROM v_messages WHERE role = 'assistant'"),
     "assemble_responses_stream": with_views("SELECT message_id AS stream_id, content || ' ' AS content, len(string_split(content, ' ')) AS tokens, (len(string_split(content, ' ')) - 1) * 1000000 AS duration_us, is_stopped FROM v_messages WHERE role = 'assistant'"),

@@ -3,71 +3,132 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.chunks import chunk_documents
 
 TERMINAL = ("completed", "failed")
+_STORE, _ROCKSDB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGES = "batch_id long, job_id long, status string, is_terminal boolean, jobs long, ended long, ts timestamp"
+_COMPLETIONS = "batch_id long, jobs long, ended long, all_done boolean, ts timestamp"
 
 
-def _latest(rows: Iterator[pd.DataFrame], held: tuple) -> tuple:
-    """The newest of ``held`` and the rows: ``(status, ts, event_id)``."""
-    for frame in rows:
-        last = frame.sort_values(["ts", "event_id"], kind="stable").iloc[-1]
-        if held[1] is None or (last.ts.value, last.event_id) > held[1:]:
-            held = (last.status, last.ts.value, int(last.event_id))
-    return held
+def _forget_at(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """The one timer of a key, moved."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+    handle.registerTimer(at_ms)
 
 
-def _by_job(events: DataFrame, keys: list[str], emit, out: str, keep: str) -> DataFrame:
-    """A row of ``emit(key, before, status)`` whenever a job's latest status changes; a job is forgotten when all events are
-    newer than its last by twice ``keep``."""
-    kept_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+class _JobStatus(StatefulProcessor):
+    """The newest status of a job; a row when a trigger changes it, with what that adds to its batch. A timer drops the job's state
+    when the watermark has passed its last event by ``keep_ms``."""
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "status string, at long, event_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = self.held.get() if self.held.exists() else None
+        newest, ts = before, None
+        for row in rows:
+            if newest is None or (row.at, row.event_id) > tuple(newest[1:]):
+                newest, ts = (row.status, row.at, row.event_id), row.ts
+        if ts is None:
             return
-        held = state.get if state.exists else (None, None, -1)
-        latest = _latest(rows, held)
-        state.update(latest)
-        state.setTimeoutTimestamp(max(latest[1] // 1_000_000, state.getCurrentWatermarkMs()) + kept_ms)
-        if latest[0] != held[0]:
-            yield pd.DataFrame([emit(key, held[0], latest[0])])
+        self.held.update(newest)
+        _forget_at(self.handle, newest[1] // 1000 + self.keep_ms)
+        status, known = newest[0], before is not None
+        if not known or status != before[0]:
+            ended = int(status in TERMINAL) - int(known and before[0] in TERMINAL)
+            yield Row(batch_id=key[0], job_id=key[1], status=status, is_terminal=status in TERMINAL, jobs=int(not known), ended=ended, ts=ts)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _BatchCompletion(StatefulProcessor):
+    """Known and ended jobs of a batch, two numbers; a row when all have ended, and when one is open again."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "jobs long, ended long, newest long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        jobs, ended, newest = self.held.get() if self.held.exists() else (0, 0, 0)
+        was_done, last = jobs > 0 and jobs == ended, None
+        for row in rows:
+            jobs, ended = jobs + row.jobs, ended + row.ended
+            last = row if last is None or row.at > last.at else last
+        newest = max(newest, last.at)
+        self.held.update((jobs, ended, newest))
+        _forget_at(self.handle, newest // 1000 + self.keep_ms)
+        if (jobs == ended) != was_done:
+            yield Row(batch_id=key[0], jobs=jobs, ended=ended, all_done=jobs == ended, ts=last.ts)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
-    rows = events.withWatermark("ts", keep)
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, "status string, ts long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
 
+def _keep_ms(keep: str) -> int:
+    import pandas as pd
 
-def job_status_stream(events: DataFrame, keep: str = "90 days") -> DataFrame:
-    """``events(job_id, event_id, status, ts)`` -> a row whenever a job's latest status changes."""
-    emit = lambda key, before, status: {"job_id": key[0], "status": status, "is_terminal": status in TERMINAL}
-    return _by_job(events, ["job_id"], emit, "job_id long, status string, is_terminal boolean", keep)
+    return int(pd.Timedelta(keep).total_seconds() * 1000)
 
 
-def batch_change_stream(events: DataFrame, keep: str = "90 days") -> DataFrame:
-    """``events(batch_id, job_id, event_id, status, ts)`` -> what each change of a job adds to its batch's known and ended jobs.
+def job_status_stream(events: DataFrame, late: str = "1 day", keep: str = "90 days") -> DataFrame:
+    """``events(batch_id, job_id, event_id, status, ts)`` -> a row whenever a trigger changes a job's newest status (by time, then
+    event id): ``(batch_id, job_id, status, is_terminal, jobs, ended, ts)``, the last ones what it adds to its batch.
 
-    State is one small row for each job, so a large batch is spread like any other jobs; ``batch_completion`` adds up the rows.
+    Events may come in any order within ``late``, repeated or not; older ones are left out, as the newest status can't depend
+    on them. A job without events for ``keep`` is forgotten: should it come back, it counts as new. Needs the RocksDB
+    state store (``keyed_state``).
     """
-    emit = lambda key, before, status: {"batch_id": key[0], "jobs": int(before is None), "ended": int(status in TERMINAL) - int(before in TERMINAL)}
-    return _by_job(events, ["batch_id", "job_id"], emit, "batch_id long, jobs long, ended long", keep)
+    rows = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late).groupBy("batch_id", "job_id")
+    return rows.transformWithState(statefulProcessor=_JobStatus(_keep_ms(keep)), outputStructType=_CHANGES, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
 
 
-def batch_completion(changes: DataFrame) -> DataFrame:
-    """Rows of ``batch_change_stream`` -> each batch's known and ended jobs, and whether all have ended."""
-    sums = changes.groupBy("batch_id").agg(F.sum("jobs").alias("jobs"), F.sum("ended").alias("ended"))
-    return sums.withColumn("all_done", F.col("jobs") == F.col("ended"))
+def batch_completion_stream(events: DataFrame, late: str = "1 day", keep: str = "90 days") -> DataFrame:
+    """The same events -> ``(batch_id, jobs, ended, all_done, ts)``: a row in the trigger in which a batch's last open job ends,
+    and one where a later event opens it again; ``ts`` is that of the trigger's newest change. Job states of a batch are spread over all tasks; only changes reach the batch."""
+    changes = job_status_stream(events, late, keep).select("batch_id", "jobs", "ended", "ts", F.unix_micros("ts").alias("at"))
+    return changes.groupBy("batch_id").transformWithState(statefulProcessor=_BatchCompletion(_keep_ms(keep)), outputStructType=_COMPLETIONS, outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB; the session's own setting comes back after."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
 def stalled_jobs_stream(events: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of a job's events by ``gap`` that end without a terminal status, once the watermark has passed them."""
+    """Sessions of a job's events by ``gap`` that end without a terminal status, once the watermark has passed them. The last status
+    is that of the newest event, by time and event id."""
     rows = events.withWatermark("ts", late)
-    out = rows.groupBy("job_id", F.session_window("ts", gap)).agg(F.max_by("status", "ts").alias("status"), F.count("*").alias("events"))
+    out = rows.groupBy("job_id", F.session_window("ts", gap)).agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("events"))
     return out.filter(~F.col("status").isin(*TERMINAL)).select("job_id", "status", "events", F.col("session_window.end").alias("stalled_at"))
 
 
@@ -87,10 +148,30 @@ def assemble_responses(tokens: DataFrame, late: str = "10 minutes") -> DataFrame
 
 
 def trend_stream(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Events by tumbling window and kind."""
+    """Events by tumbling window and status, for append mode: a window's counts leave once the watermark has passed it, and its
+    state goes. What comes later still is left out here; ``trend_deltas`` counts it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
 
+def trend_deltas(events: DataFrame, target: str, checkpoint: str, width: str = "1 day") -> None:
+    """Runs over what is there and writes what each trigger adds to each window to ``target``: no state, and no event is too late.
+
+    A trigger that runs again writes its folder anew, so every event counts once; ``trend_totals`` adds the folders up.
+    """
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        added = batch.groupBy(F.window("ts", width).start.alias("start"), "status").agg(F.count("*").alias("n"))
+        added.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def trend_totals(spark: SparkSession, target: str) -> DataFrame:
+    """All events by window and status, late ones too."""
+    rows = spark.read.schema("start timestamp, status string, n long").parquet(f"{target}/epoch=*")
+    return rows.groupBy("start", "status").agg(F.sum("n").alias("n"))
+
+
 def dedupe_stream(events: DataFrame, key: str, late: str = "30 days") -> DataFrame:
     """Each key once, across restarts as long as its state is kept."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
@@ -121,7 +202,8 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     """Runs a stream over what is there and returns its rows: for bounded inputs.
 
     Rows go from the executors to Parquet next to ``checkpoint``, a folder for each trigger, so one that runs again
-    replaces its own rows; in ``complete`` mode the newest trigger's rows stand.
+    replaces its own rows; in ``complete`` mode the newest trigger's rows stand. Called again with the same name and
+    checkpoint, it goes on where it stopped.
     """
     spark, target = stream.sparkSession, f"{checkpoint}-{name}"
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{target}/rows=none")
@@ -129,5 +211,7 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "app
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/rows={'all' if mode == 'complete' else epoch}")
 
-    stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(spark):
+        query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/*")
