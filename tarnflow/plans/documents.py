@@ -64,16 +64,8 @@ def _marked(s, d):
     return L.replace_image_markers(docs, images)
 
 
-def _line_chunks(s, d):
-    """Each line that isn't blank as a chunk, some without a heading."""
-    rows = _line_sections(s, d)
-    heading = F.when(F.col("section_no") % 5 < 2, F.lit("A")).when(F.col("section_no") % 5 == 2, F.lit("B"))
-    return rows.select("doc_id", F.col("section_no").alias("chunk_index"), heading.alias("heading"), "content")
-
-
-def _typed_chunks(s, d):
-    kind = F.when(F.col("chunk_id") % 3 == 0, F.lit("table")).otherwise(F.lit("narrative"))
-    return view(s, d, "v_chunks").select(F.col("source_id").alias("doc_id"), "chunk_index", "heading", "content", "token_count", kind.alias("content_type"))
+def _final_chunks(s, d):
+    return C.chunk_documents(view(s, d, "v_manuals"), "final")
 
 
 def _items(s, d):
@@ -130,16 +122,16 @@ QUERIES = {
     "combine_small_sections": _digest(_line_sections, C.combine_small_sections),
     "segment_steps": _digest(_line_sections, C.segment_steps),
     "slice_tokens": lambda s, d: C.slice_tokens(view(s, d, "v_sources").select(F.col("source_id").alias("doc_id"), F.lit(0).alias("section_no"), F.col("title").alias("heading"), F.col("raw_content").alias("content"))),
-    "overlap_chunks": lambda s, d: C.overlap_chunks(_line_chunks(s, d)),
+    "overlap_chunks": lambda s, d: C.overlap_chunks(_final_chunks(s, d).select("doc_id", "chunk_index", "heading", "content")),
     "step_overlap_segments": lambda s, d: C.step_overlap_segments(_items(s, d)).select("doc_id", "segment", "content", F.array_join("step_indices", ",").alias("step_indices"), F.array_join("headings", "|").alias("headings")),
     "pack_embedding_batches": _batches,
     "pack_embedding_batches_words": _words_of_one_family,
     "attach_images_to_chunks": _images,
     "chunk_documents": lambda s, d: C.chunk_documents(view(s, d, "v_sources"), id_col="source_id"),
     "chunk_documents_universal": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "universal").withColumn("image_urls", F.array_join("image_urls", "|")),
-    "chunk_documents_final": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "final"),
+    "chunk_documents_final": _final_chunks,
     "chunk_documents_guide": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "guide"),
-    "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(_typed_chunks(s, d)),
+    "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(_final_chunks(s, d)),
 }
 
 _L = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(raw_content, chr(10)) AS l FROM v_manuals)))"
@@ -306,15 +298,6 @@ ORACLES |= {
         f"units AS (SELECT 0 AS doc_id, row_number() OVER (ORDER BY source_id % 97, source_id) AS i, source_id AS chunk_id, {_NUMBER.format('raw_content')} AS n FROM v_sources)",
         _greedy("c.steps < 20 AND c.size + u.n <= 3000"),
     ),
-    "overlap_chunks": with_views(
-        """SELECT doc_id, chunk_index, CASE WHEN has AND heading IS NULL AND head IS NOT NULL THEN 'Continued: ' || head WHEN has AND heading = head THEN 'Continued: ' || heading ELSE heading END AS heading,
-           CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END AS content, has AS has_overlap, CASE WHEN has THEN n END AS overlap_tokens, CAST(length(CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END) // 4 AS INT) AS token_count
-           FROM (SELECT *, coalesce(usable AND lap <> '', false) AS has FROM (SELECT *, trim(CASE WHEN stop > 0 AND stop - 1 < length(tail) // 2 AND stop + 1 < length(tail) THEN substr(tail, stop + 2) WHEN space > 1 AND space - 1 < length(tail) // 3 THEN substr(tail, space + 1) ELSE tail END) AS lap
-             FROM (SELECT *, instr(tail, '. ') AS stop, instr(tail, ' ') AS space FROM (SELECT *, n > 0 AND length(before) > n * 4 AS usable, CASE WHEN n > 0 THEN right(before, n * 4) ELSE '' END AS tail
-               FROM (SELECT *, CAST(floor(length(before) // 4 * 0.15) AS INT) AS n FROM (SELECT *, lag(content) OVER o AS before, lag(heading) OVER o AS head FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)))))))""",
-        f"""chunks AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 < 2 THEN 'A' WHEN chunk_index % 5 = 2 THEN 'B' END AS heading, content FROM (SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, {_TRIM.format("l[i]")} AS content
-          FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_id AS doc_id, string_split(raw_content, chr(10)) AS l FROM v_sources))) WHERE content <> '')""",
-    ),
     "document_identifier": with_views(
         f"""SELECT source_id AS doc_id, coalesce([h for h in [{_TRIM.format("substr(x, 3)")} for x in l[:30] if starts_with(x, '# ')] if {_USABLE}][1], [h for h in [{_TRIM.format("substr(x, 4)")} for x in l[:30] if starts_with(x, '## ')] if {_USABLE}][1],
             (SELECT arg_min(x, i) FROM (SELECT i, l[i] AS x, regexp_split_to_array(l[i], '\\s+') AS w FROM unnest(range(1, least(len(l), 20) + 1)) t(i)) WHERE {_TITLED}), regexp_replace(title, '(?i)\\.pdf$', '')) AS identifier
@@ -329,12 +312,11 @@ ORACLES |= {
         _GUIDE,
         "items AS (SELECT doc_id, CAST(step // 4 AS INT) AS segment, step, coalesce(any_value(heading), 'Introduction') AS heading, CAST(count(*) AS VARCHAR) AS body, any_value(title) AS title FROM steps WHERE head IS NULL GROUP BY doc_id, step)",
     ),
-    "chunk_corpus_report": with_views(
-        f"""SELECT source_id AS doc_id, count(*) AS chunks, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 4) AS avg_tokens, count(heading) AS with_heading, CAST(sum(length(content)) AS BIGINT) AS chars,
-            CAST(sum({_NUMBER.format("content")}) AS BIGINT) AS words, count_if(chunk_id % 3 <> 0) AS narrative, count_if(chunk_id % 3 = 0) AS other FROM v_chunks GROUP BY 1"""
-    ),
-    "chunk_documents_final": with_views(
-        f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p) - 1 AS INT) AS chunk_index, heading, content, CAST({_NUMBER.format("content")} AS INT) AS token_count, {_LIGHT_KIND} AS content_type
+}
+
+#: Chunks of the final chunker, from whole texts.
+_FINAL = (
+    f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk, p) - 1 AS INT) AS chunk_index, heading, content, CAST({_NUMBER.format("content")} AS INT) AS token_count, {_LIGHT_KIND} AS content_type
             FROM (SELECT doc_id, chunk, p, CASE WHEN p = 0 THEN heading END AS heading, CASE WHEN n > 450 THEN array_to_string(w[p * 392 + 1 : p * 392 + 442], ' ') ELSE content END AS content
               FROM (SELECT *, unnest(range(0, CASE WHEN n > 450 THEN (n - 1) // 392 + 1 ELSE 1 END)) AS p FROM (SELECT *, len(w) AS n FROM (SELECT *, [x for x in regexp_split_to_array(content, '\\s+') if x <> ''] AS w
                 FROM (SELECT doc_id, chunk, arg_min(heading, i) AS heading, string_agg(CASE WHEN opens THEN content ELSE coalesce(heading || chr(10), '') || content END, chr(10) || chr(10) ORDER BY i) AS content FROM packed JOIN units USING (doc_id, i) GROUP BY 1, 2)))))""",
@@ -348,5 +330,21 @@ ORACLES |= {
         """packed AS ( /* recursive */ SELECT doc_id, i, 0 AS chunk, n AS size, true AS opens FROM units WHERE i = 1
           UNION ALL SELECT u.doc_id, u.i, CASE WHEN c.size < 180 OR c.size + u.n <= 450 THEN c.chunk ELSE c.chunk + 1 END, CASE WHEN c.size < 180 OR c.size + u.n <= 450 THEN c.size + u.n + u.h ELSE u.n END, NOT (c.size < 180 OR c.size + u.n <= 450)
           FROM packed c JOIN units u ON u.doc_id = c.doc_id AND u.i = c.i + 1)""",
+)
+_CHUNKED = (*_FINAL[1:], f"chunks AS ({_FINAL[0]})")
+ORACLES |= {
+    "chunk_documents_final": with_views(*_FINAL),
+    "chunk_corpus_report": with_views(
+        f"""SELECT doc_id, count(*) AS chunks, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 4) AS avg_tokens, count(heading) AS with_heading, CAST(sum(length(content)) AS BIGINT) AS chars,
+            CAST(sum({_NUMBER.format("content")}) AS BIGINT) AS words, count_if(content_type = 'narrative') AS narrative, count_if(content_type <> 'narrative') AS other FROM chunks GROUP BY 1""",
+        *_CHUNKED,
     ),
-}
+    "overlap_chunks": with_views(
+        f"""SELECT doc_id, chunk_index, CASE WHEN has AND heading IS NULL AND head IS NOT NULL THEN 'Continued: ' || head WHEN has AND heading = head THEN 'Continued: ' || heading ELSE heading END AS heading,
+           CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END AS content, has AS has_overlap, CASE WHEN has THEN n END AS overlap_tokens, CAST(length(CASE WHEN has THEN lap || chr(10) || chr(10) || content ELSE content END) // 4 AS INT) AS token_count
+           FROM (SELECT *, coalesce(usable AND lap <> '', false) AS has FROM (SELECT *, {_TRIM.format("CASE WHEN stop > 0 AND stop - 1 < length(tail) // 2 AND stop + 1 < length(tail) THEN substr(tail, stop + 2) WHEN space > 1 AND space - 1 < length(tail) // 3 THEN substr(tail, space + 1) ELSE tail END")} AS lap
+             FROM (SELECT *, instr(tail, '. ') AS stop, instr(tail, ' ') AS space FROM (SELECT *, n > 0 AND length(before) > n * 4 AS usable, CASE WHEN n > 0 THEN right(before, n * 4) ELSE '' END AS tail
+               FROM (SELECT *, CAST(floor(length(before) // 4 * 0.15) AS INT) AS n FROM (SELECT *, lag(content) OVER o AS before, lag(heading) OVER o AS head FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)))))))""",
+        *_CHUNKED,
+    ),
+}
