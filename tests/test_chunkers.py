@@ -215,15 +215,6 @@ def test_no_shuffle(spark, sf_dir):
         assert "Exchange" not in plan
 
 
-def test_ann_recall(spark):
-    """At its own setting, 8 of 50 cells, against the exact search over the whole table."""
-    sf_dir = "/root/testdata/sf0.1"
-    views = [view(spark, sf_dir, n) for n in ("v_queries", "v_chunks", "v_sources")]
-    exact = {(r.query_id, r.chunk_id) for r in R.cosine_top_k(*views, 10, 0.6).collect()}
-    near = {(r.query_id, r.chunk_id) for r in R.ann_top_k(*views, 10, 0.6).collect()}
-    assert len(exact) > 50 and len(exact & near) >= 0.9 * len(exact), (len(exact), len(exact & near))
-
-
 def test_top_k_in_small_blocks_with_ties(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_VECTORS", 3)
     vectors = [(i, i // 5, [float(i % 4 + 1), 1.0]) for i in range(40)]
