@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_batches
 from ..functions.text import normalize_url, strip
 
-#: Devices that a broadcast of the substring join may hold (about 200 bytes each); more go in blocks of that many.
-BROADCAST_DEVICES = 100_000
+#: Bytes of category names in one automaton (a node for each byte at most, some 100 MB), and tasks for each of these.
+AUTOMATON_BYTES, AUTOMATON_TASKS = 2_000_000, 64
+#: Guides of one category that a task joins with its devices.
+GUIDES_PER_TASK = 10_000
 
 
 def _lower(c: str) -> Column:
@@ -42,28 +49,54 @@ def match_guides_to_devices(guides: DataFrame, devices: DataFrame) -> DataFrame:
     """``guides(guide_id, category)``, ``devices(model_id, family_name, path, title, position)``: a guide's devices are those
     whose family, path or title contains its category; the first in tree order is primary.
 
-    A name that contains a category contains its three-letter parts, so a category meets only the devices that hold the
-    rarest of them, by an equality, and is then looked for in their names. Shorter categories meet the devices in
-    broadcast blocks. Categories are made distinct first; matches go back to the guides by an equality.
+    An automaton over the distinct categories finds all that a device's names contain in one pass over them, however long or
+    short a category is. Devices are dealt to tasks by hash; categories of more than ``AUTOMATON_BYTES`` make several automata,
+    each of which sees all devices. A category of very many guides is joined with its devices in several tasks. Starts a
+    Spark job when called, for the size of the categories.
     """
-    parts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     names = guides.select("guide_id", F.lower(F.trim("category")).alias("g")).filter("g <> ''")
-    kinds = names.select("g").distinct()
-    rows = devices.select("model_id", "path", "position", F.concat_ws("\n", _lower("family_name"), _lower("path"), _lower("title")).alias("hay"))
-    held = rows.select("model_id", F.explode(parts(F.col("hay"))).alias("part"))
-    counts = held.groupBy("part").count()
-    asked = kinds.filter(F.length("g") >= 3).select("g", F.explode(parts(F.col("g"))).alias("part")).join(counts, "part", "left")
-    rarest = asked.groupBy("g").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "part")).alias("r")).filter("r.n > 0").select("g", F.col("r.part").alias("part"))
-    found = rarest.join(held, "part").join(rows, "model_id").filter(F.col("hay").contains(F.col("g"))).select("g", "model_id", "path", "position")
-    short = kinds.filter(F.length("g") < 3)
-    if not short.isEmpty():
-        blocks = max(1, -(-rows.count() // BROADCAST_DEVICES))
-        for block in range(blocks):
-            part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("model_id"), F.lit(blocks)) == block)
-            found = found.unionByName(short.join(F.broadcast(part), F.col("hay").contains(F.col("g"))).select("g", "model_id", "path", "position"))
-    once = found.groupBy("g", "path").agg(F.min(F.struct("position", "model_id")).alias("m"))
-    out = names.join(once, "g").select("guide_id", "path", "m.model_id", "m.position")
-    return out.withColumn("is_primary", F.row_number().over(W.partitionBy("guide_id").orderBy("position", "model_id")) == 1)
+    kinds = names.groupBy("g").agg(F.ceil(F.count("*") / GUIDES_PER_TASK).cast("int").alias("parts"))
+    size = kinds.agg(F.sum(F.octet_length("g")).alias("n")).first()["n"] or 0
+    once = _categories_in_names(kinds.select("g"), devices, -(-size // AUTOMATON_BYTES) or 1).groupBy("g", "path").agg(F.min(F.struct("position", "model_id")).alias("m"))
+    first = once.groupBy("g").agg(F.min("m").alias("first"))
+    found = once.join(kinds, "g").join(first, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = names.join(kinds, "g").withColumn("part", F.pmod(F.xxhash64("guide_id"), F.col("parts")).cast("int")).drop("parts")
+    return dealt.join(found, ["g", "part"]).select("guide_id", "path", "m.model_id", "m.position", (F.col("m") == F.col("first")).alias("is_primary"))
+
+
+def _categories_in_names(kinds: DataFrame, devices: DataFrame, shards: int) -> DataFrame:
+    """``(g, model_id, path, position)`` for each category that a device's names contain."""
+    rows = devices.select("model_id", "path", "position", _lower("family_name").alias("a"), _lower("path").alias("b"), _lower("title").alias("c"))
+    model, path, position = (f"{c} {dict(rows.dtypes)[c]}" for c in ("model_id", "path", "position"))
+    # A task's rows: the categories of its shard, in each of the shard's tasks, then its devices.
+    asked = kinds.select(F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(AUTOMATON_TASKS - 1))).alias("task"), F.lit(False).alias("is_device"), "g")
+    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("model_id", F.lit(1)), F.lit(AUTOMATON_TASKS)).cast("int").alias("task"), F.lit(True).alias("is_device"), *rows.columns)
+    placed = asked.unionByName(dealt, allowMissingColumns=True).repartition("shard", "task").sortWithinPartitions("shard", "task", "is_device")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        place, automaton, ready = None, None, False
+        for batch in batches:
+            taken, found = [], []
+            columns = [batch.column(c).to_pylist() for c in ("shard", "task", "is_device", "g", "a", "b", "c")]
+            for i, (shard, task, is_device, g, *fields) in enumerate(zip(*columns, strict=True)):
+                if (shard, task) != place:
+                    place, automaton, ready = (shard, task), ahocorasick.Automaton(), False
+                if not is_device:
+                    automaton.add_word(g, g)
+                    continue
+                if not ready:
+                    automaton.make_automaton()
+                    ready = True
+                if len(automaton):
+                    own = {g for field in fields for _, g in automaton.iter(field)}
+                    taken += [i] * len(own)
+                    found += own
+            rows = batch.select(["model_id", "path", "position"]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *rows.columns], names=["g", "model_id", "path", "position"])
+
+    return map_batches(placed, run, f"g string, {model}, {path}, {position}")
 
 
 def family_sources(models: DataFrame, sources: DataFrame, family_id: str) -> DataFrame:
@@ -94,20 +127,29 @@ def pending_guides(guides: DataFrame, processed: DataFrame, failed: DataFrame, r
 def flatten_category_tree(trees: DataFrame, json_col: str = "tree", with_categories: bool = False) -> DataFrame:
     """``trees(tree_id, tree)``: nested JSON objects with any keys, null a device -> ``(tree_id, path, title, depth, is_device)``.
 
-    One ``variant_explode`` for each level, until a level holds no more objects, however deep.
+    One pass over each tree, which is a row, however deep it is; nothing runs before the result is asked for. A null tree has
+    no rows, one that isn't JSON is an error.
     """
-    spark = trees.sparkSession
-    level = trees.select("tree_id", F.parse_json(json_col).alias("node"), F.lit("").alias("path"))
-    out, depth = None, 0
-    while True:
-        rows = spark.sql("SELECT t.tree_id, concat(CASE WHEN t.path = '' THEN '' ELSE concat(t.path, '/') END, e.key) AS path, e.key AS title, e.value AS node FROM {level} t, LATERAL variant_explode(t.node) e", level=level)
-        rows = rows.withColumn("is_device", F.expr("is_variant_null(node)"))
-        found = rows.select("tree_id", "path", "title", F.lit(depth).alias("depth"), "is_device").filter(F.lit(True) if with_categories else F.col("is_device"))
-        out = found if out is None else out.unionByName(found)
-        level = rows.filter(~F.col("is_device")).select("tree_id", "node", "path")
-        if level.isEmpty():
-            return out
-        depth += 1
+    kind = dict(trees.dtypes)["tree_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                open_nodes = [("", 0, json.loads(text))] if text is not None else []
+                while open_nodes:
+                    prefix, depth, node = open_nodes.pop()
+                    for key, value in node.items():
+                        if value is None or with_categories:
+                            rows.append((i, prefix + key, key, depth, value is None))
+                        if isinstance(value, dict):
+                            open_nodes.append((f"{prefix}{key}/", depth + 1, value))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, t) for x, t in zip(columns[1:], types, strict=True)]], names=["tree_id", "path", "title", "depth", "is_device"])
+
+    return map_batches(trees.select("tree_id", json_col), run, f"tree_id {kind}, path string, title string, depth int, is_device boolean")
 
 
 def category_device_counts(devices: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions import text as T
 from ..functions.arrow import map_batches
 from . import line_arrays as A
 from . import lines as L
+from .guides import INTRODUCTION, chunk_guides, step_segments
 
 _UNIT = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string()), ("images", pa.list_(pa.string()))]))
 UNITS = "array<struct<heading:string,content:string,images:array<string>>>"
@@ -150,19 +151,9 @@ def combine_small_sections(units: list[Piece], least: int = 180, most: int = 450
 
 def segment_steps(units: list[Piece], max_chars: int = 1200, max_steps: int = 5) -> list[Piece]:
     """Greedy segments of a guide's introduction (no heading) and steps, limited by characters and by steps."""
-    out: list[Piece] = []
-    held: list[str] = []
-    chars = steps = 0
-    for heading, content, _ in units:
-        n, step = len(content) + len(heading or "Introduction") + 10, int(heading is not None)
-        if held and (chars + n > max_chars or steps + step > max_steps):
-            out.append(Piece(None, "\n\n".join(held)))
-            held, chars, steps = [], 0, 0
-        held.append(f"{heading}\n{content}" if heading else content)
-        chars, steps = chars + n, steps + step
-    if held:
-        out.append(Piece(None, "\n\n".join(held)))
-    return out
+    sizes = [(len(content) + len(heading or INTRODUCTION) + 10, heading is not None) for heading, content, _ in units]
+    shown = [f"{heading}\n{content}" if heading else content for heading, content, _ in units]
+    return [Piece(None, "\n\n".join(shown[i] for i in segment)) for segment in step_segments(sizes, max_chars, max_steps)]
 
 
 def pack_units(documents: DataFrame, *rules: Callable[[list[Piece]], list[Piece]]) -> DataFrame:
@@ -290,10 +281,11 @@ def _exploded(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode("units").alias("chunk_index", "u"))
 
 
-def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
-    """Documents to chunks: cleaning, sections, packing, classes (overlap and image links for ``universal``).
+def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_content", id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
+    """Documents to chunks: cleaning, sections, packing, classes (overlap and image links for ``universal``; steps, their images
+    and the document's title, by its text or ``title_col``, for ``guide``).
 
-    A document without text, or of noise only, has no chunks. ``guide`` shuffles once, by document; the others not at all.
+    A document without text, or of noise only, has no chunks. Nothing is shuffled.
     """
     if mode == "universal":
         packed = pack_units(_universal_units(docs, text_col, id_col), split_oversized, merge_small)
@@ -310,13 +302,8 @@ def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_c
         chunks = _exploded(pack_units(units, combine_small_sections).select("doc_id", sliced.alias("units"))).select("doc_id", "chunk_index", "u.*")
         return chunks.withColumn("token_count", T.token_estimate(F.col("content"), "words")).withColumn("content_type", T.content_type_light(F.col("content")))
     if mode == "guide":
-        rows = L.guide_steps(L.drop_guide_noise_lines(L.lines_of(docs, text_col, id_col)))
-        parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-        items = rows.groupBy("doc_id", "step").agg(F.first("heading").alias("heading"), F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("body"))
-        body = T.clean_guide_body(F.col("body"))
-        heading = F.when(F.col("step") > 0, F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "), T.display_heading(F.col("heading"), body)))
-        sections = items.select("doc_id", F.col("step").alias("section_no"), heading.alias("heading"), body.alias("content")).filter("content <> ''")
-        return pack(sections, segment_steps).withColumn("token_count", T.token_estimate(F.col("content"), "words")).withColumn("content_type", F.lit("narrative"))
+        file_title = F.col(title_col) if title_col in docs.columns else F.lit("Untitled")
+        return chunk_guides(docs, F.col(text_col), L.identifier(F.col(text_col), file_title), id_col)
     packed = pack_units(_light_units(docs, text_col, id_col), pack_sentences, merge_small_into_previous)
     chunks = _exploded(packed).select("doc_id", "chunk_index", "u.heading", "u.content")
     return chunks.withColumn("token_count", T.token_estimate(F.col("content"), "words13")).withColumn("content_type", T.content_type_light(F.col("content")))

@@ -250,9 +250,9 @@ def soft_wrap_lines(lines: DataFrame, words: int = 6) -> DataFrame:
     return merged.select("doc_id", "line_no", "line").withColumn("__before", before).filter((F.col("line") != "") | F.coalesce(F.col("__before") != "", F.lit(False))).drop("__before")
 
 
-def document_identifier(docs: DataFrame, file_title: str = "title", text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
-    """First usable H1 of 30 lines, else H2, else a title-like line of 20, else the file's title; no shuffle."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", 31), strip)
+def identifier(text: Column, file_title: Column) -> Column:
+    """First usable H1 of 30 lines, else H2, else a title-like line of 20, else the file's title."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", 31), strip)
     head = F.slice(lines, 1, 30)
     usable = lambda h: (F.length(h) >= 3) & ~F.lower(h).isin("introduction", "contents", "table of contents", "index", "overview", "untitled")
     level = lambda mark: F.get(F.filter(F.transform(F.filter(head, lambda x: x.startswith(mark + " ")), lambda x: strip(F.substr(x, F.lit(len(mark) + 2)))), usable), F.lit(0))
@@ -262,8 +262,12 @@ def document_identifier(docs: DataFrame, file_title: str = "title", text_col: st
         lower = F.size(F.filter(words, lambda w: (F.length(w) > 3) & (w == F.lower(w)) & (w != F.upper(w))))
         return F.length(x).between(3, 80) & ~x.rlike(r"\.\s") & x.rlike(r"^[\p{Lu}\d]") & ((F.size(words) >= 2) | _is_upper(x)) & (lower * 2 <= F.size(words)) & ~x.startswith("#")
 
-    found = F.coalesce(level("#"), level("##"), F.get(F.filter(F.slice(lines, 1, 20), titled), F.lit(0)), F.regexp_replace(file_title, r"(?i)\.pdf$", ""))
-    return docs.select(F.col(id_col).alias("doc_id"), found.alias("identifier"))
+    return F.coalesce(level("#"), level("##"), F.get(F.filter(F.slice(lines, 1, 20), titled), F.lit(0)), F.regexp_replace(file_title, r"(?i)\.pdf$", ""))
+
+
+def document_identifier(docs: DataFrame, file_title: str = "title", text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, identifier)``; no shuffle."""
+    return docs.select(F.col(id_col).alias("doc_id"), identifier(F.col(text_col), F.col(file_title)).alias("identifier"))
 
 
 def is_stray(s: Column) -> Column:

@@ -68,6 +68,13 @@ def _final_chunks(s, d):
     return C.chunk_documents(view(s, d, "v_manuals"), "final")
 
 
+def _guides(s, d):
+    """Manuals as guides in which every paragraph is a step without a name of its own."""
+    text = F.replace(F.replace("raw_content", F.lit("1. Setup"), F.lit("## 3. Open it")), F.lit("\n\n"), F.lit("\n## Step 1\n"))
+    chunks = C.chunk_documents(view(s, d, "v_manuals").withColumn("raw_content", text), "guide")
+    return chunks.withColumn("step_indices", F.array_join("step_indices", ",")).withColumn("image_urls", F.array_join("image_urls", "|"))
+
+
 def _items(s, d):
     steps = L.guide_steps(_headings(s, d))
     return steps.groupBy("doc_id", "step").agg(F.first("title").alias("title"), F.first("heading").alias("heading"), F.count("*").cast("string").alias("body")).select("doc_id", "step", "title", F.coalesce("heading", F.lit("Introduction")).alias("heading"), "body", F.floor(F.col("step") / 4).cast("int").alias("segment"))
@@ -130,7 +137,7 @@ QUERIES = {
     "chunk_documents": lambda s, d: C.chunk_documents(view(s, d, "v_sources"), id_col="source_id"),
     "chunk_documents_universal": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "universal").withColumn("image_urls", F.array_join("image_urls", "|")),
     "chunk_documents_final": _final_chunks,
-    "chunk_documents_guide": lambda s, d: C.chunk_documents(view(s, d, "v_manuals"), "guide"),
+    "chunk_documents_guide": _guides,
     "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(_final_chunks(s, d)),
 }
 
@@ -348,3 +355,23 @@ ORACLES |= {
         *_CHUNKED,
     ),
 }
+
+_STEPS = _GUIDE.replace("CASE WHEN starts_with(line, '1. ') THEN '## 3. Open it' WHEN line = 'SAFETY NOTES' THEN '## Close it' ELSE line END AS line", "line")
+_BODY = _TRIM.format("regexp_replace(regexp_replace(coalesce(string_agg(CASE WHEN NOT noise THEN rtrim(line, ' ' || chr(9)) END, chr(10) ORDER BY line_no), ''), '\\[[^|\\]]+\\|[^|\\]]*\\|([^|\\]]+)\\]', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+_SAID = "[y for y in [regexp_replace(x, '^[-*•]\\s*', '') for x in [regexp_replace(z, '^\\s+|\\s+$', '', 'g') for z in string_split(body, chr(10))] if x <> '' AND NOT starts_with(x, '>')] if y <> ''][1]"
+_FITS = "c.size + u.n <= 1200 AND c.steps + u.st <= 5"
+ORACLES["chunk_documents_guide"] = with_views(
+    f"""SELECT doc_id, CAST(chunk AS INT) AS chunk_index, arg_min(heading, i) AS heading, '[Document: Manual ' || doc_id || ']' || chr(10) || chr(10) || {_TRIM.format("'Guide: Manual ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN st = 1 THEN 'Step ' || step || ': ' ELSE '' END || heading || chr(10) || body, chr(10) || chr(10) ORDER BY i)")} AS content,
+        CAST(3 + {_NUMBER.format(_TRIM.format("'Guide: Manual ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN st = 1 THEN 'Step ' || step || ': ' ELSE '' END || heading || chr(10) || body, chr(10) || chr(10) ORDER BY i)"))} AS INT) AS token_count, 'narrative' AS content_type,
+        coalesce(string_agg(CASE WHEN st = 1 THEN CAST(step AS VARCHAR) END, ',' ORDER BY i), '') AS step_indices, coalesce(string_agg(CASE WHEN st = 1 THEN urls END, '|' ORDER BY i), '') AS image_urls, 'Manual ' || doc_id AS document_title
+        FROM (SELECT doc_id, chunk, i FROM packed UNION ALL SELECT doc_id, chunk + 1, max(i) FROM packed JOIN units USING (doc_id, i) WHERE st = 1 AND (doc_id, chunk + 1) IN (SELECT doc_id, chunk FROM packed) GROUP BY 1, 2) JOIN units USING (doc_id, i) GROUP BY doc_id, chunk""",
+    "texts AS (SELECT doc_id, replace(replace(raw_content, '1. Setup', '## 3. Open it'), chr(10) || chr(10), chr(10) || '## Step 1' || chr(10)) AS raw_content FROM v_manuals)",
+    _L.replace("FROM v_manuals", "FROM texts"),
+    _STEPS,
+    f"""marked AS (SELECT *, regexp_matches(line, '^\\s*!\\[.*\\]\\(') OR (starts_with(trim(line), '<!--') AND ends_with(trim(line), '-->')) AS noise, [x for x in regexp_extract_all(line, '!\\[.*?\\]\\((.*?)\\)', 1) if x <> ''] AS found FROM steps WHERE head IS NULL),
+    bodies AS (SELECT doc_id, step, any_value(heading) AS heading, CASE WHEN step = 0 THEN {_TRIM.format("string_agg(line, chr(10) ORDER BY line_no)")} ELSE {_BODY} END AS body, string_agg(CASE WHEN len(found) > 0 THEN array_to_string(found, '|') END, '|' ORDER BY line_no) AS urls FROM marked GROUP BY doc_id, step),
+    named AS (SELECT doc_id, step, CAST(step > 0 AS INT) AS st, body, urls, CASE WHEN step = 0 THEN 'Introduction' WHEN regexp_matches(heading, '(?i)^step\\s*\\d+$') THEN coalesce(left({_SAID}, 80), heading) ELSE heading END AS heading FROM bodies WHERE body <> ''),
+    units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS i, length(body) + length(heading) + 10 AS n FROM named)""",
+    f"""packed AS ( /* recursive */ SELECT doc_id, i, 0 AS chunk, n AS size, st AS steps FROM units WHERE i = 1
+      UNION ALL SELECT u.doc_id, u.i, CASE WHEN {_FITS} THEN c.chunk ELSE c.chunk + 1 END, CASE WHEN {_FITS} THEN c.size + u.n ELSE u.n END, CASE WHEN {_FITS} THEN c.steps + u.st ELSE u.st END FROM packed c JOIN units u ON u.doc_id = c.doc_id AND u.i = c.i + 1)""",
+)

@@ -1,5 +1,6 @@
 """The packing helpers against their rules, and the chunkers' invariants."""
 
+import json
 import random
 
 import pytest
@@ -117,13 +118,42 @@ def test_upserts_are_idempotent(spark):
     assert show(once) == show(twice) == [(1, "f", "t", "x", (("a", "2"), ("b", "3"))), (2, "g", "u", "d", ()), (3, "i", "n", "y", (("z", "2"),))]
 
 
-def test_matching_in_blocks(spark, monkeypatch):
-    guides = spark.createDataFrame([(1, " Red "), (2, ""), (3, "none"), (4, "b/x")], "guide_id long, category string")
-    devices = spark.createDataFrame([(i, "Fam", f"a/b/x{i}", "Red pump" if i % 2 else "blue", i) for i in range(9)], "model_id long, family_name string, path string, title string, position long")
-    want = sorted(map(tuple, catalog.match_guides_to_devices(guides, devices).collect()))
-    monkeypatch.setattr(catalog, "BROADCAST_DEVICES", 2)
-    assert sorted(map(tuple, catalog.match_guides_to_devices(guides, devices).collect())) == want
-    assert {r[0] for r in want} == {1, 4}
+@pytest.mark.parametrize(("size", "guides_per_task"), [(2_000_000, 10_000), (6, 2)])
+def test_matching_in_shards(spark, monkeypatch, size, guides_per_task):
+    """Categories of any length in one automaton and in several, against the plain test; names hold parts, cases and no names."""
+    monkeypatch.setattr(catalog, "AUTOMATON_BYTES", size)
+    monkeypatch.setattr(catalog, "GUIDES_PER_TASK", guides_per_task)
+    rng = random.Random(6)
+    kinds = [" Red ", "", "none", "b/x", "é", "a", "x1", "RED PUMP", "\u00e9\u00e9x", None, "   ", "am", "a/b/x3"]
+    guides = [(i, rng.choice(kinds)) for i in range(60)]
+    devices = [(i, rng.choice(["Fam", None, "ééX"]), f"a/b/x{i % 12}", rng.choice(["Red pump", "blue", None]), rng.choice([i, 3])) for i in range(40)]
+    found = catalog.match_guides_to_devices(spark.createDataFrame(guides, "guide_id long, category string"), spark.createDataFrame(devices, "model_id long, family_name string, path string, title string, position long"))
+    want = []
+    for guide, kind in guides:
+        g = (kind or "").strip(" ").lower()
+        own = {}
+        for model, family, path, title, position in devices:
+            if g and any(g in (x or "").lower() for x in (family, path, title)):
+                own[path] = min(own.get(path, (position, model)), (position, model))
+        want += [(guide, path, m, p, (p, m) == min(own.values())) for path, (p, m) in own.items()]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_trees_of_any_depth_in_one_plan(spark):
+    deep = None
+    for i in reversed(range(30)):
+        deep = {f"n{i}": deep, f"leaf{i}": None}
+    trees = spark.createDataFrame([(1, json.dumps(deep)), (2, None), (3, "{}"), (4, '{"a": {}, "b": "text", "c": {"d": null}}')], "tree_id long, tree string")
+    jobs_before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    flat = catalog.flatten_category_tree(trees)
+    everything = catalog.flatten_category_tree(trees, with_categories=True)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(jobs_before)
+    got = sorted((r.tree_id, r.depth, r.path, r.title) for r in flat.collect())
+    want = [(1, i, "/".join([f"n{j}" for j in range(i)] + [f"leaf{i}"]), f"leaf{i}") for i in range(30)] + [(1, 29, "/".join(f"n{j}" for j in range(30)), "n29"), (4, 1, "c/d", "d")]
+    assert got == sorted(want)
+    assert sorted((r.path, r.is_device) for r in everything.filter("tree_id = 4").collect()) == [("a", False), ("b", False), ("c", False), ("c/d", True)]
 
 
 def test_issue_summary_totals(spark):
