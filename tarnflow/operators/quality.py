@@ -35,6 +35,11 @@ def chunk_quality_audit(chunks: DataFrame) -> DataFrame:
     )
 
 
+def content_type_histogram(chunks: DataFrame) -> DataFrame:
+    """Chunks and tokens of each content type, and whether chunks of it are embedded (narrative ones are)."""
+    return chunks.groupBy("content_type").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")).withColumn("embeddable", F.col("content_type") == "narrative")
+
+
 def content_length_stats(sources: DataFrame, source_type: str) -> DataFrame:
     n, size = F.count("*"), F.length("raw_content")
     return sources.filter(F.col("source_type") == source_type).agg(
@@ -108,13 +113,16 @@ def validation_stats(families: DataFrame, models: DataFrame, sources: DataFrame)
     return family.unionByName(model).unionByName(source)
 
 
-def keyword_inventory(sources: DataFrame, models: DataFrame, chunks: DataFrame, keyword: str) -> DataFrame:
-    """Rows and matches by table, and the sources of matching models."""
+def keyword_inventory(sources: DataFrame, models: DataFrame, families: DataFrame, chunks: DataFrame, keyword: str) -> DataFrame:
+    """Rows and matches by table, the sources of matching models, and the models of matching families."""
     has = lambda c: F.count_if(F.lower(F.col(c)).contains(keyword.lower()))
     total = F.count("*").alias("total")
     each = [
         sources.agg(F.lit("sources").alias("name"), total, has("raw_content").alias("matches")), models.agg(F.lit("models").alias("name"), total, has("title").alias("matches")), chunks.agg(F.lit("chunks").alias("name"), total, has("content").alias("matches")),
+        families.agg(F.lit("families").alias("name"), total, has("name").alias("matches")),
     ]
+    within = models.join(families.filter(F.lower("name").contains(keyword.lower())).select("family_id"), "family_id", "left_semi")
+    each.append(within.agg(F.lit("models of families").alias("name"), total, has("title").alias("matches")))
     linked = sources.join(models.filter(F.lower("title").contains(keyword.lower())).select("model_id"), "model_id").agg(F.lit("sources of models").alias("name"), total, F.count_distinct("source_id").alias("matches"))
     typed = chunks.join(sources.select("source_id", "source_type"), "source_id").groupBy(F.concat(F.lit("chunks of "), "source_type").alias("name")).agg(total, has("content").alias("matches"))
     out = linked.unionByName(typed)

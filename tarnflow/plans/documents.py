@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import batching
 from ..operators import chunks as C
 from ..operators import lines as L
+from ..operators import quality as Q
 from ..sources.adapters import view, with_views
 
 
@@ -139,6 +140,7 @@ QUERIES = {
     "chunk_documents_final": _final_chunks,
     "chunk_documents_guide": _guides,
     "chunk_corpus_report": lambda s, d: C.chunk_corpus_report(_final_chunks(s, d)),
+    "content_type_histogram": lambda s, d: Q.content_type_histogram(_final_chunks(s, d)),
 }
 
 _L = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(raw_content, chr(10)) AS l FROM v_manuals)))"
@@ -360,6 +362,7 @@ _STEPS = _GUIDE.replace("CASE WHEN starts_with(line, '1. ') THEN '## 3. Open it'
 _BODY = _TRIM.format("regexp_replace(regexp_replace(coalesce(string_agg(CASE WHEN NOT noise THEN rtrim(line, ' ' || chr(9)) END, chr(10) ORDER BY line_no), ''), '\\[[^|\\]]+\\|[^|\\]]*\\|([^|\\]]+)\\]', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
 _SAID = "[y for y in [regexp_replace(x, '^[-*•]\\s*', '') for x in [regexp_replace(z, '^\\s+|\\s+$', '', 'g') for z in string_split(body, chr(10))] if x <> '' AND NOT starts_with(x, '>')] if y <> ''][1]"
 _FITS = "c.size + u.n <= 1200 AND c.steps + u.st <= 5"
+ORACLES["content_type_histogram"] = with_views("SELECT content_type, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens, content_type = 'narrative' AS embeddable FROM chunks GROUP BY 1", *_CHUNKED)
 ORACLES["chunk_documents_guide"] = with_views(
     f"""SELECT doc_id, CAST(chunk AS INT) AS chunk_index, arg_min(heading, i) AS heading, '[Document: Manual ' || doc_id || ']' || chr(10) || chr(10) || {_TRIM.format("'Guide: Manual ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN st = 1 THEN 'Step ' || step || ': ' ELSE '' END || heading || chr(10) || body, chr(10) || chr(10) ORDER BY i)")} AS content,
         CAST(3 + {_NUMBER.format(_TRIM.format("'Guide: Manual ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN st = 1 THEN 'Step ' || step || ': ' ELSE '' END || heading || chr(10) || body, chr(10) || chr(10) ORDER BY i)"))} AS INT) AS token_count, 'narrative' AS content_type,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_folder
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..sources import stores
 from ..sources.adapters import view, with_views
 
 
@@ -51,12 +53,19 @@ def _models(s, d):
 
 
 def _sources(s, d):
+    return _source_columns(M.upsert_sources(*_source_rows(s, d)))
+
+
+def _source_rows(s, d):
     device = lambda m, v: F.struct(m.cast("long").alias("model_id"), F.lit(v).alias("path"))
     i = F.col("source_id")
     target = view(s, d, "v_sources").filter("source_id % 2 = 0").select("source_id", "title", "raw_content", "model_id", F.array(device(i % 3, "old"), device(i % 5 + 10, "old")).alias("devices"))
     updates = view(s, d, "v_sources").select("source_id", F.lit(1).alias("seq"), F.when(i % 3 == 0, F.lit("")).otherwise(F.lit("new title")).alias("title"), F.lit("").alias("raw_content"), F.lit(None).cast("long").alias("model_id"), F.array(device(i % 3, "new")).alias("devices"))
     more = updates.filter("source_id % 4 = 0").withColumn("seq", F.lit(2)).withColumn("title", F.lit("last title")).withColumn("devices", F.array(device(F.lit(99), "more")))
-    out = M.upsert_sources(target, updates.unionByName(more))
+    return target, updates.unionByName(more)
+
+
+def _source_columns(out):
     return out.select("source_id", "title", F.length("raw_content").alias("chars"), "model_id", F.array_join(F.transform("devices", lambda x: F.concat(x["model_id"].cast("string"), F.lit(":"), x["path"])), ",").alias("devices"))
 
 
@@ -65,8 +74,43 @@ def _new_chunks(s, d):
 
 
 def _embedded(s, d):
-    results = view(s, d, "v_chunks").filter("chunk_id % 2 = 1").select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, F.array_repeat(F.lit(1.0).cast("float"), 3)).otherwise(F.array_repeat(F.lit(1.0).cast("float"), 64)).alias("new"))
-    return M.apply_embeddings(view(s, d, "v_chunks"), results, 64).select("chunk_id", F.size("embedding").alias("dims"), F.coalesce(F.forall("embedding", lambda x: x == 1.0), F.lit(False)).alias("is_new"))
+    return _embedding_columns(M.apply_embeddings(view(s, d, "v_chunks"), _new_vectors(s, d), 64))
+
+
+def _new_vectors(s, d):
+    return view(s, d, "v_chunks").filter("chunk_id % 2 = 1").select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, F.array_repeat(F.lit(1.0).cast("float"), 3)).otherwise(F.array_repeat(F.lit(1.0).cast("float"), 64)).alias("new"))
+
+
+def _embedding_columns(out):
+    return out.select("chunk_id", F.size("embedding").alias("dims"), F.coalesce(F.forall("embedding", lambda x: x == 1.0), F.lit(False)).alias("is_new"))
+
+
+def _stored(rows, key, write):
+    """``rows`` as a stored table, after ``write``; the write is done twice, as after a failure."""
+
+    def run(s, d):
+        path = new_folder(s) + "/store"
+        stores.create_store(rows(s, d), path, key, 16)
+        for _ in range(2):
+            write(s, d, path)
+        return stores.read_store(s, path)
+
+    return run
+
+
+def _stored_sources(s, d):
+    target, updates = _source_rows(s, d)
+    out = _stored(lambda s, d: target, "source_id", lambda s, d, path: stores.write_sources(s, path, "new", updates))(s, d)
+    return _source_columns(out)
+
+
+def _stored_chunks(s, d):
+    return _stored(lambda s, d: view(s, d, "v_chunks"), "source_id", lambda s, d, path: stores.write_chunks(s, path, "new", _new_chunks(s, d)))(s, d).select("source_id", "chunk_index", "content")
+
+
+def _stored_embeddings(s, d):
+    out = _stored(lambda s, d: view(s, d, "v_chunks"), "source_id", lambda s, d, path: stores.write_embeddings(s, path, "new", _new_vectors(s, d), 64))(s, d)
+    return _embedding_columns(out)
 
 
 def _wrong(s, d):
@@ -124,6 +168,9 @@ QUERIES = {
     "replace_source_chunks": lambda s, d: M.replace_source_chunks(view(s, d, "v_chunks"), _new_chunks(s, d)).select("source_id", "chunk_index", "content"),
     "replace_source_chunks_refusing": lambda s, d: M.refused_sources(view(s, d, "v_chunks"), _new_chunks(s, d)),
     "apply_embeddings": _embedded,
+    "upsert_sources_stored": _stored_sources,
+    "replace_source_chunks_stored": _stored_chunks,
+    "apply_embeddings_stored": _stored_embeddings,
     "wrong_dimensions": _wrong,
     "cascade_delete": _cascade,
     "delete_documents": _deleted,
@@ -140,7 +187,7 @@ QUERIES = {
     "validation_issues": _issues,
     "validation_summary": lambda s, d: Q.validation_summary(_issues(s, d)),
     "validation_stats": lambda s, d: Q.validation_stats(view(s, d, "v_models").select("family_id", "family_name").distinct(), view(s, d, "v_models"), _with_metadata(s, d)),
-    "keyword_inventory": lambda s, d: Q.keyword_inventory(*_v(s, d, "v_sources", "v_models", "v_chunks"), "red"),
+    "keyword_inventory": lambda s, d: Q.keyword_inventory(*_v(s, d, "v_sources", "v_models"), view(s, d, "v_models").select("family_id", F.col("family_name").alias("name")).distinct(), view(s, d, "v_chunks"), "3"),
     "reconcile_counts": lambda s, d: Q.reconcile_counts(view(s, d, "v_sources").select("source_id", F.lit(5).cast("long").alias("expected")), view(s, d, "v_chunks").filter("chunk_id % 9 <> 0"), "source_id"),
     "top_documents": lambda s, d: Q.top_documents(*_v(s, d, "v_sources", "v_models"), 5),
     "top_documents_like": lambda s, d: Q.top_documents(_with_metadata(s, d), view(s, d, "v_models"), 4, "words", "DOC-1%"),
@@ -258,9 +305,10 @@ ORACLES = {
     "validation_issues": with_views("SELECT section, type, id, message FROM issues", _META, _ISSUES),
     "validation_summary": with_views("SELECT section, type, count(*) AS n FROM issues GROUP BY GROUPING SETS ((), (section), (type))", _META, _ISSUES),
     "keyword_inventory": with_views(
-        """SELECT 'sources' AS name, count(*) AS total, count_if(contains(lower(raw_content), 'red')) AS matches FROM v_sources UNION ALL SELECT 'models', count(*), count_if(contains(lower(title), 'red')) FROM v_models
-           UNION ALL SELECT 'chunks', count(*), count_if(contains(lower(content), 'red')) FROM v_chunks UNION ALL SELECT 'sources of models', count(*), count(DISTINCT source_id) FROM v_sources JOIN v_models USING (model_id) WHERE contains(lower(v_models.title), 'red')
-           UNION ALL SELECT 'chunks of ' || source_type, count(*), count_if(contains(lower(content), 'red')) FROM v_chunks JOIN v_sources USING (source_id) GROUP BY source_type"""
+        """SELECT 'sources' AS name, count(*) AS total, count_if(contains(lower(raw_content), '3')) AS matches FROM v_sources UNION ALL SELECT 'models', count(*), count_if(contains(lower(title), '3')) FROM v_models
+           UNION ALL SELECT 'chunks', count(*), count_if(contains(lower(content), '3')) FROM v_chunks UNION ALL SELECT 'sources of models', count(*), count(DISTINCT source_id) FROM v_sources JOIN v_models USING (model_id) WHERE contains(lower(v_models.title), '3')
+           UNION ALL SELECT 'chunks of ' || source_type, count(*), count_if(contains(lower(content), '3')) FROM v_chunks JOIN v_sources USING (source_id) GROUP BY source_type
+           UNION ALL SELECT 'families', count(*), count_if(contains(lower(family_name), '3')) FROM (SELECT DISTINCT family_id, family_name FROM v_models) UNION ALL SELECT 'models of families', count(*), count_if(contains(lower(title), '3')) FROM v_models WHERE contains(lower(family_name), '3')"""
     ),
     "reconcile_counts": with_views("SELECT source_id, CAST(CASE WHEN source_id IN (SELECT source_id FROM v_sources) THEN 5 ELSE 0 END AS BIGINT) AS expected, coalesce(n, 0) AS stored, CASE WHEN source_id IN (SELECT source_id FROM v_sources) THEN 5 ELSE 0 END = coalesce(n, 0) AS matches FROM (SELECT source_id FROM v_sources) FULL JOIN (SELECT source_id, count(*) AS n FROM v_chunks WHERE chunk_id % 9 <> 0 GROUP BY 1) USING (source_id)"),
     "top_documents": with_views("SELECT source_id, s.title, CAST(length(raw_content) AS INT) AS size, left(raw_content, 40) AS preview, m.title AS model_title, CAST(NULL AS VARCHAR) AS url FROM (SELECT * FROM v_sources ORDER BY length(raw_content) DESC, source_id LIMIT 5) s LEFT JOIN v_models m USING (model_id)"),
@@ -285,3 +333,4 @@ ORACLES = {
     "filter_chunks_by_words": with_views(f"SELECT source_id FROM v_sources WHERE {_words} BETWEEN 50 AND 300"),
     "embedding_ingest_stats": with_views("SELECT chunk_id % 4 AS batch_no, count(*) AS lines, count_if(embedding IS NULL) AS failed, count(embedding) AS updates FROM v_chunks GROUP BY 1"),
 }
+ORACLES |= {f"{name}_stored": ORACLES[name] for name in ("upsert_sources", "replace_source_chunks", "apply_embeddings")}

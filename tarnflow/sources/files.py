@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +91,66 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     ledger.withColumn("failed_devices", F.to_json("failed_devices")).write.option("header", True).option("escape", '"').csv(path)
 
 
-def read_table(spark: SparkSession, path: str, jdbc: dict[str, str] | None = None) -> DataFrame:
-    """Parquet, or a relational table in partitions where ``jdbc`` options (url, dbtable, partitionColumn, bounds) are given."""
-    return spark.read.format("jdbc").options(**jdbc).load() if jdbc else spark.read.parquet(path)
-
-
-def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).parquet(path)
+def read_table(spark: SparkSession, path: str, jdbc: dict[str, str] | None = None, key: str | None = None, partitions: int = 16) -> DataFrame:
+    """Parquet at ``path``, or where ``jdbc`` options (url, dbtable, driver, ...) are given a relational table.
+
+    With a numeric or date ``key`` the table is read in ``partitions`` ranges at once: their bounds are asked of the source, as
+    its least and greatest key, and rows without a key are in the first. Ranges are of equal width; the key's index should
+    serve them.
+    """
+    if not jdbc:
+        return spark.read.parquet(path)
+    if key is None:
+        return spark.read.format("jdbc").options(**jdbc).load()
+    ends = {**jdbc, "query": f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {jdbc['dbtable']}"}
+    del ends["dbtable"]
+    row = spark.read.format("jdbc").options(**ends).load().first()
+    low, high = row[0], row[1]
+    if low is None or low == high:
+        return spark.read.format("jdbc").options(**jdbc).load()
+    where = _ranges(key, low, high, partitions)
+    more = {k: v for k, v in jdbc.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(jdbc["url"], jdbc["dbtable"], predicates=where, properties=more)
+
+
+def _ranges(key: str, low, high, partitions: int) -> list[str]:
+    """Conditions of ranges that hold every row once."""
+    dated = isinstance(low, datetime.date)
+    first, last = (low.toordinal(), high.toordinal()) if dated else (int(low), int(high) + (int(high) != high))
+    cuts = sorted({first + (last - first) * i // partitions for i in range(1, partitions)} - {first})
+    value = (lambda x: f"DATE('{datetime.date.fromordinal(x)}')") if dated else str
+    bounds = [f"{key} >= {value(a)} AND {key} < {value(b)}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{key} < {value(cuts[0])} OR {key} IS NULL", *bounds, f"{key} >= {value(cuts[-1])}"] if cuts else ["1 = 1"]
+
+
+def write_table(df: DataFrame, path: str, mode: str = "error", jdbc: dict[str, str] | None = None) -> None:
+    """Parquet at ``path``, or where ``jdbc`` options are given a relational table, staged.
+
+    All tasks write to a table beside it, ``<dbtable>_staged``. When they are done, one transaction of the database moves the rows
+    (``overwrite`` empties the table first), so readers see all of a write or nothing, and a write that failed may be done
+    again. The table must exist, with columns of the same names.
+    """
+    if not jdbc:
+        df.write.mode(mode).parquet(path)
+        return
+    spark, name = df.sparkSession, jdbc["dbtable"]
+    df.write.format("jdbc").options(**{**jdbc, "dbtable": f"{name}_staged"}).mode("overwrite").save()
+    columns = ", ".join(f'"{c}"' if c != c.upper() else c for c in df.columns)
+    steps = ([f"DELETE FROM {name}"] if mode == "overwrite" else []) + [f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {name}_staged"]
+    connection = spark._jvm.java.sql.DriverManager.getConnection(jdbc["url"])
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for step in steps:
+            statement.executeUpdate(step)
+        connection.commit()
+        statement.executeUpdate(f"DROP TABLE {name}_staged")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
