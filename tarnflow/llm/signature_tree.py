@@ -13,9 +13,11 @@ So the texts that share a shingle of their prefixes are a bucket, and every link
 Copies form classes first, as in operator 3. Then the buckets of each text's first few shingles are cut to blocks of bounded
 size, each with the bucket's smallest text in it, and every block is one tree that is joined with itself. Near copies end
 up in one component here. Lastly the buckets of all prefix shingles whose texts lie in different components are joined in
-full, but for pairs inside the component that is largest there: texts of other components against all texts, within
-neighbouring size classes, a block of ones with a block of the others in each task. Buckets of the same texts are joined once.
-A task gives out no more links than it takes to join what it found, and holds two blocks.
+full: a small one as one tree with itself; in a large one, texts outside its largest component against all texts, within
+neighbouring size classes, a block of ones with a block of the others in each task. Here the trees are traversed twice: first
+on the signatures alone, about a bit for each shingle, and then, with the whole texts, for those members of a block that
+the signatures left a partner. Buckets of the same texts are joined once. A task gives out no more members than its block
+has, no more links than it takes to join what it found, and holds two blocks.
 
 Defined results: a null or wordless text has an empty set, ``n_shingles`` 0 and is its own component; rows that repeat a doc_id
 each give a row and count as one node; a null doc_id joins no group (component null); an empty table gives an empty result;
@@ -40,8 +42,8 @@ from .shingles import mix, shingle_sets
 
 #: Texts and bytes of text of a block; a task holds two.
 BLOCK_MEMBERS, BLOCK_TEXT = 256, 8_000_000
-#: Children of a node, and the most bits of a bitmap.
-FANOUT, MOST_BITS = 8, 1 << 16
+#: Children of a node.
+FANOUT = 8
 #: The first shingles of a text by which near copies are joined before all its prefix is.
 FIRST = 3
 #: A shingle in more prefixes than this is frequent; at most so many of the most frequent go last (8 bytes each). Any order is
@@ -78,7 +80,7 @@ def _numbers(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _signatures(k: int, percent: int):
-    """Texts -> sizes and prints of their sets, and their prefixes in the order of hashes alone as ``keys``."""
+    """Texts -> sizes and prints of their sets, their prefixes in the order of hashes alone as ``keys``, and bitmaps as ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +88,8 @@ def _signatures(k: int, percent: int):
             for texts in blocks(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, k)
                 flat, offsets = prefixes(sets, percent, np.empty(0, np.uint64))
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int64()))
-                columns = [batch.column(0).slice(at, len(texts)), *_numbers(sets), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), none]
+                bitmaps = pa.array([signature(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                columns = [batch.column(0).slice(at, len(texts)), *_numbers(sets), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), bitmaps]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_NUMBERS, "n_bytes", "keys", "bands"])
                 at += len(texts)
 
@@ -110,21 +112,28 @@ def _late_prefixes(k: int, percent: int, frequent):
     return run
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """The bitmap of a set: a power of two of bits, at least 64 and at least one for each shingle."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    held = np.zeros(bits, bool)
+    held[(mix(s) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set in fewer bits, or rows of such."""
+    return np.bitwise_or.reduce(bitmap.reshape(*bitmap.shape[:-1], -1, words), axis=-2)
+
+
 class SignatureTree:
-    """Sets in the order of their sizes and smallest shingles as leaves, and the levels above them up to one root."""
-
-    def __init__(self, sets: list[np.ndarray], components: np.ndarray, bits: int) -> None:
-        size = np.array([len(s) for s in sets], np.int64)
-        order = np.lexsort((np.array([s[0] for s in sets]), size.astype(np.float64) // max(1, size.max() // 8)))
-        self.sets, self.of = [sets[i] for i in order], order
-        own, size = components[order], size[order]
-        token = (mix(np.concatenate(self.sets)) % np.uint64(bits)).astype(np.int64)
-        bitmap = np.zeros((len(sets), bits), bool)
-        bitmap[np.repeat(np.arange(len(sets)), size), token] = True
-        bitmap = np.packbits(bitmap, axis=1).view(np.uint64)
+    """Bitmaps of one width as leaves, in the order of their sizes, then of their first words, and the levels up to one root."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, components: np.ndarray) -> None:
+        order = np.lexsort((bitmaps[:, 0], sizes // max(1, int(sizes.max()) // 8)))
+        bitmap, size, own, self.of = bitmaps[order], sizes[order], components[order], order
         spare = size - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)  # shingles on a bit that another has set
-        #: From the leaves up: bitmaps, smallest and largest sets, most shingles to spare, component or -1 for several.
-        self.levels = [(bitmap, size, size, spare, own, np.zeros(len(sets), bool))]
+        #: From the leaves up: bitmaps, smallest and largest sets, most shingles to spare, a component and whether there are others.
+        self.levels = [(bitmap, size, size, spare, own, np.zeros(len(sizes), bool))]
         while len(self.levels[-1][0]) > 1:
             bitmap, low, high, spare, own, several = self.levels[-1]
             at = np.arange(0, len(bitmap), FANOUT)
@@ -175,23 +184,35 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int) -> Iterator
     yield from zip(a.of[i].tolist(), b.of[j].tolist(), strict=True)
 
 
-def _bits(sets: list[np.ndarray]) -> int:
-    """A power of two, about four bits for each shingle of the larger sets."""
-    return min(MOST_BITS, 1 << max(6, math.ceil(math.log2(4 * max(len(s) for s in sets)))))
-
-
-def join_blocks(doc_id: list[int], component: list[int], is_open: list[bool], texts: list[bytes], one: bool, k: int, percent: int) -> list[tuple[int, int]]:
-    """Links between different components of a block of texts with itself (``one``), or of its open texts with the others: as
-    few as join what was found."""
+def candidates(sizes: list[int], bitmaps: list[np.ndarray], component: list[int], is_open: list[bool], percent: int) -> Iterator[tuple[int, int]]:
+    """Places of members of a block that may be linked, in different components: open ones with one another where all are open,
+    else open ones with the others. Members of one width of bitmap make a tree; wider ones are folded to meet it."""
+    size, own, width = np.array(sizes, np.int64), np.array(component, np.int64), np.array([len(x) for x in bitmaps])
+    full = size > 0  # an id may stand on an empty text too
+    alone = all(is_open)
+    left, right = full & np.array(is_open), full & (np.array(is_open) if alone else ~np.array(is_open))
+    reach = 100 / percent
+
+    def tree(members: np.ndarray, words: int) -> SignatureTree:
+        return SignatureTree(size[members], np.stack([folded(bitmaps[x], words) for x in members]), own[members])
+
+    widths = np.unique(width).tolist()
+    for w in widths:
+        for v in widths:
+            if v > 2 * reach * w or w > 2 * reach * v or (alone and v < w):
+                continue
+            a, b = np.flatnonzero(left & (width == w)), np.flatnonzero(right & (width == v))
+            if not len(a) or not len(b):
+                continue
+            one = tree(a, min(w, v))
+            other = one if alone and v == w else tree(b, min(w, v))
+            for i, j in dual_traversal(one, other, percent):
+                yield int(a[i]), int(b[j])
+
+
+def join_blocks(doc_id: list[int], component: list[int], is_open: list[bool], texts: list[bytes], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a block on full sets, as few as join what was found."""
     sets = [s for part in blocks(texts) for s in shingle_sets(part, k)]
-    full = [x for x, s in enumerate(sets) if len(s)]  # an id may stand on an empty text too
-    if not full:
-        return []
-    bits, components = _bits(sets), np.array(component, np.int64)
-    sides = [full] if one else [[x for x in full if is_open[x] == side] for side in (True, False)]
-    if not all(sides):
-        return []
-    trees = [SignatureTree([sets[x] for x in side], components[side], bits) for side in sides]
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -200,8 +221,7 @@ def join_blocks(doc_id: list[int], component: list[int], is_open: list[bool], te
         return c
 
     links = []
-    for i, j in dual_traversal(trees[0], trees[-1], percent):
-        p, q = sides[0][i], sides[-1][j]
+    for p, q in candidates([len(s) for s in sets], [signature(s) for s in sets], component, is_open, percent):
         x, y = root(component[p]), root(component[q])
         if x == y:
             continue
@@ -212,34 +232,70 @@ def join_blocks(doc_id: list[int], component: list[int], is_open: list[bool], te
     return links
 
 
-def _linked(one: bool, k: int, percent: int):
+def _by_block(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows ordered by block, their key and then ``values`` columns -> each block's key and rows."""
+    place, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for own, row in zip(zip(*columns[:-values], strict=True), zip(*columns[-values:], strict=True), strict=True):
+            if own != place:
+                if held:
+                    yield place, held
+                place, held = own, []
+            held.append(row)
+    if held:
+        yield place, held
+
+
+def _linked(k: int, percent: int):
     """Rows ``(block..., doc_id, component, open, text)`` ordered by block -> the links of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
+        for _, rows in _by_block(batches, 4):
+            links = join_blocks(*[list(x) for x in zip(*rows, strict=True)], k, percent) if len(rows) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in links], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-        def joined() -> pa.RecordBatch:
-            links = join_blocks(*[list(x) for x in zip(*held, strict=True)], one, k, percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[side] for x in links], pa.int64()) for side in (0, 1)], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for own, row in zip(zip(*columns[:-4], strict=True), zip(*columns[-4:], strict=True), strict=True):
-                if own != place:
-                    yield joined()
-                    place, held = own, []
-                held.append(row)
-        yield joined()
+
+_PLACE = {"key": pa.int64(), "cell": pa.int32(), "column": pa.int32(), "row": pa.int32(), "doc_id": pa.int64(), "component": pa.int64(), "open": pa.bool_()}
+_PLACE_TYPES = "key long, cell int, column int, row int, doc_id long, component long, open boolean"
+
+
+def _with_partners(percent: int):
+    """Rows ``(block..., doc_id, component, open, n_shingles, bitmap)`` ordered by block -> the members that their signatures leave a
+    partner in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found_so_far() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), _PLACE.values(), strict=True)], names=list(_PLACE))
+
+        for key, rows in _by_block(batches, 5):
+            if len(rows) > 1:
+                doc_id, component, is_open, sizes, words = zip(*rows, strict=True)
+                bitmaps = [np.array(x, np.int64).view(np.uint64) for x in words]
+                found = sorted({x for pair in candidates(sizes, bitmaps, component, is_open, percent) for x in pair})
+                held += [(*key, doc_id[x], component[x], is_open[x]) for x in found]
+            if len(held) > 10_000:
+                yield found_so_far()
+                held = []
+        if held:
+            yield found_so_far()
 
     return run
 
 
-def _join(placed: DataFrame, texts: DataFrame, keys: list[str], one: bool, k: int, percent: int) -> DataFrame:
-    """``placed(*keys, doc_id, component, open)`` with their texts, a block to a place -> links ``(a, b)``."""
-    placed = materialize(placed.select(*keys, "doc_id", "component", "open"), "placed")
+def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "open")
+
+
+def _join(placed: DataFrame, texts: DataFrame, keys: list[str], k: int, percent: int) -> DataFrame:
+    """``placed(*keys, doc_id, component, open)``, written, with their texts, a block to a place -> links ``(a, b)``."""
     whole = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id").select(*keys, "doc_id", "component", "open", "text")
-    ordered = whole.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "open")
-    return materialize(map_arrow(ordered, _linked(one, k, percent), "a long, b long").distinct(), "links")
+    return materialize(map_arrow(_in_order(whole, keys), _linked(k, percent), "a long, b long").distinct(), "links")
 
 
 def _parts(n, size):
@@ -265,41 +321,49 @@ def _first_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     alone = members.filter("doc_id <> hub").select("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("block"), "doc_id")
     hubs = buckets.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("hub").alias("doc_id"))
     placed = alone.unionByName(hubs).withColumn("component", F.col("doc_id")).withColumn("open", F.lit(True))
-    return _join(placed, texts, ["key", "block"], True, k, percent)
+    return _join(materialize(placed, "placed"), texts, ["key", "block"], k, percent)
 
 
 def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between different components of ``docs(doc_id, n_shingles, n_bytes, keys, component)`` in the buckets of all
-    their prefixes: complete."""
+    """Links between different components of ``docs(doc_id, n_shingles, n_bytes, keys, bands, component)`` in the buckets of
+    all their prefixes: complete."""
     rows = docs.select(F.explode("keys").alias("key"), "doc_id", "component", "n_shingles", "n_bytes")
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     mixed = materialize(mixed, "mixed")
     own = materialize(rows.join(F.broadcast(mixed) if is_small(mixed, BROADCAST_PLACES) else mixed, "key"), "open")
-    each = own.groupBy("key", "component").agg(F.count("*").alias("n"), *_print())
-    buckets = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
-    buckets = _same_texts_once(buckets, "key").select("key", "main")
+    each = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), *_print())
+    buckets = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
+    buckets = _same_texts_once(buckets, "key").select("key", "main", (_parts(F.col("n"), F.col("size")) == 1).alias("small"))
     # Linked sets lie in the same or neighbouring classes of sizes; a little more than the ratio keeps rounding out.
     size_class = F.floor(F.log("n_shingles") / (1.0001 * math.log(100 / percent))).cast("int")
-    dealt = materialize(own.join(buckets, "key").select("key", "main", "doc_id", "component", "n_bytes", size_class.alias("cell")), "dealt")
-    opened = dealt.filter("component <> main").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    dealt = materialize(own.join(buckets, "key").select("key", "main", "small", "doc_id", "component", "n_bytes", size_class.alias("cell")), "dealt")
+    keys = ["key", "cell", "column", "row"]
+    zero = F.lit(0)
+    whole = dealt.filter("small").select("key", F.lit(-1).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", F.lit(True).alias("open"))
+    large = dealt.filter("NOT small")
+    opened = large.filter("component <> main").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
     count = lambda df, name: df.groupBy("key", "cell").agg(_parts(F.count("*"), F.sum("n_bytes")).alias(name))
-    cells = materialize(count(dealt, "parts").join(count(opened, "open_parts"), ["key", "cell"]), "cells")
+    cells = materialize(count(large, "parts").join(count(opened, "open_parts"), ["key", "cell"]), "cells")
     block = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_all = dealt.join(cells, ["key", "cell"]).select("key", "cell", block("parts", 3).alias("column"), every("open_parts").alias("row"), "doc_id", "component", F.lit(False).alias("open"))
+    as_all = large.join(cells, ["key", "cell"]).select("key", "cell", block("parts", 3).alias("column"), every("open_parts").alias("row"), "doc_id", "component", F.lit(False).alias("open"))
     as_open = opened.join(cells, ["key", "cell"]).select("key", "cell", every("parts").alias("column"), block("open_parts", 4).alias("row"), "doc_id", "component", F.lit(True).alias("open"))
-    return _join(as_all.unionByName(as_open), texts, ["key", "cell", "column", "row"], False, k, percent)
+    placed = materialize(whole.unionByName(as_all).unionByName(as_open), "placed")
+    signed = docs.select("doc_id", "n_shingles", "bands").join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
+    ordered = _in_order(signed.select(*_PLACE, "n_shingles", "bands"), keys)
+    left = materialize(map_arrow(ordered, _with_partners(percent), _PLACE_TYPES), "partners")
+    return _join(left, texts, keys, k, percent)
 
 
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
     """``(node, component)`` of the class representatives with links; None if there are none.
 
-    ``banded(doc_id, *PRINTS, n_bytes, keys)`` has a row for each representative.
+    ``banded(doc_id, *PRINTS, n_bytes, keys, bands)`` has a row for each representative.
     """
     counts = banded.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > FREQUENT)
     top = counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key")
     frequent = np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))  # at most MOST_FREQUENT numbers
-    docs = banded.select("doc_id", *PRINTS, "n_bytes", "keys")
+    docs = banded.select("doc_id", *PRINTS, "n_bytes", "keys", "bands")
     if len(frequent):
         late = banded.sparkSession.sparkContext.broadcast(frequent)
         touched = docs.select(F.explode("keys").alias("key"), "doc_id").join(F.broadcast(top), "key").select("doc_id").distinct()
@@ -308,7 +372,7 @@ def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -
         again = map_arrow(texts.join(few, "doc_id", "left_semi").select("doc_id", "text"), _late_prefixes(k, percent, late), "doc_id long, n_shingles long, print_a long, print_b long, late array<long>")
         again = again.dropDuplicates(["doc_id", *PRINTS])
         docs = docs.join(again, ["doc_id", *PRINTS], "left").withColumn("keys", F.coalesce("late", "keys"))
-    docs = materialize(docs.select("doc_id", "n_shingles", "n_bytes", "keys"), "prefixes")
+    docs = materialize(docs.select("doc_id", "n_shingles", "n_bytes", "keys", "bands"), "prefixes")
     links = _first_links(docs, texts, k, percent)
     found = connected_components(links) if links.count() else None
     if found is None:

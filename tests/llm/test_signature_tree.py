@@ -77,24 +77,24 @@ def test_empty_table(spark):
     assert signature_tree.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_traversal_rules_out_no_link():
+def test_signatures_rule_out_no_link():
     rng = random.Random(9)
     texts = []
     for _ in range(40):
-        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 30, 300]))]
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 30, 66, 300]))]
         texts += [" ".join(edited(rng, words, rng.choice([0, 1, 2]))).encode() for _ in range(4)]
+        texts.append(" ".join(words + ["x"] * rng.choice([0, 1, 30])).encode())
     sets = shingle_sets(texts, 3)
-    for percent in (50, 80, 90, 100):
-        for bits in (64, 1024):
-            tree = signature_tree.SignatureTree(sets, np.arange(len(sets)), bits)
-            left = signature_tree.SignatureTree(sets[:9], np.arange(9), bits)
-            alone = {tuple(sorted(p)) for p in signature_tree.dual_traversal(tree, tree, percent)}
-            both = set(signature_tree.dual_traversal(left, tree, percent))
-            for i in range(len(sets)):
-                for j in range(i):
-                    shared = len(np.intersect1d(sets[i], sets[j]))
-                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                        assert (j, i) in alone
-                        assert j >= 9 or (j, i) in both
-    wide = signature_tree.SignatureTree(sets, np.arange(len(sets)), 4096)
-    assert len(list(signature_tree.dual_traversal(wide, wide, 90))) < len(sets) ** 2 / 20
+    sizes, bitmaps, n = [len(s) for s in sets], [signature_tree.signature(s) for s in sets], len(sets)
+    for percent in (30, 50, 80, 90, 100):
+        alone = {tuple(sorted(p)) for p in signature_tree.candidates(sizes, bitmaps, list(range(n)), [True] * n, percent)}
+        sides = {tuple(sorted(p)) for p in signature_tree.candidates(sizes, bitmaps, list(range(n)), [i < 50 for i in range(n)], percent)}
+        grouped = {tuple(sorted(p)) for p in signature_tree.candidates(sizes, bitmaps, [i // 10 for i in range(n)], [True] * n, percent)}
+        for i in range(n):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if shared and 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
+                    assert (j, i) in alone
+                    assert ((j, i) in sides) == (j < 50 <= i) and ((j, i) in grouped) == (i // 10 != j // 10)
+    assert len(list(signature_tree.candidates(sizes, bitmaps, list(range(n)), [True] * n, 90))) < n * n / 20
+    assert (signature_tree.folded(bitmaps[0], 1) == np.bitwise_or.reduce(bitmaps[0])).all()
