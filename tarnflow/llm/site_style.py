@@ -7,9 +7,11 @@ sequences of the element that holds it, both scaled to 0..1. The tree also gives
 its share of the host's text and its text a page. These and priors from the markup add up to its worth, and branches
 without worth are removed from each page, inside articles too.
 
-The priors: text inside an article or main element is worth most, text outside it on a page that has one nothing, since a
-host's menus and adverts may differ on every page, which entropy alone takes for content. An element whose class or id is
-wholly made of words for menus, adverts and the like (``cookie-notice``) is taken for one unless most of the host's text
+The priors: text inside an article or main element that holds the page's text is worth most, text outside it least, since a
+host's menus and adverts may differ on every page, which entropy alone takes for content. How far an article is the page's is
+its share of the page's text outside named elements, averaged over the pages of a branch: where articles are but teasers
+beside the text, they lose what the text gains. No element is kept or dropped for being inside or outside of one alone. An
+element whose class or id is wholly made of words for menus, adverts and the like (``cookie-notice``) is taken for one unless most of the host's text
 lies in it; a single such word among others (``share-price``) only lowers its worth, so links or repetition decide.
 Elements that are no text of the page by tag, role or ``hidden`` (scripts, forms, navigation ...) go outright. Where all
 pages of a host hold copies of one article, repetition inside articles says nothing and isn't counted; nor is it for a
@@ -38,13 +40,15 @@ from .common import is_small, map_arrow, materialize, table, text_bytes
 MIN_PAGES, LOW_IMPORTANCE, MIN_VARIETY = 8, 0.4, 0.5
 #: Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
-#: What a branch is worth: inside an article, on pages without one, outside on pages with one; by its names (some, all of a
-#: class or id); what it loses when wholly inside links and when alike on all pages; what it gains from holding all of the
-#: host's text, if that is so many characters a page. Below 0 it is removed.
-IN_ARTICLE, NO_ARTICLE, OUTSIDE = 1.0, 0.5, -2.0
+#: What a branch is worth: inside an article that holds all of the page's text, on pages without one, outside of such an
+#: article, inside one that holds nearly none of it; by its names (some, all of a class or id); what it loses when wholly
+#: inside links and when alike on all pages; what it gains from holding all of the host's text, if that is so many
+#: characters a page. Below 0 it is removed.
+IN_ARTICLE, NO_ARTICLE, OUTSIDE, TEASER = 1.0, 0.5, -2.0, -0.3
 SOME_NAME, ALL_NAMES, ALL_LINKS, ALL_ALIKE, ALL_TEXT, LONG_TEXT = -0.45, -1.5, -0.6, -1.2, 1.7, 1000
-#: Hosts with low branches that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Low branches, 8 bytes each, and their hosts that a broadcast may hold: 12 MB at most. More are joined by a shuffle, with so many
+#: pages of a host in a task.
+BROADCAST_BRANCHES, BROADCAST_HOSTS, HOST_PAGES = 1_000_000, 50_000, 2_000
 
 # Elements by their role in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +74,7 @@ _PLAIN_PATH = r"/(?:article|main)[^/]*(?:/(?:section|ul|ol|dl|table|tbody|tr|h[1
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NUMBER, _LONG_NUMBER = re.compile(r"\d+"), re.compile(r"\d{3,}")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 ARTICLE, OTHER = 1, 2
@@ -95,7 +100,7 @@ def _judge(tag: str, rest: str, in_article: bool) -> tuple[str, int]:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
                 named = OUTRIGHT
             elif name in ("class", "id") and value:
-                style += ("." if name == "class" else "#") + ".".join(sorted(value.split()))
+                style += "." + ".".join(sorted(_LONG_NUMBER.sub("", value).split())) if name == "class" else "#" + _NUMBER.sub("", value)  # post-123 is one style for all posts
                 if tag not in ("body", "html", "article", "main"):
                     named = max(named, _named(value))
     return style, named
@@ -247,12 +252,15 @@ def _scaled_entropy(of: str) -> F.Column:
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """``(host, path, pages, content, presentation, importance, in_article, outside, named, links, share, length)`` of each node that holds text."""
-    rows = parsed.select("host", "page_id", "has_article", F.explode("blocks").alias("b")).filter(F.col("b.named") < OUTRIGHT)
-    rows = rows.select("host", "page_id", "has_article", "b.path", F.xxhash64("b.text").alias("text"), "b.children", (F.col("b.kind") == ARTICLE).alias("in_article"), "b.named", "b.links", F.length("b.text").alias("chars"))
-    outside = F.col("has_article") & ~F.col("in_article")
-    of_page = rows.groupBy("host", "path", "page_id").agg(F.max("in_article").alias("in_article"), F.max("named").alias("named"), F.sum("links").alias("links"), F.sum("chars").alias("chars"), F.max(outside).alias("outside"))
-    pages = of_page.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("in_article").alias("in_article"), F.min("outside").alias("outside"), F.max("named").alias("named"), (F.sum("links") / F.sum("chars")).alias("links"), F.sum("chars").alias("chars"))
+    """``(host, path, pages, content, presentation, importance, in_article, held, named, links, share, length)`` of each node that
+    holds text; ``held`` is the share of its pages' text that articles hold, null where no page has one."""
+    said = lambda b: (b["named"] < ALL)
+    size = lambda rule: F.aggregate(F.filter("blocks", rule), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    article = size(lambda b: said(b) & (b["kind"] == ARTICLE)) / F.greatest(size(said), F.lit(1))
+    rows = parsed.withColumn("held", F.when(F.col("has_article"), article)).select("host", "page_id", "held", F.explode("blocks").alias("b")).filter(F.col("b.named") < OUTRIGHT)
+    rows = rows.select("host", "page_id", "held", "b.path", F.xxhash64("b.text").alias("text"), "b.children", (F.col("b.kind") == ARTICLE).alias("in_article"), "b.named", "b.links", F.length("b.text").alias("chars"))
+    of_page = rows.groupBy("host", "path", "page_id").agg(F.max("in_article").alias("in_article"), F.max("named").alias("named"), F.sum("links").alias("links"), F.sum("chars").alias("chars"), F.max("held").alias("held"))
+    pages = of_page.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("in_article").alias("in_article"), F.avg("held").alias("held"), F.max("named").alias("named"), (F.sum("links") / F.sum("chars")).alias("links"), F.sum("chars").alias("chars"))
     whole = pages.groupBy("host").agg(F.sum("chars").alias("whole"))
     content = rows.groupBy("host", "path", "text").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(_scaled_entropy("n").alias("content"))
     style = rows.groupBy("host", "path", "children").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(_scaled_entropy("n").alias("presentation"))
@@ -263,7 +271,8 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 def worth(tree: DataFrame) -> DataFrame:
     """``tree`` (with the ``variety`` of its host's articles) and what each branch is worth."""
-    place = F.when(F.col("in_article"), IN_ARTICLE).when(F.col("outside"), OUTSIDE).otherwise(NO_ARTICLE)
+    between = lambda high, low: F.col("held") * high + (1 - F.col("held")) * low
+    place = F.when(F.col("held").isNull(), NO_ARTICLE).when(F.col("in_article"), between(IN_ARTICLE, TEASER)).otherwise(between(OUTSIDE, NO_ARTICLE))
     name = F.when(F.col("named") == ALL, ALL_NAMES).when(F.col("named") == SOME, SOME_NAME).otherwise(0.0)
     plain = F.col("path").rlike(_PLAIN_PATH)
     counts = (F.col("pages") >= MIN_PAGES) & (~F.col("in_article") | (~plain & (F.coalesce("variety", F.lit(1.0)) >= MIN_VARIETY)))
@@ -272,22 +281,34 @@ def worth(tree: DataFrame) -> DataFrame:
     return tree.withColumn("worth", place + name + ALL_LINKS * F.col("links") + ALL_ALIKE * alike + ALL_TEXT * mass)
 
 
-def low_branches(parsed: DataFrame) -> DataFrame:
-    """``(host, low)``: the paths that are removed from a host's pages; only hosts that have such paths."""
+def low_paths(parsed: DataFrame) -> DataFrame:
+    """``(host, path)`` of the branches that are removed from a host's pages."""
     own = lambda b: (b["kind"] == ARTICLE) & (b["named"] < ALL)
     variety = parsed.filter("has_article").select("host", F.xxhash64(F.to_json(F.filter("blocks", own).getField("text"))).alias("article"))
     variety = variety.groupBy("host", "article").agg(F.count("*").alias("n")).groupBy("host").agg((F.count("*") / F.sum("n")).alias("variety"))
-    low = worth(style_tree(parsed).join(variety, "host", "left")).filter(F.col("worth") < 0)
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))  # a host's templates: paths, not pages
+    return worth(style_tree(parsed).join(variety, "host", "left")).filter(F.col("worth") < 0).select("host", "path")
+
+
+def low_branches(parsed: DataFrame) -> DataFrame:
+    """``(host, low, n)``: hashes of the removed paths of each host that has such paths, and their number."""
+    low = low_paths(parsed).groupBy("host").agg(F.collect_set(F.xxhash64("path")).alias("low"))  # a host's templates: styles without numbers, not pages
+    return low.withColumn("n", F.size("low"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` -> ``(page_id, url, text, n_chars)``, a row for each page."""
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col), "parsed")
     low = materialize(low_branches(parsed), "low")
-    joined = parsed.join(F.broadcast(low) if is_small(low, BROADCAST_HOSTS) else low, "host", "left")
-    kind = F.when(F.col("has_article"), F.lit(ARTICLE)).otherwise(F.lit(OTHER))
-    main = lambda b: (b["kind"] == kind) & (b["named"] < OUTRIGHT) & ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False))
+    size = low.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("n"), F.lit(0)).alias("branches")).first()
+    if size["hosts"] <= BROADCAST_HOSTS and size["branches"] <= BROADCAST_BRANCHES:
+        joined = parsed.join(F.broadcast(low), "host", "left")
+    else:
+        parts = parsed.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).cast("int").alias("parts")).filter("parts > 1")
+        large = F.broadcast(parts) if is_small(parts, BROADCAST_HOSTS) else parts
+        place = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+        dealt = low.join(large, "host", "left").select("host", "low", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        joined = parsed.join(large, "host", "left").select("*", place).join(dealt, ["host", "part"], "left")
+    main = lambda b: (b["named"] < OUTRIGHT) & ~F.coalesce(F.array_contains("low", F.xxhash64(b["path"])), F.lit(False))
     text = F.array_join(F.filter("blocks", main).getField("text"), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

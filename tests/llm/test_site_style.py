@@ -105,14 +105,46 @@ def test_branches_that_the_tree_removes_on_the_tables(spark, sf_dir):
     bare = F.regexp_replace(F.regexp_replace("html", "<(/?)(?:nav|article|footer)>", "<$1div>"), '<div class="ad">', "<div>")
     parsed = site_style.parse_pages(pages.withColumn("html", bare))
     assert parsed.filter("has_article").count() == 0
-    low = {r.host: r.low for r in site_style.low_branches(parsed).collect()}
+    low = {(r.host, r.path) for r in site_style.low_paths(parsed).collect()}
     hosts = {r.host for r in parsed.select("host").distinct().collect()}
-    assert set(low) == hosts and all("/html/body/div/ul/li" in paths for paths in low.values())
+    assert hosts and all((host, "/html/body/div/ul/li") in low for host in hosts)
     rows = {r.page_id: r.text for r in site_style.extract_text(pages.withColumn("html", bare)).collect()}
     for r in pages.collect():
         assert brute(r.html) in rows[r.page_id]  # nothing of any article goes
 
 
+def test_an_article_beside_the_text_is_a_teaser(spark):
+    """Where the page's text lies outside its article, the text stays and the teaser goes, on one page or on a host of such pages."""
+    long = "A long main text that goes on for a while about {0}. " * 8
+    page = '<div id="content"><h1>Heading {0}</h1><p>' + long + '</p></div><article class="teaser"><p>Read next</p></article>'
+    story = "<article><h1>Story {0}</h1><p>" + long + "</p></article><div class=x><p>Short words beside {0}</p></div>"
+    rows = [("http://one.example/", page.format("it"))] + [(f"http://many.example/{i}", page.format(i)) for i in range(12)] + [(f"http://story.example/{i}", story.format(i)) for i in range(12)]
+    got = extracted(spark, rows)
+    assert got[0] == "Heading it " + long.format("it").strip()
+    assert got[1:13] == [f"Heading {i} " + long.format(i).strip() for i in range(12)]
+    assert got[13:] == [f"Story {i} " + long.format(i).strip() for i in range(12)]
+
+
+def test_numbers_in_names_make_no_style(spark):
+    """An id of its own on each page is one branch for all, so that templates under it are seen as such."""
+    page = '<body><div id="post-{0}"><p>text {0} of {0}</p><div class="k-100{0}">The same on all pages</div></div></body>'
+    rows = [(f"http://a.example/{i}", page.format(i)) for i in range(12)]
+    assert len({b[0] for _, html in rows for b in site_style.read_page(html)}) == 2
+    assert extracted(spark, rows) == [f"text {i} of {i}" for i in range(12)]
+
+
+def test_large_hosts_beyond_a_broadcast(spark, monkeypatch):
+    page = "<body><div class=q1>Buy this now</div><div class=q2>text {0} of page {0}</div></body>"
+    rows = [(f"http://a.example/{i}", page.format(i)) for i in range(40)] + [("http://b.example/", page.format("b"))] + [(None, "<p>alone")]
+    want = extracted(spark, rows)
+    assert want[7] == "text 7 of page 7" and want[40:] == ["Buy this now text b of page b", "alone"]
+    for hosts, branches in ((0, 10), (1, 0)):
+        monkeypatch.setattr(site_style, "BROADCAST_HOSTS", hosts)
+        monkeypatch.setattr(site_style, "BROADCAST_BRANCHES", branches)
+        monkeypatch.setattr(site_style, "HOST_PAGES", 3)
+        assert extracted(spark, rows) == want
+
+
 def test_empty_table(spark):
     assert site_style.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
