@@ -33,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks, is_small, map_arrow, materialize, table
 from .components import connected_components
-from .near_dedup import BROADCAST_PLACES, PRINTS, near_duplicate_groups
+from .near_dedup import BROADCAST_IDS, BROADCAST_PLACES, PRINTS, near_duplicate_groups
 from .shingles import mix, shingle_sets
 
 #: Texts and bytes of text of a block; a task holds two.
@@ -79,15 +80,16 @@ def _numbers(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sums, xors)]]
 
 
-def _signatures(k: int, percent: int):
-    """Texts -> sizes and prints of their sets, their prefixes in the order of hashes alone as ``keys``, and bitmaps as ``bands``."""
+def _signatures(k: int, percent: int, frequent=None):
+    """Texts -> sizes and prints of their sets, their prefixes as ``keys`` and bitmaps as ``bands``. The order is that of hashes, with
+    ``frequent`` shingles (a Spark broadcast) last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in blocks(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, k)
-                flat, offsets = prefixes(sets, percent, np.empty(0, np.uint64))
+                flat, offsets = prefixes(sets, percent, np.empty(0, np.uint64) if frequent is None else frequent.value)
                 bitmaps = pa.array([signature(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
                 columns = [batch.column(0).slice(at, len(texts)), *_numbers(sets), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), bitmaps]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_NUMBERS, "n_bytes", "keys", "bands"])
@@ -96,20 +98,7 @@ def _signatures(k: int, percent: int):
     return run
 
 
-def _late_prefixes(k: int, percent: int, frequent):
-    """Texts -> their prefixes with the frequent shingles last. ``frequent`` is a Spark broadcast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in blocks(batch.column(1).to_pylist()):
-                sets = shingle_sets(texts, k)
-                flat, offsets = prefixes(sets, percent, frequent.value)
-                columns = [batch.column(0).slice(at, len(texts)), *_numbers(sets), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_NUMBERS, "late"])
-                at += len(texts)
-
-    return run
+_SIGNED = "doc_id long, n_shingles long, print_a long, print_b long, n_bytes long, keys array<long>, bands array<long>"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -236,7 +225,7 @@ def _by_block(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[tuple[
     """Rows ordered by block, their key and then ``values`` columns -> each block's key and rows."""
     place, held = None, []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
+        columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
         for own, row in zip(zip(*columns[:-values], strict=True), zip(*columns[-values:], strict=True), strict=True):
             if own != place:
                 if held:
@@ -276,7 +265,7 @@ def _with_partners(percent: int):
         for key, rows in _by_block(batches, 5):
             if len(rows) > 1:
                 doc_id, component, is_open, sizes, words = zip(*rows, strict=True)
-                bitmaps = [np.array(x, np.int64).view(np.uint64) for x in words]
+                bitmaps = [x.view(np.uint64) for x in words]
                 found = sorted({x for pair in candidates(sizes, bitmaps, component, is_open, percent) for x in pair})
                 held += [(*key, doc_id[x], component[x], is_open[x]) for x in found]
             if len(held) > 10_000:
@@ -327,28 +316,33 @@ def _first_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of ``docs(doc_id, n_shingles, n_bytes, keys, bands, component)`` in the buckets of
     all their prefixes: complete."""
-    rows = docs.select(F.explode("keys").alias("key"), "doc_id", "component", "n_shingles", "n_bytes")
+    rows = docs.select(F.explode("keys").alias("key"), "doc_id", "component")
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     mixed = materialize(mixed, "mixed")
-    own = materialize(rows.join(F.broadcast(mixed) if is_small(mixed, BROADCAST_PLACES) else mixed, "key"), "open")
+    own = docs.select(F.explode("keys").alias("key"), "doc_id", "component", "n_shingles", "n_bytes").join(F.broadcast(mixed) if is_small(mixed, BROADCAST_IDS) else mixed, "key")
+    own = materialize(own, "open")
     each = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), *_print())
     buckets = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
     buckets = _same_texts_once(buckets, "key").select("key", "main", (_parts(F.col("n"), F.col("size")) == 1).alias("small"))
     # Linked sets lie in the same or neighbouring classes of sizes; a little more than the ratio keeps rounding out.
     size_class = F.floor(F.log("n_shingles") / (1.0001 * math.log(100 / percent))).cast("int")
-    dealt = materialize(own.join(buckets, "key").select("key", "main", "small", "doc_id", "component", "n_bytes", size_class.alias("cell")), "dealt")
+    dealt = materialize(own.join(buckets, "key").select("key", "main", "small", "doc_id", "component", "n_shingles", "n_bytes", size_class.alias("cell")), "dealt")
     keys = ["key", "cell", "column", "row"]
     zero = F.lit(0)
-    whole = dealt.filter("small").select("key", F.lit(-1).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", F.lit(True).alias("open"))
+    whole = dealt.filter("small").select("key", F.lit(-1).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", "n_shingles", F.lit(True).alias("open"))
     large = dealt.filter("NOT small")
     opened = large.filter("component <> main").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
     count = lambda df, name: df.groupBy("key", "cell").agg(_parts(F.count("*"), F.sum("n_bytes")).alias(name))
     cells = materialize(count(large, "parts").join(count(opened, "open_parts"), ["key", "cell"]), "cells")
     block = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_all = large.join(cells, ["key", "cell"]).select("key", "cell", block("parts", 3).alias("column"), every("open_parts").alias("row"), "doc_id", "component", F.lit(False).alias("open"))
-    as_open = opened.join(cells, ["key", "cell"]).select("key", "cell", every("parts").alias("column"), block("open_parts", 4).alias("row"), "doc_id", "component", F.lit(True).alias("open"))
-    placed = materialize(whole.unionByName(as_all).unionByName(as_open), "placed")
+    as_all = large.join(cells, ["key", "cell"]).select("key", "cell", block("parts", 3).alias("column"), every("open_parts").alias("row"), "doc_id", "component", "n_shingles", F.lit(False).alias("open"))
+    as_open = opened.join(cells, ["key", "cell"]).select("key", "cell", every("parts").alias("column"), block("open_parts", 4).alias("row"), "doc_id", "component", "n_shingles", F.lit(True).alias("open"))
+    # Before signatures move: a member whose neighbours by size in its block are too far from it has no partner there.
+    by_size = W.partitionBy(*keys).orderBy("n_shingles")
+    near = (100 * F.lag("n_shingles").over(by_size) >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.lead("n_shingles").over(by_size))
+    placed = whole.unionByName(as_all).unionByName(as_open).withColumn("near", F.coalesce(near, F.lit(False))).filter("near")
+    placed = materialize(placed.select(*_PLACE), "placed")
     signed = docs.select("doc_id", "n_shingles", "bands").join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
     ordered = _in_order(signed.select(*_PLACE, "n_shingles", "bands"), keys)
     left = materialize(map_arrow(ordered, _with_partners(percent), _PLACE_TYPES), "partners")
@@ -360,18 +354,16 @@ def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -
 
     ``banded(doc_id, *PRINTS, n_bytes, keys, bands)`` has a row for each representative.
     """
-    counts = banded.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > FREQUENT)
-    top = counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key")
+    docs = materialize(banded.select("doc_id", *PRINTS, "n_bytes", "keys", "bands"), "banded")
+    counts = docs.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > FREQUENT)
+    top = materialize(counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key"), "frequent")
     frequent = np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))  # at most MOST_FREQUENT numbers
-    docs = banded.select("doc_id", *PRINTS, "n_bytes", "keys", "bands")
     if len(frequent):
         late = banded.sparkSession.sparkContext.broadcast(frequent)
-        touched = docs.select(F.explode("keys").alias("key"), "doc_id").join(F.broadcast(top), "key").select("doc_id").distinct()
-        touched = materialize(touched, "touched")
-        few = F.broadcast(touched) if is_small(touched, BROADCAST_PLACES) else touched
-        again = map_arrow(texts.join(few, "doc_id", "left_semi").select("doc_id", "text"), _late_prefixes(k, percent, late), "doc_id long, n_shingles long, print_a long, print_b long, late array<long>")
-        again = again.dropDuplicates(["doc_id", *PRINTS])
-        docs = docs.join(again, ["doc_id", *PRINTS], "left").withColumn("keys", F.coalesce("late", "keys"))
+        touched = materialize(docs.select(F.explode("keys").alias("key"), "doc_id").join(F.broadcast(top), "key").select("doc_id").distinct(), "touched")
+        ids = F.broadcast(touched) if is_small(touched, BROADCAST_IDS) else touched
+        again = map_arrow(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), _signatures(k, percent, late), _SIGNED)
+        docs = docs.join(ids, "doc_id", "left_anti").unionByName(again.filter("n_shingles > 0").dropDuplicates(["doc_id", *PRINTS]))
     docs = materialize(docs.select("doc_id", "n_shingles", "n_bytes", "keys", "bands"), "prefixes")
     links = _first_links(docs, texts, k, percent)
     found = connected_components(links) if links.count() else None

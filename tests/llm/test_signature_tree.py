@@ -47,7 +47,7 @@ def test_against_brute_force(spark, hard_rows, k, percent):
 
 
 def test_small_blocks_and_shuffles(spark, hard_rows, monkeypatch):
-    for name, value in (("BLOCK_MEMBERS", 5), ("BROADCAST_PLACES", 0), ("FIRST", 1), ("FREQUENT", 10), ("MOST_FREQUENT", 50)):
+    for name, value in (("BLOCK_MEMBERS", 5), ("BROADCAST_PLACES", 0), ("BROADCAST_IDS", 0), ("FIRST", 1), ("FREQUENT", 10), ("MOST_FREQUENT", 50)):
         monkeypatch.setattr(signature_tree, name, value)
     docs = spark.createDataFrame(hard_rows, "doc_id long, text string")
     assert groups(signature_tree.similar_groups(docs, 3, 90)) == brute(hard_rows, 3, 90)
