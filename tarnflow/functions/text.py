@@ -47,14 +47,19 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def _count_of(text: Column, kind: str) -> Column:
+    """Characters of a kind: what is gone when its runs are, which is faster than a match for each."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def content_signals(c: Column, image_urls: Column) -> Column:
     """Words, sentences, shares of letters and digits, share of lines in columns, and whether there are images."""
     in_columns = lambda x: x.rlike(r"\S+\s{3,}\S+\s{3,}\S+") | x.contains("\t") | x.contains("|")
 
     def counted(text: Column) -> Column:
         return F.struct(
-            word_count(text).alias("n"), F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[.!?]+")).alias("ends"), F.regexp_count(text, F.lit(r"\p{L}")).alias("letters"),
-            F.regexp_count(text, F.lit(r"\p{Nd}")).alias("digits"), let(F.split(text, "\n"), lambda x: F.struct(F.size(x).alias("all"), F.size(F.filter(x, in_columns)).alias("columns"))).alias("lines"),
+            word_count(text).alias("n"), F.length(text).alias("chars"), F.regexp_count(text, F.lit(r"[.!?]+")).alias("ends"), _count_of(text, r"\p{L}").alias("letters"),
+            _count_of(text, r"\p{Nd}").alias("digits"), let(F.split(text, "\n"), lambda x: F.struct(F.size(x).alias("all"), F.size(F.filter(x, in_columns)).alias("columns"))).alias("lines"),
         )
 
     def shares(m: Column) -> Column:
@@ -94,7 +99,7 @@ def content_type_light(c: Column) -> Column:
     lines = F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
     bullets = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[•\-*■●]")))
     many = (F.regexp_count(c, F.lit(r"\|")) > 5) | (F.regexp_count(c, F.lit("\t")) > 5)
-    digits = F.regexp_count(c, F.lit(r"\p{Nd}")) > 0.3 * F.length(c)
+    digits = _count_of(c, r"\p{Nd}") > 0.3 * F.length(c)
     return F.when(many, "table").when((F.size(lines) > 0) & (bullets > 0.5 * F.size(lines)), "list").when(digits, "reference").otherwise("narrative")
 
 

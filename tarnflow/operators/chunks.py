@@ -1,15 +1,14 @@
 """Chunks from sections: order-dependent packing in one small helper per document, overlap, and whole chunkers.
 
-Packing is greedy with resets, which a running sum can't express; it runs over one row per document that holds the
-document's sections as an array, in Arrow batches. Everything before and after is built-in, and the chunkers of manuals
-keep a document in its row from its text to its chunks: nothing is shuffled.
+Packing is greedy with resets, which a running sum can't express; it runs over one row per document, in Arrow batches. The
+chunkers read a document's lines and sections in the same pass (``manuals``, ``guides``); classes and overlaps are built-in.
+A document stays in its row from its text to its chunks: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,24 +19,14 @@ from ..functions import text as T
 from ..functions.arrow import map_batches
 from . import line_arrays as A
 from . import lines as L
+from . import manuals
 from .guides import INTRODUCTION, chunk_guides, step_segments
+from .pieces import Piece
 
 _UNIT = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string()), ("images", pa.list_(pa.string()))]))
 UNITS = "array<struct<heading:string,content:string,images:array<string>>>"
 
 
-class Piece(NamedTuple):
-    """A section or chunk with its heading and the links of its images."""
-
-    heading: str | None
-    content: str
-    images: tuple[str, ...] = ()
-
-    def plus(self, other: Piece) -> Piece:
-        """This piece and the ``other`` after it under its heading, with all their images."""
-        return Piece(self.heading, f"{self.content}\n\n{other.content}", tuple(sorted({*self.images, *other.images})))
-
-
 def words(text: str) -> int:
     return len(text.split())
 
@@ -74,25 +63,39 @@ def split_oversized(units: list[Piece], limit: int = 700) -> list[Piece]:
 
 def merge_small(units: list[Piece], least: int = 80) -> list[Piece]:
     """Small chunks join the next with their heading (or if both are tiny or small), else the one before; until stable."""
-    while True:
-        out: list[Piece] = []
-        i = 0
-        while i < len(units):
-            unit, n = units[i], chars4(units[i].content)
-            if n < least:
-                if i + 1 < len(units) and (units[i + 1].heading == unit.heading or (n < 40 and chars4(units[i + 1].content) < least)):
-                    out.append(unit.plus(units[i + 1]))
-                    i += 2
-                    continue
-                if out and (out[-1].heading == unit.heading or n < 40):
-                    out[-1] = out[-1].plus(unit)
-                    i += 1
-                    continue
+    merged = _merged_once(units, least)
+    while len(merged) < len(units):
+        units, merged = merged, _merged_once(merged, least)
+    return merged
+
+
+def _merged_once(units: list[Piece], least: int) -> list[Piece]:
+    """A small chunk is carried until the next one is seen; the two become one, or it settles on what stands before."""
+    out: list[Piece] = []
+    carried: Piece | None = None
+
+    def settle(piece: Piece) -> None:
+        if out and (out[-1].heading == piece.heading or chars4(piece.content) < 40):
+            out[-1] = out[-1].plus(piece)
+        else:
+            out.append(piece)
+
+    for unit in units:
+        small = chars4(unit.content) < least
+        if carried is not None:
+            if unit.heading == carried.heading or (small and chars4(carried.content) < 40):
+                out.append(carried.plus(unit))
+                carried = None
+                continue
+            settle(carried)
+            carried = None
+        if small:
+            carried = unit
+        else:
             out.append(unit)
-            i += 1
-        if len(out) == len(units):
-            return out
-        units = out
+    if carried is not None:
+        settle(carried)
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -260,21 +263,34 @@ def step_overlap_segments(items: DataFrame) -> DataFrame:
 
 def light_sections(docs: DataFrame, text_col: str = "raw_content", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, section_no, heading, content)``, a row for each section."""
-    units = _light_units(docs, text_col, id_col).select("doc_id", F.posexplode("units").alias("section_no", "u"))
-    return units.select("doc_id", "section_no", "u.heading", "u.content")
+    found = pieces_of(docs, manuals.light_pieces, text_col=text_col, id_col=id_col)
+    return found.select("doc_id", F.col("chunk_index").alias("section_no"), "heading", "content")
 
 
-def _light_units(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    text = T.without_images(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.transform(A.light_sections(text), lambda u: _unit(u["heading"], u["content"])).alias("units"))
+_PIECES = {"chunk_index": pa.int32(), "heading": pa.string(), "content": pa.string(), "image_urls": pa.list_(pa.string()), "before": pa.string(), "head": pa.string()}
 
 
-def _universal_units(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Sections, the links of all images with the first."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<string>")
-    rows = docs.select(F.col(id_col).alias("doc_id"), T.image_urls(text).alias("images"), A.universal_sections(T.without_images(text)).alias("sections"))
-    return rows.select("doc_id", F.transform("sections", lambda u, i: _unit(u["heading"], u["content"], F.when(i == 0, F.col("images")).otherwise(none))).alias("units"))
+def pieces_of(docs: DataFrame, read: Callable[[str], list[Piece]], *rules: Callable[[list[Piece]], list[Piece]], text_col: str, id_col: str, with_before: bool = False) -> DataFrame:
+    """Texts to pieces and through ``rules``, in one pass: ``(doc_id, chunk_index, heading, content, image_urls, before, head)``; the last
+    two are those of the piece before, where ``with_before`` asks for them."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few documents at once as Python objects
+                part = batch.slice(at, 64)
+                places, made = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    pieces = read(text)
+                    for rule in rules:
+                        pieces = rule(pieces)
+                    before = [Piece(None, ""), *pieces]
+                    made += [(n, p.heading, p.content, list(p.images), before[n].content if with_before and n else None, before[n].heading if with_before else None) for n, p in enumerate(pieces)]
+                    places += [i] * len(pieces)
+                columns = zip(*made, strict=True) if made else [()] * len(_PIECES)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places, pa.int64())), *[pa.array(x, t) for x, t in zip(columns, _PIECES.values(), strict=True)]], names=["doc_id", *_PIECES])
+
+    return map_batches(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, chunk_index int, heading string, content string, image_urls array<string>, before string, head string")
 
 
 def _exploded(documents: DataFrame) -> DataFrame:
@@ -288,13 +304,11 @@ def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_c
     A document without text, or of noise only, has no chunks. Nothing is shuffled.
     """
     if mode == "universal":
-        packed = pack_units(_universal_units(docs, text_col, id_col), split_oversized, merge_small)
-        kinds = F.transform("units", lambda u: F.struct(u.alias("u"), T.content_type(T.content_signals(u["content"], u["images"]), u["content"]).alias("kind")))
-        rows = packed.select("doc_id", kinds.alias("units"))
-        before = lambda units, i, name: F.get(units, i - 1)["u"][name]
-        lapped = T.let(F.col("units"), lambda units: F.transform(units, lambda x, i: F.struct(_overlapped(x["u"]["content"], x["u"]["heading"], before(units, i, "content"), before(units, i, "heading"), 0.15).alias("o"), x["kind"].alias("kind"), x["u"]["images"].alias("images"))))
-        chunks = _exploded(rows.select("doc_id", lapped.alias("units")))
-        return chunks.select("doc_id", "chunk_index", "u.o.*", T.token_estimate(F.col("u.o.content")).alias("token_count"), F.col("u.kind").alias("content_type"), F.col("u.images").alias("image_urls"))
+        packed = pieces_of(docs, manuals.universal_pieces, split_oversized, merge_small, text_col=text_col, id_col=id_col, with_before=True)
+        kind = T.content_type(T.content_signals(F.col("content"), F.col("image_urls")), F.col("content"))
+        lapped = _overlapped(F.col("content"), F.col("heading"), F.col("before"), F.col("head"), 0.15)
+        chunks = packed.select("doc_id", "chunk_index", lapped.alias("o"), kind.alias("content_type"), "image_urls")
+        return chunks.select("doc_id", "chunk_index", "o.*", T.token_estimate(F.col("o.content")).alias("token_count"), "content_type", "image_urls")
     if mode == "final":
         sections = docs.select(F.col(id_col).alias("doc_id"), A.final_sections(F.coalesce(F.col(text_col), F.lit(""))).alias("units"))
         units = sections.select("doc_id", F.transform("units", lambda u: _unit(u["heading"], u["content"])).alias("units"))
@@ -304,8 +318,7 @@ def chunk_documents(docs: DataFrame, mode: str = "light", text_col: str = "raw_c
     if mode == "guide":
         file_title = F.col(title_col) if title_col in docs.columns else F.lit("Untitled")
         return chunk_guides(docs, F.col(text_col), L.identifier(F.col(text_col), file_title), id_col)
-    packed = pack_units(_light_units(docs, text_col, id_col), pack_sentences, merge_small_into_previous)
-    chunks = _exploded(packed).select("doc_id", "chunk_index", "u.heading", "u.content")
+    chunks = pieces_of(docs, manuals.light_pieces, pack_sentences, merge_small_into_previous, text_col=text_col, id_col=id_col).select("doc_id", "chunk_index", "heading", "content")
     return chunks.withColumn("token_count", T.token_estimate(F.col("content"), "words13")).withColumn("content_type", T.content_type_light(F.col("content")))
 
 

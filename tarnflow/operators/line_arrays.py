@@ -11,24 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let, normalize_heading, strip
+from ..functions.text import let, strip
 from . import lines as L
 
 
-def drop_toc_sections(lines: Column, kept: Callable[[Column, Column], Column]) -> Column:
-    """Contents sections removed, and of what is left the lines for which ``kept(line, stripped)`` doesn't hold."""
-
-    def marked(x: Column) -> Column:
-        kind = lambda s: F.when(s == "", "B").otherwise(F.coalesce(F.upper(F.left(L.contents_event(s), F.lit(1))), F.lit("P")))
-        return let(strip(x), lambda s: F.concat(kind(s), F.when(kept(x, s), "K").otherwise("D"), x))
-
-    def rest(section: Column) -> Column:
-        return F.filter(F.split(section, "\n"), lambda y: (F.substring(y, 2, 1) == "K") & (y.startswith("B") | ~section.startswith("O")))
-
-    sections = F.split(F.array_join(F.transform(lines, marked), "\n"), "\n(?=[OC])")
-    return F.transform(F.flatten(F.transform(sections, rest)), lambda y: F.substr(y, F.lit(3)))
-
-
 def _joined(lines: Column, joins: Callable[[Column, Column], Column], part: Callable[[Column, Column], Column]) -> Column:
     """Runs of lines made one, by a space: ``joins(lines, i)`` tells whether line i continues the one before."""
 
@@ -42,11 +28,6 @@ def _joined(lines: Column, joins: Callable[[Column, Column], Column], part: Call
     return F.when(F.size(lines) > 0, let(lines, of)).otherwise(F.array().cast("array<string>"))
 
 
-def merge_wrapped(lines: Column, stop: str = ".!?:;", light: bool = False) -> Column:
-    joins = lambda held, i: L.continues(strip(F.get(held, i)), strip(F.get(held, i - 1)), stop, light)
-    return _joined(lines, joins, lambda x, joined: F.when(joined, strip(x)).otherwise(x))
-
-
 def merge_paragraphs(lines: Column) -> Column:
     """Stray lines dropped; lines of a paragraph joined, headings apart."""
     plain = lambda x: (x != "") & ~x.startswith("#")
@@ -54,59 +35,17 @@ def merge_paragraphs(lines: Column) -> Column:
     return _joined(kept, lambda held, i: F.coalesce(plain(F.get(held, i)) & plain(F.get(held, i - 1)), F.lit(False)), lambda x, joined: x)
 
 
-def drop_junk(lines: Column) -> Column:
-    once = lambda held: F.filter(held, lambda x, i: (x != "") | F.coalesce(F.get(held, i - 1) != "", F.lit(False)))
-    kept = F.filter(F.transform(lines, strip), lambda x: (x == "") | ~L.is_junk(x))
-    return F.transform(let(kept, once), lambda x: F.regexp_replace(x, L.URL_MARK, ""))
-
-
-def sections(lines: Column, mode: str, min_chars: int = 10, prefix_heading: bool = False) -> Column:
-    """``array<struct<heading, content>>``: a section for each heading, and one for what stands before the first."""
-
-    def marked(held: Column) -> Column:
-        if mode == "markdown":
-            found = lambda x, i: x.rlike(L.MARKDOWN_HEADING)
-        else:
-            found = lambda x, i: let(strip(x), lambda s: L.is_heading(s, strip(F.coalesce(F.get(held, i + 1), F.lit(""))), mode))
-        return F.array_join(F.transform(held, lambda x, i: F.concat(F.when(found(x, i), "H").otherwise("L"), x)), "\n")
+def markdown_sections(lines: Column) -> Column:
+    """``array<struct<heading, content>>``: a section with content for each heading, and one for what stands before the first."""
+    marked = lambda held: F.array_join(F.transform(held, lambda x: F.concat(F.when(x.rlike(L.MARKDOWN_HEADING), "H").otherwise("L"), x)), "\n")
 
     def unit(section: Column) -> Column:
         head = F.when(section.startswith("H"), F.substr(F.substring_index(section, "\n", 1), F.lit(2)))
         body = F.when(section.startswith("H"), F.substr(section, F.length(F.substring_index(section, "\n", 1)) + 2)).otherwise(section)
         return F.struct(strip(head).alias("heading"), strip(F.regexp_replace(body, r"(?<=\n)L|\AL", "")).alias("content"))
 
-    found = F.filter(F.transform(F.split(let(lines, marked), "\n(?=H)"), unit), lambda u: F.length(u["content"]) >= min_chars)
-    if not prefix_heading:
-        return found
-    return F.transform(found, lambda u: F.struct(u["heading"].alias("heading"), F.concat(F.coalesce(F.concat(u["heading"], F.lit("\n\n")), F.lit("")), u["content"]).alias("content")))
-
-
-def paragraph_sections(lines: Column, n: int = 4) -> Column:
-    """Every ``n`` paragraphs as an unnamed section."""
-    paragraphs = F.filter(F.transform(F.split(F.array_join(lines, "\n"), r"\n\s*\n"), strip), lambda p: p != "")
-    group = lambda held: F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / n).cast("int")), lambda k: F.struct(F.lit(None).cast("string").alias("heading"), F.array_join(F.slice(held, k * n + 1, F.lit(n)), "\n\n").alias("content")))
-    return let(paragraphs, lambda held: F.when(F.size(held) > 0, group(held)).otherwise(F.array().cast("array<struct<heading:string,content:string>>")))
-
-
-def universal_sections(text: Column) -> Column:
-    """English lines without contents sections, noise, wraps and junk, by heading; without headings by paragraphs."""
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(strip(x)) < 3) | ~L.is_foreign(x))
-    kept = lambda x, s: (s == "") | ~(L.any_of(s, L.NOISE) | L.is_contents_line(s))
-    clean = drop_junk(merge_wrapped(F.transform(drop_toc_sections(lines, kept), lambda x: F.regexp_replace(x, " +", " "))))
-
-    def parted(held: Column) -> Column:
-        long_enough = lambda units: F.filter(units, lambda u: F.length(u["content"]) >= 10)
-        named = lambda units: F.transform(units, lambda u: F.struct(normalize_heading(u["heading"]).alias("heading"), u["content"].alias("content")))
-        return let(sections(held, "universal", 1), lambda units: F.when(F.size(units) > 1, named(long_enough(units))).otherwise(long_enough(paragraph_sections(held))))
-
-    return let(clean, parted)
-
-
-def light_sections(text: Column) -> Column:
-    kept = lambda x: let(strip(x), lambda s: (s == "") | ~L.any_of(s, L.NOISE_LIGHT, "(?i)"))
-    lines = F.transform(F.filter(F.split(text, "\n"), kept), lambda x: F.regexp_replace(x, r"[ \t]+", " "))
-    return sections(merge_wrapped(lines, light=True), "light", 5, True)
+    return F.filter(F.transform(F.split(let(lines, marked), "\n(?=H)"), unit), lambda u: u["content"] != "")
 
 
 def final_sections(text: Column) -> Column:
-    return sections(merge_paragraphs(F.split(text, "\n")), "markdown", 1)
+    return markdown_sections(merge_paragraphs(F.split(text, "\n")))
