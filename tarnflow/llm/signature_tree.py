@@ -16,7 +16,7 @@ up in one component here. Lastly the buckets of all prefix shingles whose texts
 full: a small one as one tree with itself; in a large one, texts outside its largest component against all texts, within
 neighbouring size classes, a block of ones with a block of the others in each task. Here the trees are traversed twice: first
 on the signatures alone, about a bit for each shingle, and then, with the whole texts, for those members of a block that
-the signatures left a partner. Buckets of the same texts are joined once. A task gives out no more members than its block
+the signatures left a partner. Buckets and blocks of the same texts are joined once. A task gives out no more members than its block
 has, no more links than it takes to join what it found, and holds two blocks.
 
 Defined results: a null or wordless text has an empty set, ``n_shingles`` 0 and is its own component; rows that repeat a doc_id
@@ -301,6 +301,14 @@ def _print() -> list:
     return [F.sum(F.xxhash64("doc_id", F.lit(1)) % (1 << 30)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("xor")]
 
 
+def _blocks_once(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of one of the blocks that hold the same texts in the same parts; blocks of a single member go."""
+    own = lambda seed: F.xxhash64("doc_id", "open", F.lit(seed))
+    groups = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(own(1) % (1 << 30)).alias("sum"), F.bit_xor(own(2)).alias("xor")).filter("n > 1")
+    one = materialize(_same_texts_once(groups, *keys).select(*keys), "blocks")
+    return placed.join(F.broadcast(one) if is_small(one, BROADCAST_PLACES) else one, keys, "left_semi")
+
+
 def _first_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links inside blocks of the buckets of each text's first shingles; a bucket's smallest id is in all its blocks."""
     rows = docs.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "doc_id", "n_bytes")
@@ -342,11 +350,12 @@ def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     by_size = W.partitionBy(*keys).orderBy("n_shingles")
     near = (100 * F.lag("n_shingles").over(by_size) >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.lead("n_shingles").over(by_size))
     placed = whole.unionByName(as_all).unionByName(as_open).withColumn("near", F.coalesce(near, F.lit(False))).filter("near")
+    placed = _blocks_once(materialize(placed.select(*_PLACE), "near"), keys)
     placed = materialize(placed.select(*_PLACE), "placed")
     signed = docs.select("doc_id", "n_shingles", "bands").join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
     ordered = _in_order(signed.select(*_PLACE, "n_shingles", "bands"), keys)
     left = materialize(map_arrow(ordered, _with_partners(percent), _PLACE_TYPES), "partners")
-    return _join(left, texts, keys, k, percent)
+    return _join(materialize(_blocks_once(left, keys).select(*_PLACE), "placed"), texts, keys, k, percent)
 
 
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
