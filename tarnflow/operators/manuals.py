@@ -25,11 +25,11 @@ def _words(patterns: list[str]) -> list[str]:
     """Borders of words as Python has them; one border before all patterns that begin with one, as most places have none."""
     plain = [p.replace(L._E, r"(?:$|\W)") for p in patterns]
     inner = "|".join(p.removeprefix(L._B) for p in plain if p.startswith(L._B))
-    return [rf"(?:^|\W)(?:{inner})", *[p for p in plain if not p.startswith(L._B)]]
+    return [rf"(?:^|\W)(?:{inner})"] * bool(inner) + [p for p in plain if not p.startswith(L._B)]
 
 
 _noise, _noise_light, _junk, _contents, _light = _any(L.NOISE), _any(L.NOISE_LIGHT, "i"), _any(L.JUNK), _any(L.CONTENTS), _any(L.HEADINGS_LIGHT)
-_foreign, _some_foreign, _weak = _any(_words(L.FOREIGN[5])), _any(_words(L.FOREIGN[3])), [re.compile(_words([p])[0] if p.startswith(L._B) else p).search for p in L.FOREIGN[3]]
+_foreign, _some_foreign, _weak = _any(_words(L.FOREIGN[5])), _any(_words(L.FOREIGN[3])), [_any(_words([p])) for p in L.FOREIGN[3]]
 _contents_line = _any([r"\.\.\.", r"\. \. \.", r"^.{5,50}\s{3,}\d{1,4}\s*$"])
 _ends_in_number = re.compile(r"^[A-Za-z].+\s+\d{1,3}\s*$").search
 _few_digits = re.compile(r"^[\d\s\-()]+$").search
