@@ -16,7 +16,7 @@ up in one component here. Lastly the buckets of all prefix shingles whose texts
 full: a small one as one tree with itself; in a large one, texts outside its largest component against all texts, within
 neighbouring size classes, a block of ones with a block of the others in each task. Here the trees are traversed twice: first
 on the signatures alone, about a bit for each shingle, and then, with the whole texts, for those members of a block that
-the signatures left a partner. Buckets and blocks of the same texts are joined once. A task gives out no more members than its block
+the signatures left a partner; blocks that share such members become one where it isn't too large. Buckets and blocks of the same texts are joined once. A task gives out no more members than its block
 has, no more links than it takes to join what it found, and holds two blocks.
 
 Defined results: a null or wordless text has an empty set, ``n_shingles`` 0 and is its own component; rows that repeat a doc_id
@@ -355,7 +355,23 @@ def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     signed = docs.select("doc_id", "n_shingles", "bands").join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
     ordered = _in_order(signed.select(*_PLACE, "n_shingles", "bands"), keys)
     left = materialize(map_arrow(ordered, _with_partners(percent), _PLACE_TYPES), "partners")
-    return _join(materialize(_blocks_once(left, keys).select(*_PLACE), "placed"), texts, keys, k, percent)
+    return _join(_clustered(left, docs, keys), texts, keys, k, percent)
+
+
+def _clustered(left: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The same members with as few texts as hold all their pairs: texts that blocks hold together, one way or another, become one
+    block of their own where that isn't too large, so that near texts that share many shingles move once. Other blocks stay."""
+    star = left.select(F.min("doc_id").over(W.partitionBy(*keys)).alias("a"), F.col("doc_id").alias("b")).filter("a < b").distinct()
+    clusters = connected_components(materialize(star, "star")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = materialize(clusters, "clusters")
+    known = docs.select("doc_id", "component", "n_bytes").join(F.broadcast(clusters) if is_small(clusters, BROADCAST_PLACES) else clusters, "doc_id")
+    sizes = known.groupBy("cluster").agg((_parts(F.count("*"), F.sum("n_bytes")) == 1).alias("small"))
+    known = materialize(known.join(sizes, "cluster").select("doc_id", "component", "cluster", "small"), "known")
+    zero = F.lit(0)
+    whole = known.filter("small").select(F.col("cluster").alias("key"), F.lit(-2).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", F.lit(True).alias("open"))
+    large = known.filter("NOT small").select("doc_id").distinct()
+    rest = _blocks_once(left.join(F.broadcast(large) if is_small(large, BROADCAST_PLACES) else large, "doc_id", "left_semi").select(*_PLACE), keys)
+    return materialize(whole.unionByName(rest.select(*_PLACE)), "placed")
 
 
 def find_components(banded: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
