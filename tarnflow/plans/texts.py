@@ -46,7 +46,7 @@ QUERIES = {
     "split_manufacturer": _on("v_models", "model_id", manufacturer=lambda: T.split_manufacturer(F.when(F.col("model_id") % 5 == 0, "Single").otherwise(F.col("title")))["manufacturer"], number=lambda: T.split_manufacturer(F.col("title"))["model_number"]),
     "uuid5": _on("v_models", "model_id", id=lambda: T.uuid5(F.concat(F.lit("catalog/model/"), F.col("path")))),
     "split_sentences_list": _on("v_manuals", "doc_id", sentences=lambda: F.array_join(T.split_sentences(F.replace(_raw(), F.lit("SAFETY NOTES"), F.lit("SAFETY NOTES\n- one thing. Two\n- three"))), "|")),
-    "vector_literal": _on("v_chunks", "chunk_id", literal=lambda: T.vector_literal(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")))),
+    "vector_literal": _on("v_chunks", "chunk_id", literal=lambda: T.vector_literal(F.transform("embedding", lambda x: F.floor(x.cast("float") * F.lit(100).cast("float")).cast("int")))),
     "sanitize_vector": _on("v_chunks", "chunk_id", size=lambda: F.size(T.sanitize_vector(F.col("embedding"), 64)), total=lambda: F.round(F.aggregate(T.sanitize_vector(F.transform("embedding", lambda x: F.when(x > 0.1, F.lit(float("nan")).cast("float")).otherwise(x)), 64), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)),
     "mock_embedding": _on("v_chunks", "chunk_id", first=lambda: F.get(T.mock_embedding(F.col("content"), 8), F.lit(0)), last=lambda: F.get(T.mock_embedding(F.col("content"), 8), F.lit(7))),
     "fallback_title": _on("v_messages", "message_id", short=lambda: T.fallback_title(F.when(F.col("turn") == 0, " ").otherwise(F.col("content")), F.col("message_id") % 2 == 0), long=lambda: T.fallback_title(F.col("content"), F.lit(False), 60)),
