@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.operators.chunks import chunk_documents
+from tarnflow.plans import catalogs
 from tarnflow.sources import files
 from tarnflow.sources.adapters import view
 from tarnflow.streaming import jobs
@@ -120,3 +121,17 @@ def test_new_texts_are_chunked_as_they_come(spark, sf_dir, tmp_path):
     before = found()
     run()  # the last trigger once more
     assert found() == before
+
+
+def test_source_texts_are_written_in_files_of_bounded_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogs, "_FILE_BYTES", 50_000, raising=False)
+    plain, sizes = files.read_source_texts, []
+
+    def read(session, glob):
+        sizes.extend(r.n for r in plain(session, glob).select(F.octet_length("raw_content").alias("n")).collect())
+        return plain(session, glob)
+
+    monkeypatch.setattr(files, "read_source_texts", read)
+    found = catalogs.QUERIES["read_source_texts"](spark, sf_dir).first()["chars"]
+    assert len(sizes) > 8 and max(sizes) < 100_000
+    assert found == view(spark, sf_dir, "v_sources").agg(F.sum(F.length(F.regexp_replace("raw_content", r"\s+", " ")))).first()[0]
