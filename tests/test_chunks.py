@@ -10,6 +10,7 @@ from tarnflow.functions import text as T
 from tarnflow.operators import batching, catalog, merge, quality
 from tarnflow.operators import chunks as C
 from tarnflow.operators import lines as L
+
 from tarnflow.sources import files
 
 
@@ -141,6 +142,21 @@ def test_matching_in_shards(spark, monkeypatch, size, guides_per_task):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("size", [2_000_000, 6])
+def test_counts_of_a_category_make_no_pairs(spark, monkeypatch, size):
+    """400 guides of one category and 300 devices: the counts of all pairs, and no operator that makes them; a repeated guide counts twice."""
+    monkeypatch.setattr(catalog, "AUTOMATON_BYTES", size)
+    monkeypatch.setattr(catalog, "DEVICES_PER_TASK", 7, raising=False)
+    guides = spark.range(400).selectExpr("id % 399 AS guide_id", "CASE WHEN id = 5 THEN 'none' WHEN id = 399 THEN 'x2' ELSE ' Pump' END AS category")
+    devices = spark.range(300).selectExpr("id AS model_id", "'f' AS family_name", "concat('a/x', id) AS path", "'pump' AS title", "300 - id AS position")
+    pairs = catalog.match_guides_to_devices(guides, devices)
+    assert pairs.count() == 398 * 300 + 111
+    found = catalog.guide_device_counts(guides, devices)
+    want = pairs.groupBy("guide_id").agg(F.count("*").alias("devices"), F.min(F.when(F.col("is_primary"), F.struct("position", "model_id")))["model_id"].alias("primary_model"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found) == rows(want) and len(rows(found)) == 398
+
+
 def test_trees_of_any_depth_in_one_plan(spark):
     deep = None
     for i in reversed(range(30)):
