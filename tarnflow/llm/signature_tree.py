@@ -13,8 +13,11 @@ So the texts that share a shingle of their prefixes are a bucket, and every link
 Copies form classes first, as in operator 3. Then the buckets of each text's first few shingles are cut to blocks of bounded
 size, each with the bucket's smallest text in it, and every block is one tree that is joined with itself. Near copies end
 up in one component here. Lastly the buckets of all prefix shingles whose texts lie in different components are joined in
-full: a small one as one tree with itself; in a large one, texts outside its largest component against all texts, within
-neighbouring size classes, a block of ones with a block of the others in each task. Here the trees are traversed twice: first
+full, a small one as one tree with itself. A large one (many near copies of a text, or texts around one passage) is cut anew by how
+its texts differ from a text of theirs, the pivot: linked texts differ in few shingles, so two that don't both resemble the pivot differ
+from it in the same way in part, and share a shingle of the prefixes of these differences, in which what the pivot holds comes last. These
+buckets are small unless very many texts differ alike; one that stays large is cut again, and where that doesn't help, texts outside its
+largest component meet all its texts, within neighbouring size classes, a block of ones with a block of the others in each task. Here the trees are traversed twice: first
 on the signatures alone, about a bit for each shingle, and then, with the whole texts, for those members of a block that
 the signatures left a partner; blocks that share such members become one where it isn't too large. Buckets and blocks of the same texts are joined once. A task gives out no more members than its block
 has, no more links than it takes to join what it found, and holds two blocks.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, is_small, map_arrow, materialize, table
 from .components import connected_components
-from .near_dedup import BROADCAST_IDS, BROADCAST_PLACES, PRINTS, near_duplicate_groups
+from .near_dedup import BROADCAST_IDS, BROADCAST_PLACES, HUB_MEMBERS, PRINTS, near_duplicate_groups
 from .shingles import mix, shingle_sets
 
 #: Texts and bytes of text of a block; a task holds two.
@@ -50,6 +53,8 @@ FIRST = 3
 #: A shingle in more prefixes than this is frequent; at most so many of the most frequent go last (8 bytes each). Any order is
 #: right: beyond this bound, frequent shingles make larger buckets.
 FREQUENT, MOST_FREQUENT = 32, 200_000
+#: Fewer than so many shingles by which most texts differ from a pivot go last among those that it doesn't hold.
+MOST_COMMON = 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -277,6 +282,92 @@ def _with_partners(percent: int):
     return run
 
 
+def difference_prefixes(n: int, pivot: int, differ: int, percent: int) -> tuple[int, int]:
+    """Two lengths of the prefix of ``differ`` shingles by which a set of ``n`` differs from a pivot's: against sets that aren't linked
+    with the pivot (of a set that is linked, it is enough against these only), and of a set that isn't, against those that are.
+
+    Linked sets ``A`` and ``B`` differ in at most ``r * (|A| + |B|)`` shingles, ``r = (1 - p) / (1 + p)``, in no more than
+    ``(1 - p) / p * |A|``. If their differences ``a`` and ``b`` from the pivot ``C`` share ``t`` shingles, ``|a| + |b| - 2 * t`` is
+    where they differ, and ``b`` is above ``r * (|B| + |C|)`` if ``B`` isn't linked with ``C``.
+    """
+    most = n * (100 - percent) // percent
+    shared = -(-(differ + 1 + (pivot - n) * (100 - percent) // (100 + percent)) // 2)
+    long = differ - max(1, differ - most) + 1 if differ else 0
+    return min(long, differ - max(1, shared) + 1), long
+
+
+_AROUND = {"pivot": pa.int64(), "home": pa.int64(), "doc_id": pa.int64(), "component": pa.int64(), "n_shingles": pa.int64(), "n_bytes": pa.int64(), "linked": pa.bool_(), "half": pa.int32(), "long": pa.int32(), "added": pa.list_(pa.int64()), "lacked": pa.list_(pa.int64())}
+_AROUND_TYPES = "pivot long, home long, doc_id long, component long, n_shingles long, n_bytes long, linked boolean, half int, long int, added array<long>, lacked array<long>"
+
+
+def _differences(k: int, percent: int):
+    """Rows ``(pivot, home, block, doc_id, component, text)`` in that order, a pivot's own with a null ``doc_id`` first -> whether each text is
+    linked with its pivot, and the first of the shingles that only it or only the pivot holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, hub = None, np.empty(0, np.uint64)
+        for batch in batches:
+            rows = list(zip(*[c.to_pylist() for c in batch.columns[:5]], strict=True))
+            at = 0
+            for texts in blocks(batch.column(5).to_pylist()):
+                out = []
+                for (pivot, home, block, doc_id, component), text, own in zip(rows[at : at + len(texts)], texts, shingle_sets(texts, k), strict=True):
+                    if (pivot, block) != place:
+                        place, hub = (pivot, block), np.empty(0, np.uint64)
+                    if doc_id is None:
+                        # Of an id's several texts the same one in all blocks.
+                        hub = max(hub, own, key=lambda s: (len(s), s.tobytes()))
+                    elif len(own):
+                        added, lacked = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+                        both = len(own) - len(added)
+                        half, long = difference_prefixes(len(own), len(hub), len(added) + len(lacked), percent)
+                        linked = 100 * both >= percent * (len(own) + len(hub) - both)
+                        out.append((pivot, home, doc_id, component, len(own), len(text), linked, half, long, added[: long + MOST_COMMON].view(np.int64), lacked[:long].view(np.int64)))
+                at += len(texts)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _AROUND.values(), strict=True)], names=list(_AROUND))
+
+    return run
+
+
+def _around_pivots(large: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Large buckets ``(key, doc_id, component, ...)`` -> buckets of the same columns as ``_dealt`` takes, with ``side``, which hold all
+    their links between different components but those with pivots, and these links. Buckets of one pivot count as one, each of its
+    members once. A pivot may be any text; the one that most of the buckets hold is near the middle."""
+    often = large.groupBy("doc_id").agg(F.count("*").alias("often"))
+    pivots = large.join(often, "doc_id").groupBy("key").agg(F.max_by(F.struct("doc_id", "component"), F.struct("often", -F.col("doc_id"))).alias("p"))
+    pivots = materialize(pivots.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("home")), "pivots")
+    # A text's component may differ between buckets that were cut anew; then links found there make one of them.
+    members = large.select("key", "doc_id", "component").join(F.broadcast(pivots) if is_small(pivots, BROADCAST_PLACES) else pivots, "key")
+    members = members.groupBy("pivot", "doc_id").agg(F.min("home").alias("home"), F.min("component").alias("component"))
+    members = materialize(members, "members")
+    sizes = members.groupBy("pivot").agg(F.min("home").alias("home"), F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
+    sizes = materialize(sizes, "sizes")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("block")
+    others = members.drop("home").join(F.broadcast(sizes) if is_small(sizes, BROADCAST_PLACES) else sizes, "pivot")
+    own = sizes.select("pivot", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(None).cast("long").alias("member"), F.col("home").alias("component"), F.col("pivot").alias("doc_id"))
+    placed = materialize(others.select("pivot", "home", block, F.col("doc_id").alias("member"), "component", "doc_id").unionByName(own), "placed")
+    whole = texts.join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id").select("pivot", "home", "block", "member", "component", "text")
+    ordered = whole.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.asc_nulls_first("member"))
+    around = materialize(map_arrow(ordered, _differences(k, percent), _AROUND_TYPES), "around")
+    links = around.filter("linked AND component <> home").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    total = around.groupBy("pivot").agg(F.sum(F.least("long", F.size("added"))).alias("total"))
+    common = around.select("pivot", F.explode(F.slice("added", F.lit(1), F.col("long"))).alias("shingle")).groupBy("pivot", "shingle").count().filter(F.col("count") > FREQUENT)
+    common = common.join(total, "pivot").filter(F.col("count") * MOST_COMMON > F.col("total"))
+    common = materialize(common.groupBy("pivot").agg(F.collect_list("shingle").alias("common")), "common")
+    none = F.array().cast("array<long>")
+    around = around.join(F.broadcast(common) if is_small(common, BROADCAST_PLACES // MOST_COMMON) else common, "pivot", "left").withColumn("common", F.coalesce("common", none))
+    prefix = F.concat(F.array_except("added", "common"), F.array_intersect("added", "common"), "lacked")
+    around = around.withColumn("component", F.when(F.col("linked"), F.col("home")).otherwise(F.col("component")))
+    # Linked ones are one component with the pivot: the others meet one another, and those of other components meet the linked.
+    side = F.when(F.lit(False), F.lit(True))
+    apart = around.filter("NOT linked").select(F.lit(1).alias("kind"), side.alias("side"), "pivot", F.slice(prefix, F.lit(1), F.col("half")).alias("prefix"), *_OPEN[1:])
+    length = F.when(F.col("linked"), F.col("half")).otherwise(F.col("long"))
+    beside = around.filter("linked OR component <> home").select(F.lit(2).alias("kind"), F.col("linked").alias("side"), "pivot", F.slice(prefix, F.lit(1), length).alias("prefix"), *_OPEN[1:])
+    finer = apart.unionByName(beside).withColumn("shingle", F.explode("prefix")).withColumn("key", F.xxhash64("kind", "pivot", "shingle"))
+    return materialize(finer.select(*_OPEN, "side"), "finer"), links
+
+
 def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "open")
 
@@ -297,14 +388,14 @@ def _same_texts_once(buckets: DataFrame, *order: str) -> DataFrame:
     return buckets.groupBy("n", "sum", "xor").agg(first.alias("b")).select("b.*")
 
 
-def _print() -> list:
-    return [F.sum(F.xxhash64("doc_id", F.lit(1)) % (1 << 30)).alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("xor")]
+def _print(*columns: str) -> list:
+    own = lambda seed: F.xxhash64(*columns, F.lit(seed))
+    return [F.sum(own(1) % (1 << 30)).alias("sum"), F.bit_xor(own(2)).alias("xor")]
 
 
 def _blocks_once(placed: DataFrame, keys: list[str]) -> DataFrame:
     """The members of one of the blocks that hold the same texts in the same parts; blocks of a single member go."""
-    own = lambda seed: F.xxhash64("doc_id", "open", F.lit(seed))
-    groups = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(own(1) % (1 << 30)).alias("sum"), F.bit_xor(own(2)).alias("xor")).filter("n > 1")
+    groups = placed.groupBy(*keys).agg(F.count("*").alias("n"), *_print("doc_id", "open")).filter("n > 1")
     one = materialize(_same_texts_once(groups, *keys).select(*keys), "blocks")
     return placed.join(F.broadcast(one) if is_small(one, BROADCAST_PLACES) else one, keys, "left_semi")
 
@@ -312,7 +403,7 @@ def _blocks_once(placed: DataFrame, keys: list[str]) -> DataFrame:
 def _first_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links inside blocks of the buckets of each text's first shingles; a bucket's smallest id is in all its blocks."""
     rows = docs.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "doc_id", "n_bytes")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.sum("n_bytes").alias("size"), *_print()).filter("n > 1")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.sum("n_bytes").alias("size"), *_print("doc_id")).filter("n > 1")
     buckets = materialize(_same_texts_once(buckets, "key").select("key", "hub", _parts(F.col("n"), F.col("size")).alias("parts")), "buckets")
     members = rows.join(F.broadcast(buckets) if is_small(buckets, BROADCAST_PLACES) else buckets, "key").select("key", "parts", "hub", "doc_id")
     alone = members.filter("doc_id <> hub").select("key", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("block"), "doc_id")
@@ -321,6 +412,23 @@ def _first_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return _join(materialize(placed, "placed"), texts, ["key", "block"], k, percent)
 
 
+_OPEN = ["key", "doc_id", "component", "n_shingles", "n_bytes"]
+
+
+def _dealt(own: DataFrame) -> DataFrame:
+    """``own``, written, with the largest component of each bucket, whether it is ``small`` and whether it must be cut ``again``; without buckets of one
+    component and those that hold the texts of another. Where rows have a ``side``, only those of different sides are to meet: a large bucket
+    takes rows in proportion unless both of its sides are large."""
+    each = own.groupBy("key", "component", "side").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), *_print("doc_id", "side"))
+    both = [F.sum(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "a"), (False, "b")) for c in ("n", "size")]
+    total = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"), *both]
+    buckets = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("side").alias("sided"), *total)
+    buckets = buckets.filter("low < high AND (sided = 0 OR n_a > 0 AND n_b > 0)")
+    small, cheap = _parts(F.col("n"), F.col("size")) == 1, (F.col("sided") > 0) & (F.least(_parts(F.col("n_a"), F.col("size_a")), _parts(F.col("n_b"), F.col("size_b"))) == 1)
+    buckets = _same_texts_once(buckets, "key").select("key", "main", small.alias("small"), (~small & ~cheap).alias("again"))
+    return materialize(own.join(buckets, "key").select(*_OPEN, "side", "main", "small", "again"), "dealt")
+
+
 def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of ``docs(doc_id, n_shingles, n_bytes, keys, bands, component)`` in the buckets of
     all their prefixes: complete."""
@@ -329,17 +437,24 @@ def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     mixed = materialize(mixed, "mixed")
     own = docs.select(F.explode("keys").alias("key"), "doc_id", "component", "n_shingles", "n_bytes").join(F.broadcast(mixed) if is_small(mixed, BROADCAST_IDS) else mixed, "key")
     own = materialize(own, "open")
-    each = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"), *_print())
-    buckets = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
-    buckets = _same_texts_once(buckets, "key").select("key", "main", (_parts(F.col("n"), F.col("size")) == 1).alias("small"))
+    dealt, links = _dealt(own.withColumn("side", F.lit(None).cast("boolean"))), []
+    n_again = dealt.filter("again").count()
+    while n_again:
+        finer, found = _around_pivots(dealt.filter("again"), texts, k, percent)
+        links.append(found)
+        finer = _dealt(finer)
+        dealt, before, n_again = dealt.filter("NOT again").unionByName(finer), n_again, finer.filter("again").count()
+        if 2 * n_again > before:
+            break
+    small, large = dealt.filter("small"), dealt.filter("NOT small")
     # Linked sets lie in the same or neighbouring classes of sizes; a little more than the ratio keeps rounding out.
     size_class = F.floor(F.log("n_shingles") / (1.0001 * math.log(100 / percent))).cast("int")
-    dealt = materialize(own.join(buckets, "key").select("key", "main", "small", "doc_id", "component", "n_shingles", "n_bytes", size_class.alias("cell")), "dealt")
     keys = ["key", "cell", "column", "row"]
     zero = F.lit(0)
-    whole = dealt.filter("small").select("key", F.lit(-1).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", "n_shingles", F.lit(True).alias("open"))
-    large = dealt.filter("NOT small")
-    opened = large.filter("component <> main").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    whole = small.select("key", F.lit(-1).alias("cell"), zero.alias("column"), zero.alias("row"), "doc_id", "component", "n_shingles", F.coalesce("side", F.lit(True)).alias("open"))
+    large = large.withColumn("cell", size_class)
+    opened = large.filter("coalesce(side, component <> main)").withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    large = large.filter("side IS NULL OR NOT side")
     count = lambda df, name: df.groupBy("key", "cell").agg(_parts(F.count("*"), F.sum("n_bytes")).alias(name))
     cells = materialize(count(large, "parts").join(count(opened, "open_parts"), ["key", "cell"]), "cells")
     block = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
@@ -355,7 +470,10 @@ def _open_links(docs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     signed = docs.select("doc_id", "n_shingles", "bands").join(F.broadcast(placed) if placed.count() <= BROADCAST_PLACES else placed, "doc_id")
     ordered = _in_order(signed.select(*_PLACE, "n_shingles", "bands"), keys)
     left = materialize(map_arrow(ordered, _with_partners(percent), _PLACE_TYPES), "partners")
-    return _join(_clustered(left, docs, keys), texts, keys, k, percent)
+    out = _join(_clustered(left, docs, keys), texts, keys, k, percent)
+    for found in links:
+        out = out.unionByName(found)
+    return materialize(out, "links") if links else out
 
 
 def _clustered(left: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:

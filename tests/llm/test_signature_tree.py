@@ -98,3 +98,77 @@ def test_signatures_rule_out_no_link():
                     assert ((j, i) in sides) == (j < 50 <= i) and ((j, i) in grouped) == (i // 10 != j // 10)
     assert len(list(signature_tree.candidates(sizes, bitmaps, list(range(n)), [True] * n, 90))) < n * n / 20
     assert (signature_tree.folded(bitmaps[0], 1) == np.bitwise_or.reduce(bitmaps[0])).all()
+
+
+def test_difference_prefixes_miss_no_link():
+    rng = random.Random(11)
+    for percent in (30, 60, 90, 100):
+        pivot = set(rng.sample(range(400), 60))
+        sets = [pivot]
+        for _ in range(250):
+            base = set(rng.choice(sets))
+            for _ in range(rng.choice([0, 1, 3, 6, 20])):
+                base ^= {rng.randrange(400)}
+            sets.append(base | {1000})
+        linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        apart, beside, near = [], [], []
+        for s in sets:
+            half, long = signature_tree.difference_prefixes(len(s), len(pivot), len(s ^ pivot), percent)
+            ordered = sorted(s ^ pivot, key=lambda x: (x in pivot, x))
+            near.append(linked(s, pivot))
+            apart.append(set(ordered[:half]))
+            beside.append(set(ordered[: half if near[-1] else long]))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a != b and linked(a, b) and not (near[i] and near[j]):
+                    assert beside[i] & beside[j] if near[i] or near[j] else apart[i] & apart[j]
+
+
+def near_copies(n):
+    """Near copies of one text, most of them not linked, some linked with one another only."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = [base]
+    while len(rows) < n:
+        text = edited(rng, base, rng.choice([1, 3, 3, 4, 4, 8]))
+        rows += [text, edited(rng, text, 1)] if rng.random() < 0.2 else [text]
+    return list(enumerate(" ".join(x) for x in rows[:n]))
+
+
+def test_near_copies_take_rows_in_proportion(spark, monkeypatch):
+    """A bucket of near copies was cut to a grid of blocks, with rows by the square of its members."""
+    monkeypatch.setattr(signature_tree, "BLOCK_MEMBERS", 32)
+    placed, once = [], signature_tree._blocks_once
+    monkeypatch.setattr(signature_tree, "_blocks_once", lambda df, keys: placed.append(df.count()) or once(df, keys))
+    for n in (200, 600):
+        rows = near_copies(n)
+        placed.clear()
+        assert groups(signature_tree.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)) == brute(rows, 3, 90)
+        assert sum(placed) < 6 * n
+
+
+def test_pivot_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(signature_tree, "BLOCK_MEMBERS", 8)
+    rng = random.Random(6)
+    rows = near_copies(80)
+    strays = [text for _, text in near_copies(160)[80:]]
+    rows += [(i, text) for i, text in zip([0, 0, 1, 2, 3, 3], strays, strict=False)] + [(100 + i, " ".join(edited(rng, x.split(), 1))) for i, x in enumerate(strays[:6])]
+    # An id with several texts links the groups of each.
+    apart = [(1000 + i, text) for i, (_, text) in enumerate(rows)]
+    want = {r: c for r, (_, c) in brute(apart, 3, 90).items()}
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, (doc_id, _) in enumerate(rows):
+        x, y = root(doc_id), root(("class", want[1000 + i]))
+        if x != y:
+            parent[y] = x
+    members = {}
+    for doc_id, _ in rows:
+        members.setdefault(root(doc_id), set()).add(doc_id)
+    got = {r.doc_id: r.component_id for r in signature_tree.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {d: min(members[root(d)]) for d, _ in rows}
